@@ -32,7 +32,54 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup}
+def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Labelled rows that a model may learn from, one per document."""
+    from .common import held_out
+
+    labels = _read(spark, sf_dir, "labels").select("doc_id", label).filter(~held_out()).groupBy("doc_id").agg(F.min(label).alias(label))
+    return _read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules as Q
+    from .common import held_out
+
+    model = Q.fit(_labelled(spark, sf_dir, "quality"), "quality")
+    scored = Q.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_mincut import extract
+
+    return extract(_read(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity_knn as T
+    from .common import held_out
+
+    index = T.fit(_labelled(spark, sf_dir, "toxic"), "toxic")
+    scored = T.score(_read(spark, sf_dir, "documents"), index)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .aq_ann import search
+
+    return search(_read(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid as L
+    from .common import held_out
+
+    docs = _read(spark, sf_dir, "documents")
+    found = L.identify(docs, L.fit(docs.filter(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")
+
+
+QUERIES = {"op1_quality": op1_quality, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op8_ann": op8_ann, "op10_langid": op10_langid, "op2_packing": op2_packing, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup}
 
 SQL = {
     "op6_exact_dedup": r"""
