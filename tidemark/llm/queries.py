@@ -64,6 +64,24 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each repeated passage and document: every later document with the original it repeats, and the originals."""
+    from .common import cut
+    from .substring_dedup import shared_passages
+
+    found = cut(shared_passages(_read(spark, sf_dir, "documents")).drop("start_byte", "end_byte"))
+    later = found.select("doc_id", F.col("ref_id").alias("partner_id"), "start", "end", F.col("ref_start").alias("partner_start"), F.col("ref_end").alias("partner_end"), "identity", F.lit(False).alias("original"))
+    best = F.min(F.struct(F.col("doc_id").alias("partner_id"), F.col("start").alias("partner_start"), F.col("end").alias("partner_end"), "identity")).alias("m")
+    first = found.groupBy(F.col("ref_id").alias("doc_id"), F.col("ref_start").alias("start"), F.col("ref_end").alias("end")).agg(best)
+    return later.unionByName(first.select("doc_id", "m.partner_id", "start", "end", "m.partner_start", "m.partner_end", "m.identity", F.lit(True).alias("original")))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .aq_ann import search
 
@@ -79,7 +97,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op8_ann": op8_ann, "op10_langid": op10_langid, "op2_packing": op2_packing, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup}
+QUERIES = {"op1_quality": op1_quality, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op7_near_duplicates": op7_near_duplicates, "op9_substring_dedup": op9_substring_dedup, "op8_ann": op8_ann, "op10_langid": op10_langid, "op2_packing": op2_packing, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup}
 
 SQL = {
     "op6_exact_dedup": r"""
