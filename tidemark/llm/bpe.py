@@ -339,11 +339,11 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for b in batches:
             n, a, d = [], [], []
             for i in range(0, len(b), GROUP):
-              for raw in bpe.encode_many(b.column(1).slice(i, GROUP).to_pylist()):
-                ids = np.frombuffer(raw, dtype="<u4").tolist()
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
-                d.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                for raw in bpe.encode_many(b.column(1).slice(i, GROUP).to_pylist()):
+                    ids = np.frombuffer(raw, dtype="<u4").tolist()
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(",".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
+                    d.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = texts(docs, id_col, text_col)

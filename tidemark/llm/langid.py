@@ -29,7 +29,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: The first code point of script ranges and the script that begins there.
 SCRIPTS = [(0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "Other"), (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Other"), (0xB80, "Tamil"), (0xC00, "Other"), (0xE00, "Thai"), (0xE80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x2C60, "Latin"), (0x2C80, "Other"), (0x3040, "Kana"), (0x3100, "Other"), (0x31F0, "Kana"), (0x3200, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xA720, "Latin"), (0xA800, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB13, "Armenian"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE00, "Other"), (0x20000, "Han"), (0x32000, "Other")]
 _STARTS = np.array([s for s, _ in SCRIPTS])
-MEMO = 300_000
+MEMO, GROUP = 400_000, 256
 
 
 @lru_cache(maxsize=1 << 16)
@@ -65,21 +65,33 @@ class Model:
         all_letters = sum(letters.values(), np.zeros(width))
         self.of_script = {s: v >= 0.01 * np.maximum(all_letters, 1) for s, v in letters.items() if s != "Other"}
 
-    def emission(self, word: str) -> np.ndarray:
-        """One score per language, 0 for the best; all 0 where the script has no language."""
-        allowed = self.of_script.get(script_of(word[0]))
-        if allowed is None or not allowed.any():
-            return np.zeros(len(self.langs))
-        out = np.zeros(len(self.langs))
-        for g in word_features(word):
-            v = self.grams.get(g)
-            if v is not None:
-                out = out + v
-        v = self.words.get(word)
-        if v is not None:
-            out = out + 2 * v
-        out = np.where(allowed, out, out.min() + self.floor)
-        return np.maximum(out - out.max(), 3 * self.floor)
+        self.memo = None
+        # as matrices, row 0 for what is unknown
+        self.gram_row = {g: i + 1 for i, g in enumerate(self.grams)}
+        self.word_row = {w: i + 1 for i, w in enumerate(self.words)}
+        self.gram_table = np.vstack([np.zeros((1, width)), *self.grams.values()])
+        self.word_table = np.vstack([np.zeros((1, width)), *self.words.values()])
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Per word one score per language, 0 for the best; all 0 where the script has no language."""
+        get, flat, size = self.gram_row.get, [], []
+        for w in words:
+            p = f"^{w}$"
+            flat += [get(p[i : i + 3], 0) for i in range(len(w))]
+            size.append(len(w))
+        starts = np.cumsum(size) - size
+        out = np.add.reduceat(self.gram_table[flat], starts, axis=0)
+        get = self.word_row.get
+        out += 2 * self.word_table[[get(w, 0) for w in words]]
+        scripts = [script_of(w[0]) for w in words]
+        names = sorted(set(scripts))
+        row = {n: i for i, n in enumerate(names)}
+        masks = np.array([self.of_script.get(n, np.zeros(len(self.langs), bool)) for n in names])
+        allowed = masks[[row[s] for s in scripts]]
+        out = np.where(allowed, out, out.min(axis=1, keepdims=True) + self.floor)
+        out = np.maximum(out - out.max(axis=1, keepdims=True), 3 * self.floor)
+        out[~allowed.any(axis=1)] = 0
+        return out
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -165,46 +177,53 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, id_col: str =
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        model, at = shared.value, {}
+        model = shared.value
         width = max(1, len(model.langs))
-        table = np.zeros((MEMO + 1, width))
+        at, table = model.memo or ({}, np.zeros((MEMO, width)))  # kept by the worker from task to task
         for b in batches:
-            preds, scores, spans = [], [], []
-            for text in b.column(1).to_pylist():
-                words = WORD.findall(text.lower()) if model.langs else []
-                if not words:
-                    preds.append("und"), scores.append(0.0), spans.append([])
-                    continue
-                if len(at) + len(words) > MEMO:
-                    at = {}
-                    if len(words) > len(table) - 1:
-                        table = np.zeros((len(words) + 1, width))
-                for w in set(words):
-                    if w not in at:
-                        table[len(at)] = model.emission(w)
-                        at[w] = len(at)
-                e = table[list(map(at.__getitem__, words))]
-                if not e.any():
-                    preds.append(model.usual), scores.append(0.0), spans.append([])
-                    continue
-                found = label_words(e, penalty)
-                total = e.sum(axis=0)
-                if isinstance(found, int):
-                    lang, part = found, 1.0
-                    spans.append([{"start": 0, "end": len(text), "lang": model.langs[lang]}])
-                else:
-                    size = np.bincount(found, weights=np.fromiter(map(len, words), float, len(words)), minlength=width)
-                    lang, part = int(size.argmax()), float(size.max() / size.sum())
-                    where = [m.span() for m in WORD.finditer(text)] if len(text.lower()) == len(text) else []
-                    where = where if len(where) == len(words) else []
-                    edges = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), len(found)]
-                    spans.append([{"start": where[i][0], "end": where[j - 1][1], "lang": model.langs[found[i]]} for i, j in zip(edges, edges[1:])] if where else [])
-                rest = np.delete(total, lang)
-                margin = float(total[lang] - rest.max()) if len(rest) else 30.0
-                preds.append(model.langs[lang])
-                scores.append(part / (1 + math.exp(-max(-30.0, min(30.0, margin)))))
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
+            for first in range(0, len(b), GROUP):
+                part = b.slice(first, GROUP)
+                group = part.column(1).to_pylist()
+                found_words = [WORD.findall(t.lower()) if model.langs else [] for t in group]
+                seen: set[str] = set()
+                for words in found_words:
+                    seen.update(words)
+                new = [w for w in seen if w not in at]
+                if len(at) + len(new) > len(table):
+                    at, new = {}, list(seen)
+                    if len(new) > len(table):
+                        table = np.zeros((len(new), width))
+                if new:
+                    table[len(at) : len(at) + len(new)] = model.emissions(new)
+                    at.update(zip(new, range(len(at), len(at) + len(new))))
+                model.memo = at, table
+                preds, scores, spans = [], [], []
+                for text, words in zip(group, found_words):
+                    if not words:
+                        preds.append("und"), scores.append(0.0), spans.append([])
+                        continue
+                    e = table[list(map(at.__getitem__, words))]
+                    if not e.any():
+                        preds.append(model.usual), scores.append(0.0), spans.append([])
+                        continue
+                    found = label_words(e, penalty)
+                    total = e.sum(axis=0)
+                    if isinstance(found, int):
+                        lang, portion = found, 1.0
+                        spans.append([{"start": 0, "end": len(text), "lang": model.langs[lang]}])
+                    else:
+                        size = np.bincount(found, weights=np.fromiter(map(len, words), float, len(words)), minlength=width)
+                        lang, portion = int(size.argmax()), float(size.max() / size.sum())
+                        where = [m.span() for m in WORD.finditer(text)] if len(text.lower()) == len(text) else []
+                        where = where if len(where) == len(words) else []
+                        edges = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), len(found)]
+                        spans.append([{"start": where[i][0], "end": where[j - 1][1], "lang": model.langs[found[i]]} for i, j in zip(edges, edges[1:])] if where else [])
+                    rest = np.delete(total, lang)
+                    margin = float(total[lang] - rest.max()) if len(rest) else 30.0
+                    preds.append(model.langs[lang])
+                    scores.append(portion / (1 + math.exp(-max(-30.0, min(30.0, margin)))))
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
     src = texts(docs, id_col, text_col)
     return map_arrow(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>")
