@@ -39,12 +39,19 @@ class Codec:
         self.books, self.beam = books, beam
         m, k, d = books.shape
         self.flat = books.reshape(m * k, d)
-        self.gram = self.flat @ self.flat.T
+        self.gram = None
+
+    def __getstate__(self) -> dict:
+        """Only the codebooks travel; a worker that encodes computes their inner products itself."""
+        return self.__dict__ | {"gram": None}
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Beam search: uint8 codes [n, m] whose entries' sum is near x."""
         m, k, _ = self.books.shape
         n = len(x)
+        if self.gram is None:
+            small = self.flat.astype(np.float32)
+            self.gram = small @ small.T
         dots = x @ self.flat.T
         codes = np.zeros((n, 1, 0), dtype=np.int64)
         cost = np.zeros((n, 1))
