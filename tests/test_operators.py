@@ -63,6 +63,14 @@ def test_range_joins_equal_nested_loops(spark):
     assert sorted(map(tuple, got)) == sorted((c, s, *q[1:]) for c, s, _ in a for q in b if c == q[0] and q[1] <= s < q[2])
 
 
+def test_islands_cross_blocks(spark):
+    rng = random.Random(11)
+    rows = [("c", "H1", s := rng.randrange(3000), s + rng.randrange(1, 200), f"S{rng.randrange(4)}") for _ in range(120)] + [("c", "H1", 50, 1500, "S9")]
+    df = spark.createDataFrame(rows, "chrom string, hap string, start_pos bigint, end_pos bigint, sample_id string")
+    whole, cut = (sorted((r["start_pos"], r["end_pos"], r["sample_id"], r["island"]) for r in K.with_island(df, 3, block=b).collect()) for b in (1 << 20, 100))
+    assert whole == cut and len({r[3] for r in whole}) > 3
+
+
 def test_touching_intervals_do_not_overlap(spark):
     kind = "chrom string, start_pos bigint, end_pos bigint"
     a, b = spark.createDataFrame([("c", 0, 10)], kind), spark.createDataFrame([("c", 10, 20)], kind)

@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from .intervals import containment_join, overlap_join
 
 
-def with_island(regions: DataFrame, max_gap: int, by: tuple[str, ...] = ("chrom", "hap"), order: tuple[str, ...] = ("start_pos", "end_pos", "sample_id")) -> DataFrame:
-    """Add ``island``: a new one begins where the start exceeds the running maximum end by more than the gap."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    top = F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1))
+def with_island(regions: DataFrame, max_gap: int, by: tuple[str, ...] = ("chrom", "hap"), order: tuple[str, ...] = ("start_pos", "end_pos", "sample_id"), block: int = 1 << 20) -> DataFrame:
+    """Add ``island``: a new one begins where the start exceeds the running maximum end by more than the gap.
+
+    A window over a whole chromosome would be one task for all samples' regions. Windows run over blocks of starts
+    instead; what crosses blocks, the maximum end and the number of islands so far, comes from one row per block, a
+    table bounded by the genome's length.
+    """
+    keys = [*by, "_block"]
+    blocked = regions.withColumn("_block", F.expr(f"start_pos div {block}"))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = blocked.groupBy(*keys).agg(F.max("end_pos").alias("_top")).select(*keys, F.max("_top").over(before).alias("_carry"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    top = F.greatest(F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
     new = F.when(top.isNull() | (F.col("start_pos") > top + max_gap), 1).otherwise(0)
-    return regions.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    marked = blocked.join(tops, keys).withColumn("_new", new).drop("_carry")
+    counts = marked.groupBy(*keys).agg(F.sum("_new").alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    run = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.join(counts, keys).withColumn("island", F.col("_offset") + run).drop("_new", "_offset", "_block")
 
 
 def islands(regions: DataFrame, max_gap: int, min_samples: int = 1, by: tuple[str, ...] = ("chrom", "hap")) -> DataFrame:

@@ -111,7 +111,7 @@ def j6(spark, d):
     return out.select("chrom", "pos", "variant_id", "hap", "region_start", "region_end")
 
 
-@query("j8_cohort_merge", f"WITH {GEN} SELECT chrom, pos, ref, alt, string_agg(sample_id || '=' || gt, ',' ORDER BY sample_id) AS genotypes FROM genotypes WHERE vcf_type = 'sv' AND gt <> './.' GROUP BY ALL")
+@query("j8_cohort_merge", f"WITH {GEN} SELECT chrom, pos, ref, alt, string_agg(sample_id || '=' || gt, ',' ORDER BY sample_id, gt) AS genotypes FROM genotypes WHERE vcf_type = 'sv' AND gt <> './.' GROUP BY ALL")
 def j8(spark, d):
     """Per-sample tables to one row per site and alleles; a sample that lacks the site is absent from the list."""
     g = gen(spark, d).filter("vcf_type = 'sv' and gt <> './.'")
