@@ -77,3 +77,14 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def held_out(id_col: str = "doc_id"):
     """True where crc32 of the id as text, modulo 3, is 1: rows that no model may learn from."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, label) of at most ``sample`` labelled documents, those with the smallest hash of the id.
+
+    The sample of ids is bounded by ``sample``, so it is broadcast and no text moves but the sampled ones. Of several
+    labels of one id the smallest counts.
+    """
+    ids = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
+    ids = ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id")

@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import labelled_sample
+
 MARKS = "|#%$&*!.,?@/=<{-"
 
 
@@ -155,9 +157,9 @@ def scored_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] |
     return base.select("*", *[v.alias(k) for k, v in stats.items()]), list(stats)
 
 
-def fit(labelled: DataFrame, label_col: str, text_col: str = "text", id_col: str = "doc_id", sample: int = 12_000, **options) -> Ensemble:
-    """Fit on at most ``sample`` labelled rows, those with the smallest hash of the id."""
-    rows = labelled.filter(F.col(label_col).isNotNull()).orderBy(F.xxhash64(F.lit(7), F.col(id_col)), F.col(id_col)).limit(sample).select(F.col(label_col).cast("double").alias("__y"), F.col(text_col).alias("__t"))
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, text_col: str = "text", id_col: str = "doc_id", sample: int = 12_000, **options) -> Ensemble:
+    """Fit on at most ``sample`` labelled documents; only their statistics leave the executors."""
+    rows = labelled_sample(docs, labels, label_col, sample, 7, id_col, text_col).select(F.col("label").cast("double").alias("__y"), F.col("text").alias("__t"))
     stats, names = scored_statistics(rows, "__t", ["__y"])
     got = stats.select("__y", *names).toPandas().sort_values(["__y", *names]).to_numpy(dtype=float)
     return fit_rules(got[:, 1:], got[:, 0], names, **options)

@@ -32,19 +32,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Labelled rows that a model may learn from, one per document."""
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that a model may learn from."""
     from .common import held_out
 
-    labels = _read(spark, sf_dir, "labels").select("doc_id", label).filter(~held_out()).groupBy("doc_id").agg(F.min(label).alias(label))
-    return _read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return _read(spark, sf_dir, "labels").filter(~held_out())
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules as Q
     from .common import held_out
 
-    model = Q.fit(_labelled(spark, sf_dir, "quality"), "quality")
+    model = Q.fit(_read(spark, sf_dir, "documents"), _labels(spark, sf_dir), "quality")
     scored = Q.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -59,7 +58,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity_knn as T
     from .common import held_out
 
-    index = T.fit(_labelled(spark, sf_dir, "toxic"), "toxic")
+    index = T.fit(_read(spark, sf_dir, "documents"), _labels(spark, sf_dir), "toxic")
     scored = T.score(_read(spark, sf_dir, "documents"), index)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
