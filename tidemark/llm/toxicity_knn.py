@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, ready, texts
+from .common import cut, labelled_sample, map_arrow, ready, texts
 
 WORD = re.compile(r"[^\W_]+")
 MEMO, STEMS, LEVELS, SKETCH, BACKGROUND = 300_000, range(4, 9), (2, 4), 8, 0.3
@@ -145,12 +145,12 @@ class BlockIndex:
         self.pseudo = best[1]
 
 
-def fit(labelled: DataFrame, label_col: str, k: int = 15, sample: int = 10_000, min_rows: int = 5, min_share: float = 0.04, text_col: str = "text", id_col: str = "doc_id") -> BlockIndex:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, k: int = 15, sample: int = 10_000, min_rows: int = 5, min_share: float = 0.04, text_col: str = "text", id_col: str = "doc_id") -> BlockIndex:
     """Vocabulary, index and calibration from at most ``sample`` labelled rows."""
-    ready(labelled.sparkSession)
-    rows = labelled.filter(F.col(label_col).isNotNull()).orderBy(F.xxhash64(F.lit(5), F.col(id_col)), F.col(id_col)).limit(sample)
-    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
-
+    spark = docs.sparkSession
+    ready(spark)
+    rows = labelled_sample(docs, labels, label_col, sample, 5, id_col, text_col)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "label")
     rows = cut(rows)
 
     def sketches(batches):
@@ -164,7 +164,7 @@ def fit(labelled: DataFrame, label_col: str, k: int = 15, sample: int = 10_000,
         if len(keys & seen) < 3:
             fresh.add(r["doc_id"])
         seen |= keys
-    kept = labelled.sparkSession.sparkContext.broadcast(fresh)
+    kept = spark.sparkContext.broadcast(fresh)
 
     def words(batches):
         for b in batches:
@@ -202,7 +202,7 @@ def fit(labelled: DataFrame, label_col: str, k: int = 15, sample: int = 10_000,
     vocabulary = {r["word"]: i for i, r in enumerate(best)}
     idf = np.array([np.log((1 + n) / (1 + r["a"] + r["b"])) + 1 for r in best])
     index = BlockIndex(vocabulary, idf)
-    shared = labelled.sparkSession.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(index)
 
     def vectors(batches):
         for b in batches:
