@@ -332,6 +332,9 @@ def test_html(spark):
     assert got[1]["text"] == "Title & more\nHello boldish world line two.\nSecond para <x> éA has enough words in it.\nitem one\nitem two"
     assert got[2]["text"] == got[3]["text"] == "" and got[6]["text"].count("\n") == 2999 and got[1]["n_chars"] == len(got[1]["text"])
     assert extract(df.limit(0)).count() == 0
+    from tidemark.llm.html_mincut import main_text
+
+    assert main_text('<div class="site-header"><p>Brand name and slogan here.</p></div><div class="content with-sidebar"><p>The text of the page.</p><div class="entry-header"><h2>A title</h2></div></div><div class="post-comments"><p>I disagree with all of it.</p></div>') == "The text of the page.\nA title"
     # the cut against all labellings
     import itertools
 

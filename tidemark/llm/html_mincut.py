@@ -38,6 +38,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that tell boilerplate or content.
 BAD = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner sidebar side rail nav navbar navigation menu menubar breadcrumb breadcrumbs footer foot masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations popular trending comment comments commentlist disqus reply replies respond responses discussion feedback widget toolbar pagination pager copyright disclaimer legal tags taglist skip contentinfo complementary search form".split())
 GOOD = frozenset("article content main post entry story text body maincontent articlebody storybody".split())
+TOP = frozenset("header topbar topnav branding".split())
+LAYOUT = frozenset("with has no without".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HARD = 50.0
 
@@ -114,16 +116,23 @@ def blocks(html: str) -> list[tuple[str, int, int, tuple[str, ...], float]]:
 
 def own_hint(name: str, attributes: str, stack: list) -> float:
     """What an element adds to its blocks' score: positive for content."""
-    if name in BOILER or name == "header" and not any(t in CONTENT for t, _ in stack):
+    inside = any(t in CONTENT for t, _ in stack)
+    if name in BOILER or name == "header" and not inside:
         return -HARD * 2
     out = 3.0 if name in CONTENT else 0.0
     if attributes:
         if HIDDEN.search(attributes):
             return -HARD * 2
-        words = {w.lower() for a in NAMED.findall(attributes) for w in WORDS.findall(a)}
-        if words & BAD and not (words & GOOD and name in ("body", "html", "main")):
-            return -HARD * 2
-        if words & GOOD:
+        good = False
+        for token in " ".join(NAMED.findall(attributes)).replace('"', " ").replace("'", " ").split():
+            words = {w.lower() for w in WORDS.findall(token)}
+            if words & LAYOUT:  # with-sidebar and the like tell how a page is laid out, not what an element is
+                continue
+            own = bool(words & GOOD)
+            if words & BAD and not (own and name in ("body", "html", "main")) or words & TOP and not own and not inside:
+                return -HARD * 2
+            good |= own
+        if good:
             out += 2.0
     return out
 
