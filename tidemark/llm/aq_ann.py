@@ -96,12 +96,16 @@ def fit_codec(x: np.ndarray, books: int = 16, entries: int = 256, beam: int = 8,
         out.append(c)
     codec = Codec(np.stack(out), beam)
     for _ in range(rounds):
-        codes = codec.encode(x)
+        codes = np.concatenate([codec.encode(x[i : i + 512]) for i in range(0, len(x), 512)])
+        codec.gram = None
         hot = (codes + np.arange(books) * entries).astype(np.int64)
         a = np.zeros((len(x), books * entries), dtype=np.float32)
         a[np.arange(len(x))[:, None], hot] = 1
-        left = a.T @ a + 0.05 * np.eye(books * entries, dtype=np.float32)
-        new = np.linalg.solve(left, a.T @ x.astype(np.float32) + 0.05 * codec.flat.astype(np.float32))
+        left, right = a.T @ a, a.T @ x.astype(np.float32) + 0.05 * codec.flat.astype(np.float32)
+        del a
+        left[np.diag_indices_from(left)] += 0.05
+        new = np.linalg.solve(left, right)
+        del left
         codec = Codec(new.astype(np.float64).reshape(codec.books.shape), beam)
     return codec
 
