@@ -52,10 +52,12 @@ def cpg_effects(changes: DataFrame) -> DataFrame:
     return changes.select("sample_id", "contig", F.explode(out).alias("e")).select("sample_id", "e.hap", "contig", "e.pos", "e.effect").distinct()
 
 
-def without_reference_phantoms(effects: DataFrame, reference_cpgs: DataFrame) -> DataFrame:
-    """Drop phantom sites that the reference has: (contig, pos)."""
-    phantom = effects.filter("effect = 'phantom_sites'").join(reference_cpgs, ["contig", "pos"], "left_anti")
-    return effects.filter("effect <> 'phantom_sites'").unionByName(phantom.select(effects.columns))
+def without_reference_phantoms(effects: DataFrame, chunks: DataFrame, chunk: int = 65536) -> DataFrame:
+    """Drop phantom sites where the reference itself has a CpG; only the chunks of phantom sites are looked at."""
+    phantom = effects.filter("effect = 'phantom_sites'").withColumn("chunk_id", F.floor(F.col("pos") / chunk).cast("int"))
+    j = phantom.join(chunks.select("contig", "chunk_id", "chunk_start", "seq"), ["contig", "chunk_id"], "left")
+    there = F.coalesce(F.substring("seq", (F.col("pos") - F.col("chunk_start") + 1).cast("int"), F.lit(2)) == "CG", F.lit(False))
+    return effects.filter("effect <> 'phantom_sites'").unionByName(j.filter(~there).select(effects.columns))
 
 
 def apply_effects(pileup: DataFrame, effects: DataFrame, variant_sites: DataFrame | None = None, min_prob: float = 0.9, min_cov: int = 10) -> DataFrame:

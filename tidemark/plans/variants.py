@@ -285,8 +285,7 @@ def changes(spark, d):
 
 def effects(spark, d):
     ref = view(spark, d, "reference_seq").filter("length(seq) > 0")
-    cpgs = files.reference_chunks(ref, chunk=4096, overlap=8).select("contig", F.explode(F.filter(C.cpg_positions(F.col("seq")), lambda i: i < 4096)).alias("i"), "chunk_start").select("contig", (F.col("chunk_start") + F.col("i")).alias("pos"))
-    return E.without_reference_phantoms(E.cpg_effects(changes(spark, d)), cpgs)
+    return E.without_reference_phantoms(E.cpg_effects(changes(spark, d)), files.reference_chunks(ref, chunk=65536, overlap=8))
 
 
 @query("j9_x4_x5_x6_window_changes", f"WITH {SITES} SELECT o_orderkey, contig, pos, rw AS ref_window, array_to_string(destroyed, ',') AS destroyed, array_to_string(created, ',') AS created FROM ch")
