@@ -122,16 +122,23 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def label_words(scores: np.ndarray, penalty: float) -> np.ndarray | int:
-    """One label if it is optimal throughout, else a label per word."""
+    """One label if it is optimal throughout, else a label per word.
+
+    Against the label with the highest total, a path gains on its segments and pays per switch. With no run's gain
+    over the penalty, q segments inside cost q + 1 switches and at an edge q, more than they gain. A path without the
+    label pays q - 1 for q segments, the first a prefix and the last a suffix; so if the best prefix and suffix
+    together gain no more than the penalty either, no path is better.
+    """
     total = scores.sum(axis=0)
     top = int(total.argmax())
     if len(scores) < 2:
         return top
     run = np.cumsum(scores - scores[:, top : top + 1], axis=0)
-    low = np.minimum(np.minimum.accumulate(np.vstack([np.zeros((1, run.shape[1])), run[:-1]]), axis=0), 0)
+    low = np.minimum.accumulate(np.vstack([np.zeros((1, run.shape[1])), run[:-1]]), axis=0)
     gain = (run - low).max(axis=0)
     gain[top] = 0
-    if (gain <= penalty / 2).all():
+    prefix, suffix = np.maximum(run.max(axis=0), 0), np.maximum(run[-1] - run.min(axis=0), 0)
+    if gain.max() <= penalty and prefix.max() + suffix.max() <= penalty:
         return top
     use = np.flatnonzero((gain > 0) | (np.arange(len(total)) == top))
     return use[viterbi(scores[:, use], penalty)]
@@ -170,7 +177,7 @@ def fit(labelled: DataFrame, per_lang: int = 600, text_col: str = "text", lang_c
     return Model([tuple(r) for r in counted.collect()], docs_of)
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 12.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, penalty: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, spans): spans are character ranges with one language each."""
     spark = docs.sparkSession
     ready(spark)
