@@ -122,7 +122,7 @@ def best_rows(scores: np.ndarray, keep: int) -> list[np.ndarray]:
     return out
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, measure: str = "inner", sample: int = 4000, books: int = 16, rerank: int = 300, shard: int = 32768, query_block: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, measure: str = "inner", sample: int = 4000, books: int = 16, rerank: int = 400, shard: int = 32768, query_block: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query, exactly scored.
 
     ``is_query`` maps the id column to a condition. ``inner``: largest inner product; ``euclid``: smallest squared
