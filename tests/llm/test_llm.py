@@ -132,6 +132,17 @@ def test_packing(spark):
     assert pack_documents(empty(spark), path).count() == 0
 
 
+def test_packing_many_mixed_lengths(spark):
+    from tidemark.llm.packing import best_fit
+
+    items = spark.range(600_000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(4096)) + 1).alias("length"))
+    got = best_fit(items)
+    assert got.count() == 600_000
+    used = got.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    r = used.agg(F.count("n").alias("bins"), F.sum("n").alias("tokens"), F.max("n").alias("most")).first()
+    assert r["most"] <= 4096 and r["bins"] <= 1.02 * r["tokens"] / 4096
+
+
 def test_exact_dedup(spark):
     from tidemark.llm import exact_dedup as D
 

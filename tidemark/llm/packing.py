@@ -6,9 +6,10 @@ the lowest set bit at or above the piece's length. When the fixed number of open
 
 Documents are tokenised in one pass that keeps piece metadata only; only documents longer than a sequence are cut.
 The metadata, a few dozen bytes a piece, is dealt out by a hash in shares of about ``share`` pieces, and each share
-is packed on its own, longest pieces first, so no task sees more than a share however large the corpus is. A share's
-last bins can stay part empty: that costs at most a few sequences in ``share`` pieces. Null and empty texts are one
-piece that holds the end id alone; repeated rows are packed as often as they occur.
+is packed on its own, so no task sees more than a share however large the corpus is. A share is taken in hashed
+blocks of about as many pieces as bins may be open, each block longest pieces first: short pieces keep arriving, so
+few bins close part empty. Null and empty texts are one piece that holds the end id alone; repeated rows are packed
+as often as they occur.
 """
 
 from __future__ import annotations
@@ -89,9 +90,11 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, id_col
 def best_fit(items: DataFrame, size: int = 4096, limit: int = 256, share: int = 200_000) -> DataFrame:
     """Add (sequence_id, offset) to rows with a ``length`` of 1 to ``size``; sequences are gapless from 0."""
     items = cut(items)
-    parts = max(4, -(-items.count() // share))
+    rows = items.count()
+    parts = max(4, -(-rows // share))
+    blocks = max(1, -(-rows // (parts * limit)))
     keys = [c for c in items.columns if c != "length"]
-    dealt = items.repartition(parts, F.xxhash64(*keys), F.col("length")).sortWithinPartitions(F.desc("length"), *keys)
+    dealt = items.repartition(parts, F.xxhash64(*keys), F.col("length")).sortWithinPartitions(F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(blocks)), F.desc("length"), *keys)
     fields = items.columns
     at = fields.index("length")
 
