@@ -302,6 +302,36 @@ def test_chain_needs_order():
     assert best == [(0, 0, 10), (12, 12, 10), (40, 44, 10)]
 
 
+def test_chains_equal_brute_force():
+    from tidemark.llm.substring_dedup import chains
+
+    rng = random.Random(17)
+    for _ in range(200):
+        a = sorted({(rng.randrange(400), rng.randrange(400), rng.randrange(8, 30)) for _ in range(rng.randrange(2, 40))})
+        score = []
+        for p, r, n in a:
+            gaps = [(s, p - q - m, r - t - m) for s, (q, t, m) in zip(score, a)]
+            score.append(n + max([0, *(s - 0.1 * (g + h) for s, g, h in gaps if 0 <= g <= 40 and 0 <= h <= 40)]))
+        got = chains(a, 0.1, 40)
+        assert sorted(x for c in got for x in c) == a
+        gaps = [(y[0] - x[0] - x[2], y[1] - x[1] - x[2]) for x, y in zip(got[0], got[0][1:])]
+        assert all(0 <= g <= 40 and 0 <= h <= 40 for g, h in gaps)
+        assert abs(sum(x[2] for x in got[0]) - 0.1 * sum(g + h for g, h in gaps) - max(score)) < 1e-6
+
+
+def test_second_fuzzy_passage_of_a_pair(spark):
+    from tidemark.llm.substring_dedup import chains, shared_passages
+
+    later = [(560, 560, 20), (583, 580, 20), (606, 600, 20)]
+    assert chains([(0, 0, 500), *later], 0.1, 40) == [[(0, 0, 500)], later]
+    rng = random.Random(18)
+    text = lambda k: [f"{rng.randrange(10**6)}" for _ in range(k)]
+    first, second = text(500), text(66)
+    docs = {1: first + text(60) + second, 2: first + text(60) + second[:22] + text(3) + second[22:44] + text(3) + second[44:]}
+    got = shared_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id bigint, text string")).collect()
+    assert {(r["start"], r["end"]) for r in got} == {(0, 500), (560, 632)}
+
+
 def test_ann_recall_and_ties(spark):
     from tidemark.llm.aq_ann import search
 
