@@ -357,6 +357,22 @@ def test_ann_recall_and_ties(spark):
     assert search(df.filter("vec_id > 2000"), lambda i: i % 20 == 0).count() == 0
 
 
+def test_ann_rerank_grows_until_recall(spark):
+    from tidemark.llm.aq_ann import search
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id bigint, embedding array<double>")
+    for measure in ("inner", "euclid"):
+        got = search(df, lambda i: i % 60 == 0, measure=measure, sample=300, books=2, rerank=25).toPandas()
+        hit = 0
+        for q, g in got.groupby("query_id"):
+            s = x @ x[q] if measure == "inner" else -((x - x[q]) ** 2).sum(1)
+            s[q] = -np.inf
+            hit += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
+        assert hit / (50 * 20) >= 0.9
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=x>Home</a></li></ul></nav><div class="cookie-notice">We use cookies.</div><div id="main-content"><h1>Title &amp; more</h1>
 <p>Hello <b>bold</b>ish world<br>line   two.<p>Second para &lt;x&gt; &eacute;&#x41; has enough words in it.<ul><li>item one</li><li>item two</li></ul>

@@ -6,7 +6,8 @@ are fitted on a bounded sample (``sample`` vectors, by a hash of the id), but ev
 Beside the code each vector stores its norm and that of its approximation. A query's inner products with all
 codebook entries form a lookup table, so a candidate's score is a sum of table entries, corrected by the stored norms
 (``inner``), or turned into a squared distance by them (``euclid``). The best ``rerank`` candidates of each query are
-rescored exactly, in double precision, on the original vectors.
+rescored exactly, in double precision, on the original vectors; their number grows with what a bounded set of queries,
+compared with all vectors, turns out to need.
 
 Codes lie in shards of up to ``shard`` vectors, queries in blocks; every block meets every shard, and a shard returns
 only its best candidates per query. Vectors that are null, zero, of another length than most of the sample, or hold
@@ -122,11 +123,80 @@ def best_rows(scores: np.ndarray, keep: int) -> list[np.ndarray]:
     return out
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, measure: str = "inner", sample: int = 4000, books: int = 16, rerank: int = 400, shard: int = 32768, query_block: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def rough_scores(q: np.ndarray, row: dict, codec: Codec, measure: str):
+    """Yield (first query, scores of all rows of a shard), 16 queries at a time, from codes and stored norms."""
+    width = len(codec.books)
+    code = np.frombuffer(row["codes"], dtype=np.uint8).reshape(-1, width)
+    norm, near = np.frombuffer(row["norms"]), np.frombuffer(row["nears"])
+    table = (q @ codec.flat.T).reshape(len(q), width, -1).astype(np.float32)
+    for i in range(0, len(q), 16):
+        t = table[i : i + 16]
+        s = np.zeros((len(t), len(code)), dtype=np.float32)
+        for j in range(width):
+            s += t[:, j, :].take(code[:, j], axis=1)
+        yield i, s * (norm / np.maximum(near, 1e-12)).astype(np.float32) if measure == "inner" else 2 * s - (near**2).astype(np.float32)
+
+
+def needed_rerank(src: DataFrame, blocks: DataFrame, queries: DataFrame, shared, k: int, measure: str, probes: int, recall: float) -> int:
+    """How many candidates by approximate score hold the share ``recall`` of the k true neighbours of some queries.
+
+    One pass over all vectors for the true neighbours, two over the codes: the neighbours' approximate scores, then
+    the number of rows that are approximately no worse than each. All return a bounded number of rows.
+    """
+    asked = queries.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(probes).collect()
+    if not asked:
+        return 0
+    own, q = [r["vec_id"] for r in asked], np.array([r["v"] for r in asked], dtype=float)
+    kind = src.schema["vec_id"].dataType.simpleString()
+
+    def true(batches):
+        for b in batches:
+            for i in range(0, len(b), 1024):
+                part = b.slice(i, 1024)
+                x, ids, out = np.array(part.column(1).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(part), -1), part.column(0).to_pylist(), []
+                exact = q @ x.T if measure == "inner" else 2 * (q @ x.T) - (x**2).sum(1)
+                exact[np.array(own)[:, None] == np.array(ids)[None, :]] = -np.inf
+                for n, found in enumerate(best_rows(exact, k)):
+                    out += [(n, float(exact[n, j]), ids[j]) for j in found if exact[n, j] > -np.inf]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.int32(), pa.float64(), b.column(0).type))], ["n", "exact", "vec_id"])
+
+    best = Window.partitionBy("n").orderBy(F.desc("exact"), "vec_id")
+    found = map_arrow(src, true, f"n int, exact double, vec_id {kind}").withColumn("o", F.row_number().over(best)).filter(F.col("o") <= k).select("n", "vec_id").collect()
+    near_ids = [{r["vec_id"] for r in found if r["n"] == n} for n in range(len(own))]
+
+    def neighbours(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                ids, out = np.array(r["ids"]), []
+                for i, s in rough_scores(q, r, shared.value, measure):
+                    for n, row in enumerate(s, i):
+                        out += [(n, float(row[j])) for j in np.flatnonzero(np.isin(ids, list(near_ids[n])))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 2, (pa.int32(), pa.float32()))], ["n", "rough"])
+
+    rough = map_arrow(blocks.select("ids", "codes", "norms", "nears"), neighbours, "n int, rough float").collect()
+    wanted = [np.sort(np.array([r["rough"] for r in rough if r["n"] == n], dtype=np.float32)) for n in range(len(own))]
+
+    def ahead(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                ids, out = np.array(r["ids"]), []
+                for i, s in rough_scores(q, r, shared.value, measure):
+                    for n, row in enumerate(s, i):
+                        row = np.sort(row[ids != own[n]])
+                        out += [(n, j, int(len(row) - c)) for j, c in enumerate(np.searchsorted(row, wanted[n]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.int32(), pa.int32(), pa.int64()))], ["n", "j", "ahead"])
+
+    places = map_arrow(blocks.select("ids", "codes", "norms", "nears"), ahead, "n int, j int, ahead long").groupBy("n", "j").agg(F.sum("ahead").alias("ahead")).collect()
+    order = np.sort([r["ahead"] for r in places])
+    return int(order[int(np.ceil(recall * len(order))) - 1]) if len(order) else 0
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, measure: str = "inner", sample: int = 4000, books: int = 16, rerank: int = 400, shard: int = 32768, query_block: int = 256, probes: int = 64, recall: float = 0.97, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query, exactly scored.
 
     ``is_query`` maps the id column to a condition. ``inner``: largest inner product; ``euclid``: smallest squared
-    distance.
+    distance. ``rerank`` is the least number of candidates; it is raised to what ``probes`` queries, compared with all
+    rows, need for the mean share ``recall`` of their true neighbours.
     """
     spark = vectors.sparkSession
     ready(spark)
@@ -140,7 +210,6 @@ def search(vectors: DataFrame, is_query, k: int = 20, measure: str = "inner", sa
     src = src.filter(F.size("v") == int(size))
     codec = fit_codec(np.array([r["v"] for r in taken if len(r["v"]) == size]), books)
     shared = spark.sparkContext.broadcast(codec)
-    width = len(codec.books)
 
     def matrix(column) -> np.ndarray:
         return np.array(column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(column), -1)
@@ -174,6 +243,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, measure: str = "inner", sa
                 yield pa.RecordBatch.from_arrays([pa.array([p.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([matrix(p.column(1)).tobytes()], pa.binary())], ["q_ids", "q"])
 
     queries = src.filter(is_query(F.col("vec_id")))
+    rerank = max(rerank, needed_rerank(src, blocks, queries, shared, k, measure, probes, recall))
     asked = map_arrow(queries, grouped, f"q_ids array<{kind}>, q binary").withColumn("s", F.explode(F.array(*map(F.lit, ids_of)) if ids_of else F.array().cast("array<long>")))
 
     def scan(batches):
@@ -181,17 +251,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, measure: str = "inner", sa
         for b in batches:
             for r in b.to_pylist():
                 q = np.frombuffer(r["q"]).reshape(len(r["q_ids"]), -1)
-                code = np.frombuffer(r["codes"], dtype=np.uint8).reshape(-1, width)
-                norm, near = np.frombuffer(r["norms"]), np.frombuffer(r["nears"])
                 ids = np.array(r["ids"])
-                table = (q @ c.flat.T).reshape(len(q), width, -1).astype(np.float32)
                 keep_ids, keep_scores = [], []
-                for i in range(0, len(q), 16):
-                    t = table[i : i + 16]
-                    s = np.zeros((len(t), len(code)), dtype=np.float32)
-                    for j in range(width):
-                        s += t[:, j, :].take(code[:, j], axis=1)
-                    s = s * (norm / np.maximum(near, 1e-12)).astype(np.float32) if measure == "inner" else 2 * s - (near**2).astype(np.float32)
+                for i, s in rough_scores(q, r, c, measure):
                     for row, found in enumerate(best_rows(s, rerank + 1)):
                         found = found[ids[found] != r["q_ids"][i + row]][:rerank] if len(found) <= rerank else found
                         keep_ids.append(ids[found].tolist()), keep_scores.append(s[row, found].tolist())
