@@ -224,10 +224,17 @@ def test_near_duplicates_equal_brute_force(spark, n, percent):
 
 def test_signatures_meet_for_every_linked_pair():
     """The pigeonhole argument itself, also for sets with many empty segments."""
-    from tidemark.llm.jaccard_join import Scheme
+    from tidemark.llm.jaccard_join import Costs, Scheme, fold, parity
+    from tidemark.llm.shingles import U, mix
+
+    class Anyhow(Costs):
+        """Costs of all signatures, as if some were frequent."""
+
+        def of(self, sig):
+            return (mix(sig >> U(24)) % U(5)).astype(np.float64)
 
     rng = np.random.default_rng(4)
-    scheme = Scheme(85)
+    scheme, costly = Scheme(85), Scheme(85, Anyhow())
     for trial in range(1500):
         n = int(rng.integers(6, 160))
         spread = 64 if trial % 3 else int(rng.integers(40, 62))  # clustered hashes leave segments empty
@@ -236,7 +243,57 @@ def test_signatures_meet_for_every_linked_pair():
         b = np.unique(np.concatenate([b, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(a) // 12)), dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both) and len(a) != both:
-            assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b)))
+            assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b))) and len(np.intersect1d(costly.signatures(a), costly.signatures(b)))
+            assert len(costly.signatures(a)) <= len(scheme.signatures(a))
+        x, y = parity(a).reshape(1, -1), parity(b).reshape(1, -1)
+        width = min(x.shape[1], y.shape[1])
+        assert np.bitwise_count(fold(x, width) ^ fold(y, width)).sum() <= len(a) + len(b) - 2 * both
+
+
+def test_near_duplicates_hot_signatures_repeated_ids_and_empty(spark):
+    """A signature of most rows is dealt out by member; one id may have several texts; no rows, no result."""
+    from tidemark.llm.jaccard_join import Costs, buckets, near_duplicates
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        rows.append((i // 2, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_duplicates(df, 1, 85).toPandas()
+    sets = [set(t.split()) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    want = collections.Counter((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows))
+    assert collections.Counter(zip(got.doc_id, got.n_shingles, got.component_id)) == want
+    whole = {frozenset(g.f) for _, g in buckets(df, 1, 85, 4, Costs(), 1e9).toPandas().groupby("h")}
+    from tidemark.llm.jaccard_join import Scheme
+    from tidemark.llm.shingles import U, shingle_sets
+    import pyarrow as pa
+
+    sigs = collections.Counter(int(x) >> 24 for s in shingle_sets(pa.array([t for _, t in rows]), 1) for x in Scheme(85, Costs()).signatures(s))
+    often = [(k, c) for k, c in sigs.items() if c > 40]
+    costs = Costs([k for k, _ in often], [c for _, c in often])
+    assert often and whole
+    split = {frozenset(g.f) for _, g in buckets(df, 1, 85, 4, costs, 40).toPandas().groupby("h")}
+    assert max(map(len, split)) > 40
+    none = near_duplicates(empty(spark), 4, 85)
+    assert none.columns == ["doc_id", "n_shingles", "component_id"] and none.isEmpty()
 
 
 def test_components(spark):

@@ -23,10 +23,12 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = known or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         if not known:
             spark.sparkContext.setCheckpointDir(found)
@@ -34,7 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder; lost executors don't lose it, and it is removed with its last reference."""
+    """Materialise ``df`` in the shared folder; lost executors don't lose it.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints it goes when its last reference goes.
+    """
     ready(df.sparkSession)
     return df.checkpoint(eager=True)
 

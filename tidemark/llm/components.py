@@ -15,7 +15,7 @@ def _least(edges: DataFrame, rows: int) -> DataFrame:
 
 
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
-    """(id, component): for every id of ``links`` (a, b) the least id that is reachable. Takes O(log^2) rounds."""
+    """(id, component): for every id of ``links`` (a, b) the least id that is reachable. Takes O(log^2) rounds; over ``limit`` is an error."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     for _ in range(limit):
@@ -32,5 +32,7 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {limit} rounds")
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct().join(edges.select(F.col("u").alias("id")).distinct(), "id", "left_anti"))

@@ -1,21 +1,27 @@
 """Exact n-gram Jaccard join by universe partitioning and the pigeonhole principle.
 
-Texts with equal shingle sets form a class; one representative of each class takes part. Sets of at least ``percent``
-similarity differ in at most (|x| + |y|)(100 - p)/(100 + p) elements, so when the universe of shingle hashes is cut
-into more segments than that, they agree in a segment. Sizes fall into bands that set the number of segments; a set
-is signed under its own band and, if a partner can lie there, under the next. The allocation per set takes the
-cheapest choice that keeps the pigeonhole count: exact signatures of all non-empty segments normally; where too many
-segments are empty, also the one-deletion neighbourhoods of the segments, each of which counts twice, or at worst one
-signature for the whole band. If a pair's only equal segments are empty ones then both sets are short of segments, so
-only such sets need the dearer signatures, and no pair is lost.
-
-Signatures move as packed arrays dealt out by hash. A bucket's members are first compared with its smallest member
-only. After joining what links, every remaining pair of a bucket whose sides lie in different components is tested
-against exact lower bounds (sizes, and the distance of hashed histograms) in bounded blocks, and what passes is
-verified on whole sets. Groups of copies so cost about one comparison per member, not one per pair.
-
-Null and empty texts have no shingles and link with nothing. Rows with equal texts and repeated rows are in one class.
-``doc_id`` must not be null: rows without an id come back as their own component with a null id.
+Texts with equal shingle sets form a class, named by a hash of the set; classes take part, not rows. Sets of at least
+``percent`` similarity differ in at most (|x| + |y|)(100 - p)/(100 + p) elements, so when the universe of shingle
+hashes is cut into more segments than that, they agree in a segment. Sizes fall into bands that set the number of
+segments; a set is signed under its own band and, if a partner can lie there, under the next.
+
+Allocation by cost: what a segment costs is how many sets have the same subset there. A first pass over all rows counts
+the signatures that are frequent in a task, and their totals order them. A set of k non-empty segments of which d can
+differ needs only the d + 1 cheapest: any partner agrees with it in k - d of them, and in one order common to both the
+cheapest common one is kept on both sides. So each set leaves its costliest segments out (allocation 0), signs the
+others' subsets exactly (1), and where too many segments are empty for that, also by their one-deletion neighbourhoods
+(2), or at worst by one signature for the whole band. The counts only order signatures: whatever they are, no pair is lost.
+
+Signatures move as packed arrays dealt out by hash, the most frequent ones dealt out by member too. A bucket's members
+first meet its smallest member. Parity sketches (a bit for each hashed bin of a set; their distance never exceeds the
+sets') rule out nearly all pairs that don't link, and only the others are verified on whole texts. After joining what
+links, the members of a bucket outside its main component meet the bucket in a grid of bounded cells, which give for
+each such member and other component the nearest partner that the sketches allow; where one of these fails, all that
+the sketches allow are verified. Groups of copies so cost about one verification per member, not one per pair.
+
+Null and empty texts have no shingles and link with nothing. Rows with equal texts and repeated rows are in one class;
+rows that share an id but not their text are in the classes of their texts. Rows without an id come back as their own
+component with a null id. An empty table gives an empty result. Extra columns are not read. A class is known by 64 bits.
 """
 
 from __future__ import annotations
@@ -25,19 +31,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, look_up, map_arrow, table, texts
+from .common import cut, look_up, map_arrow, texts
 from .components import components
 from .shingles import GOLD, U, mix, shingle_sets
 
-BINS, MANY = 128, 3_000_000
+MANY, OFTEN, MOST_COSTS = 3_000_000, 4, 20_000
 TAG, TAG_DELETED, TAG_EMPTY = U(0x1234567), U(0x7654321), U(0xABCDEF)
 
 
+class Costs:
+    """How many sets have a signature, as far as it is known to be frequent; only the top 40 bits of signatures count."""
+
+    def __init__(self, signatures=(), counts=()):
+        order = np.argsort(np.array(signatures, dtype=U))
+        self.keys, self.counts = np.array(signatures, dtype=U)[order], np.array(counts, dtype=np.float64)[order]
+
+    def of(self, sig: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(sig))
+        key = sig >> U(24)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.counts[at], 0.0)
+
+
 class Scheme:
-    """Size bands of the threshold and the signatures of a set under them."""
+    """Size bands of the threshold and the signatures of a set under them; without costs every segment is signed."""
 
-    def __init__(self, percent: int):
-        self.p = percent
+    def __init__(self, percent: int, costs: Costs | None = None):
+        self.p, self.costs = percent, costs
         self.least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
         self.bounds = [self.least]
 
@@ -52,7 +73,7 @@ class Scheme:
 
     def segments(self, band: int) -> int:
         most = self.apart(self.bounds[band + 1] - 1, self.bounds[band + 1] - 1)
-        return most + 2 + most // 32
+        return most + 2 + most // 16
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """Of a sorted set of hashes; sets too small to link with another set have none."""
@@ -75,7 +96,11 @@ class Scheme:
         mixed = mix(s + GOLD)
         sums = np.add.reduceat(mixed, at[full])
         key = U(band + 1) * MIXED_BAND + full.astype(U)
-        out = [mix(mix(sums) + key * GOLD + TAG)]
+        exact = mix(mix(sums) + key * GOLD + TAG)
+        if self.costs and len(full) > apart + 1:  # the cheapest apart + 1; few elements are likelier to be shared than many
+            order = np.lexsort((exact, self.costs.of(exact) - size[full] / 2.0**20))
+            exact = exact[order[: apart + 1]]
+        out = [exact]
         if len(full) <= apart:  # too many empty segments for exact signatures alone
             where = np.repeat(np.arange(len(full)), size[full])
             less = mix(mix(sums[where] - mixed) + key[where] * GOLD + TAG_DELETED)
@@ -89,24 +114,72 @@ class Scheme:
 MIXED_BAND = U(1 << 40)
 
 
-def sketch_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2): f1 and f2 identify the shingle set."""
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each of 2 to 4 |s| hashed bins, set where an odd number of elements fall; as bytes."""
+    bins = 1 << max(6, int(2 * max(1, len(s)) - 1).bit_length())
+    return np.packbits(np.bincount((mix(s + U(99)) & U(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & 1)
+
+
+def fold(rows: np.ndarray, width: int) -> np.ndarray:
+    """Parity sketches (rows x bytes) brought down to ``width`` bytes."""
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def class_of(s: np.ndarray) -> int:
+    return mix(s).sum(dtype=U)
+
+
+def sketch_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, f1, f2, bits): f1 and f2 identify the shingle set, bits is its parity sketch.
+
+    Further rows with a count hold the signatures that are frequent in a task: (sig, count).
+    """
 
     def run(batches):
+        scheme, held, here, total, type_ = Scheme(percent), [], set(), 0, None
+
+        def frequent():
+            sig, count = np.unique(np.concatenate(held) >> U(24), return_counts=True) if held else (np.empty(0, U), np.empty(0, np.int64))
+            often = np.flatnonzero(count >= OFTEN)
+            often = often[np.argsort(-count[often], kind="stable")[: MOST_COSTS // 4]]
+            none = [None] * len(often)
+            return pa.RecordBatch.from_arrays([pa.array(none, type_), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(sig[often].view(np.int64)), pa.array(count[often], pa.int64())], NAMES)
+
         for b in batches:
-            n, x, y = [], [], []
+            type_ = b.column(0).type
+            n, x, y, bits = [], [], [], []
             for s in shingle_sets(b.column(1), words):
-                n.append(len(s)), x.append(mix(s).sum(dtype=U)), y.append(mix(s * GOLD + U(7)).sum(dtype=U))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.array(x, dtype=U).view(np.int64)), pa.array(np.array(y, dtype=U).view(np.int64))], ["doc_id", "n_shingles", "f1", "f2"])
+                f = class_of(s)
+                n.append(len(s)), x.append(f), y.append(mix(s * GOLD + U(7)).sum(dtype=U)), bits.append(parity(s).tobytes() if len(s) >= scheme.least else None)
+                if len(s) >= scheme.least and f not in here:
+                    here.add(f), held.append(scheme.signatures(s))
+                    total += len(held[-1])
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.array(x, dtype=U).view(np.int64)), pa.array(np.array(y, dtype=U).view(np.int64)), pa.array(bits, pa.binary()), none, none], NAMES)
+            if total > MANY:
+                yield frequent()
+                held, here, total = [], set(), 0
+        if total:
+            yield frequent()
 
-    return map_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long")
+    return map_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, bits binary, sig long, count long")
 
 
-def buckets(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
-    """(h, f1): sets that share a signature, one row per member; equal member lists are listed once per task."""
+NAMES = ["doc_id", "n_shingles", "f1", "f2", "bits", "sig", "count"]
+
+
+def buckets(docs: DataFrame, words: int, percent: int, parts: int, costs: Costs, hot: float) -> DataFrame:
+    """(h, f): classes that share a signature, one row per member; equal member lists are listed once per task.
+
+    Signatures that over ``hot`` sets have are dealt out by member as well, and named by themselves.
+    """
+    split = np.sort(costs.keys[costs.counts > hot])
 
     def sign(batches):
-        scheme = Scheme(percent)
+        scheme = Scheme(percent, costs)
         for b in batches:
             got, node, total = [], [], 0
 
@@ -115,7 +188,8 @@ def buckets(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
                     return
                 local = np.repeat(np.arange(len(got), dtype=U), [len(g) for g in got])
                 sig = np.concatenate(got)
-                part = ((sig & U(0xFFFFFF)) % U(parts)).astype(np.int64)
+                at = np.where(np.isin(sig >> U(24), split), mix(sig ^ np.array(node, dtype=U)[local.astype(np.int64)]), sig)
+                part = ((at & U(0xFFFFFF)) % U(parts)).astype(np.int64)
                 key = (sig >> U(24)) << U(24) | local
                 order = np.argsort(part, kind="stable")
                 key, ends = key[order], np.searchsorted(part[order], np.arange(parts + 1))
@@ -127,7 +201,7 @@ def buckets(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
             for s in shingle_sets(b.column(1), words):
                 if len(s) < scheme.least:
                     continue
-                f = mix(s).sum(dtype=U)
+                f = class_of(s)
                 if f in here:
                     continue
                 here.add(f)
@@ -149,8 +223,8 @@ def buckets(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
             key = key >> U(24)
             order = np.argsort(key, kind="stable")
             key, who = key[order], name[who[order]]
-            same = np.concatenate([[False], key[1:] == key[:-1], [False]])
-            keep = same[:-1] | same[1:]
+            same, often = np.concatenate([[False], key[1:] == key[:-1], [False]]), np.isin(key, split)
+            keep = same[:-1] | same[1:] | often
             key, who = key[keep], who[keep]
             order = np.lexsort((who, key))
             key, who = key[order], who[order]
@@ -160,14 +234,15 @@ def buckets(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
                 return
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(starts, len(key)))
-            name_of = mix(np.add.reduceat(mix(who), starts) + size.astype(U) * GOLD)
+            often = np.isin(key[starts], split)
+            name_of = np.where(often, mix(key[starts] + GOLD), mix(np.add.reduceat(mix(who), starts) + size.astype(U) * GOLD))
             first = np.zeros(len(starts), dtype=bool)
             first[np.unique(name_of, return_index=True)[1]] = True
-            first &= size > 1
+            first &= (size > 1) | often
             take = np.repeat(first, size)
             h, f = np.repeat(name_of, size)[take], who[take]
             for i in range(0, len(h), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 50_000].view(np.int64)), pa.array(f[i : i + 50_000].view(np.int64))], ["h", "f1"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 50_000].view(np.int64)), pa.array(f[i : i + 50_000].view(np.int64))], ["h", "f"])
 
         for b in batches:
             for p, k, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
@@ -178,129 +253,175 @@ def buckets(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
         yield from close()
 
     signed = map_arrow(docs, sign, "p int, keys binary, nodes binary").repartition(parts, "p").sortWithinPartitions("p")
-    return map_arrow(signed, meet, "h long, f1 long").distinct()
+    return map_arrow(signed, meet, "h long, f long").distinct()
 
 
-def verified(pairs: DataFrame, members: DataFrame, words: int, percent: int, salt_rows: int = 64) -> DataFrame:
-    """Of pairs (a, b) those that link; members: (id, text). The text of a meets those of its partners in bounded groups."""
-    kind = members.schema["id"].dataType.simpleString()
-    pairs = cut(pairs)
+def dealt(pairs: DataFrame, salt_rows: int = 64) -> DataFrame:
+    """(a, salt, b, f): for each pair its b (f = b), in groups of about ``salt_rows``, and in each group a itself (b = f = a)."""
     per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    dealt = look_up(pairs, per, ["a"], "k", max(1, pairs.count())).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / salt_rows)).cast("int").alias("salt"))
-    heads = per.select("a", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("k") / salt_rows) - 1).cast("int"))).alias("salt")).join(members.select(F.col("id").alias("a"), "text"), "a").select("a", "salt", F.col("a").alias("b"), "text")
-    rows = heads.unionByName(dealt.join(members.select(F.col("id").alias("b"), "text"), "b").select("a", "salt", "b", "text"))
+    salts = F.ceil(F.col("k") / salt_rows).cast("int")
+    others = look_up(pairs, per, ["a"], "k", max(1, pairs.count())).select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"), "b", F.col("b").alias("f"))
+    return others.unionByName(per.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("a").alias("b"), F.col("a").alias("f")))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"), "b")
+
+
+def possible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes those that may link by their sketches (f, n, bits)."""
+    rows = dealt(pairs).join(sketch, "f").select("a", "salt", "b", "n", "bits")
 
     def run(batches):
-        key = head = None
-        for b in batches:
+        key = n1 = bits1 = None
+        for batch in batches:
+            a_out, b_out = [], []
+            for a, salt, b, n, bits in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                row = np.frombuffer(bits.as_buffer(), dtype=np.uint8).reshape(1, -1)
+                if a == b:
+                    key, n1, bits1 = (a, salt), n, row.copy()
+                elif key == (a, salt) and 100 * min(n, n1) >= percent * max(n, n1):
+                    width = min(row.shape[1], bits1.shape[1])
+                    if np.bitwise_count(fold(row, width) ^ fold(bits1, width)).sum(dtype=np.int64) <= (n + n1) * (100 - percent) // (100 + percent):
+                        a_out.append(a), b_out.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+    return map_arrow(_groups(rows), run, "a long, b long")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes those that link, by the whole texts of the classes' first documents (f, id)."""
+    rows = dealt(pairs).join(classes.select("f", F.col("id").alias("doc_id")), "f").join(src, "doc_id").select("a", "salt", "b", "text")
+
+    def run(batches):
+        key = head = seen = None
+        for batch in batches:
             a_out, b_out = [], []
-            for a, salt, other, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(3), words)):
-                if a == other:
-                    key, head = (a, salt), s
-                elif key == (a, salt):
+            for a, salt, b, s in zip(*(batch.column(i).to_pylist() for i in range(3)), shingle_sets(batch.column(3), words)):
+                if int(class_of(s).view(np.int64)) != b:
+                    continue  # another text of the same id
+                if a == b:
+                    key, head, seen = (a, salt), s, None
+                elif key == (a, salt) and b != seen:
+                    seen = b
                     both = len(np.intersect1d(head, s, assume_unique=True))
                     if 100 * both >= percent * (len(head) + len(s) - both):
-                        a_out.append(a), b_out.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, b.column(0).type), pa.array(b_out, b.column(2).type)], ["a", "b"])
+                        a_out.append(a), b_out.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    sorted_ = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"))
-    return cut(map_arrow(sorted_, run, f"a {kind}, b {kind}"))
+    return cut(map_arrow(_groups(rows), run, "a long, b long"))
 
 
-def with_histogram(members: DataFrame, words: int) -> DataFrame:
-    """(id, n, hist): counts of shingles per hashed bin, a byte each; distances of such rows bound set distances from below."""
+def across(rows: DataFrame, label: DataFrame, sketch: DataFrame, percent: int, nearest: bool, block: int = 256, cell_bytes: int = 1 << 23) -> DataFrame:
+    """Pairs of a bucket (h, f) in different components that may link by their sketches.
 
-    def run(batches):
-        for b in batches:
-            sets = list(shingle_sets(b.column(1), words))
-            hist = [np.minimum(np.bincount((mix(s + U(99)) >> U(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(hist, pa.binary())], ["id", "n", "hist"])
-
-    return map_arrow(members.select("id", "text"), run, f"id {members.schema['id'].dataType.simpleString()}, n long, hist binary")
-
-
-def remaining(rows: DataFrame, label: DataFrame, members: DataFrame, words: int, percent: int, block: int = 256) -> DataFrame:
-    """Pairs of a bucket (h, id) whose sides lie in different components and which no lower bound rules out."""
-    kind = rows.schema["id"].dataType.simpleString()
-    known = rows.join(label.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    per = known.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
-    open_ = cut(per.groupBy("h").agg(F.max_by("c", "k").alias("main"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("n_c")).filter("n_c > 1 and size > 2").drop("n_c"))
-    if open_.isEmpty():
-        return rows.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
-    part = cut(look_up(known, open_, ["h"], "size", max(1, rows.count())).filter("main is not null"))
-    info = with_histogram(members.join(part.select("id").distinct(), "id", "left_semi"), words)
-    full = part.join(info, "id")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    minor = full.filter("c <> main").select("h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("minor"), "id", "c", "n", "hist")
-    all_ = full.select("h", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.lit(False).alias("minor"), "id", "c", "n", "hist")
+    ``nearest``: of each member outside the bucket's main component and each other component in a cell the nearest only.
+    Both sides of a bucket are dealt into blocks, so a task holds two blocks of one bucket.
+    """
+    known = rows.join(label.select(F.col("id").alias("f"), F.col("component").alias("c")), "f", "left").join(sketch.select("f", "n"), "f").select("h", "f", "n", F.coalesce("c", "f").alias("c"))
+    known = cut(known)
+    per = known.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    open_ = per.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("size"), F.max("k").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_c"))
+    # a bucket of two has been compared
+    open_ = open_.filter("n_c > 1 and size > 2").select("h", "main", "size", F.col("size").alias("k"), (F.col("size") - F.col("most")).alias("minors"), F.greatest(F.lit(8), F.least(F.lit(block), F.ceil(4 * F.lit(cell_bytes) * F.col("size") / (2 * F.col("n"))))).alias("rows"))
+    part = look_up(known, cut(open_), ["h"], "k", max(1, known.count())).filter("main is not null")
+    full = part.join(sketch.select("f", "bits"), "f").withColumn("x_blocks", F.ceil(F.col("minors") / F.col("rows")).cast("int")).withColumn("y_blocks", F.ceil(F.col("size") / F.col("rows")).cast("int"))
+    own = lambda n: F.pmod(F.xxhash64("f"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = ["f", "c", "n", "bits"]
+    minor = full.filter("c <> main").select("h", own("x_blocks").alias("x"), each("y_blocks").alias("y"), F.lit(True).alias("minor"), *side)
+    all_ = full.select("h", each("x_blocks").alias("x"), own("y_blocks").alias("y"), F.lit(False).alias("minor"), *side)
+
+    def compare(xs, ys):
+        """Indices into xs and ys of what may link across components, and the distance of the sketches."""
+        n, c, f = (np.array([r[i] for r in ys]) for i in (2, 1, 0))
+        width = np.array([len(r[3]) for r in ys])
+        groups = {w: (at := np.flatnonzero(width == w), np.frombuffer(b"".join(ys[i][3] for i in at), dtype=np.uint8).reshape(len(at), w)) for w in np.unique(width).tolist()}
+        folded: dict = {}
+        for i, (fx, cx, nx, bits) in enumerate(xs):
+            row = np.frombuffer(bits, dtype=np.uint8).reshape(1, -1)
+            for w, (at, matrix) in groups.items():
+                fit = np.flatnonzero((c[at] != cx) & (f[at] != fx) & (100 * np.minimum(n[at], nx) >= percent * np.maximum(n[at], nx)))
+                if not len(fit):
+                    continue
+                low = min(w, row.shape[1])
+                if (w, low) not in folded:
+                    folded[w, low] = fold(matrix, low)
+                far = np.bitwise_count(folded[w, low][fit] ^ fold(row, low)).sum(axis=1, dtype=np.int64)
+                ok = far <= (n[at[fit]] + nx) * (100 - percent) // (100 + percent)
+                for j, d in zip(at[fit[ok]].tolist(), far[ok].tolist()):
+                    yield i, j, d
+
+    def pairs_of(xs, ys):
+        found = list(compare(xs, ys)) if xs and ys else []
+        if nearest:
+            best: dict = {}
+            for i, j, d in found:
+                k = (i, ys[j][1])
+                best[k] = min(best.get(k, (d, j)), (d, j))
+            found = [(i, j, d) for (i, _), (d, j) in best.items()]
+        return {(min(xs[i][0], ys[j][0]), max(xs[i][0], ys[j][0])) for i, j, _ in found}
 
     def run(batches):
-        now = None
-        side: list = [[], [], [], []]
+        now, xs, ys = None, [], []
+        out: set = set()
+
+        def give():
+            got = sorted(out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in got], pa.int64()), pa.array([p[1] for p in got], pa.int64())], ["a", "b"])
 
-        def flush(ids, comps, sizes, hists, type_):
-            x_id, x_c, x_n, x_h = (np.array(side[0]), np.array(side[1]), np.array(side[2]), np.frombuffer(b"".join(side[3]), dtype=np.uint8).reshape(-1, BINS).astype(np.int16))
-            h = np.frombuffer(b"".join(hists), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
-            a_out, b_out = [], []
-            for i, (d, c, n) in enumerate(zip(ids, comps, sizes)):
-                ok = (x_c != c) & (100 * np.minimum(x_n, n) >= percent * np.maximum(x_n, n))
-                at = np.flatnonzero(ok)
-                if len(at):
-                    total = x_n[at] + n
-                    shared = -(-total * percent // (100 + percent))
-                    at = at[np.abs(x_h[at] - h[i]).sum(axis=1) <= total - 2 * shared]
-                    for o in x_id[at].tolist():
-                        a_out.append(min(o, d)), b_out.append(max(o, d))
-            return pa.RecordBatch.from_arrays([pa.array(a_out, type_), pa.array(b_out, type_)], ["a", "b"])
-
-        def close(rows_, type_):
-            if rows_ and side[0]:
-                yield flush(*map(list, zip(*rows_)), type_)
-
-        rows_, type_ = [], pa.int64()
         for b in batches:
-            type_ = b.column(3).type
-            for h, k, is_minor, d, c, n, hist in zip(*(b.column(i).to_pylist() for i in range(7))):
-                if (h, k) != now:
-                    yield from close(rows_, type_)
-                    now, side, rows_ = (h, k), [[], [], [], []], []
-                if is_minor:
-                    for v, x in zip(side, (d, c, n, hist)):
-                        v.append(x)
-                else:
-                    rows_.append((d, c, n, hist))
-        yield from close(rows_, type_)
-
-    dealt = minor.unionByName(all_).repartition("h", "block").sortWithinPartitions("h", "block", F.desc("minor"))
-    return map_arrow(dealt, run, f"a {kind}, b {kind}").distinct()
+            for h, x, y, is_minor, *r in zip(*(b.column(i).to_pylist() for i in range(8))):
+                if (h, x, y) != now:
+                    out.update(pairs_of(xs, ys))
+                    now, xs, ys = (h, x, y), [], []
+                    if len(out) > 100_000:
+                        yield give()
+                (xs if is_minor else ys).append(r)
+        out.update(pairs_of(xs, ys))
+        yield give()
+
+    cells = minor.unionByName(all_).repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+    return map_arrow(cells, run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): links join documents whose shingle sets have Jaccard >= percent / 100.
+    """(doc_id, n_shingles, component_id): links join documents whose shingle sets have Jaccard >= percent / 100.
 
-    n_links counts the verified links that joined the document's class; pairs inside a component that were not needed
-    to establish it are not all tested.
+    A document's number of links isn't given: in a group of thousands it would take a verification of every pair.
     """
     spark = docs.sparkSession
     src = texts(docs, id_col, text_col)
-    sets = cut(sketch_sets(src, words))
+    made = cut(sketch_sets(src, words, percent))
+    sets = made.filter("count is null").drop("sig", "count")
     total = sets.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()
+    often = made.filter("count is not null").groupBy("sig").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "sig").limit(MOST_COSTS).collect()  # bounded by MOST_COSTS
+    costs = Costs([r["sig"] for r in often], [r["count"] for r in often])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["n"] // 4_000_000)
     keys = ["n_shingles", "f1", "f2"]
     classes = cut(sets.filter("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("k")))
-    rows = cut(buckets(src.filter("doc_id is not null"), words, percent, parts).join(classes.select("f1", "id"), "f1").select("h", "id"))
-    per = rows.groupBy("h").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size"))
-    star = look_up(rows, per, ["h"], "size", max(1, rows.count())).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    members = table(src.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.first("text").alias("text")))
-    star = cut(star)
-    links = verified(star, members, words, percent)
-    label = components(links)
-    more = remaining(rows, label, members, words, percent).join(star, ["a", "b"], "left_anti")
-    links2 = verified(more, members, words, percent)
-    if not links2.isEmpty():
-        links = links.unionByName(links2)
-        label = components(links)
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.join(label, "id", "left").join(degree, "id", "left").select(*keys, "k", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    found = look_up(sets, named, keys, "k", max(1, total["rows"]))
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = classes.select(F.col("f1").alias("f"), "id")
+    rows = cut(buckets(src.filter("doc_id is not null"), words, percent, parts, costs, max(1000, total["rows"] / (4 * parts))))
+    sketch = cut(sets.join(rows.select(F.col("f").alias("f1")).distinct(), "f1", "left_semi").groupBy(F.col("f1").alias("f")).agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
+
+    per = rows.groupBy("h").agg(F.min("f").alias("a"), F.count(F.lit(1)).alias("size"))
+    star = look_up(rows, per, ["h"], "size", max(1, rows.count())).filter("f <> a").select("a", F.col("f").alias("b")).distinct()
+    tried = cut(possible(cut(star), sketch, percent))
+    links = verified(tried, named, src, words, percent)
+    label = cut(components(links))
+    for nearest in (True, False):
+        found = cut(across(rows, label, sketch, percent, nearest))
+        more = cut(found.join(tried, ["a", "b"], "left_anti"))
+        linked = verified(more, named, src, words, percent)
+        n_found, n_linked = found.count(), linked.count()
+        if n_linked:
+            links = links.unionByName(linked)
+            label = cut(components(links))
+        if n_found == n_linked:
+            break  # every nearest partner links, so what is left apart has no partner
+        tried = tried.unionByName(more)
+    whole = classes.join(label.select(F.col("id").alias("f1"), "component"), "f1", "left").withColumn("component", F.coalesce("component", "f1"))
+    least = whole.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    whole = look_up(whole, least, ["component"], "n", max(1, total["rows"])).select(*keys, "k", "component_id")
+    return look_up(sets, whole, keys, "k", max(1, total["rows"])).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
