@@ -158,6 +158,11 @@ def test_exact_dedup(spark):
             r = got[d]
             assert (r["keep_id"], r["group_size"], r["kept"]) == (min(groups[t]), len(groups[t]), d == min(groups[t])) and r["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
     assert D.exact_dedup(empty(spark)).count() == 0
+    # repeated rows with the switch to chunked hashing low, and one id with several texts
+    mixed = [(5, "long text " * 20), (5, "long text " * 20), (3, "long  text " * 20), (3, "other"), (2, "other"), (5, "other"), (9, None), (9, "")]
+    got = D.exact_dedup(spark.createDataFrame(mixed, "doc_id bigint, text string"), whole=50, chunk=20).toPandas()
+    assert sorted(zip(got.doc_id, got.keep_id, got.group_size, got.kept)) == [(2, 2, 3, True), (3, 2, 3, False), (3, 3, 3, True), (5, 2, 3, False), (5, 3, 3, False), (5, 3, 3, False), (9, 9, 2, True), (9, 9, 2, True)]
+    assert set(got[got.keep_id == 3].text_sha256) == {hashlib.sha256(b"long text " * 20).hexdigest()}
     twice = D.exact_dedup(df.unionByName(df)).toPandas()
     assert len(twice) == 2 * len(norm) and (twice.group_size == twice.doc_id.map(lambda d: 2 * len(groups[norm[d]]))).all()
 
@@ -297,7 +302,7 @@ def test_near_duplicates_hot_signatures_repeated_ids_and_empty(spark):
 
 
 def test_components(spark):
-    from tidemark.llm.components import components
+    from tidemark.llm.components import components, joined
 
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
@@ -312,7 +317,13 @@ def test_components(spark):
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
-    assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in links)}
+    want = {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in links)}
+    assert got == want
+    first, rest = links[::2], links[1::2]
+    later = joined(components(spark.createDataFrame(first, "a bigint, b bigint")), spark.createDataFrame(rest, "a bigint, b bigint"))
+    assert {r["id"]: r["component"] for r in later.collect() if r["id"] in want} == want
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(links, "a bigint, b bigint"), limit=1)
 
 
 def test_shared_passages(spark):
@@ -351,6 +362,36 @@ def test_frequent_passages_take_the_other_route(spark):
     assert {r["doc_id"] for r in got if r["ref_id"] == 0 and r["end"] - r["start"] >= 80} == set(range(1, 60)) and len(got) <= 180
 
 
+@pytest.mark.parametrize("identity", [0.82, 0.85, 0.9])
+def test_fuzzy_passages_near_the_threshold(spark, identity):
+    """Passages of 150 words with a share of changed words: nearly all are found, at identities down to the threshold."""
+    from tidemark.llm.substring_dedup import shared_passages
+
+    rng = random.Random(int(identity * 100))
+    text = lambda k: [f"{rng.randrange(10**6)}" for _ in range(k)]
+    docs, n = [], 60
+    for i in range(n):
+        passage = text(150)
+        other = list(passage)
+        for j in rng.sample(range(150), round(150 * (1 - identity))):
+            other[j] = f"x{rng.randrange(10**6)}"
+        docs += [(2 * i, " ".join(text(40) + passage + text(40))), (2 * i + 1, " ".join(text(40) + other + text(40)))]
+    got = shared_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert all(r["ref_id"] == r["doc_id"] - 1 for r in got) and len({r["doc_id"] for r in got}) >= 0.95 * n
+
+
+def test_seeds_of_repeated_words(spark):
+    """Every run of k + w - 1 words has a seed, also where all runs hash alike."""
+    import pyarrow as pa
+
+    from tidemark.llm.substring_dedup import minimisers
+    from tidemark.llm.shingles import Words
+
+    for word in "abcdefghij":
+        _, at, _ = minimisers(Words(pa.array([" ".join([word] * 60), "x " * 30])), 4, 12, 50)
+        assert len(at) and np.diff(np.concatenate([[-1], np.sort(at), [57]])).max() <= 12
+
+
 def test_chain_needs_order():
     from tidemark.llm.substring_dedup import chains
 
@@ -476,6 +517,9 @@ def test_language_viterbi():
         assert abs(value(viterbi(s, 2.0)) - best) < 1e-9
         got = label_words(s, 2.0)
         assert abs(value([got] * n if isinstance(got, int) else got) - best) < 1e-9
+    many = np.full((3, 300), -1.0)
+    many[0, 290] = many[1, 299] = many[2, 130] = 9
+    assert viterbi(many, 1.0).tolist() == [290, 299, 130]
 
 
 def test_language(spark):
@@ -492,6 +536,11 @@ def test_language(spark):
     assert got[8]["lang_pred"] in ("de", "en", "ru") and got[8]["score"] == 0
     assert [s["lang"] for s in got[7]["spans"]] == ["en", "de"] and all(0 <= r["score"] <= 1 for r in got.values())
     assert abs(got[7]["spans"][0]["end"] - len(en * 3)) <= 12
+    odd = [(1, "²"), (2, "½ ² 3 Ⅷ"), (3, "𝟛 \U00010107 _"), (4, "m²"), (5, "\U00010400"), (5, "\U00010400"), (6, "İ" * 30 + " " + ru * 3 + en * 9)]
+    found = L.identify(spark.createDataFrame(odd, "doc_id bigint, text string"), model).collect()
+    assert sorted((r["doc_id"], r["lang_pred"] == "und") for r in found) == [(1, True), (2, True), (3, True), (4, False), (5, False), (5, False), (6, False)]
+    spans = [r["spans"] for r in found if r["doc_id"] == 6][0]
+    assert spans and spans[-1]["end"] <= len(odd[-1][1]) and odd[-1][1][spans[-1]["start"] :].startswith("the")
     none = L.fit(train.limit(0))
     assert L.identify(train, none).select("lang_pred").distinct().collect()[0][0] == "und"
 
@@ -603,3 +652,41 @@ def test_pipeline(spark):
     assert shared_passages(kept[4]).count() <= shared_passages(kept[3]).count() // 4
     packed = P.packing(spark, kept[4], SF).toPandas()
     assert set(packed.doc_id) == ids[4] and P.STAGES[-1][0] == "packing"
+
+
+def test_pipeline_stages_on_awkward_and_empty_tables(spark):
+    """Nulls, empty texts, repeated rows, one id with two texts, rows without id; no rows."""
+    import corpus_pipeline as P
+
+    rng = random.Random(5)
+    body = lambda k: " ".join(f"w{rng.randrange(500)}" for _ in range(k))
+    a, b = body(60), body(60)
+    rows = [(1, a), (2, a), (2, a), (3, b), (3, a.replace("w", "v")), (4, None), (5, ""), (None, b), (6, b + " tail"), (7, body(3)), (7, body(3)), (8, body(9000))]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    exact = P.exact(spark, df, SF).select("doc_id", "text").collect()
+    assert collections.Counter(map(tuple, exact)) == collections.Counter([r for i, r in enumerate(rows) if i not in (1, 2, 6)])
+    near = P.near(spark, df, SF).select("doc_id", "text").collect()
+    gone = [(2, a), (2, a), (6, b + " tail")]
+    assert collections.Counter(map(tuple, near)) == collections.Counter([r for r in rows if r not in gone])
+    assert P.passages(spark, df, SF).columns == df.columns and P.quality(spark, df, SF).columns == df.columns
+    packed = P.packing(spark, df, SF).toPandas()
+    assert packed.length.sum() > 9000 and (packed.groupby("sequence_id").length.sum() <= 4096).all()
+    for _, stage in P.STAGES:
+        assert stage(spark, empty(spark), SF).isEmpty()
+
+
+def test_quality_keep_equals_score_filter(spark):
+    """The compiled column equals a row-by-row evaluation of the rules, and the filter on it."""
+    from tidemark.llm import quality_rules as Q
+
+    df = awkward(spark)
+    names = [f"__stat_{n}" for n in Q.statistics(F.lit(""))]
+    model = Q.Ensemble(-0.3, [Q.Rule(((names[0], True, 4.0), (names[1], False, 7.5)), 1.3), Q.Rule(((names[2], True, 60.0),), -2.0)])
+    kept = {r["doc_id"] for r in Q.keep(df, model, 0.5).collect()}
+    scored = {r["doc_id"]: r["score"] for r in Q.score(df.drop("score"), model).collect()}
+    stats, cols = Q.scored_statistics(df)
+    x = stats.select("doc_id", *cols).toPandas()
+    for i, row in zip(x.doc_id, x[cols].to_numpy(float)):
+        z = model.intercept + sum(r.weight for r in model.rules if r.covers(row[None, :], {n: k for k, n in enumerate(cols)})[0])
+        assert abs(scored[i] - 1 / (1 + np.exp(-z))) < 1e-12 and (i in kept) == (scored[i] >= 0.5)
+    assert "__stat" not in str(Q.keep(df, model, 0.5)._jdf.queryExecution().optimizedPlan().toString()).split("Filter")[1].split("\n")[0]

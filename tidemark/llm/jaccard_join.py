@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, look_up, map_arrow, texts
-from .components import components
+from .components import components, joined
 from .shingles import GOLD, U, mix, shingle_sets
 
 MANY, OFTEN, MOST_COSTS = 3_000_000, 4, 20_000
@@ -312,18 +312,19 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, words: int, p
     return cut(map_arrow(_groups(rows), run, "a long, b long"))
 
 
-def across(rows: DataFrame, label: DataFrame, sketch: DataFrame, percent: int, nearest: bool, block: int = 256, cell_bytes: int = 1 << 23) -> DataFrame:
+def across(rows: DataFrame, label: DataFrame, sketch: DataFrame, percent: int, nearest: bool, block: int = 8192, cell_bytes: int = 1 << 22) -> DataFrame:
     """Pairs of a bucket (h, f) in different components that may link by their sketches.
 
     ``nearest``: of each member outside the bucket's main component and each other component in a cell the nearest only.
-    Both sides of a bucket are dealt into blocks, so a task holds two blocks of one bucket.
+    Both sides of a bucket are dealt into blocks of at most ``block`` rows and about ``cell_bytes``, so a task holds two
+    blocks of one bucket, and few rows are sent twice.
     """
     known = rows.join(label.select(F.col("id").alias("f"), F.col("component").alias("c")), "f", "left").join(sketch.select("f", "n"), "f").select("h", "f", "n", F.coalesce("c", "f").alias("c"))
     known = cut(known)
     per = known.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     open_ = per.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("size"), F.max("k").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_c"))
     # a bucket of two has been compared
-    open_ = open_.filter("n_c > 1 and size > 2").select("h", "main", "size", F.col("size").alias("k"), (F.col("size") - F.col("most")).alias("minors"), F.greatest(F.lit(8), F.least(F.lit(block), F.ceil(4 * F.lit(cell_bytes) * F.col("size") / (2 * F.col("n"))))).alias("rows"))
+    open_ = open_.filter("n_c > 1 and size > 2").select("h", "main", "size", F.col("size").alias("k"), (F.col("size") - F.col("most")).alias("minors"), F.greatest(F.lit(8), F.least(F.lit(block), F.ceil(cell_bytes / (64 + F.col("n") / (2 * F.col("size")))))).alias("rows"))
     part = look_up(known, cut(open_), ["h"], "k", max(1, known.count())).filter("main is not null")
     full = part.join(sketch.select("f", "bits"), "f").withColumn("x_blocks", F.ceil(F.col("minors") / F.col("rows")).cast("int")).withColumn("y_blocks", F.ceil(F.col("size") / F.col("rows")).cast("int"))
     own = lambda n: F.pmod(F.xxhash64("f"), F.col(n)).cast("int")
@@ -409,15 +410,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     star = look_up(rows, per, ["h"], "size", max(1, rows.count())).filter("f <> a").select("a", F.col("f").alias("b")).distinct()
     tried = cut(possible(cut(star), sketch, percent))
     links = verified(tried, named, src, words, percent)
-    label = cut(components(links))
+    label = cut(components(links).coalesce(1 + tried.count() // 50_000))
     for nearest in (True, False):
         found = cut(across(rows, label, sketch, percent, nearest))
         more = cut(found.join(tried, ["a", "b"], "left_anti"))
         linked = verified(more, named, src, words, percent)
         n_found, n_linked = found.count(), linked.count()
         if n_linked:
-            links = links.unionByName(linked)
-            label = cut(components(links))
+            label = cut(joined(label, linked))
         if n_found == n_linked:
             break  # every nearest partner links, so what is left apart has no partner
         tried = tried.unionByName(more)
