@@ -10,8 +10,10 @@ the next round, so the result is exact.
 Large groups: only keys with more rows than a fixed share are broadcast (their number is bounded), and the
 comparison salts each group, copying the first row's chunks to every salt.
 
-Null texts count as empty, empty texts are equal to each other. ``doc_id`` should identify a row; repeated identical
-rows are returned once each and count in group_size. Rows whose id is null are grouped by fingerprint alone.
+Null texts count as empty, empty texts are equal to each other. Repeated rows are returned once each and count in
+group_size; inside, a row is known by its id and a hash of its text, so rows of one id with different texts are told
+apart. Rows whose id is null are grouped by fingerprint alone. An empty table gives an empty result; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -96,7 +98,8 @@ def fingerprints(docs: DataFrame, chunk: int = 1 << 22, id_col: str = "doc_id",
     cuts = huge.select(
         F.struct("doc_id", F.xxhash64("text").alias("t")).alias("k"), "text", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("c")
     ).select("k", "c", F.expr(f"substring(text, c * {chunk} + 1, {chunk})").alias("body"), F.expr(f"if(c = 0, '', substring(text, c * {chunk}, 1))").alias("before"))
-    done = map_arrow(cuts.repartition("k", "c"), piece, f"k struct<doc_id: {kind}, t: bigint>, c int, n long, x long, y long, px long, py long")
+    # of repeated rows one's chunks are enough: their key is the same, and so is the text
+    done = map_arrow(cuts.dropDuplicates(["k", "c"]), piece, f"k struct<doc_id: {kind}, t: bigint>, c int, n long, x long, y long, px long, py long")
     fold = f"aggregate(array_sort(v), struct(0L as n, 0L as x, 0L as y), (a, e) -> struct(a.n + e.n as n, (a.x * e.px + e.x) % {P1}L as x, (a.y * e.py + e.y) % {P2}L as y))"
     folded = done.groupBy("k").agg(F.collect_list(F.struct("c", "n", "x", "y", "px", "py")).alias("v")).select("k", F.expr(fold).alias("f"))
     shas = huge.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("k"), sha.alias("text_sha256"))
@@ -129,11 +132,15 @@ def _differing(members: DataFrame, docs: DataFrame, chunk: int, salt_rows: int)
     return map_arrow(dealt, run, f"doc_id {kind}").distinct()
 
 
-def exact_dedup(docs: DataFrame, chunk: int = 1 << 20, salt_rows: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256): one row per document."""
-    src = texts(docs, id_col, text_col)
+def exact_dedup(docs: DataFrame, chunk: int = 1 << 20, salt_rows: int = 64, whole: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256): one row per document.
+
+    Texts are compared in pieces of ``chunk`` characters; those over ``whole`` are hashed in pieces too.
+    """
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("t")))
+    src = texts(docs, id_col, text_col).select(named.alias("doc_id"), "text")
     keys = ["n_bytes", "h1", "h2", "round"]
-    open_ = cut(fingerprints(docs, id_col=id_col, text_col=text_col).withColumn("round", F.lit(0)))
+    open_ = cut(fingerprints(src, whole).withColumn("round", F.lit(0)))
     rows, step, done = open_.count(), 0, None
     while True:
         stats = open_.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -150,4 +157,5 @@ def exact_dedup(docs: DataFrame, chunk: int = 1 << 20, salt_rows: int = 64, id_c
         done = cut(settled if done is None else done.unionByName(settled))
         open_ = cut(found.join(bad, "doc_id", "left_semi").drop("keep_id", "group_size").withColumn("round", F.lit(step)))
     # repeated rows of one id: only the id decides what stays
-    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
+    own, keep = F.col("doc_id.doc_id"), F.col("keep_id.doc_id")
+    return out.select(own.alias("doc_id"), keep.alias("keep_id"), "group_size", F.coalesce(own == keep, F.lit(False)).alias("kept"), "text_sha256")
