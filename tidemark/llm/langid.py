@@ -8,7 +8,7 @@ words gains more than half the penalty in another language; only other texts run
 
 Null texts and texts without a letter are ``und`` with score 0. Without any labelled row every text is ``und``.
 A text whose letters are all of unknown scripts gets the most frequent learned language and score 0. Ties go to the
-language that sorts first.
+language that sorts first. Each row is labelled on its own, repeated rows alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,24 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, ready, texts
 
-WORD = re.compile(r"[^\W\d_]+")
+
+def _letters(last: int) -> re.Pattern:
+    """Runs of letters up to a code point: Python's word class without digits, the underscore and other numbers (squares, fractions)."""
+    odd = [ord(c) for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(last)))) if not c.isalpha()]
+    known = set(odd)
+    starts = [c for c in odd if c - 1 not in known]
+    ends = [c for c in odd if c + 1 not in known]
+    return re.compile("[^\\W\\d_" + "".join(f"{chr(x)}-{chr(y)}" for x, y in zip(starts, ends)) + "]+")
+
+
+#: The short class is many times faster; texts with characters beyond it take the long one.
+WORD, WORD_BEYOND, BEYOND = _letters(0x10000), _letters(0x110000), re.compile("[\U00010000-\U0010FFFF]")
+
+
+def words_in(text: str) -> list[str]:
+    return (WORD_BEYOND if BEYOND.search(text) else WORD).findall(text)
+
+
 #: The first code point of script ranges and the script that begins there.
 SCRIPTS = [(0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "Other"), (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Other"), (0xB80, "Tamil"), (0xC00, "Other"), (0xE00, "Thai"), (0xE80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x2C60, "Latin"), (0x2C80, "Other"), (0x3040, "Kana"), (0x3100, "Other"), (0x31F0, "Kana"), (0x3200, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xA720, "Latin"), (0xA800, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB13, "Armenian"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE00, "Other"), (0x20000, "Han"), (0x32000, "Other")]
 _STARTS = np.array([s for s, _ in SCRIPTS])
@@ -97,7 +114,8 @@ class Model:
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of each row of ``scores`` when each change of label costs ``penalty``."""
     n, width = scores.shape
-    back = np.empty((n, width), dtype=np.int8)
+    kind = np.min_scalar_type(width)
+    back = np.empty((n, width), dtype=kind)
     best = scores[0].tolist()
     rows = scores.tolist()
     for t in range(1, n):
@@ -114,13 +132,23 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
                 line.append(j)
         back[t] = line
         best = nxt
-    out = np.empty(n, dtype=np.int8)
+    out = np.empty(n, dtype=kind)
     out[-1] = best.index(max(best))
     for t in range(n - 1, 0, -1):
         out[t - 1] = back[t, out[t]]
     return out
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Character ranges in ``text`` of the words of its lower-cased form, which may be longer."""
+    low = text.lower()
+    found = [m.span() for m in (WORD_BEYOND if BEYOND.search(low) else WORD).finditer(low)]
+    if len(low) == len(text):
+        return found
+    at = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+    return [(int(at[i]), int(at[j - 1]) + 1) for i, j in found]
+
+
 def label_words(scores: np.ndarray, penalty: float) -> np.ndarray | int:
     """One label if it is optimal throughout, else a label per word.
 
@@ -160,7 +188,7 @@ def fit(labelled: DataFrame, per_lang: int = 600, text_col: str = "text", lang_c
         for b in batches:
             seen: dict[str, Counter] = {}
             for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                seen.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+                seen.setdefault(lang, Counter()).update(words_in(text.lower()))
             rows = []
             for lang, words in seen.items():
                 out: Counter = Counter()
@@ -191,7 +219,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 20.0, id_col: str =
             for first in range(0, len(b), GROUP):
                 part = b.slice(first, GROUP)
                 group = part.column(1).to_pylist()
-                found_words = [WORD.findall(t.lower()) if model.langs else [] for t in group]
+                found_words = [words_in(t.lower()) if model.langs else [] for t in group]
                 seen: set[str] = set()
                 for words in found_words:
                     seen.update(words)
@@ -221,10 +249,9 @@ def identify(docs: DataFrame, model: Model, penalty: float = 20.0, id_col: str =
                     else:
                         size = np.bincount(found, weights=np.fromiter(map(len, words), float, len(words)), minlength=width)
                         lang, portion = int(size.argmax()), float(size.max() / size.sum())
-                        where = [m.span() for m in WORD.finditer(text)] if len(text.lower()) == len(text) else []
-                        where = where if len(where) == len(words) else []
+                        where = word_spans(text)
                         edges = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), len(found)]
-                        spans.append([{"start": where[i][0], "end": where[j - 1][1], "lang": model.langs[found[i]]} for i, j in zip(edges, edges[1:])] if where else [])
+                        spans.append([{"start": where[i][0], "end": where[j - 1][1], "lang": model.langs[found[i]]} for i, j in zip(edges, edges[1:])])
                     rest = np.delete(total, lang)
                     margin = float(total[lang] - rest.max()) if len(rest) else 30.0
                     preds.append(model.langs[lang])
