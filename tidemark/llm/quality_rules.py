@@ -169,3 +169,14 @@ def score(docs: DataFrame, model: Ensemble, text_col: str = "text", score_col: s
     """All columns of ``docs`` and a score between 0 and 1, in one native pass."""
     stats, _ = scored_statistics(docs, text_col)
     return stats.select(*[F.col(f"`{c}`") for c in docs.columns if c != score_col], model.column().alias(score_col))
+
+
+def keep(docs: DataFrame, model: Ensemble, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more.
+
+    The score comes from a generator, below which a filter isn't pushed; inlined there, each rule would compute its
+    statistics anew.
+    """
+    stats, _ = scored_statistics(docs, text_col)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return stats.select(*own, F.explode(F.array(model.column())).alias("__score")).filter(F.col("__score") >= least).select(*own)
