@@ -121,6 +121,35 @@ def test_effects(spark):
     assert ("s2", "hap2", 1, 2, "ref_destroyed") in got and not any(r[0] == "s3" for r in got)
 
 
+def test_windows_over_chunk_edges_equal_uncut_ones(spark):
+    """Deletions of up to 100 bases, on chunks of 16 and on one piece."""
+    from tidemark.sources.files import reference_chunks
+
+    rng = random.Random(8)
+    seq = "".join(rng.choice("ACGCG") for _ in range(400))
+    rows = [(1, p, seq[p - 1 : p - 1 + rng.choice([1, 2, 15, 100])], seq[p - 1], i) for i, p in enumerate(rng.randrange(1, 400) for _ in range(80))]
+    v = spark.createDataFrame(rows + rows[:3], "contig int, pos bigint, ref string, alt string, i int")  # repeated rows stay
+    ref = spark.createDataFrame([(1, seq)], "doc_id int, seq string")
+    got = [sorted(map(str, E.window_changes(E.variant_windows(v, reference_chunks(ref, chunk=c), chunk=c)).select("i", "ref_window", "alt_window", "destroyed", "created").collect())) for c in (16, 65536)]
+    assert got[0] == got[1] and len(got[0]) == 83
+
+
+def test_pca_equals_svd(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.random((40, 4)) @ rng.random((4, 4))
+    df = spark.createDataFrame([(f"r{i}", f"S{j}", float(x[i, j])) for i in range(40) for j in range(4)], "row string, s string, v double")
+    scores, loadings = stats.pca(df, "row", "s", "v", [f"S{j}" for j in range(4)], 2)
+    c = x - x.mean(axis=0)
+    _, d, vt = np.linalg.svd(c, full_matrices=False)
+    got = loadings.orderBy("component", "s").toPandas()
+    assert np.allclose(np.abs(got.loading.to_numpy().reshape(2, 4)), np.abs(vt[:2]), atol=1e-6)
+    assert np.allclose(got.explained.to_numpy().reshape(2, 4)[:, 0], (d**2 / (d**2).sum())[:2])
+    s = scores.toPandas().set_index("row").loc[[f"r{i}" for i in range(40)]].to_numpy()
+    assert np.allclose(np.abs(s), np.abs(x @ vt[:2].T), atol=1e-6)
+
+
 def test_histogram_closes_its_last_bin(spark):
     df = spark.createDataFrame([(float(x),) for x in range(11)], "x double")
     assert [r["n"] for r in stats.histogram(df, "x", 5).orderBy("bin").collect()] == [2, 2, 2, 2, 3]

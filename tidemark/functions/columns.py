@@ -55,10 +55,11 @@ def missing(gt: Column) -> Column:
     return ~F.exists(alleles(gt), lambda a: a.isNotNull())
 
 
-def carrier(gt: Column, hap: str, phased: Column) -> Column:
+def carrier(gt: Column, hap: str | Column, phased: Column) -> Column:
     """Whether a genotype carries the variant; for phased classes and a phased genotype only the haplotype's allele counts."""
     a = alleles(gt)
-    own = F.coalesce(F.get(a, F.lit(0 if hap == "H1" else 1)) > 0, F.lit(False))
+    at = F.when((F.lit(hap) if isinstance(hap, str) else hap) == "H1", 0).otherwise(1)
+    own = F.coalesce(F.get(a, at) > 0, F.lit(False))
     return F.when(phased & F.contains(gt, F.lit("|")), own).otherwise(F.exists(a, lambda x: F.coalesce(x > 0, F.lit(False))))
 
 
@@ -94,7 +95,7 @@ def variant_passes(vcf_type: Column, qual: Column, filter_: Column, depth: Colum
 
 def ratio_text(n: Column, total: Column) -> Column:
     """``n/N (p%)``, ``0/0 (0.0%)`` where there is nothing to divide by."""
-    percent = F.when(total > 0, n * 100.0 / total).otherwise(0.0)
+    percent = F.round(F.when(total > 0, n * 100.0 / total).otherwise(0.0), 1)
     return F.format_string("%d/%d (%.1f%%)", n.cast("bigint"), total.cast("bigint"), percent)
 
 
@@ -188,5 +189,13 @@ def score_band(score: Column) -> Column:
     return F.when(score > 1, "Strongly Methylated").when(score > 0.5, "Moderately Methylated").when(score > 0, "Weakly Methylated").when(score == 0, "Neutral").when(score > -0.5, "Weakly Unmethylated").when(score > -1, "Moderately Unmethylated").otherwise("Strongly Unmethylated")
 
 
+#: Fixed value: the layout of a region score's explanation.
+EXPLANATION = "Total Samples: %d\nMethylated: %d (%.3f)\nUnmethylated: %d (%.3f)\nProportion Difference: %.3f\nSample Weight (log2(total + 1)): %.3f\nFinal Score: %.3f × %.3f = %.3f\nInterpretation: %s"
+
+
 def score_text(m: Column, u: Column, score: Column) -> Column:
-    return F.format_string("%d methylated, %d unmethylated; score %.2f (%s)", m.cast("bigint"), u.cast("bigint"), score, score_band(score))
+    """How a region's score comes about, step by step."""
+    n = (m + u).cast("bigint")
+    of = lambda x: F.round(F.when(n > 0, x / n).otherwise(0.0), 3)
+    gap, weight = of(m - u), F.round(F.log2((n + 1).cast("double")), 3)
+    return F.format_string(EXPLANATION, n, m.cast("bigint"), of(m), u.cast("bigint"), of(u), gap, weight, gap, weight, F.round(score, 3), score_band(score))

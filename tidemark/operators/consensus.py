@@ -37,28 +37,61 @@ def islands(regions: DataFrame, max_gap: int, min_samples: int = 1, by: tuple[st
 def consensus_merge(regions: DataFrame, max_gap: int = 5000, min_samples: int = 2, by: tuple[str, ...] = ("chrom", "hap")) -> DataFrame:
     """The greedy, sample-aware merge.
 
-    It cannot act across islands, so each island's sorted regions are folded on their own: a region that lies near an
-    emitted consensus to which its sample contributed is skipped; a region opens a cluster, later ones join it unless
-    their sample is in it already or they are near; a cluster is emitted when the chain breaks and it has enough samples.
+    A region that lies near an emitted consensus to which its sample contributed is skipped; a region opens a cluster,
+    later ones join it unless their sample is in it already or they are near; a cluster is emitted when the chain breaks
+    and it has enough samples. The rule depends on the order and cannot act across islands, so each island's sorted rows
+    stream through one pass. Emitted clusters are forgotten once they lie out of reach of all later starts, so memory
+    follows the overlap, not the length of an island.
     """
-    g = f"{int(max_gap)}L"
-    near = f"exists(filter(st.done, d -> size(array_distinct(transform(d.parts, p -> p.sample_id))) >= {int(min_samples)}), d -> exists(d.parts, p -> p.sample_id = r.sample_id) and r.start_pos <= d.e + {g} and r.end_pos >= d.s - {g})"
-    part = "named_struct('sample_id', r.sample_id, 'start_pos', r.start_pos, 'end_pos', r.end_pos)"
-    opened = f"named_struct('s', r.start_pos, 'e', r.end_pos, 'parts', array({part}))"
-    closed = "if(size(st.cur) > 0, concat(st.done, st.cur), st.done)"
-    near_after = near.replace("st.done", f"({closed})")
-    kind = "array<struct<s: bigint, e: bigint, parts: array<struct<sample_id: string, start_pos: bigint, end_pos: bigint>>>>"
-    step = f"""case
-        when size(st.cur) > 0 and r.start_pos <= st.cur[0].e + {g} then
-            case when exists(st.cur[0].parts, p -> p.sample_id = r.sample_id) or {near} then st
-            else named_struct('done', st.done, 'cur', array(named_struct('s', st.cur[0].s, 'e', greatest(st.cur[0].e, r.end_pos), 'parts', concat(st.cur[0].parts, array({part}))))) end
-        when {near_after} then named_struct('done', {closed}, 'cur', cast(array() as {kind}))
-        else named_struct('done', {closed}, 'cur', array({opened})) end"""
-    fold = f"aggregate(rs, named_struct('done', cast(array() as {kind}), 'cur', cast(array() as {kind})), (st, r) -> {step}, st -> {closed})"
-    rows = with_island(regions, max_gap, by).groupBy(*by, "island").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "sample_id"))).alias("rs"))
-    done = rows.select(*by, F.explode(F.expr(fold)).alias("c"))
-    samples = F.array_sort(F.array_distinct(F.transform("c.parts", lambda p: p["sample_id"])))
-    return done.select(*by, F.col("c.s").alias("start_pos"), F.col("c.e").alias("end_pos"), samples.alias("samples"), F.size("c.parts").alias("n_regions")).filter(F.size("samples") >= min_samples)
+    keys = [*by, "island"]
+    rows = with_island(regions, max_gap, by).select(*keys, "start_pos", "end_pos", "sample_id").filter("sample_id is not null")
+    n, gap, least = len(keys), max_gap, min_samples
+    names = [*by, "start_pos", "end_pos", "samples", "n_regions"]
+    kinds = [rows.schema[c].dataType.simpleString() for c in by]
+
+    def run(batches):
+        import pyarrow as pa
+
+        island, emitted, now, out = None, [], None, []  # emitted and now: [start, end, samples]
+
+        def near(start, end, sample):
+            return any(sample in d[2] and start <= d[1] + gap and end >= d[0] - gap for d in emitted)
+
+        def close():
+            nonlocal now
+            if now is not None and len(now[2]) >= least:
+                emitted.append(now)
+                out.append((*island[:-1], now[0], now[1], sorted(now[2]), len(now[2])))
+            now = None
+
+        def give(types):
+            columns = list(zip(*out)) if out else [()] * len(names)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int32()])], names)
+
+        types = None
+        for b in batches:
+            types = [b.column(i).type for i in range(n - 1)]
+            for *key, start, end, sample in zip(*(b.column(i).to_pylist() for i in range(n + 3))):
+                if key != island:
+                    close()
+                    island, emitted = key, []
+                emitted[:] = [d for d in emitted if d[1] + gap >= start]
+                if now is not None and start <= now[1] + gap:
+                    if sample not in now[2] and not near(start, end, sample):
+                        now[1] = max(now[1], end)
+                        now[2].add(sample)
+                    continue
+                close()
+                if not near(start, end, sample):
+                    now = [start, end, {sample}]
+            yield give(types)
+        if types:
+            close()
+            yield give(types)
+
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in zip(by, kinds)), "start_pos bigint", "end_pos bigint", "samples array<string>", "n_regions int"])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "start_pos", "end_pos", "sample_id").mapInArrow(run, schema)
 
 
 def sample_evidence(consensus: DataFrame, segments: DataFrame, by: tuple[str, ...] = ("chrom", "hap")) -> DataFrame:

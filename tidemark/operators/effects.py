@@ -8,16 +8,38 @@ from pyspark.sql import functions as F
 from ..functions.columns import cpg_positions, high_confidence
 
 
-def variant_windows(variants: DataFrame, chunks: DataFrame, chunk: int = 65536, flank: int = 2) -> DataFrame:
-    """Join variants (contig, pos 1-based, ref, alt, ...) with the reference window of ``flank`` bases on both sides."""
+def _windows(spans: DataFrame, chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """Add ref_window, the reference's bases [w_start, w_start + w_len), to spans (contig, w_start, w_len, ...).
+
+    A window that ends in its chunk or the chunk's overlap is cut out there. Longer ones take their parts from every
+    chunk they touch, once for each distinct window, and the parts are joined in order.
+    """
+    ref = chunks.select("contig", "chunk_id", "chunk_start", "seq")
+    end, keys = F.col("w_start") + F.col("w_len"), ["contig", "w_start", "w_len"]
+    spans = spans.withColumn("chunk_id", F.floor(F.col("w_start") / chunk).cast("int"))
+    inside = end <= (F.col("chunk_id").cast("bigint") + 1) * chunk + overlap
+    cut = F.substring("seq", (F.col("w_start") - F.col("chunk_start") + 1).cast("int"), F.col("w_len").cast("int")).alias("ref_window")
+    names = [c for c in spans.columns if c != "chunk_id"]
+    short = spans.filter(inside).join(ref, ["contig", "chunk_id"]).select(*names, cut)
+    long = spans.filter(~inside).drop("chunk_id")
+    touched = long.select(*keys).distinct().withColumn("chunk_id", F.explode(F.sequence(F.floor(F.col("w_start") / chunk).cast("int"), F.floor((end - 1) / chunk).cast("int"))))
+    low = F.greatest(F.col("w_start"), F.col("chunk_start"))
+    part = F.substring("seq", (low - F.col("chunk_start") + 1).cast("int"), (F.least(end, F.col("chunk_start") + chunk) - low).cast("int"))
+    parts = touched.join(ref, ["contig", "chunk_id"]).select(*keys, F.struct("chunk_id", part.alias("part")).alias("p"))
+    whole = parts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), "").alias("ref_window"))
+    return short.unionByName(long.join(whole, keys).select(*names, "ref_window"))
+
+
+def variant_windows(variants: DataFrame, chunks: DataFrame, chunk: int = 65536, flank: int = 2, overlap: int = 8) -> DataFrame:
+    """Join variants (contig, pos 1-based, ref, alt, ...) with the reference window of ``flank`` bases on both sides.
+
+    ``chunk`` and ``overlap`` are those that the chunks were cut with; windows may be longer than either.
+    """
     at = F.greatest(F.col("pos") - 1 - flank, F.lit(0))
-    v = variants.withColumn("w_start", at).withColumn("chunk_id", F.floor(at / chunk).cast("int"))
-    j = v.join(chunks.select("contig", "chunk_id", "chunk_start", "seq"), ["contig", "chunk_id"])
-    ref_window = F.substring("seq", (F.col("w_start") - F.col("chunk_start") + 1).cast("int"), (F.length("ref") + 2 * flank).cast("int"))
-    skip = (F.col("pos") - 1 - F.col("w_start")).cast("int")
-    j = j.withColumn("ref_window", ref_window).withColumn("_skip", skip)
-    alt_window = F.concat(F.substring("ref_window", F.lit(1), F.col("_skip")), F.col("alt"), F.substring("ref_window", F.col("_skip") + F.length("ref") + 1, F.lit(1000)))
-    return j.withColumn("alt_window", alt_window).drop("seq", "chunk_id", "chunk_start", "_skip")
+    j = _windows(variants.withColumn("w_start", at.cast("bigint")).withColumn("w_len", (F.length("ref") + 2 * flank).cast("bigint")), chunks, chunk, overlap)
+    j = j.withColumn("_skip", (F.col("pos") - 1 - F.col("w_start")).cast("int"))
+    alt_window = F.concat(F.substring("ref_window", F.lit(1), F.col("_skip")), F.col("alt"), F.substring("ref_window", F.col("_skip") + F.length("ref") + 1, F.length("ref_window")))
+    return j.withColumn("alt_window", alt_window).drop("_skip", "w_len")
 
 
 def window_changes(windows: DataFrame) -> DataFrame:
@@ -79,7 +101,23 @@ def apply_effects_combined(pileup: DataFrame, effects: DataFrame) -> DataFrame:
     return pileup.join(hit, ["sample_id", "chrom", "start_pos"], "left_anti")
 
 
-def qc_summary(cleaned: DataFrame) -> DataFrame:
-    """Per sample and haplotype: total, kept, excluded, preserved."""
+#: Counters of a QC summary, and the effect that each of the last four counts.
+COUNTERS = ["total", "kept", "excluded", "preserved"]
+EFFECT_COUNTERS = {"destroyed": "ref_destroyed", "phantom": "phantom_sites", "denovo": "denovo_created", "homozygous_denovo": "homozygous_denovo"}
+
+
+def qc_summary(cleaned: DataFrame, effects: DataFrame) -> DataFrame:
+    """Per sample and haplotype: total, kept, excluded and preserved sites, and the distinct sites of each effect."""
     n = lambda c: F.count_if(c)
-    return cleaned.groupBy("sample_id", "hap").agg(F.count(F.lit(1)).alias("total"), n(F.col("status") == "kept").alias("kept"), n(F.col("status") == "excluded").alias("excluded"), n(F.col("preserved")).alias("preserved"))
+    sites = cleaned.groupBy("sample_id", "hap").agg(F.count(F.lit(1)).alias("total"), n(F.col("status") == "kept").alias("kept"), n(F.col("status") == "excluded").alias("excluded"), n(F.col("preserved")).alias("preserved"))
+    found = effects.select("sample_id", "hap", "chrom", "pos", "effect").distinct().groupBy("sample_id", "hap").agg(*[n(F.col("effect") == e).alias(c) for c, e in EFFECT_COUNTERS.items()])
+    both = sites.join(found, ["sample_id", "hap"], "full")
+    return both.select("sample_id", "hap", *[F.coalesce(c, F.lit(0)).alias(c) for c in [*COUNTERS, *EFFECT_COUNTERS]])
+
+
+def qc_metrics(summary: DataFrame) -> DataFrame:
+    """(sample_id, metric, hap1, hap2, mean, std): each metric with its mean and population std over both haplotypes' values of all samples."""
+    long = summary.unpivot(["sample_id", "hap"], [*COUNTERS, *EFFECT_COUNTERS], "metric", "v")
+    wide = long.groupBy("sample_id", "metric").agg(*[F.sum(F.when(F.col("hap") == h, F.col("v"))).alias(h) for h in ("hap1", "hap2")])
+    over = long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return wide.join(F.broadcast(over), "metric").select("sample_id", "metric", "hap1", "hap2", "mean", "std")

@@ -3,7 +3,7 @@
 The interval side is exploded to the bins it touches and meets the other side on (keys, bin), so Catalyst plans a hash
 or sort-merge join instead of a nested loop, and AQE can split a dense bin. A pair of intervals that shares several
 bins is kept in the first one only. Choose the bin width near the median interval; intervals over ``most`` bins go
-through coarser bins, so a few long ones don't multiply.
+through coarser bins, and joins on one position use several levels of bins, so a few long ones don't multiply.
 """
 
 from __future__ import annotations
@@ -42,21 +42,33 @@ def overlap_join(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("chrom",), w
     return fine.unionByName(joined(a.filter(a_long), right, wide)).unionByName(joined(a.filter(~a_long), right.filter(b_long), wide))
 
 
+def levels(points: DataFrame, intervals: DataFrame, by: tuple[str, ...], pos: str, prefix: str, width: int, step: int = 32, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a level and a bin to join on. Each interval is on the level whose bins are about its length, so it
+    touches at most ``step`` of them (the coarsest level takes all longer ones); each point is looked up on every level."""
+    start, end = f"{prefix}start_pos", f"{prefix}end_pos"
+    right = _renamed(intervals, by, prefix) if prefix else intervals
+    length = F.greatest(F.lit(1), F.col(end) - F.col(start))
+    level = F.least(F.lit(most - 1), F.greatest(F.lit(0), F.ceil(F.log(length / (width * step)) / F.log(F.lit(float(step)))))).cast("int")
+    wide = lambda: (F.lit(float(step)) ** F.col("_level")).cast("bigint") * width
+    at = lambda c: F.floor(c / wide()).cast("bigint")
+    right = right.withColumn("_level", level).withColumn("_bin", F.explode(F.sequence(at(F.col(start)), F.greatest(at(F.col(start)), at(F.col(end) - 1)))))
+    left = points.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in range(most)]))).withColumn("_bin", at(F.col(pos)))
+    return left, right
+
+
 def containment_join(inner: DataFrame, outer: DataFrame, by: tuple[str, ...] = ("chrom",), width: int = 2048) -> DataFrame:
-    """Pairs where the outer interval contains the inner one; only the bin of the inner start is looked up."""
-    left = inner.withColumn("_bin", bin_of(F.col("start_pos"), width))
-    right = explode_bins(_renamed(outer, by, "b_"), width, "b_start_pos", "b_end_pos", "_bin")
-    return left.join(right, [*by, "_bin"]).filter("b_start_pos <= start_pos and b_end_pos >= end_pos").drop("_bin")
+    """Pairs where the outer interval contains the inner one; only the bin of the inner start is looked up, on each level."""
+    left, right = levels(inner, outer, by, "start_pos", "b_", width)
+    return left.join(right, [*by, "_level", "_bin"]).filter("b_start_pos <= start_pos and b_end_pos >= end_pos").drop("_bin", "_level")
 
 
 def point_join(points: DataFrame, intervals: DataFrame, by: tuple[str, ...] = ("chrom",), pos: str = "pos", width: int = 2048) -> DataFrame:
     """Pairs with start <= pos < end."""
-    left = points.withColumn("_bin", bin_of(F.col(pos), width))
-    right = explode_bins(intervals, width, name="_bin")
-    return left.join(right, [*by, "_bin"]).filter((F.col("start_pos") <= F.col(pos)) & (F.col(pos) < F.col("end_pos"))).drop("_bin")
+    left, right = levels(points, intervals, by, pos, "", width)
+    return left.join(right, [*by, "_level", "_bin"]).filter((F.col("start_pos") <= F.col(pos)) & (F.col(pos) < F.col("end_pos"))).drop("_bin", "_level")
 
 
 def annotate_features(df: DataFrame, features: DataFrame) -> DataFrame:
-    """Left range join with a small fixed dimension (chrom, f_start, f_end, feature); one row per overlapped feature."""
+    """Left range join with a small fixed dimension (chrom, f_start, f_end, feature, kind); one row per overlapped feature."""
     dim = F.broadcast(features.withColumnRenamed("chrom", "_f_chrom"))
     return df.join(dim, (F.col("chrom") == F.col("_f_chrom")) & (F.col("start_pos") < F.col("f_end")) & (F.col("f_start") < F.col("end_pos")), "left").drop("_f_chrom", "f_start", "f_end")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import chrom_order, status_colour
+from ..functions.columns import chrom_order, ratio_text, status_colour
+from .states import STATES
 
 
 def joined_list(col: str):
@@ -29,6 +30,37 @@ def bed9(df: DataFrame, name: str = "label", score: int = 1000, colour=None) ->
     return df.select("chrom", "start_pos", "end_pos", F.col(name).alias("name"), F.lit(score).alias("score"), F.lit(".").alias("strand"), F.col("start_pos").alias("thick_start"), F.col("end_pos").alias("thick_end"), (colour if colour is not None else status_colour(F.col("label"))).alias("rgb"))
 
 
+def mapped_variants(scored: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """The mapped-variant table of one scoring: 'v1', 'v2', 'v3', 'v4' or 'simple'. ``scored`` has counts, totals, scores and samples."""
+    c = F.col
+    names = {v: k for k, v in STATES.items()}
+    unknown = c("x_plus") + c("x_minus") + c("x_none")
+    of = {v: c("total_meth") if v[0] == "m" else c("total_unmeth") if v[0] == "u" else unknown for v in names}
+    of["x_none"] = c("total") if version != "v3" else unknown
+    ratios = [ratio_text(c(v), of[v]).alias(k) for v, k in names.items()]
+    who = lambda *states: [joined_list(f"{v}_samples").alias(f"{v}_samples") for v in states]
+    seven = ("m_plus", "u_plus", "x_plus", "m_none", "u_none", "x_none")
+    if version == "v1":
+        return scored.select(*keys, "v1_meth", "v1_unmeth", "p_value", *ratios, *who(*seven))
+    if version == "v2":
+        rate = lambda a, b: F.when(c(b) > 0, c(a) / c(b)).otherwise(0.0)
+        gain = rate("m_plus", "total_meth") - rate("u_plus", "total_unmeth")
+        return scored.select(*keys, F.col("v2_association").alias("association"), "v2_meth", "v2_unmeth", "p_value", *ratios, c("coverage_v2").alias("data_coverage"), F.greatest(F.lit(0.0), gain).alias("meth_enrichment"), F.greatest(F.lit(0.0), -gain).alias("unmeth_enrichment"), *who(*seven, "x_minus"))
+    if version == "v3":
+        plain = [F.concat_ws("/", c(v).cast("string"), of[v].cast("string")).alias(k) for v, k in names.items()]
+        return scored.filter("v3 is not null").select(*keys, "v3", *plain, *who("m_plus", "u_plus", "x_plus"))
+    if version == "simple":
+        carriers, others = c("m_plus") + c("u_plus"), c("m_minus") + c("u_minus")
+        return scored.filter("simple_class is not null").select(*keys, c("simple_class").alias("pattern"), carriers.alias("variant_carriers"), others.alias("non_carriers"), (carriers + others).alias("total_samples"), (c("total") - carriers - others).alias("missing_data"), *who("m_plus", "u_plus"))
+    assert version == "v4", version
+    up = c("v4_class") == "methylated_associated"
+    pick = lambda a, b: F.when(up, a).otherwise(b)
+    m, u = c("m_plus") + c("m_minus"), c("u_plus") + c("u_minus")
+    strong = scored.filter("v4_class in ('methylated_associated', 'unmethylated_associated')")
+    return strong.select(*keys, c("v4_class").alias("classification"), pick(c("v4_meth"), c("v4_unmeth")).alias("enrichment_score"), pick(c("v4_meth_odds"), c("v4_unmeth_odds")).alias("log_odds"), F.least(F.lit(1.0), pick(m, u) / 10).alias("confidence"), "quality",
+        (pick(c("m_plus"), c("u_plus")) / pick(m, u)).alias("state_frequency"), ((c("m_plus") + c("u_plus")) / (m + u)).alias("background_frequency"), (m + u).alias("complete_samples"), c("total").alias("total_samples"), *who("m_plus", "u_plus"))
+
+
 def write_tsv(df: DataFrame, path: str, header: bool = True, partition: list[str] | None = None, mode: str = "error") -> None:
     w = df.write.mode(mode).option("sep", "\t").option("header", header)
     (w.partitionBy(*partition) if partition else w).csv(path)

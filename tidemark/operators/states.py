@@ -19,7 +19,7 @@ def variants_in_regions(variants: DataFrame, regions: DataFrame, by: tuple[str,
     return out.select(*[F.col(c).alias(c.removeprefix("b_")) for c in out.columns])
 
 
-def state_of(meth_state, gt, hap: str, phased):
+def state_of(meth_state, gt, hap, phased):
     """'M+V+' and so on: M+ / M- / X(M) by the state column, V+ / V- / X(V) by the genotype."""
     m = F.when(meth_state == "M", "M+").when(meth_state == "U", "M-").otherwise("X(M)")
     v = F.when(gt.isNull() | C.missing(gt), "X(V)").when(C.carrier(gt, hap, phased), "V+").otherwise("V-")
@@ -30,12 +30,15 @@ def state_of(meth_state, gt, hap: str, phased):
 STATES = {"M+V+": "m_plus", "M+V-": "m_minus", "M+X(V)": "m_none", "M-V+": "u_plus", "M-V-": "u_minus", "M-X(V)": "u_none", "X(M)V+": "x_plus", "X(M)V-": "x_minus", "X(M)X(V)": "x_none"}
 
 
-def nine_states(rows: DataFrame, keys: list[str], hap: str, phased=None) -> DataFrame:
-    """Counts and carrier lists per key; rows: keys, sample_id, meth_state, gt. One shuffle on the keys."""
+def nine_states(rows: DataFrame, keys: list[str], hap, phased=None, lists: bool = False) -> DataFrame:
+    """Counts per key, and if asked for the samples of each state with their genotypes; one shuffle on the keys.
+
+    rows: keys, sample_id, meth_state, gt. ``hap`` is a haplotype's name or the column that holds it.
+    """
     s = rows.withColumn("_s", state_of(F.col("meth_state"), F.col("gt"), hap, phased if phased is not None else F.lit(True)))
     counts = [F.count_if(F.col("_s") == k).alias(v) for k, v in STATES.items()]
-    lists = [F.array_sort(F.collect_list(F.when(F.col("_s") == k, F.concat_ws(":", "sample_id", "gt")))).alias(n) for k, n in (("M+V+", "meth_carriers"), ("M-V+", "unmeth_carriers"), ("X(M)V+", "unknown_carriers"))]
-    return s.groupBy(*keys).agg(*counts, *lists)
+    named = [F.array_sort(F.collect_list(F.when(F.col("_s") == k, F.concat_ws(":", "sample_id", "gt")))).alias(f"{v}_samples") for k, v in STATES.items()] if lists else []
+    return s.groupBy(*keys).agg(*counts, *named)
 
 
 def with_totals(counts: DataFrame) -> DataFrame:

@@ -50,11 +50,12 @@ def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFram
     return out.select(*(by or []), "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
-def frequency(df: DataFrame, value: str, start: int = 0) -> DataFrame:
-    """(value, n) for every integer from ``start`` to the maximum."""
-    got = df.groupBy(F.col(value).cast("int").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    span = got.agg(F.max("value").alias("top")).filter("top is not null").select(F.explode(F.sequence(F.lit(start), F.greatest(F.lit(start), F.col("top")))).alias("value"))
-    return complete(got, span, ["value"], ["n"])
+def frequency(df: DataFrame, values: list[str], by: str, start: int = 0) -> DataFrame:
+    """(by, metric, value, n) for each metric and every integer from ``start`` to its maximum over all of ``by``."""
+    got = df.unpivot(by, values, "metric", "value").groupBy(by, "metric", F.col("value").cast("int").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    span = got.groupBy("metric").agg(F.max("value").alias("top"), F.collect_set(by).alias("_by")).withColumn(by, F.explode("_by"))
+    span = span.select(by, "metric", F.explode(F.sequence(F.lit(start), F.greatest(F.lit(start), F.col("top")))).alias("value"))
+    return complete(got, span, [by, "metric", "value"], ["n"])
 
 
 def gaps(df: DataFrame, by: list[str], mode: str = "start") -> DataFrame:
@@ -103,10 +104,25 @@ def bin_stats(df: DataFrame, sizes: DataFrame, n_bins: int) -> DataFrame:
     b = F.least(F.lit(n_bins - 1), F.floor((F.col("start_pos") + F.col("end_pos")) / 2 / (F.col("chrom_size") / n_bins)).cast("int"))
     per = j.withColumn("bin", b).groupBy("chrom", "bin", "sample_id").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("s"), F.sum(F.col("size") * F.col("size")).alias("s2"), F.min("size").alias("lo"), F.max("size").alias("hi"))
     samples = df.agg(F.count_distinct("sample_id").alias("n_samples"))
+    mid = j.withColumn("bin", b).groupBy("chrom", "bin", "size").agg(F.count(F.lit(1)).alias("k")).groupBy("chrom", "bin").agg(F.percentile("size", F.lit(0.5), F.col("k")).alias("median_size"))
     out = per.groupBy("chrom", "bin").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("k2"), F.sum("s").alias("s"), F.sum("s2").alias("s2"), F.min("lo").alias("min_size"), F.max("hi").alias("max_size")).crossJoin(F.broadcast(samples))
     mean = F.col("n") / F.col("n_samples")
     mean_size = F.col("s") / F.col("n")
-    return out.select("chrom", "bin", "n", mean.alias("mean_count"), F.sqrt(F.greatest(F.lit(0.0), F.col("k2") / F.col("n_samples") - mean * mean)).alias("std_count"), mean_size.alias("mean_size"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean_size * mean_size)).alias("std_size"), "min_size", "max_size")
+    return out.select("chrom", "bin", "n", mean.alias("mean_count"), F.sqrt(F.greatest(F.lit(0.0), F.col("k2") / F.col("n_samples") - mean * mean)).alias("std_count"), mean_size.alias("mean_size"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean_size * mean_size)).alias("std_size"), "min_size", "max_size").join(mid, ["chrom", "bin"])
+
+
+def bin_rollup(df: DataFrame, sizes: DataFrame, n_bins: int, by: str) -> tuple[DataFrame, DataFrame]:
+    """Of the samples x bins matrix of counts, empty cells included: (by, chrom, bin, mean, std) and (by, chrom, p95)."""
+    cells = bin_matrix(df, sizes, n_bins, [by, "sample_id"])
+    total = df.agg(F.count_distinct("sample_id").alias("samples"))
+    n = F.col("samples").cast("double")
+    per = cells.groupBy(by, "chrom", "bin").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("s2")).crossJoin(F.broadcast(total))
+    mean = F.col("s") / n
+    bins = per.select(by, "chrom", "bin", mean.alias("mean_count"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / n - mean * mean)).alias("std_count"))
+    times = cells.groupBy(by, "chrom", "n").agg(F.count(F.lit(1)).alias("k"))
+    empty = times.groupBy(by, "chrom").agg(F.sum("k").alias("full")).crossJoin(F.broadcast(total)).select(by, "chrom", F.lit(0).cast("bigint").alias("n"), (F.col("samples") * n_bins - F.col("full")).alias("k"))
+    top = times.unionByName(empty).filter("k > 0").groupBy(by, "chrom").agg(F.percentile("n", F.lit(0.95), F.col("k")).alias("p95"))
+    return bins, top
 
 
 def segment_runs(pileup: DataFrame, max_gap: int = 500, min_cpgs: int = 5, call: float = 0.5) -> DataFrame:
@@ -127,24 +143,32 @@ def top_regions(df: DataFrame, score: str, n: int, keys: list[str]) -> DataFrame
     return high.unionByName(df.orderBy(F.asc(score), *keys).limit(half).withColumn("side", F.lit("low")))
 
 
+def shuffled(seed: int, keys: list[str]) -> Column:
+    """A fixed random order of the keys, the same in any engine that has md5."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+
+
 def random_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
     """n rows by a hash of the key: the same rows on any cluster."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return df.orderBy(shuffled(seed, keys), *keys).limit(n)
 
 
 def stratified_sample(df: DataFrame, n: int, stratum: str, keys: list[str], seed: int = 42) -> DataFrame:
     """At least one row per stratum, its share of n otherwise, n rows in all at most."""
-    h = F.xxhash64(F.lit(seed), *keys)
     share = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_k"))
     total = share.agg(F.sum("_k").alias("_total"))
     quota = share.crossJoin(F.broadcast(total)).select(stratum, F.greatest(F.lit(1), F.floor(F.col("_k") * n / F.col("_total"))).alias("_quota"))
     w = Window.partitionBy(stratum).orderBy("_h", *keys)
-    ranked = df.withColumn("_h", h).withColumn("_r", F.row_number().over(w)).join(F.broadcast(quota), stratum)
+    # no stratum has more than n rows in the sample, which limits the groups before they are shuffled
+    ranked = df.withColumn("_h", shuffled(seed, keys)).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).join(F.broadcast(quota), stratum)
     return ranked.filter("_r <= _quota").orderBy("_h", *keys).limit(n).drop("_h", "_r", "_quota")
 
 
-def pca(df: DataFrame, row: str, column: str, value: str, columns: list[str], k: int = 2) -> DataFrame:
-    """Principal component scores of the row x column matrix; columns are a bounded list such as the cohort's samples."""
+def pca(df: DataFrame, row: str, column: str, value: str, columns: list[str], k: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(row, pc1 ..) scores and (component, column, loading, explained) of the row x column matrix.
+
+    Columns are a bounded list such as the cohort's samples; explained is the component's share of the variance.
+    """
     from pyspark.ml.feature import PCA, VectorAssembler
 
     wide = df.groupBy(row).pivot(column, columns).agg(F.first(value)).na.fill(0.0, columns)
@@ -152,4 +176,7 @@ def pca(df: DataFrame, row: str, column: str, value: str, columns: list[str], k:
     model = PCA(k=k, inputCol="v", outputCol="pc").fit(vec)
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(vec).select(row, *[vector_to_array("pc")[i].alias(f"pc{i + 1}") for i in range(k)])
+    scores = model.transform(vec).select(row, *[vector_to_array("pc")[i].alias(f"pc{i + 1}") for i in range(k)])
+    weights, shares = model.pc.toArray(), model.explainedVariance.toArray()
+    loadings = [(i + 1, c, float(weights[j, i]), float(shares[i])) for i in range(k) for j, c in enumerate(columns)]
+    return scores, df.sparkSession.createDataFrame(loadings, f"component int, {column} string, loading double, explained double")

@@ -241,22 +241,26 @@ def j11(spark, d):
     return out.select("chrom", "sample_id", "bin", R("density").alias("density"))
 
 
-@query("j12_feature_annotation", f"WITH {ISLANDS}, {dimensions.features_sql()} SELECT i.chrom, i.hap, i.start_pos, i.end_pos, f.feature FROM islands i LEFT JOIN features f ON i.chrom = f.chrom AND i.start_pos < f.f_end AND f.f_start < i.end_pos")
+@query("j12_feature_annotation", f"WITH {ISLANDS}, {dimensions.features_sql()} SELECT i.chrom, i.hap, i.start_pos, i.end_pos, f.feature, f.kind FROM islands i LEFT JOIN features f ON i.chrom = f.chrom AND i.start_pos < f.f_end AND f.f_start < i.end_pos")
 def j12(spark, d):
     return I.annotate_features(u_islands(spark, d).select("chrom", "hap", "start_pos", "end_pos"), dimensions.features(spark))
 
 
-@query("j13_completion", f"WITH {SEG}, {dimensions.sizes_sql()} SELECT z.chrom, count(s.chrom) AS n FROM chrom_sizes z LEFT JOIN (SELECT * FROM seg WHERE label = 'M' AND size = 1000 AND sample_id = 'S3') s USING (chrom) GROUP BY z.chrom")
+@query("j13_completion", f"WITH {SEG}, {dimensions.sizes_sql()}, k AS (SELECT DISTINCT sample_id, label FROM seg) SELECT k.sample_id, k.label, z.chrom, count(s.chrom) AS n FROM k CROSS JOIN chrom_sizes z LEFT JOIN seg s ON s.sample_id = k.sample_id AND s.label = k.label AND s.chrom = z.chrom GROUP BY ALL")
 def j13(spark, d):
-    got = seg(spark, d).filter("label = 'M' and size = 1000 and sample_id = 'S3'").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
-    return stats.complete(got, dimensions.chrom_sizes(spark).select("chrom"), ["chrom"], ["n"])
+    """Regions per sample, label and chromosome, 0 where there are none; samples x labels x chromosomes is a small table."""
+    got = seg(spark, d).groupBy("sample_id", "label", "chrom").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(c) for c in dimensions.CHROM_SIZES])
+    whole = got.select("sample_id", "label").distinct().withColumn("chrom", F.explode(names))
+    return stats.complete(got, whole, ["sample_id", "label", "chrom"], ["n"])
 
 
-@query("j14_haplotype_pairing", f"WITH {SEG}, k AS (SELECT * FROM seg WHERE start_pos % 7 = 0), p AS (SELECT chrom, sample_id FROM k GROUP BY ALL HAVING count(DISTINCT hap) = 2) SELECT chrom, sample_id, hap, count(*) AS n FROM k SEMI JOIN p USING (chrom, sample_id) GROUP BY ALL")
+@query("j14_haplotype_pairing", f"WITH {SEG}, p AS (SELECT chrom, sample_id, label FROM seg GROUP BY ALL HAVING count(DISTINCT hap) = 2) SELECT chrom, sample_id, label, hap, count(*) AS n FROM seg SEMI JOIN p USING (chrom, sample_id, label) GROUP BY ALL")
 def j14(spark, d):
-    k = seg(spark, d).filter("start_pos % 7 = 0")
-    both = k.groupBy("chrom", "sample_id").agg(F.count_distinct("hap").alias("h")).filter("h = 2")
-    return k.join(both, ["chrom", "sample_id"], "left_semi").groupBy("chrom", "sample_id", "hap").agg(F.count(F.lit(1)).alias("n"))
+    """Only samples with both haplotypes' files, one per chromosome and label here."""
+    k, keys = seg(spark, d), ["chrom", "sample_id", "label"]
+    both = k.groupBy(*keys).agg(F.count_distinct("hap").alias("h")).filter("h = 2")
+    return k.join(both, keys, "left_semi").groupBy(*keys, "hap").agg(F.count(F.lit(1)).alias("n"))
 
 
 # aggregations
@@ -266,9 +270,12 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: R(c) for c in cols})
 
 
-@query("g1_sample_size_stats", f"WITH {SEG} SELECT hap, label, sample_id, count(*) AS n, round(avg(size), 6) AS mean_size, round(stddev_pop(size), 6) AS std_size FROM seg GROUP BY ALL")
+@query("g1_sample_size_stats", f"WITH {ISLANDS} SELECT hap, label, sample_id, count(*) AS n, round(avg(size), 6) AS mean_size, round(stddev_pop(size), 6) AS std_size FROM seg GROUP BY ALL UNION ALL SELECT hap, 'consensus', 'consensus', count(*), round(avg(end_pos - start_pos), 6), round(stddev_pop(end_pos - start_pos), 6) FROM islands GROUP BY hap")
 def g1(spark, d):
-    return rounded(stats.size_stats(seg(spark, d), ["hap", "label", "sample_id"]), "mean_size", "std_size")
+    """Per sample, and the consensus as one more row of each haplotype."""
+    c = u_islands(spark, d).select("hap", F.lit("consensus").alias("label"), F.lit("consensus").alias("sample_id"), (F.col("end_pos") - F.col("start_pos")).alias("size"))
+    both = seg(spark, d).select("hap", "label", "sample_id", "size").unionByName(c)
+    return rounded(stats.size_stats(both, ["hap", "label", "sample_id"]), "mean_size", "std_size")
 
 
 @query("g2_cohort_averages", f"WITH {SEG}, p AS (SELECT hap, sample_id, count(*) AS n, avg(size) AS m FROM seg WHERE label = 'U' GROUP BY ALL) SELECT hap, round(avg(n), 6) AS mean_n, round(stddev_pop(n), 6) AS std_n, round(avg(m), 6) AS mean_size, round(stddev_pop(m), 6) AS std_size FROM p GROUP BY hap")
@@ -318,10 +325,17 @@ def g11(spark, d):
     return s.groupBy("condition", "sample_id").agg(F.count(F.lit(1)).alias("total"), R(F.avg("size")).alias("mean_size"), F.median("size").alias("median_size"), R(F.stddev_samp("size")).alias("std_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), *per)
 
 
+@query("g11_cohort_rollup", f"WITH {SEG}, p AS (SELECT hap || '_' || label AS condition, sample_id, count(*) AS total, avg(size) AS m, min(size) AS lo, max(size) AS hi FROM seg GROUP BY ALL) SELECT condition, round(avg(total), 6) AS mean_total, round(avg(m), 6) AS mean_size, min(lo) AS min_size, max(hi) AS max_size FROM p GROUP BY condition")
+def g11_rollup(spark, d):
+    s = seg(spark, d).withColumn("condition", C.combined_label(F.col("hap"), F.col("label")))
+    per = s.groupBy("condition", "sample_id").agg(F.count(F.lit(1)).alias("total"), F.avg("size").alias("mean_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size"))
+    return per.groupBy("condition").agg(R(F.avg("total")).alias("mean_total"), R(F.avg("mean_size")).alias("mean_size"), F.min("min_size").alias("min_size"), F.max("max_size").alias("max_size"))
+
+
 BINNED = f"{SEG}, {dimensions.sizes_sql()}, binned AS (SELECT s.*, chrom_size, CAST(least(199, floor((start_pos + end_pos) / 2.0::DOUBLE / (chrom_size / 200.0::DOUBLE))) AS INT) AS bin FROM seg s JOIN chrom_sizes USING (chrom))"
 
 
-@query("g12_bin_stats", f"WITH {BINNED}, per AS (SELECT chrom, bin, sample_id, count(*) AS k FROM binned GROUP BY ALL), c AS (SELECT chrom, bin, sum(k) AS n, sum(k * k) AS k2 FROM per GROUP BY ALL), z AS (SELECT chrom, bin, avg(size) AS ms, stddev_pop(size) AS ss, min(size) AS min_size, max(size) AS max_size FROM binned GROUP BY ALL), t AS (SELECT count(DISTINCT sample_id) AS s FROM seg) SELECT chrom, bin, CAST(n AS BIGINT) AS n, round(n / s, 4) AS mean_count, round(sqrt(greatest(0.0, k2 / s - (n / s) * (n / s))), 4) AS std_count, round(ms, 4) AS mean_size, round(ss, 4) AS std_size, min_size, max_size FROM c JOIN z USING (chrom, bin), t")
+@query("g12_bin_stats", f"WITH {BINNED}, per AS (SELECT chrom, bin, sample_id, count(*) AS k FROM binned GROUP BY ALL), c AS (SELECT chrom, bin, sum(k) AS n, sum(k * k) AS k2 FROM per GROUP BY ALL), z AS (SELECT chrom, bin, avg(size) AS ms, stddev_pop(size) AS ss, min(size) AS min_size, max(size) AS max_size, quantile_cont(size, 0.5) AS median_size FROM binned GROUP BY ALL), t AS (SELECT count(DISTINCT sample_id) AS s FROM seg) SELECT chrom, bin, CAST(n AS BIGINT) AS n, round(n / s, 4) AS mean_count, round(sqrt(greatest(0.0, k2 / s - (n / s) * (n / s))), 4) AS std_count, round(ms, 4) AS mean_size, round(ss, 4) AS std_size, min_size, max_size, median_size FROM c JOIN z USING (chrom, bin), t")
 def g12(spark, d):
     out = stats.bin_stats(seg(spark, d), dimensions.chrom_sizes(spark), 200)
     return out.withColumns({c: R(c, 4) for c in ("mean_count", "std_count", "mean_size", "std_size")})
@@ -332,6 +346,21 @@ def g13(spark, d):
     return rounded(stats.bin_matrix(seg(spark, d), dimensions.chrom_sizes(spark), 200, ["sample_id"]), "mean_size")
 
 
+CELLS = "cells AS (SELECT k.label, k.sample_id, z.chrom, r.bin, count(b.bin) AS n FROM (SELECT * FROM (SELECT DISTINCT label FROM seg), (SELECT DISTINCT sample_id FROM seg)) k CROSS JOIN chrom_sizes z CROSS JOIN (SELECT unnest(range(0, 200))::INT AS bin) r LEFT JOIN binned b ON b.label = k.label AND b.sample_id = k.sample_id AND b.chrom = z.chrom AND b.bin = r.bin GROUP BY ALL)"
+
+
+@query("g13_density_rollup", f"WITH {BINNED}, {CELLS} SELECT label, chrom, bin, round(avg(n), 6) AS mean_count, round(stddev_pop(n), 6) AS std_count FROM cells GROUP BY ALL HAVING sum(n) > 0")
+def g13_rollup(spark, d):
+    """Mean and population std over all samples of each bin with regions."""
+    return rounded(stats.bin_rollup(seg(spark, d), dimensions.chrom_sizes(spark), 200, "label")[0], "mean_count", "std_count")
+
+
+@query("g13_density_p95", f"WITH {BINNED}, {CELLS} SELECT label, chrom, quantile_cont(n, 0.95) AS p95 FROM cells GROUP BY ALL HAVING sum(n) > 0")
+def g13_p95(spark, d):
+    """95th percentile of all cells, samples x bins, of a chromosome's matrix."""
+    return stats.bin_rollup(seg(spark, d), dimensions.chrom_sizes(spark), 200, "label")[1]
+
+
 @query("g14_chrom_coverage", f"WITH {SEG}, {dimensions.sizes_sql()} SELECT chrom, hap, label, round(sum(size) * 100.0::DOUBLE / chrom_size, 6) AS percent FROM seg JOIN chrom_sizes USING (chrom) GROUP BY chrom, hap, label, chrom_size")
 def g14(spark, d):
     j = seg(spark, d).join(F.broadcast(dimensions.chrom_sizes(spark)), "chrom").groupBy("chrom", "hap", "label", "chrom_size").agg(F.sum("size").alias("s"))
@@ -353,9 +382,11 @@ def g17(spark, d):
     return rounded(stats.describe(seg(spark, d), "size", ["label"]), "mean", "std")
 
 
-@query("g18_sample_frequency", f"WITH {EVIDENCE}, k AS (SELECT len(us) AS v FROM reasoned WHERE reason = 'final') SELECT r.value::INT AS value, count(k.v) AS n FROM (SELECT unnest(range(0, (SELECT max(v) FROM k) + 1)) AS value) r LEFT JOIN k ON k.v = r.value GROUP BY r.value")
+@query("g18_sample_frequency", f"WITH {EVIDENCE}, c AS (SELECT hap, len(us) AS u, len(ms) AS m FROM reasoned WHERE reason = 'final'), k AS (SELECT hap, 'num_unmethylated' AS metric, u AS v FROM c UNION ALL SELECT hap, 'num_methylated', m FROM c UNION ALL SELECT hap, 'total_samples', u + m FROM c), r AS (SELECT hap, metric, unnest(range(0, top + 1)) AS value FROM (SELECT metric, max(v) AS top FROM k GROUP BY metric), (SELECT DISTINCT hap FROM k)) SELECT r.hap, r.metric, r.value::INT AS value, count(k.v) AS n FROM r LEFT JOIN k ON k.hap = r.hap AND k.metric = r.metric AND k.v = r.value GROUP BY r.hap, r.metric, r.value")
 def g18(spark, d):
-    return stats.frequency(final_candidates(spark, d).withColumn("v", F.size("unmethylated_samples")), "v")
+    u, m = F.size("unmethylated_samples"), F.size("methylated_samples")
+    c = final_candidates(spark, d).select("hap", u.alias("num_unmethylated"), m.alias("num_methylated"), (u + m).alias("total_samples"))
+    return stats.frequency(c, ["num_unmethylated", "num_methylated", "total_samples"], "hap")
 
 
 @query("g19_candidate_stats", f"WITH {EVIDENCE}, k AS (SELECT *, end_pos - start_pos AS size FROM reasoned WHERE reason = 'final') SELECT count(*) AS total, round(avg(len(us)), 6) AS mean_u, median(len(us)) AS median_u, round(avg(len(ms)), 6) AS mean_m, median(len(ms)) AS median_m, round(avg(size), 6) AS mean_size, median(size) AS median_size, CAST(sum(size) AS BIGINT) AS bases FROM k")
@@ -406,7 +437,18 @@ def w3(spark, d):
     return stats.absolute_midpoints(seg(spark, d)).select("chrom", "start_pos", "end_pos", "sample_id", "chrom_offset", "abs_mid")
 
 
-@query("w4_consensus_merge")
+CLUSTER = "STRUCT(s BIGINT, e BIGINT, p VARCHAR[])"
+MERGE = f"""WITH RECURSIVE {ISLANDS.replace('WITH ', '')}, r AS (SELECT chrom, hap, island, start_pos, end_pos, sample_id, row_number() OVER (PARTITION BY chrom, hap, island ORDER BY start_pos, end_pos, sample_id) AS k, count(*) OVER (PARTITION BY chrom, hap, island) AS last FROM numbered),
+ st AS (SELECT DISTINCT chrom, hap, island, 0::BIGINT AS k, []::{CLUSTER}[] AS done, NULL::{CLUSTER} AS cur FROM r
+  UNION ALL SELECT chrom, hap, island, k, CASE WHEN chain THEN done ELSE closed END,
+   CASE WHEN chain THEN CASE WHEN list_contains(cur.p, sample_id) OR len(list_filter(done, lambda d: list_contains(d.p, sample_id) AND start_pos <= d.e + 500 AND end_pos >= d.s - 500)) > 0 THEN cur ELSE {{'s': cur.s, 'e': greatest(cur.e, end_pos), 'p': list_append(cur.p, sample_id)}}::{CLUSTER} END
+    WHEN len(list_filter(closed, lambda d: list_contains(d.p, sample_id) AND start_pos <= d.e + 500 AND end_pos >= d.s - 500)) > 0 THEN NULL ELSE {{'s': start_pos, 'e': end_pos, 'p': [sample_id]}}::{CLUSTER} END
+  FROM (SELECT st.chrom, st.hap, st.island, r.k, r.start_pos, r.end_pos, r.sample_id, st.done, st.cur, st.cur IS NOT NULL AND r.start_pos <= st.cur.e + 500 AS chain, CASE WHEN st.cur IS NULL THEN st.done ELSE list_append(st.done, st.cur) END AS closed FROM st JOIN r ON st.chrom = r.chrom AND st.hap = r.hap AND st.island = r.island AND r.k = st.k + 1)),
+ ended AS (SELECT st.chrom, st.hap, unnest(CASE WHEN cur IS NULL THEN done ELSE list_append(done, cur) END) AS c FROM st JOIN (SELECT DISTINCT chrom, hap, island, last FROM r) l ON st.chrom = l.chrom AND st.hap = l.hap AND st.island = l.island AND st.k = l.last)
+ SELECT chrom, hap, c.s AS start_pos, c.e AS end_pos, array_to_string(list_sort(c.p), ',') AS samples, len(c.p)::INT AS n_regions FROM ended"""
+
+
+@query("w4_consensus_merge", MERGE)
 def w4(spark, d):
     out = K.consensus_merge(seg(spark, d).filter("label = 'U'"), 500, 1)
     return out.withColumn("samples", F.array_join("samples", ","))
@@ -449,7 +491,11 @@ def x17(spark, d):
     return region_scores(spark, d).withColumn("band", C.score_band(F.col("score"))).withColumn("score", R("score"))
 
 
-@query("x19_score_text", f"WITH {MS} SELECT chrom, hap, start_pos, end_pos, printf('%d methylated, %d unmethylated; score %.2f (%s)', m, u, score, {BANDS}) AS explanation FROM scored")
+OF = lambda x: f"round(CASE WHEN m + u > 0 THEN ({x})::DOUBLE / (m + u) ELSE 0.0 END, 3)"
+TEXT = C.EXPLANATION.replace("\n", "' || chr(10) || '")
+
+
+@query("x19_score_text", f"WITH {MS}, f AS (SELECT *, {OF('m')} AS pm, {OF('u')} AS pu, {OF('m - u')} AS gap, round(log2((m + u + 1)::DOUBLE), 3) AS weight FROM scored) SELECT chrom, hap, start_pos, end_pos, printf('{TEXT}', m + u, m, pm, u, pu, gap, weight, gap, weight, round(score, 3), {BANDS}) AS explanation FROM f")
 def x19(spark, d):
     return region_scores(spark, d).select("chrom", "hap", "start_pos", "end_pos", C.score_text(F.col("m"), F.col("u"), F.col("score")).alias("explanation"))
 
@@ -467,12 +513,15 @@ def t4(spark, d):
     return region_scores(spark, d).select(*KEYS, (F.col("m") + F.col("u")).alias("total_samples")).orderBy(F.desc("total_samples"), *KEYS).limit(100)
 
 
-@query("t5_random_sample")
+HASH = "md5(concat_ws('|', '42', chrom, hap, start_pos, end_pos))"
+
+
+@query("t5_random_sample", f"WITH {ISLANDS} SELECT chrom, hap, start_pos, end_pos FROM islands ORDER BY {HASH}, chrom, hap, start_pos, end_pos LIMIT 200")
 def t5(spark, d):
     return stats.random_sample(u_islands(spark, d).select(*KEYS), 200, KEYS)
 
 
-@query("t6_stratified_sample")
+@query("t6_stratified_sample", f"WITH {ISLANDS}, q AS (SELECT chrom, greatest(1, count(*) * 200 // (SELECT count(*) FROM islands)) AS quota FROM islands GROUP BY chrom), r AS (SELECT chrom, hap, start_pos, end_pos, {HASH} AS h, row_number() OVER (PARTITION BY chrom ORDER BY {HASH}, chrom, hap, start_pos, end_pos) AS k FROM islands) SELECT chrom, hap, start_pos, end_pos FROM r JOIN q USING (chrom) WHERE k <= quota ORDER BY h, chrom, hap, start_pos, end_pos LIMIT 200")
 def t6(spark, d):
     return stats.stratified_sample(u_islands(spark, d).select(*KEYS), 200, "chrom", KEYS)
 
@@ -493,9 +542,19 @@ def u6(spark, d):
     return seg(spark, d).select("chrom").union(view(spark, d, "variants").select("chrom")).distinct()
 
 
-@query("a1_pca")
-def a1(spark, d):
+def components_of(spark, d):
+    """Scores and loadings of the share of methylated segments per window of 50 kb and sample; the cohort is a short list."""
     s = seg(spark, d).withColumn("row", F.concat_ws(":", "chrom", F.expr("cast(start_pos div 50000 as string)")))
-    cols = [f"S{i}" for i in range(17)]
+    cols = sorted(r["sample_id"] for r in s.select("sample_id").distinct().collect())
     rate = s.groupBy("row", "sample_id").agg(F.avg(F.when(F.col("label") == "M", 1.0).otherwise(0.0)).alias("v"))
-    return stats.pca(rate, "row", "sample_id", "v", cols, 2).select("row", R(F.abs("pc1"), 4).alias("pc1"), R(F.abs("pc2"), 4).alias("pc2"))
+    return stats.pca(rate, "row", "sample_id", "v", cols, 2)
+
+
+@query("a1_pca")
+def a1(spark, d):
+    return components_of(spark, d)[0].select("row", R(F.abs("pc1"), 4).alias("pc1"), R(F.abs("pc2"), 4).alias("pc2"))
+
+
+@query("a1_pca_loadings")
+def a1_loadings(spark, d):
+    return components_of(spark, d)[1].select("component", "sample_id", R(F.abs("loading"), 4).alias("loading"), R("explained", 4).alias("explained"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import consensus as K
 from ..operators import effects as E
 from ..operators import sinks, states
 from ..sources import files
 from ..sources.scratch import scratch
 from ..sources.views import duck, view
-from .regions import EVIDENCE, ISLANDS, R, final_candidates, query, u_islands
+from .regions import EVIDENCE, ISLANDS, R, final_candidates, query, seg, u_islands
 
 VAR = duck("variants")
 GEN = duck("genotypes")
@@ -24,10 +25,10 @@ def gen(spark, d):
     return view(spark, d, "genotypes")
 
 
-def vcf_file(spark, d):
+def vcf_file(spark, d, vcf_type="small"):
     """Variants of one class as VCF text, one line per site and a column per sample."""
     path = scratch(spark)
-    g = gen(spark, d).filter("vcf_type = 'small'")
+    g = gen(spark, d).filter(F.col("vcf_type") == vcf_type)
     names = [f"S{i}" for i in range(17)]
     wide = g.groupBy("chrom", "pos", "variant_id", "ref", "alt").pivot("sample_id", names).agg(F.first(F.concat("gt", F.lit(":9"))))
     fixed = [F.col("chrom"), F.col("pos").cast("string"), F.col("variant_id"), F.col("ref"), F.col("alt"), F.lit("30"), F.lit("PASS"), F.lit("DP=12"), F.lit("GT:DP")]
@@ -43,10 +44,11 @@ def vcf_file(spark, d):
 GT = "CASE WHEN gt = './.' THEN 'none' ELSE gt END"
 
 
-@query("s10_vcf_scan", f"WITH {GEN} SELECT sample_id, gt, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM genotypes WHERE vcf_type = 'small' GROUP BY ALL")
+@query("s10_vcf_scan", f"WITH {GEN} SELECT vcf_type, sample_id, gt, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM genotypes GROUP BY ALL")
 def s10(spark, d):
-    got = files.read_vcf(spark, vcf_file(spark, d), "small")
-    return got.groupBy("sample_id", "gt").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("positions"))
+    """The files of three classes; there is none of repeats, so that class is skipped."""
+    paths = {t: vcf_file(spark, d, t) for t in ("small", "sv", "cnv")} | {"tr": f"{scratch(spark)}-absent"}
+    return files.read_vcf_classes(spark, paths).groupBy("vcf_type", "sample_id", "gt").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("positions"))
 
 
 @query("s11_reference_chunks", "WITH " + duck("reference_seq") + " SELECT doc_id AS contig, length(seq) AS n, length(seq) - length(replace(seq, 'CG', 'C')) AS n_cg FROM reference_seq WHERE length(seq) > 0")
@@ -111,12 +113,15 @@ def j6(spark, d):
     return out.select("chrom", "pos", "variant_id", "hap", "region_start", "region_end")
 
 
-@query("j8_cohort_merge", f"WITH {GEN} SELECT chrom, pos, ref, alt, string_agg(sample_id || '=' || gt, ',' ORDER BY sample_id, gt) AS genotypes FROM genotypes WHERE vcf_type = 'sv' AND gt <> './.' GROUP BY ALL")
+@query("j8_cohort_merge", f"WITH {GEN}, cohort AS (SELECT DISTINCT sample_id FROM genotypes), sites AS (SELECT DISTINCT vcf_type, chrom, pos, ref, alt FROM genotypes WHERE gt <> './.') SELECT s.vcf_type, s.chrom, s.pos, s.ref, s.alt, string_agg(c.sample_id || '=' || coalesce(g.gt, './.'), ',' ORDER BY c.sample_id, g.gt) AS genotypes FROM sites s CROSS JOIN cohort c LEFT JOIN (SELECT * FROM genotypes WHERE gt <> './.') g ON g.vcf_type = s.vcf_type AND g.chrom = s.chrom AND g.pos = s.pos AND g.ref = s.ref AND g.alt = s.alt AND g.sample_id = c.sample_id GROUP BY ALL")
 def j8(spark, d):
-    """Per-sample tables to one row per site and alleles; a sample that lacks the site is absent from the list."""
-    g = gen(spark, d).filter("vcf_type = 'sv' and gt <> './.'")
-    merged = g.groupBy("chrom", "pos", "ref", "alt").agg(F.array_sort(F.collect_list(F.struct("sample_id", "gt"))).alias("s"))
-    return merged.select("chrom", "pos", "ref", "alt", F.array_join(F.transform("s", lambda x: F.concat(x["sample_id"], F.lit("="), x["gt"])), ",").alias("genotypes"))
+    """Per-sample tables of every class to one row per site and alleles; a sample that lacks the site is ``./.``."""
+    g = gen(spark, d).filter("gt <> './.'")
+    cohort = F.broadcast(gen(spark, d).select("sample_id").distinct().agg(F.array_sort(F.collect_list("sample_id")).alias("cohort")))  # one row, a cohort's names
+    merged = g.groupBy("vcf_type", "chrom", "pos", "ref", "alt").agg(F.collect_list(F.struct("sample_id", "gt")).alias("s")).crossJoin(cohort)
+    absent = F.transform(F.array_except("cohort", F.transform("s", lambda x: x["sample_id"])), lambda n: F.struct(n.alias("sample_id"), F.lit("./.").alias("gt")))
+    all_ = F.array_sort(F.concat("s", absent))
+    return merged.select("vcf_type", "chrom", "pos", "ref", "alt", F.array_join(F.transform(all_, lambda x: F.concat(x["sample_id"], F.lit("="), x["gt"])), ",").alias("genotypes"))
 
 
 @query("g22_retention", f"WITH {VAR} SELECT vcf_type, count(*) AS initial, count(*) FILTER (qual >= 20) AS final, count(*) FILTER (qual < 20) AS removed, round(count(*) FILTER (qual >= 20) * 100.0::DOUBLE / count(*), 6) AS percent FROM variants GROUP BY vcf_type")
@@ -127,40 +132,56 @@ def g22(spark, d):
 
 # nine states over candidate regions
 
-CASES = f"""{EVIDENCE}, {GEN}, cand AS (SELECT * FROM reasoned WHERE reason = 'final' AND hap = 'H1'),
- hits AS (SELECT v.chrom, v.pos, v.variant_id, v.vcf_type, c.start_pos AS region_start, c.end_pos AS region_end, us, ms FROM variants v JOIN cand c ON v.chrom = c.chrom AND v.pos <= c.end_pos AND v.pos + length(v.ref) - 1 >= c.start_pos),
- cells AS (SELECT h.*, g.sample_id, g.gt, CASE WHEN list_contains(us, g.sample_id) AND list_contains(ms, g.sample_id) THEN 'M' WHEN list_contains(ms, g.sample_id) THEN 'M' WHEN list_contains(us, g.sample_id) THEN 'U' ELSE 'X' END AS st, CASE WHEN gt = './.' THEN 'X' WHEN {CARRY.replace('vcf_type', 'h.vcf_type')} THEN '+' ELSE '-' END AS vs FROM hits h JOIN genotypes g ON h.variant_id = g.variant_id AND h.chrom = g.chrom AND h.pos = g.pos)"""
+CASES = f"""{EVIDENCE}, {GEN}, cand AS (SELECT * FROM reasoned WHERE reason = 'final'),
+ hits AS (SELECT v.chrom, v.pos, v.variant_id, v.vcf_type, c.hap, c.start_pos AS region_start, c.end_pos AS region_end, us, ms FROM variants v JOIN cand c ON v.chrom = c.chrom AND v.pos <= c.end_pos AND v.pos + length(v.ref) - 1 >= c.start_pos),
+ cells AS (SELECT h.*, g.sample_id, g.gt, CASE WHEN list_contains(us, g.sample_id) AND list_contains(ms, g.sample_id) THEN 'M' WHEN list_contains(ms, g.sample_id) THEN 'M' WHEN list_contains(us, g.sample_id) THEN 'U' ELSE 'X' END AS st, CASE WHEN gt = './.' THEN 'X' WHEN {CARRY.replace('vcf_type', 'h.vcf_type').replace("'|', 1", "'|', CASE WHEN hap = 'H1' THEN 1 ELSE 2 END")} THEN '+' ELSE '-' END AS vs FROM hits h JOIN genotypes g ON h.variant_id = g.variant_id AND h.chrom = g.chrom AND h.pos = g.pos)"""
 
 
 def cells(spark, d):
-    """Long rows (region, variant, sample, methylation state, genotype) for haplotype H1."""
-    c = final_candidates(spark, d).filter("hap = 'H1'").select("chrom", "hap", "start_pos", "end_pos", "unmethylated_samples", "methylated_samples")
-    hit = states.variants_in_regions(var(spark, d), c).select("chrom", "pos", "variant_id", "vcf_type", "region_start", "region_end", "unmethylated_samples", "methylated_samples")
+    """Long rows (region, variant, sample, methylation state, genotype) of both haplotypes' regions."""
+    c = final_candidates(spark, d).select("chrom", "hap", "start_pos", "end_pos", "unmethylated_samples", "methylated_samples")
+    hit = states.variants_in_regions(var(spark, d), c).select("chrom", "pos", "variant_id", "vcf_type", "hap", "region_start", "region_end", "unmethylated_samples", "methylated_samples")
     j = hit.join(gen(spark, d).select("chrom", "pos", "variant_id", "sample_id", "gt"), ["chrom", "pos", "variant_id"])
     state = F.when(F.array_contains("methylated_samples", F.col("sample_id")), "M").when(F.array_contains("unmethylated_samples", F.col("sample_id")), "U").otherwise("X")
     return j.withColumn("meth_state", state)
 
 
 NINE = ", ".join(f"count(*) FILTER (st = '{m}' AND vs = '{v}') AS {c}" for (m, v), c in {("M", "+"): "m_plus", ("M", "-"): "m_minus", ("M", "X"): "m_none", ("U", "+"): "u_plus", ("U", "-"): "u_minus", ("U", "X"): "u_none", ("X", "+"): "x_plus", ("X", "-"): "x_minus", ("X", "X"): "x_none"}.items())
-CKEYS = ["chrom", "pos", "variant_id", "vcf_type", "region_start", "region_end"]
+CKEYS = ["chrom", "pos", "variant_id", "vcf_type", "hap", "region_start", "region_end"]
+CELLS = {("M", "+"): "m_plus", ("M", "-"): "m_minus", ("M", "X"): "m_none", ("U", "+"): "u_plus", ("U", "-"): "u_minus", ("U", "X"): "u_none", ("X", "+"): "x_plus", ("X", "-"): "x_minus", ("X", "X"): "x_none"}
+NINE_LISTS = ", ".join(f"coalesce(string_agg(sample_id || ':' || gt, ',' ORDER BY sample_id || ':' || gt) FILTER (st = '{m}' AND vs = '{v}'), '.') AS {c}_samples" for (m, v), c in CELLS.items())
 
 
-@query("j7_genotype_state_join", f"WITH {CASES} SELECT chrom, pos, variant_id, region_start, sample_id, st AS meth_state, gt FROM cells")
+@query("j7_genotype_state_join", f"WITH {CASES} SELECT chrom, pos, variant_id, hap, region_start, sample_id, st AS meth_state, gt FROM cells")
 def j7(spark, d):
-    return cells(spark, d).select("chrom", "pos", "variant_id", "region_start", "sample_id", "meth_state", "gt")
+    return cells(spark, d).select("chrom", "pos", "variant_id", "hap", "region_start", "sample_id", "meth_state", "gt")
 
 
-@query("g24_nine_states", f"WITH {CASES} SELECT {', '.join(CKEYS)}, {NINE}, coalesce(string_agg(sample_id || ':' || gt, ',' ORDER BY sample_id || ':' || gt) FILTER (st = 'M' AND vs = '+'), '') AS meth_carriers FROM cells GROUP BY {', '.join(CKEYS)}")
+@query("g24_nine_states", f"WITH {CASES} SELECT {', '.join(CKEYS)}, {NINE}, {NINE_LISTS} FROM cells GROUP BY {', '.join(CKEYS)}")
 def g24(spark, d):
-    out = states.nine_states(cells(spark, d), CKEYS, "H1", C.phased_class(F.col("vcf_type")))
-    return out.withColumn("meth_carriers", F.array_join("meth_carriers", ",")).drop("unmeth_carriers", "unknown_carriers")
+    out = states.nine_states(cells(spark, d), CKEYS, F.col("hap"), C.phased_class(F.col("vcf_type")), lists=True)
+    return out.withColumns({f"{c}_samples": sinks.joined_list(f"{c}_samples") for c in CELLS.values()})
 
 
-@query("u5_no_data_samples", f"WITH {EVIDENCE} SELECT chrom, hap, start_pos, end_pos, array_to_string(list_sort(list_filter(list_transform(range(0, 17), lambda i: 'S' || i), lambda x: NOT list_contains(us, x) AND NOT list_contains(ms, x))), ',') AS samples FROM reasoned WHERE reason = 'final'")
+@query("u5_no_data_samples", f"WITH {EVIDENCE}, cohort AS (SELECT list_sort(list(DISTINCT sample_id)) AS names FROM seg) SELECT chrom, hap, start_pos, end_pos, array_to_string(list_filter(names, lambda x: NOT list_contains(us, x) AND NOT list_contains(ms, x)), ',') AS samples FROM reasoned, cohort WHERE reason = 'final'")
 def u5(spark, d):
-    cohort = F.array(*[F.lit(f"S{i}") for i in range(17)])
-    left = F.array_except(F.array_except(cohort, "methylated_samples"), "unmethylated_samples")
-    return final_candidates(spark, d).select("chrom", "hap", "start_pos", "end_pos", F.array_join(F.array_sort(left), ",").alias("samples"))
+    cohort = F.broadcast(view(spark, d, "segments").select("sample_id").distinct().agg(F.collect_list("sample_id").alias("cohort")))  # one row, a cohort's names
+    left = F.array_except(F.array_except("cohort", "methylated_samples"), "unmethylated_samples")
+    return final_candidates(spark, d).crossJoin(cohort).select("chrom", "hap", "start_pos", "end_pos", F.array_join(F.array_sort(left), ",").alias("samples"))
+
+
+@query("u4_sample_union", f"WITH {EVIDENCE} SELECT chrom, hap, start_pos, end_pos, array_to_string(list_sort(list_distinct(list_concat(us, ms))), ',') AS samples FROM evidence")
+def u4(spark, d):
+    """Samples with data of either state."""
+    e = K.sample_evidence(u_islands(spark, d), seg(spark, d))
+    return e.select("chrom", "hap", "start_pos", "end_pos", F.array_join(F.array_sort(F.array_union("unmethylated_samples", "methylated_samples")), ",").alias("samples"))
+
+
+@query("p19_sample_from_path", f"WITH {duck('segments')} SELECT DISTINCT sample_id AS stem, sample_id AS stripped FROM segments")
+def p19(spark, d):
+    """Sample ids from paths: the file's stem before ``_``, and the name without a known suffix."""
+    path = F.concat(F.lit("/cohort/H1_M/"), F.col("sample_id"), F.lit("_meth_regions.bed"))
+    return seg(spark, d).select(path.alias("path")).distinct().select(files.stem_of(F.col("path")).alias("stem"), files.stem_of(F.col("path"), "_meth_regions.bed").alias("stripped")).distinct()
 
 
 # scores on the association table
@@ -177,7 +198,21 @@ ASSOC = duck("assoc") + """, st AS (SELECT region_id, meth_state AS st, CASE WHE
 
 
 def assoc_totals(spark, d):
-    return states.with_totals(states.nine_states(view(spark, d, "assoc"), ["region_id"], "H1").drop("meth_carriers", "unmeth_carriers", "unknown_carriers"))
+    return states.with_totals(states.nine_states(view(spark, d, "assoc"), ["region_id"], "H1"))
+
+
+def mapped(spark, d, version):
+    """A mapped-variant table, written as TSV, version 2 in a folder per association, and read back."""
+    path = scratch(spark)
+    totals = states.with_totals(states.nine_states(view(spark, d, "assoc"), ["region_id"], "H1", lists=True))
+    out = sinks.mapped_variants(states.scored(totals), ["region_id"], version)
+    out = out.withColumns({f.name: R(f.name, 5) for f in out.schema if f.dataType.typeName() == "double"})
+    sinks.write_tsv(out, path, True, ["association"] if version == "v2" else None)
+    return spark.read.csv(path, sep="\t", header=True, schema=out.schema).select(*out.columns)
+
+
+def ratio_sql(n, t):
+    return f"printf('%d/%d (%.1f%%)', {n}, {t}, CASE WHEN {t} > 0 THEN round({n} * 100.0::DOUBLE / greatest({t}, 1), 1) ELSE 0.0::DOUBLE END)"
 
 
 @query("x8_x9_weights_coverage", f"WITH {ASSOC} SELECT region_id, round(cov1, 6) AS coverage_v1, round(cov2, 6) AS coverage_v2, round(quality, 6) AS quality, w1 AS weight_v1, w2 AS weight_v2 FROM s")
@@ -245,13 +280,72 @@ def t2(spark, d):
     return states.scored(assoc_totals(spark, d)).select("region_id", R("v2_meth", 5).alias("v2_meth"), R("p_value", 7).alias("p_value")).orderBy(F.desc("v2_meth"), "p_value", "region_id")
 
 
-@query("k5_mapped_variants", f"WITH {ASSOC}{V4} SELECT region_id, {CLASS4} AS v4_class, round(sm, 6) AS v4_meth, round(su, 6) AS v4_unmeth FROM v4 WHERE {CLASS4} <> 'no_strong_association'")
+LISTS = ", li AS (SELECT region_id, " + NINE_LISTS + " FROM st GROUP BY region_id)"
+
+
+def _whole(c, version):
+    return ("total" if version != "v3" else "tx") if c == "x_none" else {"m": "tm", "u": "tu", "x": "tx"}[c[0]]
+
+
+def _ratios(version, plain=False):
+    return ", ".join((f"{c} || '/' || {_whole(c, version)}" if plain else ratio_sql(c, _whole(c, version))) + f' AS "{k}"' for k, c in states.STATES.items())
+
+
+SEVEN = "m_plus_samples, u_plus_samples, x_plus_samples, m_none_samples, u_none_samples, x_none_samples"
+FULL = ASSOC.replace("SELECT region_id, meth_state AS st,", "SELECT region_id, sample_id, gt, meth_state AS st,") + LISTS + ", a AS (SELECT *, x_plus + x_minus + x_none AS tx, greatest(0.0, rm - ru) AS em, greatest(0.0, ru - rm) AS eu, -log10(greatest(p, 1e-10)) AS g FROM s JOIN li USING (region_id))"
+
+
+@query("k5_v1_table", f"WITH {FULL} SELECT region_id, round(w1 * (0.4 * rm + 0.6 * (1 - ru)) - 0.1 * log10(greatest(p, 1e-10)), 5) AS v1_meth, round(w1 * (0.4 * ru + 0.6 * (1 - rm)) - 0.1 * log10(greatest(p, 1e-10)), 5) AS v1_unmeth, round(p, 5) AS p_value, {_ratios('v1')}, {SEVEN} FROM a")
+def k5_v1(spark, d):
+    return mapped(spark, d, "v1")
+
+
+V2 = "w2 * (0.5 * em + 0.3 * (1 - eu) + 0.2 * g) AS v2m, w2 * (0.5 * eu + 0.3 * (1 - em) + 0.2 * g) AS v2u"
+
+
+@query("k5_v2_tables", f"WITH {FULL}, b AS (SELECT *, {V2} FROM a) SELECT region_id, CASE WHEN v2m > v2u THEN 'methylated' ELSE 'unmethylated' END AS association, round(v2m, 5) AS v2_meth, round(v2u, 5) AS v2_unmeth, round(p, 5) AS p_value, {_ratios('v2')}, round(cov2, 5) AS data_coverage, round(em, 5) AS meth_enrichment, round(eu, 5) AS unmeth_enrichment, {SEVEN}, x_minus_samples FROM b")
+def k5_v2(spark, d):
+    return mapped(spark, d, "v2")
+
+
+@query("k5_v3_table", f"WITH {FULL}, n AS (SELECT *, (m_plus + u_plus)::DOUBLE AS n, m_plus::DOUBLE / nullif(m_plus + u_plus, 0) AS rate, CASE WHEN m_minus + u_minus > 0 THEN m_minus::DOUBLE / (m_minus + u_minus) ELSE 0 END AS bg FROM a) SELECT region_id, round(greatest(0.0, least(1.0, ((0.5 * (rate - bg) + 0.3 * (1 - sqrt(rate * (1 - rate)) / sqrt(n)) + 0.2 * least(1.0, 2 * cov2)) + 1) / 2 * least(1.0, n / 10))), 5) AS v3, {_ratios('v3', True)}, m_plus_samples, u_plus_samples, x_plus_samples FROM n WHERE n > 0")
+def k5_v3(spark, d):
+    return mapped(spark, d, "v3")
+
+
+@query("k5_simple_table", f"WITH {FULL}, q AS (SELECT *, CASE WHEN m_plus + u_plus >= 5 AND m_minus + u_minus >= 5 AND u_plus = 0 AND m_minus = 0 THEN 'methylated_associated' WHEN m_plus + u_plus >= 5 AND m_minus + u_minus >= 5 AND m_plus = 0 AND u_minus = 0 THEN 'unmethylated_associated' END AS pattern FROM a) SELECT region_id, pattern, m_plus + u_plus AS variant_carriers, m_minus + u_minus AS non_carriers, m_plus + u_plus + m_minus + u_minus AS total_samples, total - m_plus - u_plus - m_minus - u_minus AS missing_data, m_plus_samples, u_plus_samples FROM q WHERE pattern IS NOT NULL")
+def k5_simple(spark, d):
+    return mapped(spark, d, "simple")
+
+
+FULL4 = FULL + V4.replace("FROM s)", "FROM a)")
+
+
+@query("k5_mapped_variants", f"WITH {FULL4}, c4 AS (SELECT *, {CLASS4} AS k FROM v4) SELECT region_id, k AS classification, round(if(k LIKE 'm%', sm, su), 5) AS enrichment_score, round(if(k LIKE 'm%', lm, lu), 5) AS log_odds, least(1.0, if(k LIKE 'm%', nm, nu) / 10)::DOUBLE AS confidence, round(quality, 5) AS quality, round(if(k LIKE 'm%', m_plus / nm, u_plus / nu), 5) AS state_frequency, round(bg, 5) AS background_frequency, (nm + nu)::BIGINT AS complete_samples, total AS total_samples, m_plus_samples, u_plus_samples FROM c4 WHERE k IN ('methylated_associated', 'unmethylated_associated')")
 def k5(spark, d):
-    """The mapped-variant table, written partitioned by class and read back; variants without an association are left out."""
-    path = scratch(spark)
-    out = states.scored(assoc_totals(spark, d)).filter("v4_class <> 'no_strong_association'").select("region_id", R("v4_meth").alias("v4_meth"), R("v4_unmeth").alias("v4_unmeth"), "v4_class")
-    sinks.write_tsv(out, path, True, ["v4_class"])
-    return spark.read.csv(path, sep="\t", header=True, schema="region_id bigint, v4_meth double, v4_unmeth double, v4_class string").select("region_id", "v4_class", "v4_meth", "v4_unmeth")
+    return mapped(spark, d, "v4")
+
+
+TYPE = "CASE region_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'sv' ELSE 'cnv' END"
+
+
+@query("g26_by_type_and_association", f"WITH {ASSOC}{V4}, e AS (SELECT *, greatest(0.0, rm - ru) AS em, greatest(0.0, ru - rm) AS eu, -log10(greatest(p, 1e-10)) AS g FROM v4), f2 AS (SELECT *, {V2} FROM e) SELECT {TYPE} AS vcf_type, CASE WHEN v2m > v2u THEN 'methylated' ELSE 'unmethylated' END AS association, {CLASS4} AS v4_class, count(*) AS n FROM f2 GROUP BY ALL")
+def g26_types(spark, d):
+    s = states.scored(assoc_totals(spark, d)).withColumn("vcf_type", F.expr(TYPE))
+    return s.groupBy("vcf_type", F.col("v2_association").alias("association"), "v4_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k9_variant_report", f"WITH {ASSOC}{V4}, r AS (SELECT {CLASS4} AS k, CASE WHEN {CLASS4} LIKE 'm%' THEN sm ELSE su END AS score, quality FROM v4), x AS (SELECT * FROM r WHERE k IN ('methylated_associated', 'unmethylated_associated')), figures AS (SELECT (SELECT count(*) FROM r)::DOUBLE AS processed, count(*)::DOUBLE AS associated, count(*) FILTER (k LIKE 'm%')::DOUBLE AS methylated_associated, count(*) FILTER (k LIKE 'u%')::DOUBLE AS unmethylated_associated, round(avg(score), 5) AS score_mean, round(median(score), 5) AS score_median, round(stddev_pop(score), 5) AS score_std, round(min(score), 5) AS score_min, round(max(score), 5) AS score_max, round(avg(quality), 5) AS quality_mean, round(median(quality), 5) AS quality_median, count(*) FILTER (quality > 0.8)::DOUBLE AS quality_good FROM x) SELECT metric, value FROM (UNPIVOT figures ON COLUMNS(*) INTO NAME metric VALUE value) UNION ALL SELECT 'excluded', processed - associated FROM figures")
+def k9_variants(spark, d):
+    """The variant report as rows (metric, value)."""
+    s = states.scored(assoc_totals(spark, d))
+    m, u = F.col("v4_class") == "methylated_associated", F.col("v4_class") == "unmethylated_associated"
+    score, quality = F.when(m, F.col("v4_meth")).when(u, F.col("v4_unmeth")), F.when(m | u, F.col("quality"))
+    n = lambda c: F.count_if(c).cast("double")
+    figures = {"processed": F.count(F.lit(1)).cast("double"), "associated": n(m | u), "excluded": n(~(m | u)), "methylated_associated": n(m), "unmethylated_associated": n(u)}
+    figures |= {f"score_{k}": R(f(score), 5) for k, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))}
+    figures |= {"quality_mean": R(F.avg(quality), 5), "quality_median": R(F.median(quality), 5), "quality_good": n(quality > 0.8)}
+    return s.agg(*[v.alias(k) for k, v in figures.items()]).unpivot([], list(figures), "metric", "value")
 
 
 # pileup cleaning
@@ -271,21 +365,52 @@ SITES = f"""{REF}, v0 AS (SELECT o_orderkey, o_custkey, CAST(o_orderkey % (SELEC
  effects AS (SELECT e.* FROM ef0 e LEFT JOIN reference_seq r ON e.contig = r.doc_id WHERE effect <> 'phantom_sites' OR substr(r.seq, CAST(e.pos + 1 AS INT), 2) <> 'CG')"""
 
 
-def changes(spark, d):
-    ref = view(spark, d, "reference_seq").filter("length(seq) > 0")
-    n = view(spark, d, "documents").count()
+def reference(spark, d):
+    """The reference sequences and their chunks, built once and kept as files."""
+    path = scratch(spark)
+    view(spark, d, "reference_seq").filter("length(seq) > 0").write.parquet(path)
+    ref = spark.read.parquet(path)
+    return ref, files.reference_chunks(ref, chunk=65536, overlap=8)
+
+
+def called_variants(spark, d, ref, long=False):
+    """Variants placed on the sequences; ``long`` ones replace up to 40 bases by the first of them."""
+    n = spark.read.parquet(f"{d}/documents.parquet").count()
     o = view(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % n).alias("contig"))
     v = o.join(ref.select(F.col("doc_id").alias("contig"), "seq"), "contig").withColumn("pos", F.col("o_custkey") % F.length("seq") + 1)
-    v = v.select("o_orderkey", "o_custkey", "contig", "pos", F.expr("substring(seq, cast(pos as int), 1)").alias("ref"), F.when(F.col("o_orderkey") % 7 == 0, "CGT").otherwise(F.expr("substring('ACGT', cast(o_custkey % 4 + 1 as int), 1)")).alias("alt"))
+    short = F.when(F.col("o_orderkey") % 7 == 0, "CGT").otherwise(F.expr("substring('ACGT', cast(o_custkey % 4 + 1 as int), 1)"))
+    bases = F.expr("substring(seq, cast(pos as int), " + ("cast(o_orderkey % 40 + 1 as int)" if long else "1") + ")")
+    v = v.select("o_orderkey", "o_custkey", "contig", "pos", bases.alias("ref"), (F.expr("substring(seq, cast(pos as int), 1)") if long else short).alias("alt"))
     key = (F.col("o_orderkey") * 5 + F.col("o_custkey")) % 5
-    v = v.withColumn("sample_id", F.concat(F.lit("S"), (F.col("o_orderkey") % 17).cast("string"))).withColumn("gt", F.when(key == 0, "1|1").when(key == 1, "0|1").when(key == 2, "1|0").when(key == 3, "0/1").otherwise("0|0")).withColumn("phase_set", F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")))
-    chunks = files.reference_chunks(ref, chunk=65536, overlap=8)
-    return E.window_changes(E.variant_windows(v, chunks))
+    return v.withColumn("sample_id", F.concat(F.lit("S"), (F.col("o_orderkey") % 17).cast("string"))).withColumn("gt", F.when(key == 0, "1|1").when(key == 1, "0|1").when(key == 2, "1|0").when(key == 3, "0/1").otherwise("0|0")).withColumn("phase_set", F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")))
+
+
+def changes(spark, d):
+    ref, chunks = reference(spark, d)
+    return E.window_changes(E.variant_windows(called_variants(spark, d, ref), chunks))
 
 
 def effects(spark, d):
-    ref = view(spark, d, "reference_seq").filter("length(seq) > 0")
-    return E.without_reference_phantoms(E.cpg_effects(changes(spark, d)), files.reference_chunks(ref, chunk=65536, overlap=8))
+    ref, chunks = reference(spark, d)
+    found = E.cpg_effects(E.window_changes(E.variant_windows(called_variants(spark, d, ref), chunks)))
+    return E.without_reference_phantoms(found, chunks)
+
+
+LONG = f"""{REF}, v0 AS (SELECT o_orderkey, o_custkey, CAST(o_orderkey % (SELECT n FROM n) AS BIGINT) AS contig FROM orders),
+ v AS (SELECT o_orderkey, contig, CAST(o_custkey % length(seq) + 1 AS BIGINT) AS pos, seq FROM v0 JOIN reference_seq ON contig = doc_id WHERE length(seq) > 0),
+ w AS (SELECT *, substr(seq, pos, CAST(o_orderkey % 40 + 1 AS INT)) AS ref, substr(seq, pos, 1) AS alt, greatest(pos - 3, 0) AS w0 FROM v),
+ x AS (SELECT *, substr(seq, w0 + 1, length(ref) + 4) AS rw, substr(substr(seq, w0 + 1, pos - 1 - w0) || alt || substr(seq, pos + length(ref), w0 + length(ref) + 4 - (pos - 1 + length(ref))), 1, length(substr(seq, w0 + 1, length(ref) + 4))) AS aw FROM w),
+ y AS (SELECT *, list_filter(range(0, length(rw) - 1), lambda i: substr(rw, i + 1, 2) = 'CG') AS rc, list_filter(range(0, length(aw) - 1), lambda i: substr(aw, i + 1, 2) = 'CG') AS ac FROM x)"""
+
+
+@query("j9_long_windows", f"WITH {LONG} SELECT o_orderkey, contig, pos, rw AS ref_window, array_to_string(list_transform(list_filter(rc, lambda i: NOT list_contains(ac, i)), lambda i: i + w0), ',') AS destroyed, array_to_string(list_transform(list_filter(ac, lambda i: NOT list_contains(rc, i)), lambda i: i + w0), ',') AS created FROM y")
+def j9_long(spark, d):
+    """Deletions of up to 40 bases on chunks of 64, so that most windows lie across an edge."""
+    ref, _ = reference(spark, d)
+    chunks = files.reference_chunks(ref, chunk=64, overlap=8)
+    found = E.window_changes(E.variant_windows(called_variants(spark, d, ref, long=True), chunks, chunk=64, overlap=8))
+    j = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return found.select("o_orderkey", "contig", "pos", "ref_window", j("destroyed"), j("created"))
 
 
 @query("j9_x4_x5_x6_window_changes", f"WITH {SITES} SELECT o_orderkey, contig, pos, rw AS ref_window, array_to_string(destroyed, ',') AS destroyed, array_to_string(created, ',') AS created FROM ch")
@@ -305,16 +430,22 @@ def g4(spark, d):
 
 
 # pileup sites against variant sites that share their coordinates
-PQ = f"{duck('pileup', 'genotypes')}, ef AS (SELECT DISTINCT sample_id, CASE WHEN pos % 2 = 0 THEN 'hap1' ELSE 'hap2' END AS hap, chrom, (pos - 1) // 80 * 80 + 11 AS pos, CASE WHEN pos % 3 = 0 THEN 'phantom_sites' WHEN pos % 3 = 1 THEN 'ref_destroyed' ELSE 'denovo_created' END AS effect FROM genotypes WHERE gt IN ('1|1', '0|1')), hit AS (SELECT DISTINCT sample_id, hap, chrom, pos AS start_pos FROM ef WHERE effect IN ('ref_destroyed', 'phantom_sites')), cl AS (SELECT p.*, h.chrom IS NOT NULL AS in_effect, h.chrom IS NOT NULL AND mod_probability > 0.05 AND coverage >= 10 AS preserved FROM pileup p LEFT JOIN hit h ON p.sample_id = h.sample_id AND p.hap = h.hap AND p.chrom = h.chrom AND p.start_pos = h.start_pos)"
+PQ = f"{duck('pileup', 'genotypes')}, ef AS (SELECT DISTINCT sample_id, CASE WHEN pos % 2 = 0 THEN 'hap1' ELSE 'hap2' END AS hap, chrom, (pos - 1) // 80 * 80 + 11 AS pos, CASE WHEN pos % 3 = 0 THEN 'phantom_sites' WHEN pos % 3 = 1 THEN 'ref_destroyed' WHEN gt = '1|1' THEN 'homozygous_denovo' ELSE 'denovo_created' END AS effect FROM genotypes WHERE gt IN ('1|1', '0|1')), vs AS (SELECT DISTINCT sample_id, chrom, (pos - 1) // 80 * 80 + 11 AS start_pos FROM genotypes WHERE vcf_type = 'sv' AND gt IN ('1|1', '0|1')), hit AS (SELECT DISTINCT sample_id, hap, chrom, pos AS start_pos FROM ef WHERE effect IN ('ref_destroyed', 'phantom_sites')), cl AS (SELECT p.*, h.chrom IS NOT NULL AS in_effect, h.chrom IS NOT NULL AND mod_probability > 0.05 AND coverage >= 10 AND vs.chrom IS NULL AS preserved FROM pileup p LEFT JOIN hit h ON p.sample_id = h.sample_id AND p.hap = h.hap AND p.chrom = h.chrom AND p.start_pos = h.start_pos LEFT JOIN vs ON p.sample_id = vs.sample_id AND p.chrom = vs.chrom AND p.start_pos = vs.start_pos)"
 
 
 def site_effects(spark, d):
     g = gen(spark, d).filter("gt in ('1|1', '0|1')")
-    return g.select("sample_id", F.when(F.col("pos") % 2 == 0, "hap1").otherwise("hap2").alias("hap"), "chrom", F.expr("(pos - 1) div 80 * 80 + 11").alias("pos"), F.when(F.col("pos") % 3 == 0, "phantom_sites").when(F.col("pos") % 3 == 1, "ref_destroyed").otherwise("denovo_created").alias("effect")).distinct()
+    return g.select("sample_id", F.when(F.col("pos") % 2 == 0, "hap1").otherwise("hap2").alias("hap"), "chrom", F.expr("(pos - 1) div 80 * 80 + 11").alias("pos"), F.when(F.col("pos") % 3 == 0, "phantom_sites").when(F.col("pos") % 3 == 1, "ref_destroyed").when(F.col("gt") == "1|1", "homozygous_denovo").otherwise("denovo_created").alias("effect")).distinct()
 
 
 def cleaned(spark, d):
-    return E.apply_effects(view(spark, d, "pileup"), site_effects(spark, d), min_prob=0.05)
+    """Pileup sites with their status; the places of structural variants count as variant positions."""
+    sites = gen(spark, d).filter("vcf_type = 'sv' and gt in ('1|1', '0|1')").select("sample_id", "chrom", F.expr("(pos - 1) div 80 * 80 + 11").alias("pos"))
+    return E.apply_effects(view(spark, d, "pileup"), site_effects(spark, d), sites, min_prob=0.05)
+
+
+def qc(spark, d):
+    return E.qc_summary(cleaned(spark, d), site_effects(spark, d))
 
 
 @query("j1_p20_site_exclusion", f"WITH {PQ} SELECT sample_id, hap, chrom, start_pos, in_effect, preserved, CASE WHEN in_effect AND NOT preserved THEN 'excluded' ELSE 'kept' END AS status FROM cl")
@@ -327,18 +458,20 @@ def j2(spark, d):
     return E.apply_effects_combined(view(spark, d, "pileup"), site_effects(spark, d)).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-QC = f"{PQ}, qc AS (SELECT sample_id, hap, count(*) AS total, count(*) FILTER (NOT in_effect OR preserved) AS kept, count(*) FILTER (in_effect AND NOT preserved) AS excluded, count(*) FILTER (preserved) AS preserved FROM cl GROUP BY ALL)"
+EC = ", ".join(f"count(*) FILTER (effect = '{e}') AS {c}" for c, e in E.EFFECT_COUNTERS.items())
+ALL8 = [*E.COUNTERS, *E.EFFECT_COUNTERS]
+QC = f"{PQ}, qs AS (SELECT sample_id, hap, count(*) AS total, count(*) FILTER (NOT in_effect OR preserved) AS kept, count(*) FILTER (in_effect AND NOT preserved) AS excluded, count(*) FILTER (preserved) AS preserved FROM cl GROUP BY ALL), qe AS (SELECT sample_id, hap, {EC} FROM ef GROUP BY ALL), qc AS (SELECT sample_id, hap, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ALL8)} FROM qs FULL JOIN qe USING (sample_id, hap))"
+QL = "l AS (" + " UNION ALL ".join(f"SELECT sample_id, hap, '{c}' AS metric, {c} AS v FROM qc" for c in ALL8) + ")"
 
 
 @query("g3_qc_counters", f"WITH {QC} SELECT * FROM qc")
 def g3(spark, d):
-    return E.qc_summary(cleaned(spark, d))
+    return qc(spark, d)
 
 
-@query("g21_qc_metric_summary", f"WITH {QC}, l AS (SELECT 'kept' AS metric, kept::DOUBLE AS v FROM qc UNION ALL SELECT 'excluded', excluded FROM qc UNION ALL SELECT 'total', total FROM qc) SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM l GROUP BY metric")
+@query("g21_qc_metric_summary", f"WITH {QC}, {QL}, o AS (SELECT metric, avg(v) AS mean, stddev_pop(v) AS std FROM l GROUP BY metric) SELECT sample_id, l.metric, CAST(sum(v) FILTER (hap = 'hap1') AS BIGINT) AS hap1, CAST(sum(v) FILTER (hap = 'hap2') AS BIGINT) AS hap2, round(any_value(mean), 6) AS mean, round(any_value(std), 6) AS std FROM l JOIN o USING (metric) GROUP BY sample_id, l.metric")
 def g21(spark, d):
-    long = E.qc_summary(cleaned(spark, d)).unpivot(["sample_id", "hap"], ["total", "kept", "excluded"], "metric", "v")
-    return long.groupBy("metric").agg(R(F.avg("v")).alias("mean"), R(F.stddev_pop("v")).alias("std"))
+    return E.qc_metrics(qc(spark, d)).withColumn("mean", R("mean")).withColumn("std", R("std"))
 
 
 @query("k3_status_split", f"WITH {QC} SELECT CASE WHEN in_effect AND NOT preserved THEN 'excluded' ELSE 'kept' END AS status, sample_id, hap, count(*) AS n FROM cl GROUP BY ALL")
@@ -348,17 +481,17 @@ def k3(spark, d):
     return spark.read.csv(path, sep="\t", schema="chrom string, start_pos bigint, end_pos bigint, status string, sample_id string, hap string").groupBy("status", "sample_id", "hap").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k6_s13_qc_summary_file", f"WITH {QC} SELECT sample_id, hap, total, kept, excluded, preserved FROM qc")
+@query("k6_s13_qc_summary_file", f"WITH {QC} SELECT * FROM qc")
 def k6(spark, d):
     path = scratch(spark)
-    q = E.qc_summary(cleaned(spark, d))
+    q = qc(spark, d)
     q.orderBy("sample_id", "hap").write.option("header", True).csv(f"{path}/a")
     q.write.option("header", True).csv(f"{path}/b")
     got = files.read_qc_summaries(spark, [f"{path}/a", f"{path}/b"])
-    return got.select("sample_id", "hap", *[F.col(c).cast("bigint").alias(c) for c in ("total", "kept", "excluded", "preserved")])
+    return got.select("sample_id", "hap", *[F.col(c).cast("bigint").alias(c) for c in ALL8])
 
 
-@query("k9_statistics_report", f"WITH {QC} SELECT 'total' AS metric, CAST(sum(total) AS BIGINT) AS value FROM qc UNION ALL SELECT 'kept', CAST(sum(kept) AS BIGINT) FROM qc UNION ALL SELECT 'excluded', CAST(sum(excluded) AS BIGINT) FROM qc UNION ALL SELECT 'preserved', CAST(sum(preserved) AS BIGINT) FROM qc")
+@query("k9_statistics_report", f"WITH {QC}, {QL} SELECT metric, CAST(sum(v) AS BIGINT) AS value FROM l GROUP BY metric")
 def k9(spark, d):
-    t = E.qc_summary(cleaned(spark, d)).agg(*[F.sum(c).alias(c) for c in ("total", "kept", "excluded", "preserved")])
-    return t.unpivot([], ["total", "kept", "excluded", "preserved"], "metric", "value")
+    t = qc(spark, d).agg(*[F.sum(c).alias(c) for c in ALL8])
+    return t.unpivot([], ALL8, "metric", "value")

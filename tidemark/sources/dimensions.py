@@ -10,12 +10,25 @@ CHROM_SIZES = {
     "chr9": 138394717, "chr10": 133797422, "chr11": 135086622, "chr12": 133275309, "chr13": 114364328, "chr14": 107043718, "chr15": 101991189, "chr16": 90338345,
     "chr17": 83257441, "chr18": 80373285, "chr19": 58617616, "chr20": 64444167, "chr21": 46709983, "chr22": 50818468, "chrX": 156040895, "chrY": 57227415,
 }
-#: GRCh38 centromere ranges, in whole kilobases.
+#: GRCh38 centromere ranges in base pairs.
 CENTROMERES = {
-    "chr1": (122026, 124932), "chr2": (92188, 94090), "chr3": (90773, 93655), "chr4": (49712, 51743), "chr5": (46485, 50060), "chr6": (58553, 59830), "chr7": (58169, 61528), "chr8": (44033, 45877),
-    "chr9": (43389, 45518), "chr10": (39686, 41593), "chr11": (51078, 54425), "chr12": (34769, 37185), "chr13": (16000, 18051), "chr14": (16000, 18173), "chr15": (17083, 19725), "chr16": (36311, 38265),
-    "chr17": (22813, 26616), "chr18": (15460, 20861), "chr19": (24498, 27190), "chr20": (25607, 30494), "chr21": (10864, 12915), "chr22": (12954, 15054), "chrX": (58605, 62412), "chrY": (10316, 10544),
+    "chr1": (122026459, 124932724), "chr2": (92188145, 94090557), "chr3": (90772458, 93655574), "chr4": (49712061, 51743951), "chr5": (46485900, 50059807), "chr6": (58553888, 59829934),
+    "chr7": (58169653, 61528020), "chr8": (44033744, 45877265), "chr9": (43389635, 45518558), "chr10": (39686682, 41593521), "chr11": (51078348, 54425074), "chr12": (34769407, 37185252),
+    "chr13": (16000000, 18051248), "chr14": (16000000, 18173523), "chr15": (17083673, 19725254), "chr16": (36311158, 38265669), "chr17": (22813679, 26616164), "chr18": (15460899, 20813083),
+    "chr19": (24498980, 27190874), "chr20": (26436232, 30038348), "chr21": (10864560, 12915808), "chr22": (12954788, 15054318), "chrX": (58605579, 62412542), "chrY": (10316944, 10544039),
 }
+#: GRCh38 special regions, as (chromosome, start, end, name, kind).
+SPECIAL = [
+    ("chr1", 121700000, 125100000, "Heterochromatin", "Heterochromatic"), ("chr9", 42200000, 45500000, "Heterochromatin", "Heterochromatic"), ("chr16", 35335801, 36185801, "Heterochromatin", "Heterochromatic"),
+    ("chr13", 0, 16000000, "Short arm (p)", "Acrocentric"), ("chr14", 0, 16000000, "Short arm (p)", "Acrocentric"), ("chr15", 0, 17000000, "Short arm (p)", "Acrocentric"),
+    ("chr21", 0, 12000000, "Short arm (p)", "Acrocentric"), ("chr22", 0, 14000000, "Short arm (p)", "Acrocentric"),
+    ("chrX", 10000, 2781479, "PAR1", "Pseudoautosomal"), ("chrX", 155701383, 156030895, "PAR2", "Pseudoautosomal"), ("chrY", 10000, 2781479, "PAR1", "Pseudoautosomal"), ("chrY", 56887903, 57217415, "PAR2", "Pseudoautosomal"),
+    ("chrY", 13000000, 59373566, "Heterochromatin", "Heterochromatic"), ("chrY", 14000000, 15000000, "AZFa", "Ampliconic"), ("chrY", 18000000, 24000000, "AZFb", "Ampliconic"), ("chrY", 24000000, 28000000, "AZFc", "Ampliconic"),
+]
+
+
+def _features() -> list[tuple[str, int, int, str, str]]:
+    return [(c, a, b, "Centromere", "Centromere") for c, (a, b) in CENTROMERES.items()] + SPECIAL
 
 
 def chrom_sizes(spark: SparkSession) -> DataFrame:
@@ -23,7 +36,7 @@ def chrom_sizes(spark: SparkSession) -> DataFrame:
 
 
 def features(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, a * 1000, b * 1000, "centromere") for c, (a, b) in CENTROMERES.items()], "chrom string, f_start bigint, f_end bigint, feature string")
+    return spark.createDataFrame(_features(), "chrom string, f_start bigint, f_end bigint, feature string, kind string")
 
 
 def sizes_sql() -> str:
@@ -31,4 +44,4 @@ def sizes_sql() -> str:
 
 
 def features_sql() -> str:
-    return "features(chrom, f_start, f_end, feature) AS (VALUES " + ", ".join(f"('{c}', {a * 1000}::BIGINT, {b * 1000}::BIGINT, 'centromere')" for c, (a, b) in CENTROMERES.items()) + ")"
+    return "features(chrom, f_start, f_end, feature, kind) AS (VALUES " + ", ".join(f"('{c}', {a}::BIGINT, {b}::BIGINT, '{n}', '{k}')" for c, a, b, n, k in _features()) + ")"

@@ -14,6 +14,12 @@ def path_part(pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, group)
 
 
+def stem_of(path: Column, suffix: str | None = None) -> Column:
+    """The sample id in a path: the file's name up to the first ``_`` or ``.``, or without ``suffix``."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.regexp_extract(name, "^[^_.]+", 0) if suffix is None else F.when(F.endswith(name, F.lit(suffix)), F.substring(name, F.lit(1), F.length(name) - len(suffix))).otherwise(name)
+
+
 def read_pileup(spark: SparkSession, path, sample: str = r"([^/_.]+)[^/]*$") -> DataFrame:
     """Headerless nine-column pileup; column pruning reaches the scan."""
     df = spark.read.csv(path, sep="\t", schema=PILEUP)
@@ -78,6 +84,19 @@ def read_vcf(spark: SparkSession, path, vcf_type: str) -> DataFrame:
     return cell.select("chrom", "pos", "variant_id", "ref", "alt", "qual", "filter", "info", "vcf_type", F.col("s.name").alias("sample_id"), F.split(F.col("s.cell"), ":")[0].alias("gt"))
 
 
+def read_vcf_classes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The genotype tables of several variant classes as one; a class whose file or folder is absent is skipped."""
+    out = None
+    for vcf_type, path in paths.items():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            got = read_vcf(spark, path, vcf_type)
+            out = got if out is None else out.unionByName(got)
+    if out is None:
+        raise FileNotFoundError(f"no variant class has a file: {sorted(paths)}")
+    return out
+
+
 def read_sample_list(spark: SparkSession, path, comments: bool = False) -> DataFrame:
     """(ordinal, sample_id) of the non-blank lines in order."""
     df = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "sample_id")).select("line", F.trim("sample_id").alias("sample_id")).filter("sample_id <> ''")

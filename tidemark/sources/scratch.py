@@ -1,4 +1,7 @@
-"""A fresh folder that driver and executors share, for files that a query writes and reads again."""
+"""A fresh folder that driver and executors share, for files that a query writes and reads again.
+
+It lies in spark.checkpoint.dir; only local mode falls back to a temporary folder.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,8 @@ from pyspark.sql import SparkSession
 
 def scratch(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.sparkContext.setCheckpointDir(base)
