@@ -503,6 +503,34 @@ def test_html(spark):
         assert abs(cost(minimum_cut(score, links)) - cost(best)) < 1e-6
 
 
+def test_html_cut_is_minimal_on_pages_without_hints():
+    """Random pages of unlisted class names: the labels cost the least of all labellings, and the cut overrules doubtful blocks."""
+    import itertools
+
+    from tidemark.llm import html_mincut as H
+
+    rng = random.Random(4)
+    words = lambda k: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(k))
+    changed = undecided = 0
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randrange(2, 4)):
+            tag, kind = rng.choice(["div", "section", "ul"]), rng.choice(["zq7", "kx"])
+            inner = "li" if tag == "ul" else rng.choice(["p", "div"])
+            run = "".join(f"<{inner}>{'<a>' * (link := rng.random() < 0.5)}{words(rng.choice([1, 3, 9, 30]))}{'</a>' * link}{rng.choice(['.', ''])}</{inner}>" for _ in range(rng.randrange(1, 5)))
+            parts.append(f"<{tag} class={kind}>{run}</{tag}>")
+        found = H.blocks(f"<body>{''.join(parts)}</body>")
+        score, links = [H.content_score(t, k, p, h) for t, k, _, p, h in found], H.edges(found)
+        cost = lambda keep: sum(abs(s) for s, k in zip(score, keep) if (s > 0) != k) + sum(w for a, b, w in links if keep[a] != keep[b])
+        keep = H.minimum_cut(score, links)
+        assert abs(cost(keep) - min(map(cost, itertools.product([False, True], repeat=len(found))))) < 1e-9
+        changed += sum((s > 0) != k for s, k in zip(score, keep))
+        pull = [sum(w for a, b, w in links if i in (a, b)) for i in range(len(found))]
+        undecided += sum(abs(s) <= w for s, w in zip(score, pull))
+        assert H.main_text(f"<body>{''.join(parts)}</body>") == "\n".join(b[0] for b, k in zip(found, keep) if k)
+    assert changed >= 40 and undecided >= 200
+
+
 def test_language_viterbi():
     from tidemark.llm.langid import label_words, viterbi
 

@@ -6,11 +6,14 @@ words, length and link share gives the cost of either label; the costs are capac
 that follow each other, and blocks of one parent, are joined by smoothness edges that weaken with their distance in
 the tree. The minimum cut, by augmenting paths, separates content from boilerplate. Blocks whose own cost exceeds
 all their edges together keep their label in every minimum cut, so they are folded into their neighbours' costs and
-only undecided blocks enter the flow network. Blocks inside an element that is boilerplate by its kind (menus,
-footers, forms and the like) have a cost that no edge outweighs.
+only undecided blocks enter the flow network. Elements that are boilerplate by their kind (menus, footers, forms and the
+like) or by a class word cost ten, a run of like neighbours can outweigh two to five: so hints usually win, and where a
+page has none the neighbourhood decides the short and doubtful blocks.
 
 Null and empty pages have an empty text. Character references are decoded, white space inside a block becomes one
-space, blocks are joined by one newline in page order. Unclosed and stray tags are tolerated.
+space, blocks are joined by one newline in page order. Unclosed and stray tags are tolerated. Blocks for which both
+labels cost the same count as boilerplate. Each page is read on its own, repeated rows alike; no rows give no rows, and
+columns other than the id, the html and those to keep are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ GOOD = frozenset("article content main post entry story text body maincontent ar
 TOP = frozenset("header topbar topnav branding".split())
 LAYOUT = frozenset("with has no without".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-HARD = 50.0
+HARD, NEAR, PARENT = 10.0, 2.4, 0.8
 
 
 def blocks(html: str) -> list[tuple[str, int, int, tuple[str, ...], float]]:
@@ -108,8 +111,6 @@ def blocks(html: str) -> list[tuple[str, int, int, tuple[str, ...], float]]:
             above = stack[-1][1] if stack else 0.0
             own = own_hint(name, m[3], stack)
             stack.append((name, hint := max(-HARD, min(above + own, HARD))))
-        elif m[3] and HIDDEN.search(m[3]):
-            pass
     flush()
     return out
 
@@ -159,10 +160,10 @@ def edges(found: list) -> list[tuple[int, int, float]]:
         if i:
             before = found[i - 1][3]
             shared = next((k for k, (a, b) in enumerate(zip(before, path)) if a != b), min(len(before), len(path)))
-            out.append((i - 1, i, 1.2 / (1 + len(before) + len(path) - 2 * shared)))
+            out.append((i - 1, i, NEAR / (1 + len(before) + len(path) - 2 * shared)))
         up = path[:-1]
         if up in last and last[up] != i - 1:
-            out.append((last[up], i, 0.4))
+            out.append((last[up], i, PARENT))
         last[up] = i
     return out
 
