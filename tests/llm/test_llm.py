@@ -617,19 +617,50 @@ def test_block_max_search_is_exact():
     index = BlockIndex({f"t{i}": i for i in range(20)}, np.ones(20), block=8)
     vectors = []
     for _ in range(200):
-        t = np.append(np.sort(rng.choice(20, int(rng.integers(1, 5)), replace=False)), 20)
+        t = rng.choice(20, int(rng.integers(1, 6)), replace=False).astype(np.int32)
         w = rng.random(len(t)).round(1) + 0.1
-        vectors.append((t, w / np.sqrt((w**2).sum())))
+        vectors.append((t, (w / np.sqrt((w**2).sum())).astype(np.float32)))
     index.build(vectors, list(range(200)), [0] * 200)
-    dense = np.zeros((200, 21))
+    dense = np.zeros((200, 20))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
     for t, w in vectors[:60]:
-        rows, sims = index.nearest(t, w, 7)
-        q = np.zeros(21)
-        q[t] = w
-        want = np.lexsort((np.arange(200), -np.round(dense @ q, 12)))[:7]
-        assert index.ids[rows].tolist() == want.tolist() and np.allclose(sims, (dense @ q)[want])
+        for skip in (-1, int(rng.integers(0, 200))):
+            rows, sims = index.nearest(t, w, 7, skip)
+            q = np.zeros(20)
+            q[t] = w
+            cosine = dense @ q
+            cosine[index.ids[skip] if skip >= 0 else []] = 0
+            want = [i for i in np.lexsort((np.arange(200), -np.round(cosine, 6)))[:7] if cosine[i] > 0]
+            assert index.ids[rows].tolist() == want and np.allclose(sims, cosine[want], atol=1e-6)
+
+
+def test_toxicity_index_holds_all_examples_and_terms(spark):
+    """Neighbours equal brute-force cosine over the same vectors, also for texts without a telling word; repeated and tied rows."""
+    from tidemark.llm import toxicity_knn as T
+
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(300)]
+    text = lambda i: " ".join(rng.choice(words) for _ in range(40)) + (" vile rotten" if i % 4 == 0 else "")
+    rows = [(i, text(i)) for i in range(300)]
+    rows += [(0, rows[0][1]), (301, rows[1][1]), (302, rows[1][1]), (303, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(0, 1)], "doc_id bigint, toxic int")
+    index = T.fit(docs, labels, "toxic")
+    assert len(index.ids) == 200 and len(index.vocabulary) > 290
+    texts_ = dict(rows[:300])
+    dense = np.zeros((200, len(index.vocabulary)))
+    for i, d in enumerate(index.ids.tolist()):
+        t, w = index.vector(texts_[d])
+        dense[i, t] = w
+    found = {r["doc_id"]: r["evidence"] for r in T.score(docs, index, evidence=15).collect()}
+    for d in (201, 202, 204, 250, 1):
+        t, w = index.vector(texts_[d])
+        cosine = dense[:, t] @ w
+        want = np.lexsort((index.ids, -np.round(cosine, 6)))[:15]
+        assert [e["doc_id"] for e in found[d]] == index.ids[want].tolist() and all(e["cosine"] > 0 for e in found[d])
+    assert found[301] == found[302] == found[1] and found[303] == []
+    assert T.score(docs, T.fit(docs.limit(0), labels, "toxic")).filter("score > 0").count() == 0
 
 
 def test_held_out_accuracy(spark):

@@ -1,19 +1,22 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The terms are words, and word beginnings that occur at least twice or four times (so that inflected forms meet, and
-one chance form isn't enough); one more dimension stands for all other words and grows with their number. The vocabulary are the terms whose association
-with the label over a bounded sample of labelled rows (``sample``, by a hash of the id) has a chi-square of at least
-``min_share`` of the strongest term's, so that a few telling words in a long text aren't drowned; of a word and its
-beginnings the strongest stays, or a longer one that is nearly as strong. Sample rows that are near copies of an earlier one (by a small min-hash sketch) are
-left out of the fit: else every rare word of a much-copied example would look telling.
-Labelled examples that hold such words form an inverted index: examples lie in blocks, each
-term keeps its largest weight per block. A text's blocks are visited by falling upper bound (the block maxima under
-its own weights) until no block can still reach the k-th neighbour, so the neighbours are exact. Their votes, weighted
-by cosine and shrunk towards the base rate by a pseudo weight that leave-one-out loss picks, give a calibrated score;
-the neighbours are the evidence. Texts without vocabulary words get the label share of such examples.
+The terms are all words that occur in two or more rows of a bounded sample of labelled rows (``sample``, by a hash of the
+id), and word beginnings that occur at least twice or four times in a text, where these are telling (so that inflected
+forms meet, and one chance form isn't enough). Association with the label only weights terms: those whose chi-square is
+at least ``min_share`` of the strongest one's keep their TF-IDF weight, of a word and its beginnings the strongest or a
+longer one that is nearly as strong, and all other words have theirs times ``faint``, so that a few telling words in a
+long text aren't drowned. Sample rows that are near copies of an earlier one (by a small min-hash sketch) are left out of
+the fit: else every rare word of a much-copied example would look telling.
+
+All other examples form an inverted index: each term has a posting list of examples and weights, examples lie in blocks,
+and each list keeps its largest weight per block. A text's blocks get an upper bound from these maxima; the blocks
+with the highest bounds are scored first, then all that can still reach the k-th neighbour, so the neighbours are exact.
+Their votes, weighted by cosine and shrunk towards the base rate by a pseudo weight that leave-one-out loss picks, give a
+calibrated score; the neighbours are the evidence. Texts without a known word get the label share of such examples.
 
 The index is bounded by ``sample``, so it may be broadcast. Null texts count as empty. Ties between neighbours go to
-the smaller example id. Without labelled rows the score is 0.
+the smaller example id, ties between terms to the one that sorts first; of repeated labelled rows one counts, and repeated
+texts are scored alike. Labelled rows without an integer id don't count. Without labelled rows the score is 0.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, labelled_sample, map_arrow, ready, texts
 
 WORD = re.compile(r"[^\W_]+")
-MEMO, STEMS, LEVELS, SKETCH, BACKGROUND = 300_000, range(4, 9), (2, 4), 8, 0.3
+MEMO, STEMS, LEVELS, SKETCH, GROUP = 300_000, range(4, 9), (2, 4), 8, 64
 
 
 def stems(word: str) -> list[str]:
@@ -55,97 +58,147 @@ def sketch(text: str) -> list[int]:
     return [int(((h * np.uint64(2 * i + 1) * np.uint64(0x9E3779B1) + np.uint64(i * 77)) & np.uint64(0xFFFFFFFF)).min()) for i in range(SKETCH)]
 
 
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all [start, end), one after the other, and how many each has."""
+    size = ends - starts
+    return np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum()), size
+
+
 class BlockIndex:
-    """Unit TF-IDF vectors of labelled examples, in blocks with per-term maxima."""
+    """Posting lists of the labelled examples' unit TF-IDF vectors, with each list's maxima per block of examples."""
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, block: int = 64):
-        self.vocabulary, self.idf, self.block, self.known = vocabulary, idf, block, {}
-        self.bases: dict[str, list[tuple[int, int]]] = {}
+    def __init__(self, vocabulary: dict[str, int], weight: np.ndarray, block: int = 512):
+        self.vocabulary, self.weight, self.block, self.known = vocabulary, weight, block, {}
+        self.levels: dict[str, list[tuple[int, int]]] = {}
         for term, i in vocabulary.items():
             base, _, least = term.partition("=")
-            self.bases.setdefault(base + "=" if least else base, []).append((int(least or 1), i))
-        self.ids = np.empty(0, dtype=np.int64)
-        self.labels = np.empty(0)
+            if least:
+                self.levels.setdefault(base, []).append((int(least), i))
         self.none, self.base, self.pseudo = 0.0, 0.0, 1.0
-
-    def parts_of(self, word: str) -> tuple[str, ...]:
-        return tuple(t for t in (word, *(f"{x}=" for x in stems(word))) if t in self.bases)
+        self.build([], [], [])
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, unit weights) of a text; the last term stands for all words outside the vocabulary."""
-        words = WORD.findall(text.lower())
-        known, n = self.known, {}
-        for w in set(words):
-            parts = known.get(w)
-            if parts is None:
+        """(terms, unit weights) of a text."""
+        hits, n, known = {}, {}, self.known
+        for w, times in Counter(WORD.findall(text.lower())).items():
+            found = known.get(w)
+            if found is None:
                 if len(known) >= MEMO:
                     known.clear()
-                parts = known[w] = self.parts_of(w)
-            if parts:
-                times = words.count(w)
-                for t in parts:
-                    n[t] = n.get(t, 0) + times
-        hits = {i: k for t, k in n.items() for least, i in self.bases[t] if k >= least}
+                found = known[w] = (self.vocabulary.get(w, -1), tuple(x for x in stems(w) if x in self.levels))
+            if found[0] >= 0:
+                hits[found[0]] = times
+            for x in found[1]:
+                n[x] = n.get(x, 0) + times
+        for x, times in n.items():
+            hits.update((i, times) for least, i in self.levels[x] if times >= least)
         if not hits:
-            return np.empty(0, dtype=np.int64), np.empty(0)
-        terms = np.array([*sorted(hits), len(self.idf)], dtype=np.int64)
-        weights = np.append((1 + np.log([hits[t] for t in terms[:-1].tolist()])) * self.idf[terms[:-1]], BACKGROUND * np.log1p(len(words)))
-        return terms, weights / np.sqrt((weights**2).sum())
+            return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32)
+        terms = np.fromiter(hits, np.int32, len(hits))
+        weights = (1 + np.log(np.fromiter(hits.values(), float, len(hits)))) * self.weight[terms]
+        return terms, (weights / np.sqrt((weights**2).sum())).astype(np.float32)
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: list[int]) -> None:
-        """Examples with the same leading term share blocks, so that block maxima tell them apart."""
+        """Examples with the same leading term lie together, so that block maxima tell blocks apart."""
         order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), ids[i]))
-        n, width = len(order), len(self.vocabulary) + 1
-        blocks = -(-n // self.block)
-        self.weights = np.zeros((blocks * self.block, width))
-        for row, i in enumerate(order):
-            self.weights[row, vectors[i][0]] = vectors[i][1]
-        self.weights = self.weights.reshape(blocks, self.block, width)
-        self.largest = self.weights.max(axis=1) if blocks else np.zeros((0, width))
         self.ids, self.labels = np.array([ids[i] for i in order], dtype=np.int64), np.array([labels[i] for i in order], dtype=float)
+        none = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.float32)]
+        terms, weights = (np.concatenate([vectors[i][k] for i in order] or none[k]) for k in (0, 1))
+        rows = np.repeat(np.arange(len(order)), np.array([len(vectors[i][0]) for i in order], dtype=np.int64))
+        at = np.argsort(terms, kind="stable")
+        terms, self.rows, self.values = terms[at], rows[at], weights[at]
+        # one cell for each list and block: its block, its maximum, and where its postings begin
+        own = self.rows // self.block
+        first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (own[1:] != own[:-1])])) if len(terms) else np.empty(0, dtype=np.int64)
+        self.cell_block, self.cell_start = own[first], np.append(first, len(terms))
+        self.cell_top = np.maximum.reduceat(self.values, first) if len(first) else np.empty(0, dtype=np.float32)
+        self.lists = np.searchsorted(terms[first], np.arange(len(self.vocabulary) + 1))
+        # lists that hold a tenth of the examples are kept as rows of weights
+        size = np.bincount(terms, minlength=len(self.vocabulary))
+        common = np.flatnonzero(size * 10 > len(order))
+        self.common = np.full(len(self.vocabulary), -1)
+        self.common[common] = np.arange(len(common))
+        self.full = np.zeros((len(common), len(order)), dtype=np.float32)
+        at = np.flatnonzero(self.common[terms] >= 0)
+        self.full[self.common[terms[at]], self.rows[at]] = self.values[at]
+
+    def scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cosines) of the examples in these blocks (a flag each); ``start``: what the common terms give, if known."""
+        at, whole = self.common[terms], blocks.all()
+        rare = at < 0
+        cells, size = ranges(self.lists[terms[rare]], self.lists[terms[rare] + 1])
+        own = np.repeat(weights[rare], size)
+        if not whole:
+            part = blocks[self.cell_block[cells]]
+            cells, own = cells[part], own[part]
+        postings, size = ranges(self.cell_start[cells], self.cell_start[cells + 1])
+        total = np.bincount(self.rows[postings], self.values[postings] * np.repeat(own, size), len(self.ids)).astype(np.float64, copy=False)
+        if start is None:
+            row = self.common_weights(terms, weights)
+            for b in np.flatnonzero(blocks):
+                total[b * self.block : (b + 1) * self.block] += row @ self.full[:, b * self.block : (b + 1) * self.block]
+        else:
+            total += start
+        found = np.flatnonzero(total > 0)
+        return found, total[found]
+
+    def common_weights(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        at, out = self.common[terms], np.zeros(len(self.full), dtype=np.float32)
+        out[at[at >= 0]] = weights[at >= 0]
+        return out
+
+    def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the cosine with an example of each block can't exceed."""
+        cells, size = ranges(self.lists[terms], self.lists[terms + 1])
+        return np.bincount(self.cell_block[cells], self.cell_top[cells] * np.repeat(weights, size), -(-len(self.ids) // self.block)).astype(np.float64, copy=False)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the k nearest examples with a positive cosine; ``skip`` is left out."""
-        bounds = self.largest[:, terms] @ weights
-        rows, sims, floor = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(rows) >= k and bounds[b] < floor - 1e-12:
-                break
-            got = self.weights[b][:, terms] @ weights
-            hit = np.flatnonzero(got > 0) if len(rows) < k else np.flatnonzero(got >= floor - 1e-12)
-            at = hit + b * self.block
-            keep = (at < len(self.ids)) & (at != skip)
-            rows, sims = np.concatenate([rows, at[keep]]), np.concatenate([sims, got[hit[keep]]])
-            if len(rows) > k:
-                top = np.lexsort((self.ids[rows], -np.round(sims, 12)))[:k]
-                rows, sims = rows[top], sims[top]
-            if len(rows) >= k:
-                floor = sims.min()
-        top = np.lexsort((self.ids[rows], -np.round(sims, 12)))
-        return rows[top], sims[top]
+        return self.nearest_of([(terms, weights)], k, [skip])[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skips: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As ``nearest``, of several texts: where no blocks stand out, their common terms are multiplied together."""
+        limits = [self.bounds(*v) for v in vectors]
+        firsts = [(b > 0) & (b >= b.max(initial=0) / 2) for b in limits]  # where few blocks stand out, they set the limit for the others
+        flat = [i for i, f in enumerate(firsts) if 2 * f.sum() > len(f)]
+        shared = np.stack([self.common_weights(*vectors[i]) for i in flat]) @ self.full if flat else None
+        place = {i: n for n, i in enumerate(flat)}
+        out = []
+        for i, ((terms, weights), bounds, now, skip) in enumerate(zip(vectors, limits, firsts, skips)):
+            rows, sims, floor, done = np.empty(0, dtype=np.int64), np.empty(0), 0.0, np.zeros(len(bounds), dtype=bool)
+            start = None
+            if i in place:
+                now, start = np.ones(len(bounds), dtype=bool), shared[place[i]]
+            while now.any():
+                more, cosines = self.scored(terms, weights, now, start)
+                done |= now
+                keep = more != skip
+                rows, sims = np.concatenate([rows, more[keep]]), np.concatenate([sims, cosines[keep]])
+                if len(rows) > k:
+                    floor = np.partition(sims, len(sims) - k)[len(sims) - k]
+                now = ~done & (bounds > 0) & (bounds >= floor - 1e-6)
+            close = sims >= floor - 1e-6
+            rows, sims = rows[close], sims[close]
+            top = np.lexsort((self.ids[rows], -np.round(sims, 6)))[:k]
+            out.append((rows[top], sims[top]))
+        return out
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
         if not len(rows):
             return self.none
         return float((sims @ self.labels[rows] + self.pseudo * self.base) / (sims.sum() + self.pseudo))
 
-    def calibrate(self, k: int, base: float, none: float) -> None:
-        """The pseudo weight with the least leave-one-out log loss."""
+    def calibrate(self, votes: np.ndarray, base: float, none: float) -> None:
+        """The pseudo weight with the least log loss; votes: label, sum of cosines with label 1 and of all, of each example without itself."""
         self.base, self.none = base, none
-        found = []
-        for row in range(len(self.ids)):
-            w = self.weights[row // self.block, row % self.block]
-            terms = np.flatnonzero(w)
-            found.append(self.nearest(terms, w[terms], k, skip=row))
         best = (np.inf, 1.0)
         for pseudo in (0.1, 0.25, 0.5, 1.0, 2.0):
-            self.pseudo = pseudo
-            p = np.clip([self.vote(*f) for f in found], 1e-4, 1 - 1e-4) if found else np.empty(0)
-            best = min(best, (float(-(self.labels * np.log(p) + (1 - self.labels) * np.log(1 - p)).sum()), pseudo))
+            p = np.clip((votes[:, 1] + pseudo * base) / (votes[:, 2] + pseudo), 1e-4, 1 - 1e-4)
+            best = min(best, (float(-(votes[:, 0] * np.log(p) + (1 - votes[:, 0]) * np.log(1 - p)).sum()), pseudo))
         self.pseudo = best[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, k: int = 15, sample: int = 10_000, min_rows: int = 5, min_share: float = 0.04, text_col: str = "text", id_col: str = "doc_id") -> BlockIndex:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, k: int = 15, sample: int = 10_000, min_rows: int = 5, min_share: float = 0.04, faint: float = 0.01, text_col: str = "text", id_col: str = "doc_id") -> BlockIndex:
     """Vocabulary, index and calibration from at most ``sample`` labelled rows."""
     spark = docs.sparkSession
     ready(spark)
@@ -182,7 +235,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, k: int = 15, sample:
     n = pos + neg
     if not pos or not neg:
         out = BlockIndex({}, np.empty(0))
-        out.build([], [], [])
         out.base = out.none = pos / n if n else 0.0
         return out
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
@@ -199,23 +251,39 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, k: int = 15, sample:
         r = max(chain, key=lambda x: (len(x["word"].partition("=")[0]), x["word"]))
         best.append(r)
         taken.append(r["word"].partition("=")[0])
-    vocabulary = {r["word"]: i for i, r in enumerate(best)}
-    idf = np.array([np.log((1 + n) / (1 + r["a"] + r["b"])) + 1 for r in best])
-    index = BlockIndex(vocabulary, idf)
+    telling = {r["word"] for r in best}
+    listed = per_word.filter((F.col("word") != "") & (a + b >= 2) & (~F.contains("word", F.lit("=")) | F.col("word").isin(list(telling)))).select("word", (a + b).alias("n")).toPandas().sort_values("word")
+    vocabulary = {w: i for i, w in enumerate(listed["word"])}
+    gain = np.array([1.0 if w in telling else faint for w in listed["word"]])
+    index = BlockIndex(vocabulary, (np.log((1 + n) / (1 + listed["n"].to_numpy(dtype=float))) + 1) * gain)
     shared = spark.sparkContext.broadcast(index)
 
     def vectors(batches):
         for b in batches:
             got = [shared.value.vector(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([t.tolist() for t, _ in got], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in got], pa.list_(pa.float64()))], ["doc_id", "label", "terms", "weights"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([t.tobytes() for t, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())], ["doc_id", "label", "terms", "weights"])
 
-    got = sorted(map_arrow(rows, vectors, "doc_id long, label int, terms array<long>, weights array<double>").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
-    got = [r for r in got if r["doc_id"] in fresh]
+    kept_rows = cut(map_arrow(rows.dropDuplicates(["doc_id"]), vectors, "doc_id long, label int, terms binary, weights binary").filter(F.col("doc_id").isNotNull()))
+    got = [r for r in sorted(kept_rows.collect(), key=lambda r: r["doc_id"]) if r["doc_id"] in fresh]
+    unpacked = lambda r: (np.frombuffer(r["terms"], dtype=np.int32), np.frombuffer(r["weights"], dtype=np.float32))
     held = [r for r in got if r["terms"]]
     without = [r["label"] for r in got if not r["terms"]]
-    index.build([(np.array(r["terms"]), np.array(r["weights"])) for r in held], [r["doc_id"] for r in held], [r["label"] for r in held])
-    index.known.clear()
-    index.calibrate(k, pos / n, (sum(without) + 0.5 * pos / n) / (len(without) + 0.5))
+    index.build([unpacked(r) for r in held], [r["doc_id"] for r in held], [r["label"] for r in held])
+    full = spark.sparkContext.broadcast(index)
+
+    def votes(batches):
+        own = {d: i for i, d in enumerate(full.value.ids.tolist())}
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if r["doc_id"] in own:
+                    found, sims = full.value.nearest(*unpacked(r), k, skip=own[r["doc_id"]])
+                    out.append((float(r["label"]), float(sims @ full.value.labels[found]), float(sims.sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in (zip(*out) if out else [()] * 3)], ["label", "with", "all"])
+
+    left_out = map_arrow(kept_rows, votes, "label double, with double, all double").toPandas().to_numpy(dtype=float).reshape(-1, 3)
+    base = pos / n
+    index.calibrate(left_out, base, (sum(without) + 0.5 * base) / (len(without) + 0.5))
     return index
 
 
@@ -230,14 +298,12 @@ def score(docs: DataFrame, index: BlockIndex, k: int = 15, evidence: int = 3, id
         index = shared.value
         for b in batches:
             scores, why = [], []
-            for t in b.column(1).to_pylist():
-                terms, weights = index.vector(t)
-                if not len(terms):
-                    scores.append(index.none), why.append([])
-                    continue
-                rows, sims = index.nearest(terms, weights, k)
-                scores.append(index.vote(rows, sims))
-                why.append([{"doc_id": int(index.ids[r]), "cosine": float(s), "label": int(index.labels[r])} for r, s in zip(rows[:evidence], sims[:evidence])])
+            texts_ = b.column(1).to_pylist()
+            for i in range(0, len(texts_), GROUP):
+                vectors = [index.vector(t) for t in texts_[i : i + GROUP]]
+                for rows, sims in index.nearest_of(vectors, k, [-1] * len(vectors)):
+                    scores.append(index.vote(rows, sims))
+                    why.append([{"doc_id": int(index.ids[r]), "cosine": float(s), "label": int(index.labels[r])} for r, s in zip(rows[:evidence], sims[:evidence])])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(why, kind)], ["doc_id", "score", "evidence"])
 
     src = texts(docs, id_col, text_col)
