@@ -58,6 +58,12 @@ def test_bpe_equals_the_library(spark, name):
     texts = texts_of(df)
     for r in bpe.encode(df, path).collect():
         assert r["ids"] == t.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+    few = bpe.Memo(size=100, letters=50)
+    coder = bpe.load(path)
+    coder.chunk, coder.word = few, bpe.Memo(size=100, letters=50)  # memos that are full all the time change nothing
+    for x in list(texts.values())[:40]:
+        assert np.frombuffer(coder.encode(x), dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    bpe.load.cache_clear()
     if name.startswith("byte"):
         for r in bpe.decode(bpe.encode(df, path), path).collect():
             assert r["text"] == texts[r["doc_id"]]
@@ -130,6 +136,8 @@ def test_packing(spark):
         assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 512
     assert len(bins) <= got.length.sum() / 512 * 1.05 + 5
     assert pack_documents(empty(spark), path).count() == 0
+    twice = pack_documents(df.unionByName(df), path, size=512).toPandas()  # repeated rows are packed as often as they occur
+    assert len(twice) == 2 * len(got) and twice.length.sum() == 2 * got.length.sum()
 
 
 def test_packing_many_mixed_lengths(spark):
@@ -359,7 +367,20 @@ def test_frequent_passages_take_the_other_route(spark):
     passage = text(80)
     docs = [(i, " ".join(text(40) + passage + text(40))) for i in range(60)]
     got = shared_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
-    assert {r["doc_id"] for r in got if r["ref_id"] == 0 and r["end"] - r["start"] >= 80} == set(range(1, 60)) and len(got) <= 180
+    assert {r["doc_id"] for r in got if r["ref_id"] == 0 and r["end"] - r["start"] >= 80} == set(range(1, 60)) and len(got) <= 240
+
+
+@pytest.mark.parametrize("copies", [4, 60])
+def test_part_holder_does_not_hide_a_passage(spark, copies):
+    """An earlier document holds 47 of a passage's 55 words; with few and with many holders of the whole."""
+    from tidemark.llm.substring_dedup import shared_passages
+
+    rng = random.Random(copies)
+    text = lambda k: [f"{rng.randrange(10**6)}" for _ in range(k)]
+    passage = text(55)
+    docs = [(3, " ".join(text(70) + passage[:47] + text(70)))] + [(10 + i, " ".join(text(60) + passage + text(60))) for i in range(copies)]
+    got = shared_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in got if r["end"] - r["start"] >= 55} == set(range(11, 10 + copies))
 
 
 @pytest.mark.parametrize("identity", [0.82, 0.85, 0.9])
