@@ -7,7 +7,8 @@ quadratic, so longer words use a heap over a linked list with the same merge ord
 Texts are cut at white space; the ids of a chunk are kept in a two-generation memo of bounded size, so a frequent
 chunk is merged once per worker. New words of up to ``LONG`` bytes are merged together, as flat arrays with one span
 per word. Texts whose white space makes chunks depend on their neighbours take the full
-pattern. Null texts count as empty; empty texts have no ids.
+pattern. Null texts count as empty; empty texts have no ids. Each row is coded on its own, repeated rows alike; no rows
+give no rows, and extra columns are not read.
 """
 
 from __future__ import annotations
@@ -176,15 +177,15 @@ class PairTable:
 
 
 class Memo:
-    """At most two generations of ``size`` entries; what is in use moves to the young one."""
+    """At most two generations of ``size`` entries and about ``letters`` letters, but for one call's; what is in use moves to the young one."""
 
-    def __init__(self, size: int = MEMO):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, size: int = MEMO, letters: int = 8_000_000):
+        self.size, self.letters, self.held, self.young, self.old = size, letters, 0, {}, {}
 
     def missing(self, keys: set) -> list:
         """The keys without a value; all others are in the young generation afterwards."""
-        if len(self.young) + len(keys) > self.size:
-            self.old, self.young = self.young, {}
+        if len(self.young) + len(keys) > self.size or self.held > self.letters:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old, out = self.young, self.old, []
         for k in keys:
             if k in young:
@@ -194,6 +195,7 @@ class Memo:
                 out.append(k)
             else:
                 young[k] = v
+        self.held += sum(map(len, out))
         return out
 
 

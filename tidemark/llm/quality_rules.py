@@ -8,6 +8,7 @@ pass without Python.
 
 Null texts count as empty; empty texts are scored like any other. With no labelled row, or one class only, the score
 is the smoothed share of label 1. Ties between equally good splits go to the first statistic and smallest threshold.
+Repeated rows are scored alike, of several labels of one id the smallest counts, and no rows give no rows.
 """
 
 from __future__ import annotations
