@@ -75,6 +75,7 @@ class BlockIndex:
             if least:
                 self.levels.setdefault(base, []).append((int(least), i))
         self.none, self.base, self.pseudo = 0.0, 0.0, 1.0
+        self.shared = None  # the broadcast, once there is one
         self.build([], [], [])
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -107,21 +108,36 @@ class BlockIndex:
         rows = np.repeat(np.arange(len(order)), np.array([len(vectors[i][0]) for i in order], dtype=np.int64))
         at = np.argsort(terms, kind="stable")
         terms, self.rows, self.values = terms[at], rows[at], weights[at]
-        # one cell for each list and block: its block, its maximum, and where its postings begin
+        self.size = np.bincount(terms, minlength=len(self.vocabulary))
+        self.arrange()
+
+    def arrange(self) -> None:
+        """What follows from the posting lists: their cells and maxima per block, and the common lists as rows of weights."""
+        terms = np.repeat(np.arange(len(self.size)), self.size)
         own = self.rows // self.block
+        # one cell for each list and block: its block, its maximum, and where its postings begin
         first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (own[1:] != own[:-1])])) if len(terms) else np.empty(0, dtype=np.int64)
         self.cell_block, self.cell_start = own[first], np.append(first, len(terms))
         self.cell_top = np.maximum.reduceat(self.values, first) if len(first) else np.empty(0, dtype=np.float32)
-        self.lists = np.searchsorted(terms[first], np.arange(len(self.vocabulary) + 1))
+        self.lists = np.searchsorted(terms[first], np.arange(len(self.size) + 1))
         # lists that hold a tenth of the examples are kept as rows of weights
-        size = np.bincount(terms, minlength=len(self.vocabulary))
-        common = np.flatnonzero(size * 10 > len(order))
-        self.common = np.full(len(self.vocabulary), -1)
+        common = np.flatnonzero(self.size * 10 > len(self.ids))
+        self.common = np.full(len(self.size), -1)
         self.common[common] = np.arange(len(common))
-        self.full = np.zeros((len(common), len(order)), dtype=np.float32)
+        self.full = np.zeros((len(common), len(self.ids)), dtype=np.float32)
         at = np.flatnonzero(self.common[terms] >= 0)
         self.full[self.common[terms[at]], self.rows[at]] = self.values[at]
 
+    KEPT = ("vocabulary", "weight", "block", "levels", "values", "size", "ids", "labels", "none", "base", "pseudo")
+
+    def __getstate__(self) -> dict:
+        """Only the lists travel; a worker arranges them itself."""
+        return {k: self.__dict__[k] for k in self.KEPT} | {"rows": self.rows.astype(np.int32)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"rows": state["rows"].astype(np.int64), "known": {}, "shared": None}
+        self.arrange()
+
     def scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the examples in these blocks (a flag each); ``start``: what the common terms give, if known."""
         at, whole = self.common[terms], blocks.all()
@@ -269,6 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, k: int = 15, sample:
     held = [r for r in got if r["terms"]]
     without = [r["label"] for r in got if not r["terms"]]
     index.build([unpacked(r) for r in held], [r["doc_id"] for r in held], [r["label"] for r in held])
+    shared.unpersist()
     full = spark.sparkContext.broadcast(index)
 
     def votes(batches):
@@ -284,6 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, k: int = 15, sample:
     left_out = map_arrow(kept_rows, votes, "label double, with double, all double").toPandas().to_numpy(dtype=float).reshape(-1, 3)
     base = pos / n
     index.calibrate(left_out, base, (sum(without) + 0.5 * base) / (len(without) + 0.5))
+    index.shared = full
     return index
 
 
@@ -291,11 +309,12 @@ def score(docs: DataFrame, index: BlockIndex, k: int = 15, evidence: int = 3, id
     """(doc_id, score, evidence): evidence are the nearest examples' ids, cosines and labels."""
     spark = docs.sparkSession
     ready(spark)
-    shared = spark.sparkContext.broadcast(index)
+    shared, votes = index.shared or spark.sparkContext.broadcast(index), {k: getattr(index, k) for k in ("none", "base", "pseudo")}
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches):
         index = shared.value
+        index.__dict__ |= votes  # the votes were calibrated after the lists had been sent
         for b in batches:
             scores, why = [], []
             texts_ = b.column(1).to_pylist()
