@@ -50,8 +50,15 @@ def u_islands(spark, d):
     return K.islands(seg(spark, d).filter("label = 'U'"), 500)
 
 
+def kept_islands(spark, d):
+    """Islands kept as files: the joins that follow read them several times."""
+    path = scratch(spark)
+    u_islands(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def final_candidates(spark, d):
-    return K.candidates(u_islands(spark, d), seg(spark, d))
+    return K.candidates(kept_islands(spark, d), seg(spark, d))
 
 
 CAND = "array_to_string(us, ',') AS unmethylated_samples, array_to_string(ms, ',') AS methylated_samples"
@@ -156,7 +163,7 @@ def k1(spark, d):
 
 @query("k2_candidate_sink", f"WITH {EVIDENCE} SELECT chrom, start_pos, end_pos, end_pos - start_pos AS size, len(us) AS num_unmethylated, len(ms) AS num_methylated, CASE WHEN len(us) = 0 THEN '.' ELSE array_to_string(us, ',') END AS unmethylated_samples, CASE WHEN len(ms) = 0 THEN '.' ELSE array_to_string(ms, ',') END AS methylated_samples FROM evidence")
 def k2(spark, d):
-    path = wrote(spark, sinks.candidate_table(K.sample_evidence(u_islands(spark, d), seg(spark, d))), header=True)
+    path = wrote(spark, sinks.candidate_table(K.sample_evidence(kept_islands(spark, d), seg(spark, d))), header=True)
     return spark.read.csv(path, sep="\t", header=True, schema="chrom string, start_pos bigint, end_pos bigint, size bigint, num_unmethylated bigint, num_methylated bigint, unmethylated_samples string, methylated_samples string")
 
 
@@ -231,7 +238,7 @@ def j4(spark, d):
 
 @query("j5_superset_check", f"WITH {EVIDENCE} SELECT chrom, hap, start_pos, end_pos, len(list_filter(samples, lambda x: NOT list_contains(us, x))) = 0 AS consistent FROM evidence")
 def j5(spark, d):
-    e = K.sample_evidence(u_islands(spark, d), seg(spark, d))
+    e = K.sample_evidence(kept_islands(spark, d), seg(spark, d))
     return e.select("chrom", "hap", "start_pos", "end_pos", (F.size(F.array_except("samples", "unmethylated_samples")) == 0).alias("consistent"))
 
 
@@ -402,7 +409,7 @@ def g20(spark, d):
 
 @query("g23_filter_reasons", f"WITH {EVIDENCE} SELECT reason, count(*) AS n FROM reasoned GROUP BY reason")
 def g23(spark, d):
-    return K.reasons(K.sample_evidence(u_islands(spark, d), seg(spark, d))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return K.reasons(K.sample_evidence(kept_islands(spark, d), seg(spark, d))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("g28_mean_size_by_group", f"WITH {SEG} SELECT sample_id, hap, label, round(avg(size), 6) AS mean_size, count(*) AS n FROM seg GROUP BY ALL")
@@ -481,7 +488,7 @@ BANDS = "CASE WHEN score > 1 THEN 'Strongly Methylated' WHEN score > 0.5 THEN 'M
 
 
 def region_scores(spark, d):
-    e = K.sample_evidence(u_islands(spark, d), seg(spark, d))
+    e = K.sample_evidence(kept_islands(spark, d), seg(spark, d))
     m, u = F.size("methylated_samples"), F.size("unmethylated_samples")
     return e.select("chrom", "hap", "start_pos", "end_pos", m.cast("bigint").alias("m"), u.cast("bigint").alias("u"), C.region_score(m, u).alias("score"))
 

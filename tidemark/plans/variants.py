@@ -11,7 +11,7 @@ from ..operators import sinks, states
 from ..sources import files
 from ..sources.scratch import scratch
 from ..sources.views import duck, view
-from .regions import EVIDENCE, ISLANDS, R, final_candidates, query, seg, u_islands
+from .regions import EVIDENCE, ISLANDS, R, final_candidates, kept_islands, query, seg, u_islands
 
 VAR = duck("variants")
 GEN = duck("genotypes")
@@ -173,7 +173,7 @@ def u5(spark, d):
 @query("u4_sample_union", f"WITH {EVIDENCE} SELECT chrom, hap, start_pos, end_pos, array_to_string(list_sort(list_distinct(list_concat(us, ms))), ',') AS samples FROM evidence")
 def u4(spark, d):
     """Samples with data of either state."""
-    e = K.sample_evidence(u_islands(spark, d), seg(spark, d))
+    e = K.sample_evidence(kept_islands(spark, d), seg(spark, d))
     return e.select("chrom", "hap", "start_pos", "end_pos", F.array_join(F.array_sort(F.array_union("unmethylated_samples", "methylated_samples")), ",").alias("samples"))
 
 
