@@ -476,6 +476,20 @@ def test_ann_recall_and_ties(spark):
     assert search(df.filter("vec_id > 2000"), lambda i: i % 20 == 0).count() == 0
 
 
+def test_ann_merges_many_shards(spark):
+    """Candidates of many shards, in two levels, from single-precision vectors: as from one shard; repeated ids count once."""
+    from tidemark.llm.aq_ann import search
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i % 880, [float(v) for v in x[i % 880]]) for i in range(900)], "vec_id bigint, embedding array<float>")
+    one, many = (search(df, lambda i: i % 50 == 0, books=4, rerank=880, shard=n).orderBy("query_id", "rank").collect() for n in (32768, 40))
+    assert one == many and len(one) == 18 * 20
+    y = x[:880].astype(float)
+    for r in one[:40]:
+        assert abs(r["score"] - y[r["query_id"]] @ y[r["vec_id"]]) < 1e-12
+
+
 def test_ann_rerank_grows_until_recall(spark):
     from tidemark.llm.aq_ann import search
 

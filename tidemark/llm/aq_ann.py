@@ -10,7 +10,7 @@ rescored exactly, in double precision, on the original vectors; their number gro
 compared with all vectors, turns out to need.
 
 Codes lie in shards of up to ``shard`` vectors, queries in blocks; every block meets every shard, and a shard returns
-only its best candidates per query. Vectors that are null, zero, of another length than most of the sample, or hold
+only its best candidates per query, which are merged in two levels. Vectors that are null, zero, of another length than most of the sample, or hold
 null or non-finite components take no part; repeated ids count once. Equal scores go to the smaller id, and equal
 vectors have equal codes, so ties survive the approximate step.
 """
@@ -257,26 +257,35 @@ def search(vectors: DataFrame, is_query, k: int = 20, measure: str = "inner", sa
                     for row, found in enumerate(best_rows(s, rerank + 1)):
                         found = found[ids[found] != r["q_ids"][i + row]][:rerank] if len(found) <= rerank else found
                         keep_ids.append(ids[found].tolist()), keep_scores.append(s[row, found].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(r["q_ids"], b.schema.field("q_ids").type.value_type), pa.array(keep_ids, pa.list_(b.schema.field("ids").type.value_type)), pa.array(keep_scores, pa.list_(pa.float32()))], ["query_id", "ids", "scores"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["q_ids"], b.schema.field("q_ids").type.value_type), pa.array([r["s"]] * len(r["q_ids"]), pa.int64()), pa.array(keep_ids, pa.list_(b.schema.field("ids").type.value_type)), pa.array(keep_scores, pa.list_(pa.float32()))], ["query_id", "s", "ids", "scores"])
 
-    scanned = map_arrow(asked.join(blocks, "s").select("q_ids", "q", "ids", "codes", "norms", "nears"), scan, f"query_id {kind}, ids array<{kind}>, scores array<float>")
+    scanned = map_arrow(asked.join(blocks, "s").select("s", "q_ids", "q", "ids", "codes", "norms", "nears"), scan, f"query_id {kind}, s long, ids array<{kind}>, scores array<float>")
 
     def merge(batches):
         for b in batches:
-            out_q, out_v = [], []
-            for r in b.to_pylist():
-                ids, s = np.concatenate([np.array(x["ids"]) for x in r["found"]]), np.concatenate([np.array(x["scores"]) for x in r["found"]])
+            out_ids, out_scores = [], []
+            for r in b.select(["query_id", "found"]).to_pylist():
+                ids, s = np.concatenate([np.array(x["ids"]) for x in r["found"]]), np.concatenate([np.array(x["scores"], dtype=np.float32) for x in r["found"]])
                 keep = ids != r["query_id"]
                 ids, s = ids[keep], s[keep]
                 top = np.lexsort((ids, -s))[:rerank]
-                out_q += [r["query_id"]] * len(top)
-                out_v += ids[top].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, b.column(0).type), pa.array(out_v, b.column(0).type)], ["query_id", "vec_id"])
-
-    found = scanned.groupBy("query_id").agg(F.collect_list(F.struct("ids", "scores")).alias("found"))
-    pairs = map_arrow(found, merge, f"query_id {kind}, vec_id {kind}")
-    joined = pairs.join(src, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    part = (lambda x, y: x * y) if measure == "inner" else (lambda x, y: -(x - y) * (x - y))
+                out_ids.append(ids[top].tolist()), out_scores.append(s[top].tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out_ids, pa.list_(b.column(0).type)), pa.array(out_scores, pa.list_(pa.float32()))], ["query_id", "ids", "scores"])
+
+    def merged(rows: DataFrame, *by) -> DataFrame:
+        lists = rows.groupBy("query_id", *by).agg(F.collect_list(F.struct("ids", "scores")).alias("found")).select("query_id", "found")
+        return map_arrow(lists, merge, f"query_id {kind}, ids array<{kind}>, scores array<float>")
+
+    if len(ids_of) > 16:  # in two levels, so that no list holds more than about the root of the shards
+        scanned = merged(scanned, F.pmod(F.xxhash64("s"), F.lit(int(np.ceil(np.sqrt(len(ids_of)))))).alias("g"))
+    pairs = merged(scanned).select("query_id", F.explode("ids").alias("vec_id"))
+    # single-precision vectors move as such; products and sums are double
+    element = vectors.schema[vec_col].dataType.elementType.typeName()
+    sent = src.select("vec_id", F.col("v").cast("array<float>").alias("v")) if element == "float" else src
+    asking = queries.select(F.col("vec_id").alias("query_id"), (F.col("v").cast("array<float>") if element == "float" else F.col("v")).alias("q"))
+    joined = pairs.join(sent, "vec_id").join(asking, "query_id")
+    d = lambda x: x.cast("double")
+    part = (lambda x, y: d(x) * d(y)) if measure == "inner" else (lambda x, y: -(d(x) - d(y)) * (d(x) - d(y)))
     exact = F.aggregate(F.zip_with("q", "v", part), F.lit(0.0), lambda a, x: a + x)
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
     ranked = joined.select("query_id", "vec_id", exact.alias("s")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
