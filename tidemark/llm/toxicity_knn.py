@@ -120,8 +120,8 @@ class BlockIndex:
         self.cell_block, self.cell_start = own[first], np.append(first, len(terms))
         self.cell_top = np.maximum.reduceat(self.values, first) if len(first) else np.empty(0, dtype=np.float32)
         self.lists = np.searchsorted(terms[first], np.arange(len(self.size) + 1))
-        # lists that hold a tenth of the examples are kept as rows of weights
-        common = np.flatnonzero(self.size * 10 > len(self.ids))
+        # lists that hold a sixteenth of the examples are kept as rows of weights
+        common = np.flatnonzero(self.size * 16 > len(self.ids))
         self.common = np.full(len(self.size), -1)
         self.common[common] = np.arange(len(common))
         self.full = np.zeros((len(common), len(self.ids)), dtype=np.float32)
@@ -138,24 +138,19 @@ class BlockIndex:
         self.__dict__ |= state | {"rows": state["rows"].astype(np.int64), "known": {}, "shared": None}
         self.arrange()
 
-    def scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the examples in these blocks (a flag each); ``start``: what the common terms give, if known."""
-        at, whole = self.common[terms], blocks.all()
-        rare = at < 0
-        cells, size = ranges(self.lists[terms[rare]], self.lists[terms[rare] + 1])
-        own = np.repeat(weights[rare], size)
-        if not whole:
-            part = blocks[self.cell_block[cells]]
-            cells, own = cells[part], own[part]
-        postings, size = ranges(self.cell_start[cells], self.cell_start[cells + 1])
-        total = np.bincount(self.rows[postings], self.values[postings] * np.repeat(own, size), len(self.ids)).astype(np.float64, copy=False)
-        if start is None:
-            row = self.common_weights(terms, weights)
-            for b in np.flatnonzero(blocks):
-                total[b * self.block : (b + 1) * self.block] += row @ self.full[:, b * self.block : (b + 1) * self.block]
+    def scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cosines) of the examples in these blocks (a flag each); ``start`` is what the common terms give."""
+        rare = self.common[terms] < 0
+        terms, own = terms[rare], weights[rare]
+        if blocks.all():
+            postings, size = ranges(self.cell_start[self.lists[terms]], self.cell_start[self.lists[terms + 1]])
         else:
-            total += start
-        found = np.flatnonzero(total > 0)
+            cells, size = ranges(self.lists[terms], self.lists[terms + 1])
+            part = blocks[self.cell_block[cells]]
+            cells, own = cells[part], np.repeat(own, size)[part]
+            postings, size = ranges(self.cell_start[cells], self.cell_start[cells + 1])
+        total = np.bincount(self.rows[postings], self.values[postings] * np.repeat(own, size), len(self.ids)) + start
+        found = np.flatnonzero(total > 0 if blocks.all() else (total > 0) & np.repeat(blocks, self.block)[: len(total)])
         return found, total[found]
 
     def common_weights(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -173,18 +168,15 @@ class BlockIndex:
         return self.nearest_of([(terms, weights)], k, [skip])[0]
 
     def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skips: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """As ``nearest``, of several texts: where no blocks stand out, their common terms are multiplied together."""
+        """As ``nearest``, of several texts, whose common terms are multiplied together."""
         limits = [self.bounds(*v) for v in vectors]
         firsts = [(b > 0) & (b >= b.max(initial=0) / 2) for b in limits]  # where few blocks stand out, they set the limit for the others
-        flat = [i for i, f in enumerate(firsts) if 2 * f.sum() > len(f)]
-        shared = np.stack([self.common_weights(*vectors[i]) for i in flat]) @ self.full if flat else None
-        place = {i: n for n, i in enumerate(flat)}
+        shared = np.stack([self.common_weights(*v) for v in vectors]) @ self.full
         out = []
-        for i, ((terms, weights), bounds, now, skip) in enumerate(zip(vectors, limits, firsts, skips)):
+        for (terms, weights), bounds, now, skip, start in zip(vectors, limits, firsts, skips, shared):
             rows, sims, floor, done = np.empty(0, dtype=np.int64), np.empty(0), 0.0, np.zeros(len(bounds), dtype=bool)
-            start = None
-            if i in place:
-                now, start = np.ones(len(bounds), dtype=bool), shared[place[i]]
+            if 2 * now.sum() > len(now):  # none stand out
+                now = np.ones(len(bounds), dtype=bool)
             while now.any():
                 more, cosines = self.scored(terms, weights, now, start)
                 done |= now
