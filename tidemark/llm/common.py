@@ -44,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame, per_part: int = 50_000) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows; small tables come back in as few partitions as they need, so that what follows has few tasks."""
+    out = cut(df)
+    n = out.count()
+    return out.coalesce(1 + n // per_part), n
+
+
 def table(df: DataFrame) -> DataFrame:
     """As ``cut``, but as compressed Parquet, for wide rows."""
     spark = df.sparkSession

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, look_up, map_arrow, texts
+from .common import cut, kept, look_up, map_arrow, texts
 from .components import components, joined
 from .shingles import GOLD, U, mix, shingle_sets
 
@@ -256,11 +256,11 @@ def buckets(docs: DataFrame, words: int, percent: int, parts: int, costs: Costs,
     return map_arrow(signed, meet, "h long, f long").distinct()
 
 
-def dealt(pairs: DataFrame, salt_rows: int = 64) -> DataFrame:
+def dealt(pairs: DataFrame, rows: int, salt_rows: int = 64) -> DataFrame:
     """(a, salt, b, f): for each pair its b (f = b), in groups of about ``salt_rows``, and in each group a itself (b = f = a)."""
-    per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+    per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).coalesce(1 + rows // 50_000)
     salts = F.ceil(F.col("k") / salt_rows).cast("int")
-    others = look_up(pairs, per, ["a"], "k", max(1, pairs.count())).select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"), "b", F.col("b").alias("f"))
+    others = look_up(pairs, per, ["a"], "k", max(1, rows)).select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"), "b", F.col("b").alias("f"))
     return others.unionByName(per.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("a").alias("b"), F.col("a").alias("f")))
 
 
@@ -268,9 +268,9 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"), "b")
 
 
-def possible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+def possible(pairs: DataFrame, n_pairs: int, sketch: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes those that may link by their sketches (f, n, bits)."""
-    rows = dealt(pairs).join(sketch, "f").select("a", "salt", "b", "n", "bits")
+    rows = dealt(pairs, n_pairs).join(sketch, "f").select("a", "salt", "b", "n", "bits")
 
     def run(batches):
         key = n1 = bits1 = None
@@ -289,9 +289,9 @@ def possible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     return map_arrow(_groups(rows), run, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes those that link, by the whole texts of the classes' first documents (f, id)."""
-    rows = dealt(pairs).join(classes.select("f", F.col("id").alias("doc_id")), "f").join(src, "doc_id").select("a", "salt", "b", "text")
+def verified(pairs: DataFrame, n_pairs: int, classes: DataFrame, src: DataFrame, words: int, percent: int) -> tuple[DataFrame, int]:
+    """Of pairs (a, b) of classes those that link and their number, by the whole texts of the classes' first documents (f, id)."""
+    rows = dealt(pairs, n_pairs).join(classes.select("f", F.col("id").alias("doc_id")), "f").join(src, "doc_id").select("a", "salt", "b", "text")
 
     def run(batches):
         key = head = seen = None
@@ -309,7 +309,7 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, words: int, p
                         a_out.append(a), b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    return cut(map_arrow(_groups(rows), run, "a long, b long"))
+    return kept(map_arrow(_groups(rows), run, "a long, b long"))
 
 
 def across(rows: DataFrame, label: DataFrame, sketch: DataFrame, percent: int, nearest: bool, block: int = 8192, cell_bytes: int = 1 << 22) -> DataFrame:
@@ -320,12 +320,13 @@ def across(rows: DataFrame, label: DataFrame, sketch: DataFrame, percent: int, n
     blocks of one bucket, and few rows are sent twice.
     """
     known = rows.join(label.select(F.col("id").alias("f"), F.col("component").alias("c")), "f", "left").join(sketch.select("f", "n"), "f").select("h", "f", "n", F.coalesce("c", "f").alias("c"))
-    known = cut(known)
-    per = known.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    known, n_known = kept(known)
+    parts = 1 + n_known // 50_000
+    per = known.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).coalesce(parts)
     open_ = per.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("size"), F.max("k").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_c"))
     # a bucket of two has been compared
     open_ = open_.filter("n_c > 1 and size > 2").select("h", "main", "size", F.col("size").alias("k"), (F.col("size") - F.col("most")).alias("minors"), F.greatest(F.lit(8), F.least(F.lit(block), F.ceil(cell_bytes / (64 + F.col("n") / (2 * F.col("size")))))).alias("rows"))
-    part = look_up(known, cut(open_), ["h"], "k", max(1, known.count())).filter("main is not null")
+    part = look_up(known, kept(open_.coalesce(parts))[0], ["h"], "k", max(1, n_known)).filter("main is not null").coalesce(parts)
     full = part.join(sketch.select("f", "bits"), "f").withColumn("x_blocks", F.ceil(F.col("minors") / F.col("rows")).cast("int")).withColumn("y_blocks", F.ceil(F.col("size") / F.col("rows")).cast("int"))
     own = lambda n: F.pmod(F.xxhash64("f"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -394,34 +395,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     spark = docs.sparkSession
     src = texts(docs, id_col, text_col)
-    made = cut(sketch_sets(src, words, percent))
+    made, _ = kept(sketch_sets(src, words, percent))
     sets = made.filter("count is null").drop("sig", "count")
     total = sets.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()
     often = made.filter("count is not null").groupBy("sig").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "sig").limit(MOST_COSTS).collect()  # bounded by MOST_COSTS
     costs = Costs([r["sig"] for r in often], [r["count"] for r in often])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["n"] // 4_000_000)
     keys = ["n_shingles", "f1", "f2"]
-    classes = cut(sets.filter("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("k")))
+    classes, _ = kept(sets.filter("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("k")))
     named = classes.select(F.col("f1").alias("f"), "id")
-    rows = cut(buckets(src.filter("doc_id is not null"), words, percent, parts, costs, max(1000, total["rows"] / (4 * parts))))
-    sketch = cut(sets.join(rows.select(F.col("f").alias("f1")).distinct(), "f1", "left_semi").groupBy(F.col("f1").alias("f")).agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
-
-    per = rows.groupBy("h").agg(F.min("f").alias("a"), F.count(F.lit(1)).alias("size"))
-    star = look_up(rows, per, ["h"], "size", max(1, rows.count())).filter("f <> a").select("a", F.col("f").alias("b")).distinct()
-    tried = cut(possible(cut(star), sketch, percent))
-    links = verified(tried, named, src, words, percent)
-    label = cut(components(links).coalesce(1 + tried.count() // 50_000))
+    rows, n_rows = kept(buckets(src.filter("doc_id is not null"), words, percent, parts, costs, max(1000, total["rows"] / (4 * parts))))
+    sketch, _ = kept(sets.join(rows.select(F.col("f").alias("f1")).distinct(), "f1", "left_semi").groupBy(F.col("f1").alias("f")).agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
+
+    per = rows.groupBy("h").agg(F.min("f").alias("a"), F.count(F.lit(1)).alias("size")).coalesce(1 + n_rows // 50_000)
+    star, n_star = kept(look_up(rows, per, ["h"], "size", max(1, n_rows)).filter("f <> a").select("a", F.col("f").alias("b")).coalesce(1 + n_rows // 50_000).distinct())
+    tried, n_tried = kept(possible(star, n_star, sketch, percent))
+    links, _ = verified(tried, n_tried, named, src, words, percent)
+    label, _ = kept(components(links))
     for nearest in (True, False):
-        found = cut(across(rows, label, sketch, percent, nearest))
-        more = cut(found.join(tried, ["a", "b"], "left_anti"))
-        linked = verified(more, named, src, words, percent)
-        n_found, n_linked = found.count(), linked.count()
+        found, n_found = kept(across(rows, label, sketch, percent, nearest))
+        more, n_more = kept(found.join(tried, ["a", "b"], "left_anti"))
+        linked, n_linked = verified(more, n_more, named, src, words, percent)
         if n_linked:
-            label = cut(joined(label, linked))
+            label, _ = kept(joined(label, linked))
         if n_found == n_linked:
             break  # every nearest partner links, so what is left apart has no partner
         tried = tried.unionByName(more)
-    whole = classes.join(label.select(F.col("id").alias("f1"), "component"), "f1", "left").withColumn("component", F.coalesce("component", "f1"))
+    whole = classes.join(label.coalesce(1 + n_rows // 50_000).select(F.col("id").alias("f1"), "component"), "f1", "left").withColumn("component", F.coalesce("component", "f1"))
     least = whole.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     whole = look_up(whole, least, ["component"], "n", max(1, total["rows"])).select(*keys, "k", "component_id")
     return look_up(sets, whole, keys, "k", max(1, total["rows"])).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
