@@ -109,21 +109,34 @@ def cpg_positions(seq: Column) -> Column:
 
 
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided Fisher exact test of [[a, b], [c, d]] as a sum of hypergeometric terms, with log factorials by lgamma-free sums."""
-    n = a + b + c + d
-    row, col = a + b, a + c
-    # lf[i] = ln i!
-    lf = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.array(F.lit(0.0)), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.log(i.cast("double")))))
+    """Two-sided Fisher exact test of [[a, b], [c, d]]: the sum of the tables with the same margins that are no likelier.
 
-    def at(arr: Column, i: Column) -> Column:
-        return F.get(arr, i.cast("int"))
+    A table's probability relative to the first possible one follows from its neighbour's by a ratio, so two folds over
+    the possible values of ``a`` keep a few numbers each, whatever the cohort's size. Logarithms keep the products in range.
+    """
+    n, row, col = a + b + c + d, a + b, a + c
+    low, high = F.greatest(F.lit(0), row + col - n).cast("int"), F.least(row, col).cast("int")
+    zero = F.lit(0.0)
 
-    def ln_p(arr: Column, x: Column) -> Column:
-        return at(arr, row) + at(arr, n - row) + at(arr, col) + at(arr, n - col) - at(arr, n) - at(arr, x) - at(arr, row - x) - at(arr, col - x) - at(arr, n - row - col + x)
+    def step(l: Column, x: Column) -> Column:
+        """ln p(x) - ln p(low) from that of x - 1."""
+        ratio = (row - x + 1).cast("double") * (col - x + 1) / (x.cast("double") * (n - row - col + x))
+        return F.when(x == low, zero).otherwise(l + F.log(ratio))
 
-    low, high = F.greatest(F.lit(0), row + col - n).cast("int"), F.least(row, col).cast("int")
-    wrapped = F.transform(F.array(lf), lambda t: F.aggregate(F.sequence(low, high), F.lit(0.0), lambda s, x: s + F.when(ln_p(t, x) <= ln_p(t, a) + 1e-7, F.exp(ln_p(t, x))).otherwise(0.0)))
-    return F.least(F.lit(1.0), wrapped[0])
+    first = F.struct(zero.alias("l"), zero.alias("own"), zero.alias("top"))
+    seen = F.aggregate(F.sequence(low, high), first, lambda s, x: F.struct(step(s["l"], x).alias("l"), F.when(x == a, step(s["l"], x)).otherwise(s["own"]).alias("own"), F.greatest(s["top"], step(s["l"], x)).alias("top")))
+    start = F.struct(zero.alias("l"), zero.alias("some"), zero.alias("all"))
+
+    def add(top: Column):
+        def one(s: Column, x: Column) -> Column:
+            l = step(s["l"], x)
+            e = F.exp(l - top["top"])
+            return F.struct(l.alias("l"), (s["some"] + F.when(l <= top["own"] + 1e-7, e).otherwise(zero)).alias("some"), (s["all"] + e).alias("all"))
+
+        return one
+
+    total = F.transform(F.array(seen), lambda t: F.aggregate(F.sequence(low, high), start, add(t), lambda s: s["some"] / s["all"]))[0]
+    return F.least(F.lit(1.0), total)
 
 
 def confidence_weight(coverage: Column) -> Column:
@@ -159,15 +172,15 @@ def score_v3(plus: Column, other_plus: Column, minus: Column, other_minus: Colum
 EPS = 1e-10
 
 
-def score_v4(plus: Column, total: Column, other_plus: Column, other_total: Column, quality: Column) -> tuple[Column, Column]:
-    """(log odds, enrichment score): null below ten samples in the state."""
+def score_v4(plus: Column, total: Column, other_plus: Column, other_total: Column, quality: Column, least: int = 10) -> tuple[Column, Column]:
+    """(log odds, enrichment score): null below ``least`` samples in the state."""
 
     def log_odds(f: Column) -> Column:
         return F.log((f + EPS) / (1 - f + EPS))
 
     odds = log_odds(plus / total) - log_odds((plus + other_plus) / (total + other_total))
     score = 1 / (1 + F.exp(-odds)) * F.least(F.lit(1.0), total / 10) * quality
-    return F.when(total >= 10, odds), F.when(total >= 10, score)
+    return F.when(total >= least, odds), F.when(total >= least, score)
 
 
 def classify_v4(m: Column, u: Column) -> Column:

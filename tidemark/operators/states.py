@@ -53,15 +53,15 @@ def with_totals(counts: DataFrame) -> DataFrame:
     return out.withColumn("quality", F.when(doubled > 0, complete / doubled).otherwise(0.0))
 
 
-def scored(totals: DataFrame) -> DataFrame:
-    """All five scorings on one count table."""
+def scored(totals: DataFrame, least_state: int = 10, least_clean: int = 5) -> DataFrame:
+    """All five scorings on one count table; the fourth needs ``least_state`` samples, the simple one ``least_clean``."""
     c = lambda n: F.col(n).cast("double")
     out = totals.withColumn("p_value", C.fisher_two_sided(F.col("m_plus"), F.col("total_meth") - F.col("m_plus"), F.col("u_plus"), F.col("total_unmeth") - F.col("u_plus")))
     v1 = C.score_v1(c("m_plus"), c("total_meth"), c("u_plus"), c("total_unmeth"), F.col("coverage_v1"), F.col("p_value"))
     v2 = C.score_v2(c("m_plus"), c("total_meth"), c("u_plus"), c("total_unmeth"), F.col("coverage_v2"), F.col("p_value"))
-    m4 = C.score_v4(c("m_plus"), c("m_plus") + c("m_minus"), c("u_plus"), c("u_plus") + c("u_minus"), F.col("quality"))
-    u4 = C.score_v4(c("u_plus"), c("u_plus") + c("u_minus"), c("m_plus"), c("m_plus") + c("m_minus"), F.col("quality"))
+    m4 = C.score_v4(c("m_plus"), c("m_plus") + c("m_minus"), c("u_plus"), c("u_plus") + c("u_minus"), F.col("quality"), least_state)
+    u4 = C.score_v4(c("u_plus"), c("u_plus") + c("u_minus"), c("m_plus"), c("m_plus") + c("m_minus"), F.col("quality"), least_state)
     out = out.withColumns({"v1_meth": v1[0], "v1_unmeth": v1[1], "v2_meth": v2[0], "v2_unmeth": v2[1], "v4_meth_odds": m4[0], "v4_meth": m4[1], "v4_unmeth_odds": u4[0], "v4_unmeth": u4[1]})
     out = out.withColumn("v2_association", F.when(F.col("v2_meth") > F.col("v2_unmeth"), "methylated").otherwise("unmethylated"))
     out = out.withColumn("v3", C.score_v3(c("m_plus"), c("u_plus"), c("m_minus"), c("u_minus"), F.col("coverage_v2")))
-    return out.withColumn("v4_class", C.classify_v4(F.col("v4_meth"), F.col("v4_unmeth"))).withColumn("simple_class", C.classify_clean(F.col("m_plus"), F.col("u_plus"), F.col("m_minus"), F.col("u_minus")))
+    return out.withColumn("v4_class", C.classify_v4(F.col("v4_meth"), F.col("v4_unmeth"))).withColumn("simple_class", C.classify_clean(F.col("m_plus"), F.col("u_plus"), F.col("m_minus"), F.col("u_minus"), least_clean))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import consensus as K
 from ..operators import effects as E
+from ..operators import genotypes as G
 from ..operators import sinks, states
 from ..sources import files
 from ..sources.scratch import scratch
@@ -124,6 +125,32 @@ def j8(spark, d):
     return merged.select("vcf_type", "chrom", "pos", "ref", "alt", F.array_join(F.transform(all_, lambda x: F.concat(x["sample_id"], F.lit("="), x["gt"])), ",").alias("genotypes"))
 
 
+MERGED = duck("calls") + """, c AS (SELECT *, string_split(alt, ',') AS alts, CASE WHEN len(list_filter(string_split(alt, ','), lambda x: length(x) <> length(ref))) = 0 THEN 'snp' ELSE 'indel' END AS kind, CASE WHEN file = 17 THEN '17:S0' ELSE sample_id END AS name FROM calls),
+ site AS (SELECT vcf_type, chrom, pos, kind, arg_max(ref, length(ref)) AS whole, max(qual) AS qual, CAST(sum(depth) AS BIGINT) AS depth FROM c GROUP BY ALL),
+ a AS (SELECT vcf_type, chrom, pos, kind, name, file, idx, alts[idx] || substr(whole, length(ref) + 1) AS padded FROM (SELECT *, unnest(range(1, len(alts) + 1)) AS idx FROM c) JOIN site USING (vcf_type, chrom, pos, kind)),
+ d AS (SELECT vcf_type, chrom, pos, kind, padded, row_number() OVER (PARTITION BY vcf_type, chrom, pos, kind ORDER BY min(file * 100 + idx)) AS k FROM a GROUP BY vcf_type, chrom, pos, kind, padded),
+ map AS (SELECT vcf_type, chrom, pos, kind, name, idx, k FROM a JOIN d USING (vcf_type, chrom, pos, kind, padded)),
+ t AS (SELECT *, CASE WHEN contains(gt, '|') THEN '|' ELSE '/' END AS sep FROM c),
+ g AS (SELECT t.vcf_type, t.chrom, t.pos, t.kind, t.name, coalesce(l.k, 0) || sep || coalesce(r.k, 0) AS gt FROM t LEFT JOIN map l ON l.vcf_type = t.vcf_type AND l.chrom = t.chrom AND l.pos = t.pos AND l.kind = t.kind AND l.name = t.name AND l.idx = CAST(split_part(gt, sep, 1) AS INT) LEFT JOIN map r ON r.vcf_type = t.vcf_type AND r.chrom = t.chrom AND r.pos = t.pos AND r.kind = t.kind AND r.name = t.name AND r.idx = CAST(split_part(gt, sep, 2) AS INT)),
+ names AS (SELECT DISTINCT name, file FROM c), alleles AS (SELECT vcf_type, chrom, pos, kind, string_agg(padded, ',' ORDER BY k) AS alt FROM d GROUP BY ALL)"""
+
+
+def merged_calls(spark, d):
+    """The cohort's merged sites and its names in order."""
+    calls = view(spark, d, "calls")
+    who = G.cohort(calls)
+    names = G.names_of(who)
+    return G.merge_cohort(calls, who, size=len(names)), names
+
+
+@query("j8_multiallelic_merge", f"WITH {MERGED} SELECT vcf_type, chrom, pos, kind, whole AS ref, alt, qual, depth, string_agg(name || '=' || coalesce(gt, './.'), ',' ORDER BY file) AS genotypes FROM site JOIN alleles USING (vcf_type, chrom, pos, kind) CROSS JOIN names LEFT JOIN g USING (vcf_type, chrom, pos, kind, name) GROUP BY vcf_type, chrom, pos, kind, whole, alt, qual, depth")
+def j8_multiallelic(spark, d):
+    """Alternatives of all samples at a site in one row, genotypes renumbered, a repeated sample name made unique."""
+    sites, names = merged_calls(spark, d)
+    text = F.array_join(F.zip_with(G.listed(names), F.col("gts"), lambda n, g: F.concat_ws("=", n, g)), ",")
+    return sites.select("vcf_type", "chrom", "pos", "kind", "ref", F.array_join("alts", ",").alias("alt"), "qual", "depth", text.alias("genotypes"))
+
+
 @query("g22_retention", f"WITH {VAR} SELECT vcf_type, count(*) AS initial, count(*) FILTER (qual >= 20) AS final, count(*) FILTER (qual < 20) AS removed, round(count(*) FILTER (qual >= 20) * 100.0::DOUBLE / count(*), 6) AS percent FROM variants GROUP BY vcf_type")
 def g22(spark, d):
     n = var(spark, d).groupBy("vcf_type").agg(F.count(F.lit(1)).alias("initial"), F.count_if(F.col("qual") >= 20).alias("final"))
@@ -137,13 +164,20 @@ CASES = f"""{EVIDENCE}, {GEN}, cand AS (SELECT * FROM reasoned WHERE reason = 'f
  cells AS (SELECT h.*, g.sample_id, g.gt, CASE WHEN list_contains(us, g.sample_id) AND list_contains(ms, g.sample_id) THEN 'M' WHEN list_contains(ms, g.sample_id) THEN 'M' WHEN list_contains(us, g.sample_id) THEN 'U' ELSE 'X' END AS st, CASE WHEN gt = './.' THEN 'X' WHEN {CARRY.replace('vcf_type', 'h.vcf_type').replace("'|', 1", "'|', CASE WHEN hap = 'H1' THEN 1 ELSE 2 END")} THEN '+' ELSE '-' END AS vs FROM hits h JOIN genotypes g ON h.variant_id = g.variant_id AND h.chrom = g.chrom AND h.pos = g.pos)"""
 
 
-def cells(spark, d):
-    """Long rows (region, variant, sample, methylation state, genotype) of both haplotypes' regions."""
+NAMES = [f"S-{k}" if k % 2 else f"S_{k}" for k in range(17)]  # as a header has them; regions have S0, S1 and so on
+
+
+def packed(spark, d):
+    """The cohort's file of variants: a row per site with the genotypes of all samples in the order of NAMES."""
+    gt = "transform(sequence(0, 16), k -> CASE (o_orderkey * (k + 3) + o_custkey) % 7 WHEN 1 THEN '0|1' WHEN 2 THEN '1|0' WHEN 3 THEN '1|1' WHEN 4 THEN './.' WHEN 5 THEN '0/1' ELSE '0|0' END)"
+    return var(spark, d).select("chrom", "pos", "variant_id", "vcf_type", "ref", "alt", F.expr(gt).alias("gts"))
+
+
+def hits(spark, d):
+    """Each site in a candidate region of either haplotype, with the samples' states and genotypes as arrays."""
     c = final_candidates(spark, d).select("chrom", "hap", "start_pos", "end_pos", "unmethylated_samples", "methylated_samples")
-    hit = states.variants_in_regions(var(spark, d), c).select("chrom", "pos", "variant_id", "vcf_type", "hap", "region_start", "region_end", "unmethylated_samples", "methylated_samples")
-    j = hit.join(gen(spark, d).select("chrom", "pos", "variant_id", "sample_id", "gt"), ["chrom", "pos", "variant_id"])
-    state = F.when(F.array_contains("methylated_samples", F.col("sample_id")), "M").when(F.array_contains("unmethylated_samples", F.col("sample_id")), "U").otherwise("X")
-    return j.withColumn("meth_state", state)
+    c = G.cohort_states(c, NAMES).select("chrom", "hap", "start_pos", "end_pos", "states")
+    return states.variants_in_regions(packed(spark, d), c)
 
 
 NINE = ", ".join(f"count(*) FILTER (st = '{m}' AND vs = '{v}') AS {c}" for (m, v), c in {("M", "+"): "m_plus", ("M", "-"): "m_minus", ("M", "X"): "m_none", ("U", "+"): "u_plus", ("U", "-"): "u_minus", ("U", "X"): "u_none", ("X", "+"): "x_plus", ("X", "-"): "x_minus", ("X", "X"): "x_none"}.items())
@@ -154,12 +188,14 @@ NINE_LISTS = ", ".join(f"coalesce(string_agg(sample_id || ':' || gt, ',' ORDER B
 
 @query("j7_genotype_state_join", f"WITH {CASES} SELECT chrom, pos, variant_id, hap, region_start, sample_id, st AS meth_state, gt FROM cells")
 def j7(spark, d):
-    return cells(spark, d).select("chrom", "pos", "variant_id", "hap", "region_start", "sample_id", "meth_state", "gt")
+    """The two arrays of each hit as rows."""
+    row = F.zip_with(F.transform(G.listed(NAMES), C.normalize_sample), F.arrays_zip("states", "gts"), lambda n, x: F.struct(n.alias("sample_id"), x["states"].alias("meth_state"), x["gts"].alias("gt")))
+    return hits(spark, d).select("chrom", "pos", "variant_id", "hap", "region_start", F.inline(row))
 
 
 @query("g24_nine_states", f"WITH {CASES} SELECT {', '.join(CKEYS)}, {NINE}, {NINE_LISTS} FROM cells GROUP BY {', '.join(CKEYS)}")
 def g24(spark, d):
-    out = states.nine_states(cells(spark, d), CKEYS, F.col("hap"), C.phased_class(F.col("vcf_type")), lists=True)
+    out = G.nine_states_packed(hits(spark, d), NAMES, CKEYS, F.col("hap"), C.phased_class(F.col("vcf_type")), lists=True)
     return out.withColumns({f"{c}_samples": sinks.joined_list(f"{c}_samples") for c in CELLS.values()})
 
 
@@ -326,6 +362,69 @@ def k5(spark, d):
     return mapped(spark, d, "v4")
 
 
+# the mapped-variant tables of real candidates: merged sites in candidate regions of both haplotypes, with their identity
+
+IDENTITY = ["chrom", "start_pos", "end_pos", "variant_id", "type", "ref", "alt", "hap", "region_start", "region_end"]
+KIND = "CASE WHEN vcf_type <> 'small' THEN vcf_type WHEN length(ref) = 1 AND length(alt) = 1 THEN 'snp' WHEN length(ref) > length(alt) THEN 'deletion' ELSE 'insertion' END"
+_whole_tail = FULL[FULL.index(" c AS (SELECT region_id"):].replace("m_plus::DOUBLE / tm AS rm, u_plus::DOUBLE / tu AS ru", "CASE WHEN tm > 0 THEN m_plus::DOUBLE / tm ELSE 0 END AS rm, CASE WHEN tu > 0 THEN u_plus::DOUBLE / tu ELSE 0 END AS ru").replace(
+    "(tm + tu)::DOUBLE / (total - x_none) AS cov1", "CASE WHEN total > x_none THEN (tm + tu)::DOUBLE / (total - x_none) ELSE 0 END AS cov1").replace(
+    "(m_plus + u_plus + m_minus + u_minus)::DOUBLE / (tm + tu + 2 * x_plus + 2 * x_minus + 2 * x_none + m_minus + u_minus) AS quality", "CASE WHEN tm + tu + x_plus + x_minus + x_none > 0 THEN (m_plus + u_plus + m_minus + u_minus)::DOUBLE / (tm + tu + 2 * x_plus + 2 * x_minus + 2 * x_none + m_minus + u_minus) ELSE 0 END AS quality")
+E3 = f"""{CASES}, named AS (SELECT c.*, v.ref, v.alt, concat_ws('|', c.chrom, c.pos, c.variant_id, hap, region_start, region_end) AS region_id FROM cells c JOIN variants v ON v.chrom = c.chrom AND v.pos = c.pos AND v.variant_id = c.variant_id),
+ idn0 AS (SELECT DISTINCT region_id, chrom, pos, variant_id, vcf_type, ref, alt, hap, region_start, region_end, {KIND} AS type FROM named),
+ idn AS (SELECT region_id, chrom, pos AS start_pos, pos + length(ref) - 1 AS end_pos, CASE WHEN CAST(variant_id AS BIGINT) % 3 = 0 THEN type || '_' || chrom || '_' || pos ELSE variant_id END AS variant_id, type, ref, alt, hap, region_start, region_end FROM idn0),
+ st AS (SELECT region_id, sample_id, gt, st, vs FROM named),{_whole_tail}"""
+
+
+def candidate_scores(spark, d, least_state=1, least_clean=1):
+    """Scores of every site in a candidate region, counted over packed genotypes; the file has no id for every third site.
+
+    The thresholds are lower than the defaults, which the cohort of this fixture can't reach.
+    """
+    kind = C.variant_type(F.col("vcf_type"), F.col("ref"), F.col("alt"))
+    raw = F.when(F.col("variant_id").cast("bigint") % 3 == 0, ".").otherwise(F.col("variant_id"))
+    h = hits(spark, d).withColumns({"type": kind, "start_pos": F.col("pos"), "end_pos": C.variant_end(F.col("pos"), F.col("ref"))})
+    h = h.withColumn("variant_id", C.fallback_id(raw, F.col("type"), F.col("chrom"), F.col("pos")))
+    counts = G.nine_states_packed(h, NAMES, IDENTITY, F.col("hap"), C.phased_class(F.col("vcf_type")), lists=True)
+    return states.scored(states.with_totals(counts), least_state, least_clean)
+
+
+def mapped_candidates(spark, d, version):
+    """The table written as TSV, version 2 in a folder per association, and read back."""
+    path = scratch(spark)
+    out = sinks.mapped_variants(candidate_scores(spark, d), IDENTITY, version)
+    out = out.withColumns({f.name: R(f.name, 5) for f in out.schema if f.dataType.typeName() == "double"})
+    sinks.write_tsv(out, path, True, ["association"] if version == "v2" else None)
+    return spark.read.csv(path, sep="\t", header=True, schema=out.schema).select(*out.columns)
+
+
+IDN = ", ".join(IDENTITY)
+
+
+@query("k5_candidates_v1", f"WITH {E3} SELECT {IDN}, round(w1 * (0.4 * rm + 0.6 * (1 - ru)) - 0.1 * log10(greatest(p, 1e-10)), 5) AS v1_meth, round(w1 * (0.4 * ru + 0.6 * (1 - rm)) - 0.1 * log10(greatest(p, 1e-10)), 5) AS v1_unmeth, round(p, 5) AS p_value, {_ratios('v1')}, {SEVEN} FROM a JOIN idn USING (region_id)")
+def k5_candidates_v1(spark, d):
+    return mapped_candidates(spark, d, "v1")
+
+
+@query("k5_candidates_v2", f"WITH {E3}, b AS (SELECT *, {V2} FROM a) SELECT {IDN}, CASE WHEN v2m > v2u THEN 'methylated' ELSE 'unmethylated' END AS association, round(v2m, 5) AS v2_meth, round(v2u, 5) AS v2_unmeth, round(p, 5) AS p_value, {_ratios('v2')}, round(cov2, 5) AS data_coverage, round(em, 5) AS meth_enrichment, round(eu, 5) AS unmeth_enrichment, {SEVEN}, x_minus_samples FROM b JOIN idn USING (region_id)")
+def k5_candidates_v2(spark, d):
+    return mapped_candidates(spark, d, "v2")
+
+
+@query("k5_candidates_v3", f"WITH {E3}, n AS (SELECT *, (m_plus + u_plus)::DOUBLE AS n, m_plus::DOUBLE / nullif(m_plus + u_plus, 0) AS rate, CASE WHEN m_minus + u_minus > 0 THEN m_minus::DOUBLE / (m_minus + u_minus) ELSE 0 END AS bg FROM a) SELECT {IDN}, round(greatest(0.0, least(1.0, ((0.5 * (rate - bg) + 0.3 * (1 - sqrt(rate * (1 - rate)) / sqrt(n)) + 0.2 * least(1.0, 2 * cov2)) + 1) / 2 * least(1.0, n / 10))), 5) AS v3, {_ratios('v3', True)}, m_plus_samples, u_plus_samples, x_plus_samples FROM n JOIN idn USING (region_id) WHERE n > 0")
+def k5_candidates_v3(spark, d):
+    return mapped_candidates(spark, d, "v3")
+
+
+@query("k5_candidates_v4", f"WITH {E3}{V4.replace('FROM s)', 'FROM a)').replace('>= 10', '>= 1').replace('THEN 1 / (1 + exp(-lm)) * quality', 'THEN 1 / (1 + exp(-lm)) * least(1.0, nm / 10) * quality').replace('THEN 1 / (1 + exp(-lu)) * quality', 'THEN 1 / (1 + exp(-lu)) * least(1.0, nu / 10) * quality')}, c4 AS (SELECT *, {CLASS4} AS k FROM v4) SELECT {IDN}, k AS classification, round(if(k LIKE 'm%', sm, su), 5) AS enrichment_score, round(if(k LIKE 'm%', lm, lu), 5) AS log_odds, least(1.0, if(k LIKE 'm%', nm, nu) / 10)::DOUBLE AS confidence, round(quality, 5) AS quality, round(if(k LIKE 'm%', m_plus / nm, u_plus / nu), 5) AS state_frequency, round(bg, 5) AS background_frequency, (nm + nu)::BIGINT AS complete_samples, total AS total_samples, m_plus_samples, u_plus_samples FROM c4 JOIN idn USING (region_id) WHERE k IN ('methylated_associated', 'unmethylated_associated')")
+def k5_candidates_v4(spark, d):
+    return mapped_candidates(spark, d, "v4")
+
+
+@query("k5_candidates_simple", f"WITH {E3}, q AS (SELECT *, CASE WHEN m_plus + u_plus >= 1 AND m_minus + u_minus >= 1 AND u_plus = 0 AND m_minus = 0 THEN 'methylated_associated' WHEN m_plus + u_plus >= 1 AND m_minus + u_minus >= 1 AND m_plus = 0 AND u_minus = 0 THEN 'unmethylated_associated' END AS pattern FROM a) SELECT {IDN}, pattern, m_plus + u_plus AS variant_carriers, m_minus + u_minus AS non_carriers, m_plus + u_plus + m_minus + u_minus AS total_samples, total - m_plus - u_plus - m_minus - u_minus AS missing_data, m_plus_samples, u_plus_samples FROM q JOIN idn USING (region_id) WHERE pattern IS NOT NULL")
+def k5_candidates_simple(spark, d):
+    return mapped_candidates(spark, d, "simple")
+
+
 TYPE = "CASE region_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'sv' ELSE 'cnv' END"
 
 

@@ -34,8 +34,15 @@ _SQL = {
         FROM (SELECT c_custkey AS region_id, k, concat('S', CAST(k AS STRING)) AS sample_id,
         CASE WHEN (c_custkey * 7 + k * 11) % 5 < 2 THEN 'M' WHEN (c_custkey * 7 + k * 11) % 5 < 4 THEN 'U' ELSE 'X' END AS meth_state
         FROM customer CROSS JOIN (SELECT {seq:39} AS k) s) t""",
+    "calls": """SELECT vcf_type, chrom, pos, file, sample_id, CASE WHEN mode = 2 THEN concat(base, 'GT') ELSE base END AS ref,
+        CASE mode WHEN 0 THEN b1 WHEN 1 THEN b2 WHEN 2 THEN base WHEN 3 THEN concat(base, 'T') ELSE concat(b1, ',', b2) END AS alt,
+        CASE WHEN mode = 4 THEN replace(replace(gt, '|1', '|2'), '/1', '/2') ELSE gt END AS gt, qual, depth
+        FROM (SELECT vcf_type, chrom, pos, k + 1 AS file, concat('S', CAST(CASE WHEN k = 16 THEN 0 ELSE k END AS STRING)) AS sample_id, gt, substr(ref, 1, 1) AS base,
+            translate(substr(ref, 1, 1), 'ACGT', 'CGTA') AS b1, translate(substr(ref, 1, 1), 'ACGT', 'GTAC') AS b2, CAST((v + k) % 5 AS INT) AS mode,
+            CAST((v * 7 + k) % 41 AS DOUBLE) AS qual, CAST((v + k * 3) % 13 AS BIGINT) AS depth
+            FROM (SELECT *, CAST(substr(sample_id, 2) AS INT) AS k, CAST(variant_id AS BIGINT) AS v FROM genotypes) g WHERE gt <> './.') t""",
 }
-_NEEDS = {"segments": ["lineitem"], "variants": ["orders"], "genotypes": ["variants"], "pileup": ["lineitem"], "reference_seq": ["documents"], "assoc": ["customer"]}
+_NEEDS = {"segments": ["lineitem"], "variants": ["orders"], "genotypes": ["variants"], "calls": ["genotypes"], "pileup": ["lineitem"], "reference_seq": ["documents"], "assoc": ["customer"]}
 
 
 def _dialect(sql: str, duck: bool) -> str:
