@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 from .intervals import containment_join, overlap_join
 
 
@@ -34,25 +35,26 @@ def islands(regions: DataFrame, max_gap: int, min_samples: int = 1, by: tuple[st
     return out.filter(F.size("samples") >= min_samples).drop("island")
 
 
-def consensus_merge(regions: DataFrame, max_gap: int = 5000, min_samples: int = 2, by: tuple[str, ...] = ("chrom", "hap")) -> DataFrame:
-    """The greedy, sample-aware merge.
+STATE = "now struct<s:bigint,e:bigint,p:array<string>>, old array<struct<s:bigint,e:bigint,p:array<string>>>"
 
-    A region that lies near an emitted consensus to which its sample contributed is skipped; a region opens a cluster,
-    later ones join it unless their sample is in it already or they are near; a cluster is emitted when the chain breaks
-    and it has enough samples. The rule depends on the order and cannot act across islands, so each island's sorted rows
-    stream through one pass. Emitted clusters are forgotten once they lie out of reach of all later starts, so memory
-    follows the overlap, not the length of an island.
+
+def _merge_blocks(rows: DataFrame, keys: list[str], gap: int, least: int, block: int) -> DataFrame:
+    """Runs the greedy rule over each block of an island: a row per emitted cluster, and one per block with its end state.
+
+    ``rows``: keys, _block, _o, start_pos, end_pos, sample_id, state. A row with _o 0 hands a state over to its block; other
+    blocks begin with none. A state is the open cluster and the emitted ones that a later block can still reach, as
+    text that is equal for equal states, or null.
     """
-    keys = [*by, "island"]
-    rows = with_island(regions, max_gap, by).select(*keys, "start_pos", "end_pos", "sample_id").filter("sample_id is not null")
-    n, gap, least = len(keys), max_gap, min_samples
-    names = [*by, "start_pos", "end_pos", "samples", "n_regions"]
-    kinds = [rows.schema[c].dataType.simpleString() for c in by]
+    n = len(keys)
+    kinds = [rows.schema[c].dataType.simpleString() for c in keys]
+    names = [*keys, "_block", "start_pos", "end_pos", "samples", "state"]
 
     def run(batches):
+        import json
+
         import pyarrow as pa
 
-        island, emitted, now, out = None, [], None, []  # emitted and now: [start, end, samples]
+        key, emitted, now, out = None, [], None, []  # emitted and now: [start, end, samples]
 
         def near(start, end, sample):
             return any(sample in d[2] and start <= d[1] + gap and end >= d[0] - gap for d in emitted)
@@ -61,21 +63,38 @@ def consensus_merge(regions: DataFrame, max_gap: int = 5000, min_samples: int =
             nonlocal now
             if now is not None and len(now[2]) >= least:
                 emitted.append(now)
-                out.append((*island[:-1], now[0], now[1], sorted(now[2]), len(now[2])))
+                out.append((*key, now[0], now[1], sorted(now[2]), None))
             now = None
 
+        def finish():
+            """The end of a block: what no later start can reach is closed or forgotten."""
+            edge = (key[-1] + 1) * block
+            if now is not None and now[1] + gap < edge:
+                close()
+            as_json = lambda d: {"s": d[0], "e": d[1], "p": sorted(d[2])}
+            old = sorted((as_json(d) for d in emitted if d[1] + gap >= edge), key=lambda d: (d["s"], d["e"], d["p"]))
+            state = json.dumps({"now": as_json(now) if now else None, "old": old}) if now or old else None
+            out.append((*key, None, None, None, state))
+
         def give(types):
             columns = list(zip(*out)) if out else [()] * len(names)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int32()])], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()])], names)
 
         types = None
         for b in batches:
-            types = [b.column(i).type for i in range(n - 1)]
-            for *key, start, end, sample in zip(*(b.column(i).to_pylist() for i in range(n + 3))):
-                if key != island:
-                    close()
-                    island, emitted = key, []
+            types = [b.column(i).type for i in range(n)]
+            for *own, order, start, end, sample, state in zip(*(b.column(i).to_pylist() for i in range(n + 6))):
+                if own != key:
+                    if key is not None:
+                        finish()
+                    key, emitted, now = own, [], None
+                if not order:
+                    if state:
+                        got = json.loads(state)
+                        emitted = [[d["s"], d["e"], set(d["p"])] for d in got["old"]]
+                        now = got["now"] and [got["now"]["s"], got["now"]["e"], set(got["now"]["p"])]
+                    continue
                 emitted[:] = [d for d in emitted if d[1] + gap >= start]
                 if now is not None and start <= now[1] + gap:
                     if sample not in now[2] and not near(start, end, sample):
@@ -87,11 +106,61 @@ def consensus_merge(regions: DataFrame, max_gap: int = 5000, min_samples: int =
                     now = [start, end, {sample}]
             yield give(types)
         if types:
-            close()
+            if key is not None:
+                finish()
             yield give(types)
 
-    schema = ", ".join([*(f"`{c}` {k}" for c, k in zip(by, kinds)), "start_pos bigint", "end_pos bigint", "samples array<string>", "n_regions int"])
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "start_pos", "end_pos", "sample_id").mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in zip(keys, kinds)), "_block bigint", "start_pos bigint", "end_pos bigint", "samples array<string>", "state string"])
+    order = [*keys, "_block", "_o", "start_pos", "end_pos", "sample_id"]
+    return rows.select(*order, "state").repartition(*keys, "_block").sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def consensus_merge(regions: DataFrame, max_gap: int = 5000, min_samples: int = 2, by: tuple[str, ...] = ("chrom", "hap"), block: int = 1 << 20) -> DataFrame:
+    """The greedy, sample-aware merge.
+
+    A region that lies near an emitted consensus to which its sample contributed is skipped; a region opens a cluster,
+    later ones join it unless their sample is in it already or they are near; a cluster is emitted when the chain breaks
+    and it has enough samples. The rule depends on the order, but cannot act across islands and forgets what lies out of
+    reach. So an island is cut in blocks of ``block`` bases that all run at once, each as if nothing came before. Where the
+    block before has handed over another state than that, the block runs again, until no state changes; most
+    borders lie between clusters, so few blocks do. Rounds are at most as many as an island's blocks.
+    """
+    spark, keys = regions.sparkSession, [*by, "island"]
+    folder = scratch(spark)
+    rows = with_island(regions, max_gap, by).filter("sample_id is not null").withColumn("_block", F.expr(f"start_pos div {block}"))
+    rows.select(*keys, "_block", F.lit(1).alias("_o"), "start_pos", "end_pos", "sample_id", F.lit(None).cast("string").alias("state")).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    at = [*keys, "_block"]
+    out = kept(_merge_blocks(rows, keys, max_gap, min_samples, block).withColumn("round", F.lit(1)), "round-1")
+    ends = out.filter("start_pos is null").select(*at, F.lit(None).cast("string").alias("start"), F.col("state").alias("end"), "round")
+    turn, order = 1, Window.partitionBy(*keys).orderBy("_block")
+    while True:
+        wanted = ends.withColumn("want", F.lag("end").over(order))
+        changed = wanted.filter(~F.col("want").eqNullSafe(F.col("start")))
+        if turn == 1 and ends.filter("end is not null").isEmpty():
+            break
+        changed = kept(changed.select(*at, "want"), f"changed-{turn}")
+        if changed.isEmpty():
+            break
+        turn += 1
+        heads = changed.select(*at, F.lit(0).alias("_o"), F.lit(-1).cast("bigint").alias("start_pos"), F.lit(-1).cast("bigint").alias("end_pos"), F.lit("").alias("sample_id"), F.col("want").alias("state"))
+        again = rows.join(changed.select(*at), at, "left_semi").select(*heads.columns).unionByName(heads)
+        new = kept(_merge_blocks(again, keys, max_gap, min_samples, block).withColumn("round", F.lit(turn)), f"round-{turn}")
+        out = out.unionByName(new)
+        now = new.filter("start_pos is null").select(*at, F.col("state").alias("_end"), F.col("round").alias("_round")).join(changed, at)
+        ends = kept(ends.join(now, at, "left").select(*at, F.when(F.col("_round").isNotNull(), F.col("want")).otherwise(F.col("start")).alias("start"), F.when(F.col("_round").isNotNull(), F.col("_end")).otherwise(F.col("end")).alias("end"), F.coalesce("_round", "round").alias("round")), f"ends-{turn}")
+    clusters = out.filter("start_pos is not null")
+    if turn > 1:
+        clusters = clusters.join(ends.select(*at, "round"), [*at, "round"], "left_semi")
+    # the last block's open cluster has no block after it that would close it
+    left = ends.withColumn("_next", F.lead("_block").over(order)).filter("_next is null and end is not null").select(*by, F.from_json("end", STATE)["now"].alias("c"))
+    left = left.filter(F.size("c.p") >= min_samples).select(*by, F.col("c.s").alias("start_pos"), F.col("c.e").alias("end_pos"), F.col("c.p").alias("samples"))
+    return clusters.select(*left.columns).unionByName(left).withColumn("n_regions", F.size("samples"))
 
 
 def sample_evidence(consensus: DataFrame, segments: DataFrame, by: tuple[str, ...] = ("chrom", "hap")) -> DataFrame:

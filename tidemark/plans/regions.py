@@ -461,6 +461,16 @@ def w4(spark, d):
     return out.withColumn("samples", F.array_join("samples", ","))
 
 
+LONG_GAP = 200_000
+
+
+@query("w4_long_islands", MERGE.replace("+ 500", f"+ {LONG_GAP}").replace("- 500", f"- {LONG_GAP}"))
+def w4_long(spark, d):
+    """The same with a gap that makes most of a chromosome one island, which then runs in many blocks."""
+    out = K.consensus_merge(seg(spark, d).filter("label = 'U'"), LONG_GAP, 1, block=1 << 17)
+    return out.withColumn("samples", F.array_join("samples", ","))
+
+
 @query("w5_islands", f"WITH {ISLANDS} SELECT chrom, hap, start_pos, end_pos, array_to_string(samples, ',') AS samples, n_regions FROM islands")
 def w5(spark, d):
     return u_islands(spark, d).withColumn("samples", F.array_join("samples", ","))
