@@ -53,15 +53,18 @@ def window_changes(windows: DataFrame) -> DataFrame:
 def cpg_effects(changes: DataFrame) -> DataFrame:
     """Long table (sample_id, hap, contig, pos, effect), distinct; needs gt and phase_set columns.
 
-    Hom-alt: both haplotypes get destroyed and homozygous_denovo. Het with a phase set: the haplotype of the alternate
-    gets destroyed and denovo, the other one a phantom where a created site is not in the reference. Unphased het: none.
+    A variant's alternative is its first one, allele 1. Two of it: both haplotypes get destroyed and homozygous_denovo.
+    Any other phased genotype with a phase set: the first haplotype, if it has allele 1, or else the second gets
+    destroyed and denovo, the other one a phantom where a created site is not in the reference; so 1|2 is on the first,
+    2|1, 0|2 and 2|0 are on the second. Genotypes without an alternative or with a missing allele, and unphased
+    ones, have none.
     """
     gt = F.split("gt", "[|/]")
     a, b = F.try_element_at(gt, F.lit(1)), F.try_element_at(gt, F.lit(2))
-    hom = (a == b) & (a > "0") & (a != ".")
-    het = (a != b) & F.contains("gt", F.lit("|")) & F.col("phase_set").isNotNull() & (a != ".") & (b != ".")
-    alt_hap = F.when(b > "0", "hap2").otherwise("hap1")
-    other = F.when(b > "0", "hap1").otherwise("hap2")
+    hom = (a == "1") & (b == "1")
+    het = F.contains("gt", F.lit("|")) & F.col("phase_set").isNotNull() & (a != ".") & (b != ".") & ((a != "0") | (b != "0"))
+    alt_hap = F.when(a == "1", "hap1").otherwise("hap2")
+    other = F.when(a == "1", "hap2").otherwise("hap1")
     row = lambda h, p, e: F.struct(h.alias("hap"), p.alias("pos"), F.lit(e).alias("effect"))
     d, c = F.col("destroyed"), F.col("created")
 

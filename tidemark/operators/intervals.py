@@ -72,3 +72,9 @@ def annotate_features(df: DataFrame, features: DataFrame) -> DataFrame:
     """Left range join with a small fixed dimension (chrom, f_start, f_end, feature, kind); one row per overlapped feature."""
     dim = F.broadcast(features.withColumnRenamed("chrom", "_f_chrom"))
     return df.join(dim, (F.col("chrom") == F.col("_f_chrom")) & (F.col("start_pos") < F.col("f_end")) & (F.col("f_start") < F.col("end_pos")), "left").drop("_f_chrom", "f_start", "f_end")
+
+
+def paired(regions: DataFrame, least: int = 2, sample: str = "sample_id", hap: str = "hap") -> DataFrame:
+    """Rows of samples that have at least ``least`` haplotypes: 2 for both, 1 for either."""
+    enough = regions.groupBy(sample).agg(F.count_distinct(hap).alias("_h")).filter(F.col("_h") >= least)
+    return regions.join(enough.select(sample), sample, "left_semi")

@@ -64,3 +64,48 @@ def mapped_variants(scored: DataFrame, keys: list[str], version: str) -> DataFra
 def write_tsv(df: DataFrame, path: str, header: bool = True, partition: list[str] | None = None, mode: str = "error") -> None:
     w = df.write.mode(mode).option("sep", "\t").option("header", header)
     (w.partitionBy(*partition) if partition else w).csv(path)
+
+
+def write_sorted(df: DataFrame, path: str, order: list, header: bool = True, partition: list[str] | None = None) -> None:
+    """TSV files in order: part-00000.tsv holds the first rows, and so on; ``order`` are columns or names.
+
+    Rows go to ranges of the order, one file each. Files are staged beside ``path`` and swapped in when all are written, under
+    names that depend on nothing but their place: a reader sees the old folder or the new one, a failed run leaves the
+    old one, and a repeated run leaves the same files. With ``partition`` each value has a folder of its own.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = path.rstrip("/")
+    staged, old = f"{base}-staged-{uuid.uuid4().hex}", f"{base}-old-{uuid.uuid4().hex}"
+    write_tsv(df.orderBy(*[F.col(c) for c in partition or []], *order), staged, header, partition)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    found, names = fs.listFiles(at(staged), True), {}
+    while found.hasNext():
+        f = found.next().getPath()
+        if f.getName().startswith("part-"):
+            names.setdefault(f.getParent().toString(), []).append(f.getName())
+    for folder, files in names.items():
+        for i, name in enumerate(sorted(files)):
+            fs.rename(at(f"{folder}/{name}"), at(f"{folder}/part-{i:05d}.tsv"))
+    if fs.exists(at(base)):
+        fs.rename(at(base), at(old))
+    if not fs.rename(at(staged), at(base)):
+        raise OSError(f"{base} could not be replaced; the rows are in {staged}")
+    fs.delete(at(old), True)
+
+
+def genomic_order(*more: str) -> list:
+    return [chrom_order(F.col("chrom")), F.col("chrom"), F.col("start_pos"), F.col("end_pos"), *[F.col(c) for c in more]]
+
+
+def shares(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, n, percent): how often each value occurs among the rows of a group."""
+    n = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(n.groupBy(*by).agg(F.sum("n").alias("_t")), by).withColumn("percent", F.col("n") * 100.0 / F.col("_t")).drop("_t")
+
+
+def as_report(figures: DataFrame) -> DataFrame:
+    """One row of figures as rows (metric, value)."""
+    return figures.select(*[F.col(c).cast("double").alias(c) for c in figures.columns]).unpivot([], figures.columns, "metric", "value")

@@ -44,6 +44,19 @@ def histogram(df: DataFrame, value: str, n: int, low: float | None = None, high:
     return complete(got, bins, ["bin"], ["n"])
 
 
+def histogram_by(df: DataFrame, value: Column, n: int, by: list[str], low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """(by, bin, n) of each group with empty bins as 0; edges are a group's extremes unless given as columns that are constant in it.
+
+    Values outside given edges are left out, the last bin is closed, and a group of one value has it in the middle bin.
+    """
+    src = df.select(*by, value.cast("double").alias("v"), *[c.cast("double").alias(k) for k, c in (("lo", low), ("hi", high)) if c is not None]).filter("v is not null")
+    edges = src.groupBy(*by).agg((F.min("v") if low is None else F.min("lo")).alias("lo"), (F.max("v") if high is None else F.max("hi")).alias("hi"))
+    edges = edges.withColumns({"lo": F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")), "hi": F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi"))})
+    own = src.select(*by, "v").join(edges, by).filter("v >= lo and v <= hi")
+    got = own.groupBy(*by, histogram_bin(F.col("v"), F.col("lo"), F.col("hi"), n).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return complete(got, edges.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin")), [*by, "bin"], ["n"])
+
+
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).cast("double").alias("min"), q.alias("q"), F.max(value).cast("double").alias("max"))
@@ -137,7 +150,7 @@ def segment_runs(pileup: DataFrame, max_gap: int = 500, min_cpgs: int = 5, call:
 
 
 def top_regions(df: DataFrame, score: str, n: int, keys: list[str]) -> DataFrame:
-    """The n/2 largest and n/2 smallest by a score, ties by key."""
+    """The n/2 largest and n/2 smallest by a score, ties by key; sort the result by ``genomic_order`` for a table."""
     half = n // 2
     high = df.orderBy(F.desc(score), *keys).limit(half).withColumn("side", F.lit("high"))
     return high.unionByName(df.orderBy(F.asc(score), *keys).limit(half).withColumn("side", F.lit("low")))

@@ -97,12 +97,17 @@ def s2(spark, d):
     return got.groupBy(F.col("mod_score").cast("bigint").alias("mod_score")).agg(F.count(F.lit(1)).alias("n"), F.sum("coverage").alias("coverage"))
 
 
-@query("s3_segment_scan", f"WITH {SEG} SELECT chrom, 'Hap1-' || label AS category, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM seg WHERE hap = 'H1' GROUP BY ALL")
+@query("s3_segment_scan", f"WITH {SEG} SELECT chrom, 'Hap' || substr(hap, 2) || '-' || label AS category, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM seg GROUP BY ALL")
 def s3(spark, d):
-    path = scratch(spark)
-    src = seg(spark, d).filter("hap = 'H1'").select(F.concat_ws("\t", "chrom", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), "label").alias("value"))
-    src.unionByName(src.limit(1).select(F.lit("#chrom\tstart\tend\tsummary_label").alias("value"))).write.text(path)
-    return files.read_segments(spark, path, "Hap1").groupBy("chrom", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    """The files of each haplotype, every one of which has a comment line first."""
+    out = None
+    for hap in ("H1", "H2"):
+        path = scratch(spark)
+        src = seg(spark, d).filter(F.col("hap") == hap).select(F.concat_ws("\t", "chrom", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), "label").alias("value"))
+        src.unionByName(src.limit(1).select(F.lit("#chrom\tstart\tend\tsummary_label").alias("value"))).write.text(path)
+        got = files.read_segments(spark, path, f"Hap{hap[1]}")
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("chrom", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
 
 
 @query("s4_segment_header_scan", f"WITH {SEG} SELECT label, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM seg GROUP BY ALL")
@@ -139,6 +144,17 @@ def s8(spark, d):
     return got.groupBy(F.size("samples").cast("bigint").alias("n_samples")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s8_rejected_rows", f"WITH {ISLANDS} SELECT start_pos % 5 <> 0 AND start_pos % 7 <> 0 AS ok, count(*) AS n FROM islands GROUP BY ALL")
+def s8_rejected(spark, d):
+    """Rows of too few fields and rows whose end is no number are told from good ones, which may lack the last field."""
+    path = scratch(spark)
+    t = sinks.consensus_table(u_islands(spark, d))
+    end = F.when(F.col("start_pos") % 7 == 0, "x").otherwise(F.col("end_pos").cast("string"))
+    cells = [F.col("chrom"), F.col("start_pos").cast("string"), end, F.col("num_samples").cast("string"), F.col("samples"), F.lit("U"), F.col("size").cast("string")]
+    t.select(F.when(F.col("start_pos") % 5 == 0, F.concat_ws("\t", *cells[:6])).otherwise(F.concat_ws("\t", *cells)).alias("value")).write.text(path)
+    return files.read_consensus(spark, path, on_bad="flag").groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s9_candidate_scan", f"WITH {EVIDENCE} SELECT len(us) AS n_u, len(ms) AS n_m, count(*) AS n FROM reasoned WHERE reason = 'final' GROUP BY ALL")
 def s9(spark, d):
     got = files.read_candidates(spark, wrote(spark, sinks.candidate_table(final_candidates(spark, d)), header=True))
@@ -157,7 +173,8 @@ def s12(spark, d):
 
 @query("k1_consensus_sink", f"WITH {ISLANDS} SELECT chrom, start_pos, end_pos, len(samples) AS num_samples, array_to_string(samples, ',') AS samples, end_pos - start_pos AS size FROM islands")
 def k1(spark, d):
-    path = wrote(spark, sinks.genomic_sort(sinks.consensus_table(u_islands(spark, d))), header=True)
+    path = scratch(spark)
+    sinks.write_sorted(sinks.consensus_table(u_islands(spark, d)), path, sinks.genomic_order("samples"))
     return spark.read.csv(path, sep="\t", header=True, schema="chrom string, start_pos bigint, end_pos bigint, num_samples bigint, samples string, size bigint")
 
 
@@ -174,19 +191,30 @@ def k4(spark, d):
     return got.groupBy("hap", "label", "sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
 
 
+def bed_file(spark, bed):
+    """Browser rows written in genomic order and read back."""
+    path = scratch(spark)
+    sinks.write_sorted(bed, path, sinks.genomic_order("name"), header=False)
+    return spark.read.csv(path, sep="\t", schema=bed.schema)
+
+
 @query("k7_browser_bed9", f"WITH {SEG} SELECT chrom, start_pos, end_pos, label AS name, 1000 AS score, '.' AS strand, start_pos AS thick_start, end_pos AS thick_end, CASE label WHEN 'M' THEN '255,0,0' WHEN 'U' THEN '0,0,255' ELSE '0,0,0' END AS rgb FROM seg")
 def k7(spark, d):
-    return sinks.genomic_sort(sinks.bed9(seg(spark, d)))
+    return bed_file(spark, sinks.bed9(seg(spark, d)))
 
 
 @query("k7_consensus_bed9", f"WITH {ISLANDS} SELECT chrom, start_pos, end_pos, chrom || ':' || start_pos || '-' || end_pos AS name, 0 AS score, '.' AS strand, start_pos AS thick_start, end_pos AS thick_end, '0,255,0' AS rgb FROM islands")
 def k7c(spark, d):
-    return sinks.bed9(u_islands(spark, d).withColumn("key", C.region_key()), "key", 0, F.lit("0,255,0"))
+    return bed_file(spark, sinks.bed9(u_islands(spark, d).withColumn("key", C.region_key()), "key", 0, F.lit("0,255,0")))
 
 
-@query("k8_sorted_cohort", f"WITH {SEG} SELECT chrom, start_pos, end_pos, label, sample_id FROM seg WHERE hap = 'H1'")
+@query("k8_sorted_cohort", f"WITH {SEG} SELECT chrom, start_pos, end_pos, label, sample_id, hap FROM seg")
 def k8(spark, d):
-    return sinks.genomic_sort(seg(spark, d).filter(F.startswith("hap", F.lit("H1"))).select("chrom", "start_pos", "end_pos", "label", "sample_id"))
+    """All samples of a haplotype in genomic order, a folder per haplotype, written twice over and read back."""
+    path, kind = scratch(spark), "chrom string, start_pos bigint, end_pos bigint, label string, sample_id string, hap string"
+    for _ in range(2):
+        sinks.write_sorted(seg(spark, d).select("chrom", "start_pos", "end_pos", "label", "sample_id", "hap"), path, sinks.genomic_order("sample_id", "label"), header=False, partition=["hap"])
+    return spark.read.csv(path, sep="\t", schema=kind)
 
 
 # projections and filters
@@ -270,6 +298,15 @@ def j14(spark, d):
     return k.join(both, keys, "left_semi").groupBy(*keys, "hap").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("j14_sample_pairing", f"WITH {SEG}, few AS (SELECT * FROM seg WHERE NOT (sample_id IN ('S1', 'S2') AND hap = 'H2') AND NOT (sample_id IN ('S2', 'S3') AND hap = 'H1')), p AS (SELECT sample_id, count(DISTINCT hap) AS h FROM few GROUP BY ALL) SELECT sample_id, hap, h = 2 AS both, count(*) AS n FROM few JOIN p USING (sample_id) GROUP BY ALL")
+def j14_samples(spark, d):
+    """Samples with files of both haplotypes, and those with either, which the weaker form keeps."""
+    s, h = F.col("sample_id"), F.col("hap")
+    few = seg(spark, d).filter(~(s.isin("S1", "S2") & (h == "H2")) & ~(s.isin("S2", "S3") & (h == "H1")))
+    both, either = (I.paired(few, least).groupBy("sample_id", "hap").agg(F.count(F.lit(1)).alias("n")) for least in (2, 1))
+    return either.join(both.select("sample_id", "hap", F.lit(True).alias("both")), ["sample_id", "hap"], "left").select("sample_id", "hap", F.coalesce("both", F.lit(False)).alias("both"), "n")
+
+
 # aggregations
 
 
@@ -285,10 +322,10 @@ def g1(spark, d):
     return rounded(stats.size_stats(both, ["hap", "label", "sample_id"]), "mean_size", "std_size")
 
 
-@query("g2_cohort_averages", f"WITH {SEG}, p AS (SELECT hap, sample_id, count(*) AS n, avg(size) AS m FROM seg WHERE label = 'U' GROUP BY ALL) SELECT hap, round(avg(n), 6) AS mean_n, round(stddev_pop(n), 6) AS std_n, round(avg(m), 6) AS mean_size, round(stddev_pop(m), 6) AS std_size FROM p GROUP BY hap")
+@query("g2_cohort_averages", f"WITH {SEG}, p AS (SELECT hap, label, sample_id, count(*) AS n, avg(size) AS m FROM seg GROUP BY ALL) SELECT hap, label, round(avg(n), 6) AS mean_n, round(stddev_pop(n), 6) AS std_n, round(avg(m), 6) AS mean_size, round(stddev_pop(m), 6) AS std_size FROM p GROUP BY hap, label")
 def g2(spark, d):
-    p = stats.size_stats(seg(spark, d).filter("label = 'U'"), ["hap", "sample_id"])
-    return p.groupBy("hap").agg(R(F.avg("n")).alias("mean_n"), R(F.stddev_pop("n")).alias("std_n"), R(F.avg("mean_size")).alias("mean_size"), R(F.stddev_pop("mean_size")).alias("std_size"))
+    p = stats.size_stats(seg(spark, d), ["hap", "label", "sample_id"])
+    return p.groupBy("hap", "label").agg(R(F.avg("n")).alias("mean_n"), R(F.stddev_pop("n")).alias("std_n"), R(F.avg("mean_size")).alias("mean_size"), R(F.stddev_pop("mean_size")).alias("std_size"))
 
 
 @query("g5_state_pivot", f"WITH {SEG} SELECT sample_id, " + ", ".join(f"count(*) FILTER (hap = '{h}' AND label = '{x}') AS {h}_{x}" for h in ("H1", "H2") for x in "MU") + " FROM seg GROUP BY sample_id")
@@ -308,6 +345,19 @@ def g7(spark, d):
     return stats.size_stats(s, ["category"], ddof=1, digits=2)
 
 
+FOUR = [f"Hap{h}-{x}" for h in (1, 2) for x in "MU"]
+
+
+@query("g7_completed_categories", f"WITH {SEG}, k AS (SELECT 'Hap' || substr(hap, 2) || '-' || label AS category, sample_id, size FROM seg WHERE NOT (hap = 'H2' AND CAST(substr(sample_id, 2) AS INT) % 2 = 1)), c AS (SELECT sample_id, unnest({FOUR}) AS category FROM (SELECT DISTINCT sample_id FROM seg)) SELECT c.sample_id, c.category, count(size) AS n, round(coalesce(avg(size), 0), 2) AS mean_size, round(coalesce(stddev_samp(size), 0), 2) AS std_size FROM c LEFT JOIN k ON k.sample_id = c.sample_id AND k.category = c.category GROUP BY ALL")
+def g7_completed(spark, d):
+    """Every sample has all four categories, 0 where it has no region; every second sample lacks a haplotype here."""
+    s = seg(spark, d).withColumn("category", F.concat_ws("-", F.concat(F.lit("Hap"), F.substring("hap", 2, 1)), "label"))
+    own = s.filter(~((F.col("hap") == "H2") & (F.substring("sample_id", 2, 9).cast("int") % 2 == 1)))
+    got = stats.size_stats(own.filter(F.col("category").isin(FOUR)), ["sample_id", "category"], ddof=1, digits=2)
+    whole = s.select("sample_id").distinct().withColumn("category", F.explode(F.array(*[F.lit(c) for c in FOUR])))
+    return stats.complete(got, whole, ["sample_id", "category"], ["n", "mean_size", "std_size"])
+
+
 @query("g8_category_by_chrom", f"WITH {SEG} SELECT chrom, " + ", ".join(f"count(*) FILTER (hap = '{h}' AND label = '{x}') AS {h}_{x}" for h in ("H1", "H2") for x in "MU") + " FROM seg GROUP BY chrom")
 def g8(spark, d):
     s = seg(spark, d).withColumn("state", C.combined_label(F.col("hap"), F.col("label")))
@@ -379,6 +429,42 @@ def g15(spark, d):
     return stats.histogram(seg(spark, d), "size", 50)
 
 
+def hist_sql(src: str, by: str, n: int, lo: str = "min(v)", hi: str = "max(v)") -> str:
+    """A histogram of ``src`` (by, v, ...) for each group, as numpy bins it."""
+    return f"{src}, e0 AS (SELECT {by}, {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi FROM src WHERE v IS NOT NULL GROUP BY {by}), e AS (SELECT {by}, CASE WHEN lo = hi THEN lo - 0.5::DOUBLE ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5::DOUBLE ELSE hi END AS hi FROM e0), b AS (SELECT {by}, CAST(least({n - 1}, floor((v - lo) / ((hi - lo) / {n}))) AS INT) AS bin FROM src JOIN e USING ({by}) WHERE v BETWEEN lo AND hi), g AS (SELECT {by}, unnest(range(0, {n}))::INT AS bin FROM e), k AS (SELECT {by}, bin, count(*) AS n FROM b GROUP BY {by}, bin) SELECT {by}, bin, coalesce(n, 0) AS n FROM g LEFT JOIN k USING ({by}, bin)"
+
+
+@query("g15_score_histogram", f"WITH {duck('pileup')}, {hist_sql('src AS (SELECT sample_id, hap, mod_score::DOUBLE AS v FROM pileup)', 'sample_id, hap', 20, '0', '100')}")
+def g15_scores(spark, d):
+    """Scores of each sample's track in steps of 5 from 0 to 100."""
+    return stats.histogram_by(view(spark, d, "pileup"), F.col("mod_score"), 20, ["sample_id", "hap"], F.lit(0), F.lit(100))
+
+
+@query("g15_pileup_histograms", f"WITH {duck('pileup')}, {hist_sql(chr(39).join(['src AS (SELECT hap, ', 'mod_probability', ' AS metric, mod_probability AS v FROM pileup UNION ALL SELECT hap, ', 'coverage', ', coverage FROM pileup)']), 'hap, metric', 50)}")
+def g15_pileup(spark, d):
+    """Probability and coverage of each track in 50 bins."""
+    long = view(spark, d, "pileup").select("hap", F.col("mod_probability").cast("double").alias("mod_probability"), F.col("coverage").cast("double").alias("coverage")).unpivot(["hap"], ["mod_probability", "coverage"], "metric", "v")
+    return stats.histogram_by(long, F.col("v"), 50, ["hap", "metric"])
+
+
+@query("g15_gap_histogram", f"WITH {SEG}, {hist_sql('src AS (SELECT hap, start_pos - lag(start_pos) OVER (PARTITION BY hap, chrom, sample_id ORDER BY start_pos, end_pos) AS v FROM seg)', 'hap', 50)}")
+def g15_gaps(spark, d):
+    return stats.histogram_by(stats.gaps(seg(spark, d), ["hap", "chrom", "sample_id"]), F.col("gap"), 50, ["hap"])
+
+
+@query("g15_position_histograms", f"WITH {SEG}, {hist_sql('src AS (SELECT sample_id, chrom, (start_pos + end_pos) / 2.0::DOUBLE AS v FROM seg)', 'sample_id, chrom', 100)}")
+def g15_positions(spark, d):
+    """Midpoints of a sample's regions on each chromosome in 100 bins between the first and the last."""
+    return stats.histogram_by(seg(spark, d), C.midpoint(), 100, ["sample_id", "chrom"])
+
+
+@query("g15_chromosome_histograms", f"WITH {SEG}, {dimensions.sizes_sql()}, {hist_sql('src AS (SELECT label, chrom, (start_pos + end_pos) / 2.0::DOUBLE AS v, chrom_size FROM seg JOIN chrom_sizes USING (chrom))', 'label, chrom', 500, '0', 'any_value(chrom_size)')}")
+def g15_chromosomes(spark, d):
+    """Midpoints in 500 bins over the whole of each chromosome."""
+    s = seg(spark, d).join(F.broadcast(dimensions.chrom_sizes(spark)), "chrom")
+    return stats.histogram_by(s, C.midpoint(), 500, ["label", "chrom"], F.lit(0), F.col("chrom_size"))
+
+
 @query("g16_log_histogram", f"WITH {SEG}, k AS (SELECT log10(size::DOUBLE) AS v FROM seg WHERE size > 0), e AS (SELECT min(v) AS lo, max(v) AS hi FROM k), b AS (SELECT CAST(least(48, floor((v - lo) / ((hi - lo) / 49))) AS INT) AS bin FROM k, e) SELECT r.bin::INT AS bin, count(b.bin) AS n FROM (SELECT unnest(range(0, 49)) AS bin) r LEFT JOIN b ON r.bin = b.bin GROUP BY r.bin")
 def g16(spark, d):
     return stats.histogram(seg(spark, d).filter("size > 0"), "size", 49, log=True)
@@ -402,6 +488,14 @@ def g19(spark, d):
     return k.agg(F.count(F.lit(1)).alias("total"), R(F.avg("u")).alias("mean_u"), F.median("u").alias("median_u"), R(F.avg("m")).alias("mean_m"), F.median("m").alias("median_m"), R(F.avg("size")).alias("mean_size"), F.median("size").alias("median_size"), F.sum("size").alias("bases"))
 
 
+@query("k9_region_report", f"WITH {EVIDENCE}, k AS (SELECT hap, len(us) AS u, len(ms) AS m FROM reasoned WHERE reason = 'final'), f AS (SELECT hap, count(*)::DOUBLE AS total_regions, round(avg(u), 2) AS mean_unmethylated, round(avg(m), 2) AS mean_methylated, median(u)::DOUBLE AS median_unmethylated, median(m)::DOUBLE AS median_methylated FROM k GROUP BY hap) SELECT hap, metric, value FROM (UNPIVOT f ON total_regions, mean_unmethylated, mean_methylated, median_unmethylated, median_methylated INTO NAME metric VALUE value)")
+def k9_regions(spark, d):
+    """The report on samples per candidate region of each haplotype."""
+    u, m = F.size("unmethylated_samples"), F.size("methylated_samples")
+    f = final_candidates(spark, d).groupBy("hap").agg(F.count(F.lit(1)).cast("double").alias("total_regions"), R(F.avg(u), 2).alias("mean_unmethylated"), R(F.avg(m), 2).alias("mean_methylated"), F.median(u).alias("median_unmethylated"), F.median(m).alias("median_methylated"))
+    return f.unpivot(["hap"], f.columns[1:], "metric", "value")
+
+
 @query("g20_regions_per_chrom_hap", f"WITH {ISLANDS} SELECT chrom, count(*) FILTER (hap = 'H1') AS H1, count(*) FILTER (hap = 'H2') AS H2 FROM islands GROUP BY chrom")
 def g20(spark, d):
     return stats.state_pivot(u_islands(spark, d), "chrom", "hap", ["H1", "H2"])

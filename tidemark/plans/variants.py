@@ -60,11 +60,15 @@ def s11(spark, d):
     return chunks.groupBy("contig").agg(F.sum(F.least(F.length("seq"), F.lit(1024))).alias("n"), F.sum(F.size(own)).alias("n_cg"))
 
 
-@query("s14_file_list_scan", f"WITH {GEN} SELECT vcf_type, count(*) AS n FROM genotypes WHERE vcf_type = 'small' GROUP BY ALL")
+@query("s14_file_list_scan", f"WITH {GEN} SELECT vcf_type, count(*) AS n FROM genotypes GROUP BY ALL")
 def s14(spark, d):
-    path = vcf_file(spark, d)
-    listed = spark.createDataFrame([(f"{path}/p={i}",) for i in range(8)], "value string")
-    return files.read_many(spark, listed, "small").groupBy("vcf_type").agg(F.count(F.lit(1)).alias("n"))
+    """The listed files of every class."""
+    out = None
+    for t in ("small", "sv", "cnv"):
+        path = vcf_file(spark, d, t)
+        got = files.read_many(spark, spark.createDataFrame([(f"{path}/p={i}",) for i in range(8)], "value string"), t)
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("vcf_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p7_callable_genotypes", f"WITH {GEN} SELECT sample_id, count(*) AS n FROM genotypes WHERE gt NOT LIKE '%.%' AND gt NOT IN ('0|0', '0/0') GROUP BY sample_id")
@@ -447,6 +451,83 @@ def k9_variants(spark, d):
     return s.agg(*[v.alias(k) for k, v in figures.items()]).unpivot([], list(figures), "metric", "value")
 
 
+ALL5 = f"{ASSOC}{V4}, e AS (SELECT *, {TYPE} AS vcf_type, greatest(0.0, rm - ru) AS em, greatest(0.0, ru - rm) AS eu, -log10(greatest(p, 1e-10)) AS g, (m_plus + u_plus)::DOUBLE AS n3, m_plus::DOUBLE / nullif(m_plus + u_plus, 0) AS rate, CASE WHEN m_minus + u_minus > 0 THEN m_minus::DOUBLE / (m_minus + u_minus) ELSE 0 END AS bg3 FROM v4), f2 AS (SELECT *, {V2} FROM e), f5 AS (SELECT *, CASE WHEN v2m > v2u THEN 'methylated' ELSE 'unmethylated' END AS association, round(CASE WHEN n3 > 0 THEN greatest(0.0, least(1.0, ((0.5 * (rate - bg3) + 0.3 * (1 - sqrt(rate * (1 - rate)) / sqrt(n3)) + 0.2 * least(1.0, 2 * cov2)) + 1) / 2 * least(1.0, n3 / 10))) END, 9) AS v3, CASE WHEN m_plus + u_plus >= 5 AND m_minus + u_minus >= 5 AND u_plus = 0 AND m_minus = 0 THEN 'methylated_associated' WHEN m_plus + u_plus >= 5 AND m_minus + u_minus >= 5 AND m_plus = 0 AND u_minus = 0 THEN 'unmethylated_associated' END AS pattern, m_plus + u_plus + m_minus + u_minus AS seen FROM f2)"
+
+
+def all_scores(spark, d):
+    """The scores of every version with the variant's class."""
+    s = states.scored(assoc_totals(spark, d)).withColumn("vcf_type", F.expr(TYPE))
+    seen = F.col("m_plus") + F.col("u_plus") + F.col("m_minus") + F.col("u_minus")
+    return s.withColumn("seen", seen).withColumn("v3", F.round("v3", 9))
+
+
+def five_figures(c):
+    """Mean, median, population std, least and largest of a score."""
+    return [R(f(c), 5).alias(k) for k, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+
+
+FIVE_SQL = ", ".join(f"round({f}(v), 5) AS {k}" for k, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")))
+
+
+@query("g27_all_versions", f"WITH {ALL5}, long AS (SELECT 'v2_methylated' AS score, v2m AS v FROM f5 WHERE association = 'methylated' UNION ALL SELECT 'v2_unmethylated', v2u FROM f5 WHERE association = 'unmethylated' UNION ALL SELECT 'v3', v3 FROM f5 WHERE v3 IS NOT NULL UNION ALL SELECT 'v4_methylated', sm FROM f5 WHERE sm IS NOT NULL UNION ALL SELECT 'v4_unmethylated', su FROM f5 WHERE su IS NOT NULL UNION ALL SELECT 'simple_samples', seen FROM f5 WHERE pattern IS NOT NULL) SELECT score, count(*) AS n, {FIVE_SQL} FROM long GROUP BY score")
+def g27_all(spark, d):
+    """Distribution of the score that each version reports, and of the simple version's sample counts."""
+    s = all_scores(spark, d)
+    c = F.col
+    take = {"v2_methylated": F.when(c("v2_association") == "methylated", c("v2_meth")), "v2_unmethylated": F.when(c("v2_association") == "unmethylated", c("v2_unmeth")), "v3": c("v3"), "v4_methylated": c("v4_meth"), "v4_unmethylated": c("v4_unmeth"), "simple_samples": F.when(c("simple_class").isNotNull(), c("seen").cast("double"))}
+    long = s.select(*[v.alias(k) for k, v in take.items()]).unpivot([], list(take), "score", "v").filter("v is not null")
+    return long.groupBy("score").agg(F.count(F.lit(1)).alias("n"), *five_figures(c("v")))
+
+
+@query("g27_v3_bands", f"WITH {ALL5} SELECT count(*) FILTER (v3 > 0.7) AS above_7, count(*) FILTER (v3 >= 0.6 AND v3 <= 0.7) AS band_67, count(*) FILTER (v3 >= 0.4 AND v3 <= 0.6) AS band_46, count(*) FILTER (v3 >= 0.3 AND v3 <= 0.4) AS band_34, count(*) FILTER (v3 < 0.3) AS below_3 FROM f5")
+def g27_v3(spark, d):
+    """Bands of the third version's score; adjacent ones share their edges."""
+    v = F.col("v3")
+    return all_scores(spark, d).agg(F.count_if(v > 0.7).alias("above_7"), F.count_if(v.between(0.6, 0.7)).alias("band_67"), F.count_if(v.between(0.4, 0.6)).alias("band_46"), F.count_if(v.between(0.3, 0.4)).alias("band_34"), F.count_if(v < 0.3).alias("below_3"))
+
+
+@query("k9_v1_report", f"WITH {ALL5}, l AS (SELECT vcf_type, CASE WHEN rm > ru THEN 'methylated' WHEN ru > rm THEN 'unmethylated' ELSE 'even' END AS pattern FROM f5) SELECT vcf_type, pattern, count(*) AS n, round(count(*) * 100.0::DOUBLE / any_value(t), 6) AS percent FROM l JOIN (SELECT vcf_type, count(*) AS t FROM l GROUP BY vcf_type) USING (vcf_type) GROUP BY vcf_type, pattern")
+def k9_v1(spark, d):
+    """Per variant class how often carriers are rather methylated or not, and the share in percent."""
+    share = lambda n, t: F.when(F.col(t) > 0, F.col(n) / F.col(t)).otherwise(0.0)
+    m, u = share("m_plus", "total_meth"), share("u_plus", "total_unmeth")
+    s = all_scores(spark, d).withColumn("pattern", F.when(m > u, "methylated").when(u > m, "unmethylated").otherwise("even"))
+    return sinks.shares(s, ["vcf_type"], "pattern").withColumn("percent", R("percent"))
+
+
+@query("k9_v2_report", f"WITH {ALL5}, figures AS (SELECT count(*)::DOUBLE AS total, " + ", ".join(f"count(*) FILTER (association = '{a}')::DOUBLE AS {a}" for a in ("methylated", "unmethylated")) + ", " + ", ".join(f"count(*) FILTER (association = '{a}' AND vcf_type = '{t}')::DOUBLE AS {t}_{a}" for t in ("small", "sv", "cnv") for a in ("methylated", "unmethylated")) + " FROM f5) SELECT metric, value FROM (UNPIVOT figures ON COLUMNS(*) INTO NAME metric VALUE value)")
+def k9_v2(spark, d):
+    """The second version's summary: totals by association, and by class and association."""
+    a, t = F.col("v2_association"), F.col("vcf_type")
+    kinds = ("methylated", "unmethylated")
+    figures = [F.count(F.lit(1)).alias("total"), *[F.count_if(a == k).alias(k) for k in kinds], *[F.count_if((a == k) & (t == v)).alias(f"{v}_{k}") for v in ("small", "sv", "cnv") for k in kinds]]
+    return sinks.as_report(all_scores(spark, d).agg(*figures))
+
+
+@query("k9_v3_report", f"WITH {ALL5}, figures AS (SELECT count(*)::DOUBLE AS analysed, count(v3)::DOUBLE AS passing, (count(*) - count(v3))::DOUBLE AS excluded, " + ", ".join(f"count(v3) FILTER (vcf_type = '{t}')::DOUBLE AS type_{t}" for t in ("small", "sv", "cnv")) + " FROM f5) SELECT metric, value FROM (UNPIVOT figures ON COLUMNS(*) INTO NAME metric VALUE value)")
+def k9_v3(spark, d):
+    """The third version's summary; its bands are those of ``g27_v3_bands``."""
+    n = F.count("v3")
+    types = [F.count(F.when(F.col("vcf_type") == t, F.col("v3"))).alias(f"type_{t}") for t in ("small", "sv", "cnv")]
+    return sinks.as_report(all_scores(spark, d).agg(F.count(F.lit(1)).alias("analysed"), n.alias("passing"), (F.count(F.lit(1)) - n).alias("excluded"), *types))
+
+
+@query("k9_simple_report", f"WITH {ALL5}, x AS (SELECT * FROM f5 WHERE pattern IS NOT NULL), figures AS (SELECT " + ", ".join([*(f"count(*) FILTER (pattern = '{p}')::DOUBLE AS {p}" for p in ("methylated_associated", "unmethylated_associated")), *(f"count(*) FILTER (vcf_type = '{t}')::DOUBLE AS type_{t}" for t in ("small", "sv", "cnv"))]) + ", round(avg(seen), 1) AS samples_mean, round(median(seen), 1) AS samples_median, min(seen)::DOUBLE AS samples_min, max(seen)::DOUBLE AS samples_max FROM x) SELECT metric, value FROM (UNPIVOT figures ON COLUMNS(*) INTO NAME metric VALUE value)")
+def k9_simple(spark, d):
+    """The simple version's summary: patterns, classes and samples per variant."""
+    x = all_scores(spark, d).filter("simple_class is not null")
+    figures = [F.count_if(F.col("simple_class") == p).alias(p) for p in ("methylated_associated", "unmethylated_associated")] + [F.count_if(F.col("vcf_type") == t).alias(f"type_{t}") for t in ("small", "sv", "cnv")]
+    return sinks.as_report(x.agg(*figures, R(F.avg("seen"), 1).alias("samples_mean"), R(F.median("seen"), 1).alias("samples_median"), F.min("seen").alias("samples_min"), F.max("seen").alias("samples_max")))
+
+
+@query("k9_merge_report", f"WITH {MERGED}, q AS (SELECT vcf_type, count(*) AS initial, count(*) FILTER (qual >= 20 AND depth >= 10) AS final FROM site GROUP BY vcf_type) SELECT vcf_type, initial, final, initial - final AS removed, printf('%.2f%%', final * 100.0::DOUBLE / initial) AS retained FROM q")
+def k9_merge(spark, d):
+    """Per class the merged sites before and after the filter on quality and depth."""
+    sites, _ = merged_calls(spark, d)
+    q = sites.groupBy("vcf_type").agg(F.count(F.lit(1)).alias("initial"), F.count_if((F.col("qual") >= 20) & (F.col("depth") >= 10)).alias("final"))
+    return q.select("*", (F.col("initial") - F.col("final")).alias("removed"), F.format_string("%.2f%%", F.col("final") * 100.0 / F.col("initial")).alias("retained"))
+
+
 # pileup cleaning
 
 REF = duck("reference_seq") + ", n AS (SELECT count(*) AS n FROM documents)"

@@ -46,9 +46,7 @@ def read_regions(spark: SparkSession, path, on_bad: str = "drop") -> DataFrame:
 def read_sized(spark: SparkSession, path) -> DataFrame:
     """Header TSV with string columns; numbers are coerced, rows that fail or have no positive size go."""
     raw = spark.read.csv(path, sep="\t", header=True)
-    missing = {"chrom", "start", "end"} - set(raw.columns)
-    if missing:
-        raise ValueError(f"columns missing: {sorted(missing)}")
+    require(raw, ("chrom", "start", "end"))
     size = F.expr("try_cast(size as bigint)") if "size" in raw.columns else F.lit(None).cast("bigint")
     df = raw.select("chrom", F.expr("try_cast(start as bigint)").alias("start_pos"), F.expr("try_cast(end as bigint)").alias("end_pos"), size.alias("size"))
     return df.dropna(subset=["chrom", "start_pos", "end_pos"]).withColumn("size", F.coalesce("size", F.col("end_pos") - F.col("start_pos"))).filter("size > 0")
@@ -59,29 +57,74 @@ def sample_array(col: str) -> Column:
     return F.when(F.col(col).isNull() | (F.col(col) == "."), F.array().cast("array<string>")).otherwise(F.split(col, ","))
 
 
-def read_consensus(spark: SparkSession, path) -> DataFrame:
-    cols = "chrom string, start_pos bigint, end_pos bigint, num_samples int, samples string, summary_labels string, size bigint, contributing_samples string"
-    df = spark.read.csv(path, sep="\t", header=True, schema=cols)
-    return df.withColumn("samples", sample_array("samples")).withColumn("contributing_samples", sample_array("contributing_samples"))
+CONSENSUS = {"chrom": "string", "start_pos": "bigint", "end_pos": "bigint", "num_samples": "int", "samples": "string", "summary_labels": "string", "size": "bigint", "contributing_samples": "string"}
+CANDIDATES = {"chrom": "string", "start_pos": "bigint", "end_pos": "bigint", "size": "bigint", "num_unmethylated": "int", "num_methylated": "int", "unmethylated_samples": "string", "methylated_samples": "string"}
+
+
+def require(df: DataFrame, columns) -> None:
+    """An error that names the columns that a file's header lacks."""
+    missing = sorted(set(columns) - set(df.columns))
+    if missing:
+        raise ValueError(f"columns missing: {missing}")
+
+
+def read_consensus(spark: SparkSession, path, least_fields: int = 7, on_bad: str = "drop") -> DataFrame:
+    """Consensus regions by position of their fields. Rows of fewer than ``least_fields`` fields or with coordinates that are no
+    numbers are dropped, or with on_bad='flag' kept with ``ok`` false; of eight fields the last may be absent."""
+    f = F.split("value", "\t")
+    cell = lambda i, kind: F.get(f, F.lit(i)).try_cast(kind)
+    lines = spark.read.text(path).filter((F.trim("value") != "") & ~F.regexp_like("value", F.lit("^(#|chrom\t)")))
+    df = lines.select((F.size(f) >= least_fields).alias("ok"), *[cell(i, kind).alias(c) for i, (c, kind) in enumerate(CONSENSUS.items())])
+    df = df.withColumn("ok", F.coalesce(F.col("ok") & F.col("start_pos").isNotNull() & F.col("end_pos").isNotNull(), F.lit(False)))
+    df = df.withColumn("samples", sample_array("samples")).withColumn("contributing_samples", sample_array("contributing_samples"))
+    return df.select(*CONSENSUS, "ok") if on_bad == "flag" else df.filter("ok").select(*CONSENSUS)
 
 
 def read_candidates(spark: SparkSession, path) -> DataFrame:
-    cols = "chrom string, start_pos bigint, end_pos bigint, size bigint, num_unmethylated int, num_methylated int, unmethylated_samples string, methylated_samples string"
-    df = spark.read.csv(path, sep="\t", header=True, schema=cols)
+    """Candidate regions by the names in the header, in any order; a name that is missing is an error."""
+    raw = spark.read.csv(path, sep="\t", header=True)
+    require(raw, CANDIDATES)
+    df = raw.select(*[F.col(c).try_cast(kind).alias(c) for c, kind in CANDIDATES.items()])
     return df.withColumn("unmethylated_samples", sample_array("unmethylated_samples")).withColumn("methylated_samples", sample_array("methylated_samples"))
 
 
-def read_vcf(spark: SparkSession, path, vcf_type: str) -> DataFrame:
-    """Long genotype table of VCF text (gzip allowed). Sample names come from the header of the same file; records
-    with fewer than ten fields are skipped; the genotype is the first FORMAT field."""
+def vcf_headers(lines: DataFrame) -> DataFrame:
+    """(file, names): the sample names of each file's header line; a file of several headers has its first in text order."""
+    heads = lines.filter(F.startswith("value", F.lit("#CHROM"))).select("file", F.slice(F.split("value", "\t"), 10, 1 << 20).alias("names"))
+    return heads.groupBy("file").agg(F.min("names").alias("names"))
+
+
+def read_vcf_sites(spark: SparkSession, path, vcf_type: str, most_bytes: int = 64 << 20, salts: int = 64) -> DataFrame:
+    """One row per record of VCF text (gzip allowed): chrom, pos, variant_id, ref, alt, qual, filter, info, vcf_type, names, gts.
+
+    Sample names come from the header of the same file and stay in its order; the genotype is the first FORMAT field.
+    Records with fewer than ten fields are skipped, a record with fewer genotypes than names has nulls at the end. A large
+    file of plain text is read by many tasks, a gzip file by one. Headers are one row per file: up to ``most_bytes`` of
+    names are broadcast, so that no record moves; beyond that they are spread over ``salts`` copies, so that a large
+    file isn't one key.
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(~F.startswith("value", F.lit("##")))
-    names = lines.filter(F.startswith("value", F.lit("#CHROM"))).select("file", F.slice(F.split("value", "\t"), 10, 1 << 20).alias("names"))
+    heads = vcf_headers(lines)
     rows = lines.filter(~F.startswith("value", F.lit("#"))).select("file", F.split("value", "\t").alias("f")).filter(F.size("f") >= 10)
-    cell = rows.join(names, "file").select(
+    size = heads.agg(F.coalesce(F.sum(F.octet_length(F.array_join("names", ",")) + F.octet_length("file")), F.lit(0)).alias("b")).first()["b"]
+    if size <= most_bytes:
+        met = rows.join(F.broadcast(heads), "file")
+    else:
+        spread = heads.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = rows.withColumn("_salt", F.pmod(F.xxhash64("f"), F.lit(salts)).cast("int")).join(spread, ["file", "_salt"])
+    own = F.slice("f", F.lit(10), F.size("names"))
+    gts = F.transform(own, lambda c: F.split(c, ":")[0])
+    filled = F.concat(gts, F.array_repeat(F.lit(None).cast("string"), F.size("names") - F.size(gts)))
+    return met.select(
         F.col("f")[0].alias("chrom"), F.expr("try_cast(f[1] as bigint)").alias("pos"), F.col("f")[2].alias("variant_id"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"),
-        F.expr("try_cast(f[5] as double)").alias("qual"), F.col("f")[6].alias("filter"), F.col("f")[7].alias("info"), F.lit(vcf_type).alias("vcf_type"),
-        F.posexplode(F.arrays_zip(F.col("names").alias("name"), F.slice("f", 10, 1 << 20).alias("cell"))).alias("i", "s"))
-    return cell.select("chrom", "pos", "variant_id", "ref", "alt", "qual", "filter", "info", "vcf_type", F.col("s.name").alias("sample_id"), F.split(F.col("s.cell"), ":")[0].alias("gt"))
+        F.expr("try_cast(f[5] as double)").alias("qual"), F.col("f")[6].alias("filter"), F.col("f")[7].alias("info"), F.lit(vcf_type).alias("vcf_type"), "names", filled.alias("gts"))
+
+
+def read_vcf(spark: SparkSession, path, vcf_type: str, **options) -> DataFrame:
+    """The long form of ``read_vcf_sites``: a row for each record and sample."""
+    site = read_vcf_sites(spark, path, vcf_type, **options)
+    keep = [c for c in site.columns if c not in ("names", "gts")]
+    return site.select(*keep, F.inline(F.zip_with("names", "gts", lambda n, g: F.struct(n.alias("sample_id"), g.alias("gt")))))
 
 
 def read_vcf_classes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
