@@ -71,7 +71,7 @@ def write_sorted(df: DataFrame, path: str, order: list, header: bool = True, par
 
     Rows go to ranges of the order, one file each. Files are staged beside ``path`` and swapped in when all are written, under
     names that depend on nothing but their place: a reader sees the old folder or the new one, a failed run leaves the
-    old one, and a repeated run leaves the same files. With ``partition`` each value has a folder of its own.
+    old one, and a repeated run leaves the same rows in the same order and nothing else. With ``partition`` each value has a folder of its own.
     """
     import uuid
 
