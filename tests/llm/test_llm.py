@@ -140,6 +140,15 @@ def test_packing(spark):
     assert len(twice) == 2 * len(got) and twice.length.sum() == 2 * got.length.sum()
 
 
+@pytest.mark.parametrize("n", [4, 8, 40, 200, 1000])
+def test_packing_few_pieces(spark, n):
+    from tidemark.llm.packing import best_fit
+
+    items = spark.range(n).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(500)) + 1).alias("length"))
+    got = best_fit(items).agg(F.count_distinct("sequence_id").alias("bins"), F.sum("length").alias("tokens")).first()
+    assert got["bins"] <= -(-got["tokens"] // 4096) + 1
+
+
 def test_packing_many_mixed_lengths(spark):
     from tidemark.llm.packing import best_fit
 

@@ -91,7 +91,7 @@ def best_fit(items: DataFrame, size: int = 4096, limit: int = 256, share: int =
     """Add (sequence_id, offset) to rows with a ``length`` of 1 to ``size``; sequences are gapless from 0."""
     items = cut(items)
     rows = items.count()
-    parts = max(4, -(-rows // share))
+    parts = max(1, -(-rows // share))
     blocks = max(1, -(-rows // (parts * limit)))
     keys = [c for c in items.columns if c != "length"]
     dealt = items.repartition(parts, F.xxhash64(*keys), F.col("length")).sortWithinPartitions(F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(blocks)), F.desc("length"), *keys)
