@@ -77,12 +77,33 @@ def cpg_effects(changes: DataFrame) -> DataFrame:
     return changes.select("sample_id", "contig", F.explode(out).alias("e")).select("sample_id", "e.hap", "contig", "e.pos", "e.effect").distinct()
 
 
-def without_reference_phantoms(effects: DataFrame, chunks: DataFrame, chunk: int = 65536) -> DataFrame:
-    """Drop phantom sites where the reference itself has a CpG; only the chunks of phantom sites are looked at."""
-    phantom = effects.filter("effect = 'phantom_sites'").withColumn("chunk_id", F.floor(F.col("pos") / chunk).cast("int"))
-    j = phantom.join(chunks.select("contig", "chunk_id", "chunk_start", "seq"), ["contig", "chunk_id"], "left")
-    there = F.coalesce(F.substring("seq", (F.col("pos") - F.col("chunk_start") + 1).cast("int"), F.lit(2)) == "CG", F.lit(False))
-    return effects.filter("effect <> 'phantom_sites'").unionByName(j.filter(~there).select(effects.columns))
+def cpg_index(chunks: DataFrame, chunk: int = 65536, piece: int = 4096) -> DataFrame:
+    """(contig, block, pos): the reference's CpG positions, 0-based, a block for each ``piece`` bases.
+
+    Made in place from chunks that overlap by a base at least; a chunk's own positions begin in its first ``chunk`` bases.
+    What follows joins positions, and no sequence moves.
+    """
+    own = F.least(F.lit(chunk), F.length("seq"))
+    parts = chunks.filter(F.length("seq") > 0).select("contig", "chunk_start", "seq", F.explode(F.sequence(F.lit(0), F.expr(f"int((least({chunk}, length(seq)) - 1) div {piece})"))).alias("i"))
+    text = F.substring(F.col("seq"), F.col("i") * piece + 1, F.least(F.lit(piece), own - F.col("i") * piece) + 1)
+    # the texts between CGs give the distance from one to the next
+    between = F.split(text, "CG")
+    first = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("at"))
+    found = F.aggregate(F.slice(between, 1, F.size(between) - 1), first, lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["at"] + F.length(x))).alias("a"), (acc["at"] + F.length(x) + 2).alias("at")), lambda acc: acc["a"])
+    pos = F.col("chunk_start") + F.col("i") * piece + F.col("p")
+    return parts.select("contig", "chunk_start", "i", F.explode(found).alias("p")).select("contig", F.floor(pos / piece).cast("int").alias("block"), pos.cast("bigint").alias("pos"))
+
+
+def write_cpg_index(chunks: DataFrame, path: str, chunk: int = 65536, piece: int = 4096) -> None:
+    """The index as Parquet in ranges of contig and position, so that a scan for a region reads few files."""
+    cpg_index(chunks, chunk, piece).repartitionByRange("contig", "pos").sortWithinPartitions("contig", "pos").write.parquet(path)
+
+
+def without_reference_phantoms(effects: DataFrame, chunks: DataFrame, chunk: int = 65536, index: DataFrame | None = None) -> DataFrame:
+    """Drop phantom sites where the reference itself has a CpG: an anti-join on its CpG positions."""
+    index = cpg_index(chunks, chunk) if index is None else index
+    phantom = effects.filter("effect = 'phantom_sites'").join(index.select("contig", "pos"), ["contig", "pos"], "left_anti")
+    return effects.filter("effect <> 'phantom_sites'").unionByName(phantom.select(effects.columns))
 
 
 def apply_effects(pileup: DataFrame, effects: DataFrame, variant_sites: DataFrame | None = None, min_prob: float = 0.9, min_cov: int = 10) -> DataFrame:

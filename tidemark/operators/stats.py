@@ -177,19 +177,70 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, keys: list[str], seed
     return ranked.filter("_r <= _quota").orderBy("_h", *keys).limit(n).drop("_h", "_r", "_quota")
 
 
-def pca(df: DataFrame, row: str, column: str, value: str, columns: list[str], k: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(row, pc1 ..) scores and (component, column, loading, explained) of the row x column matrix.
+def quantiles(df: DataFrame, value: str, by: list[str], probs: list[float], bins: int = 64) -> DataFrame:
+    """(by, n, q0, q1, ...): exact quantiles of each group by linear interpolation, for any number of distinct values.
 
-    Columns are a bounded list such as the cohort's samples; explained is the component's share of the variance.
+    Equal values are counted first. A bounded sketch of each group gives edges of about equal bins, the counts of the bins tell
+    in which the wanted ranks lie, and only values of those bins are put in order, a bin at a time: no task holds a
+    group's values. The sketch only sets the bins' sizes; the result is exact. Nulls are left out.
+    """
+    counts = df.filter(F.col(value).isNotNull()).select(*by, F.lit(0).alias("_all"), F.col(value).alias("v")).groupBy(*by, "_all", "v").agg(F.count(F.lit(1)).alias("k"))
+    keys = [*by, "_all"]
+    edges = counts.groupBy(*keys).agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], bins * 16).alias("_edges"), F.sum("k").alias("n"))
+    binned = counts.join(edges.select(*keys, "_edges"), keys).select(*keys, "v", "k", F.size(F.filter("_edges", lambda e: e < F.col("v"))).alias("_bin"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    mass = binned.groupBy(*keys, "_bin").agg(F.sum("k").alias("_m")).withColumn("_from", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    at = F.col("_p") * (F.col("n") - 1)
+    wanted = edges.select(*keys, "n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_q", "_p")).select(*keys, "n", "_q", (at - F.floor(at)).alias("_part"), F.inline(F.array(F.struct(F.lit(0).alias("_side"), F.floor(at).alias("_rank")), F.struct(F.lit(1).alias("_side"), F.ceil(at).alias("_rank")))))
+    placed = wanted.join(mass, keys).filter("_rank >= _from and _rank < _from + _m").drop("_m")
+    up_to = Window.partitionBy(*keys, "_bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = binned.join(placed.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi").withColumn("_end", F.sum("k").over(up_to))
+    found = placed.join(inside, [*keys, "_bin"]).filter("_rank >= _from + _end - k and _rank < _from + _end")
+    side = lambda i: F.max(F.when(F.col("_side") == i, F.col("v").cast("double")))
+    each = found.groupBy(*keys, "n", "_q", "_part").agg(side(0).alias("_lo"), side(1).alias("_hi")).withColumn("_v", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part"))
+    return each.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_q") == i, F.col("_v"))).alias(f"q{i}") for i in range(len(probs))]).drop("_all")
+
+
+def covariance(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """(a, b, cov) of all pairs of columns of the long table (row, column, value), without a pivot.
+
+    A missing cell counts as its column's mean, so it adds nothing; several values of a cell count as their mean. The
+    sums of products run over the pairs of a row's cells, and each task adds up the pairs of columns first. Columns are
+    a bounded set such as the cohort's samples, rows are any number.
     """
-    from pyspark.ml.feature import PCA, VectorAssembler
+    cells = df.filter(F.col(value).isNotNull()).groupBy(row, column).agg(F.avg(value).alias("v"))
+    means = cells.groupBy(column).agg(F.avg("v").alias("m"))
+    own = cells.join(F.broadcast(means), column).groupBy(row).agg(F.collect_list(F.struct(F.col(column).alias("c"), (F.col("v") - F.col("m")).alias("d"))).alias("x"))
+    n = cells.select(row).distinct().agg(F.count(F.lit(1)).alias("n"))
+    pairs = own.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q")).groupBy(F.col("p.c").alias("a"), F.col("q.c").alias("b")).agg(F.sum(F.col("p.d") * F.col("q.d")).alias("s"))
+    return pairs.crossJoin(F.broadcast(n)).select("a", "b", (F.col("s") / F.greatest(F.col("n") - 1, F.lit(1))).alias("cov"))  # n is one row
 
-    wide = df.groupBy(row).pivot(column, columns).agg(F.first(value)).na.fill(0.0, columns)
-    vec = VectorAssembler(inputCols=columns, outputCol="v").transform(wide)
-    model = PCA(k=k, inputCol="v", outputCol="pc").fit(vec)
-    from pyspark.ml.functions import vector_to_array
 
-    scores = model.transform(vec).select(row, *[vector_to_array("pc")[i].alias(f"pc{i + 1}") for i in range(k)])
-    weights, shares = model.pc.toArray(), model.explainedVariance.toArray()
-    loadings = [(i + 1, c, float(weights[j, i]), float(shares[i])) for i in range(k) for j, c in enumerate(columns)]
-    return scores, df.sparkSession.createDataFrame(loadings, f"component int, {column} string, loading double, explained double")
+def pca(df: DataFrame, row: str, column: str, value: str, columns: list[str], k: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(row, pc1 ..) scores and (component, column, loading, explained) of the long table (row, column, value).
+
+    Columns are a bounded list such as the cohort's samples: their covariance comes to the driver, rows never do. A missing
+    cell counts as its column's mean. A component's loading of the largest size is positive, the first column in the
+    list among equals; explained is the component's share of the variance. Scores are of values that aren't centred.
+    """
+    import numpy as np
+
+    df = df.filter(F.col(column).isin(columns))
+    at = {c: i for i, c in enumerate(columns)}
+    cov = np.zeros((len(columns), len(columns)))
+    for r in covariance(df, row, column, value).collect():  # columns squared
+        cov[at[r["a"]], at[r["b"]]] = r["cov"]
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    order = np.argsort(-values, kind="stable")[:k]
+    weights, shares = vectors[:, order], values[order] / max(values.sum(), 1e-300)
+    top = np.argmax(np.round(np.abs(weights), 12), axis=0)
+    weights = weights * np.where(weights[top, range(len(order))] < 0, -1.0, 1.0)
+    loadings = df.sparkSession.createDataFrame([(i + 1, c, float(weights[j, i]), float(shares[i])) for i in range(len(order)) for j, c in enumerate(columns)], f"component int, {column} string, loading double, explained double")
+    cells = df.filter(F.col(value).isNotNull()).groupBy(row, column).agg(F.avg(value).alias("v"))
+    means = cells.groupBy(column).agg(F.avg("v").alias("m"))
+    rows = loadings.groupBy(column).pivot("component", list(range(1, len(order) + 1))).agg(F.first("loading")).join(means, column)
+    # a row's score is that of the columns' means, and what its cells differ from them
+    base = rows.agg(*[F.sum(F.col("m") * F.col(str(i + 1))).alias(f"_b{i + 1}") for i in range(len(order))])
+    own = cells.join(F.broadcast(rows), column).groupBy(row).agg(*[F.sum((F.col("v") - F.col("m")) * F.col(str(i + 1))).alias(f"pc{i + 1}") for i in range(len(order))])
+    scores = own.crossJoin(F.broadcast(base)).select(row, *[(F.col(f"pc{i + 1}") + F.col(f"_b{i + 1}")).alias(f"pc{i + 1}") for i in range(len(order))])  # base is one row
+    return scores, loadings

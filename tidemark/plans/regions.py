@@ -475,6 +475,13 @@ def g17(spark, d):
     return rounded(stats.describe(seg(spark, d), "size", ["label"]), "mean", "std")
 
 
+@query("g17_position_quantiles", f"WITH {SEG} SELECT label, hap, count(*) AS n, round(quantile_cont(start_pos, 0.05), 4) AS q05, round(quantile_cont(start_pos, 0.25), 4) AS q25, round(quantile_cont(start_pos, 0.5), 4) AS q50, round(quantile_cont(start_pos, 0.75), 4) AS q75, round(quantile_cont(start_pos, 0.95), 4) AS q95 FROM seg GROUP BY ALL")
+def g17_positions(spark, d):
+    """Quantiles of positions, nearly all of which differ."""
+    q = stats.quantiles(seg(spark, d), "start_pos", ["label", "hap"], [0.05, 0.25, 0.5, 0.75, 0.95])
+    return q.select("label", "hap", "n", *[R(f"q{i}", 4).alias(c) for i, c in enumerate(("q05", "q25", "q50", "q75", "q95"))])
+
+
 @query("g18_sample_frequency", f"WITH {EVIDENCE}, c AS (SELECT hap, len(us) AS u, len(ms) AS m FROM reasoned WHERE reason = 'final'), k AS (SELECT hap, 'num_unmethylated' AS metric, u AS v FROM c UNION ALL SELECT hap, 'num_methylated', m FROM c UNION ALL SELECT hap, 'total_samples', u + m FROM c), r AS (SELECT hap, metric, unnest(range(0, top + 1)) AS value FROM (SELECT metric, max(v) AS top FROM k GROUP BY metric), (SELECT DISTINCT hap FROM k)) SELECT r.hap, r.metric, r.value::INT AS value, count(k.v) AS n FROM r LEFT JOIN k ON k.hap = r.hap AND k.metric = r.metric AND k.v = r.value GROUP BY r.hap, r.metric, r.value")
 def g18(spark, d):
     u, m = F.size("unmethylated_samples"), F.size("methylated_samples")
@@ -525,7 +532,8 @@ def g29(spark, d):
 @query("w1_gaps", f"WITH {SEG}, k AS (SELECT *, start_pos - lag(start_pos) OVER (PARTITION BY chrom, sample_id ORDER BY start_pos, end_pos) AS gap FROM seg) SELECT chrom, count(gap) AS n, round(avg(gap), 6) AS mean_gap, round(stddev_samp(gap), 6) AS std_gap, quantile_cont(gap, 0.5) AS mid_gap FROM k GROUP BY chrom")
 def w1(spark, d):
     k = stats.gaps(seg(spark, d), ["chrom", "sample_id"])
-    return k.groupBy("chrom").agg(F.count("gap").alias("n"), R(F.avg("gap")).alias("mean_gap"), R(F.stddev_samp("gap")).alias("std_gap"), F.percentile("gap", F.lit(0.5)).alias("mid_gap"))
+    q = stats.quantiles(k, "gap", ["chrom"], [0.5]).select("chrom", F.col("q0").alias("mid_gap"))
+    return k.groupBy("chrom").agg(F.count("gap").alias("n"), R(F.avg("gap")).alias("mean_gap"), R(F.stddev_samp("gap")).alias("std_gap")).join(q, "chrom")
 
 
 @query("w2_stagger", f"WITH {SEG}, one AS (SELECT chrom, sample_id, start_pos, max(end_pos) AS end_pos FROM seg GROUP BY ALL), b AS (SELECT *, CASE WHEN start_pos < lag(end_pos) OVER w THEN 0 ELSE 1 END AS nw FROM one WINDOW w AS (PARTITION BY chrom, sample_id ORDER BY start_pos, end_pos)), r AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, sample_id ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS run FROM b), o AS (SELECT *, row_number() OVER (PARTITION BY chrom, sample_id, run ORDER BY start_pos, end_pos) - 1 AS off FROM r) SELECT chrom, sample_id, start_pos + off AS start_pos, end_pos + off AS end_pos, CAST(off AS INT) AS \"offset\" FROM o")
@@ -653,19 +661,28 @@ def u6(spark, d):
     return seg(spark, d).select("chrom").union(view(spark, d, "variants").select("chrom")).distinct()
 
 
-def components_of(spark, d):
-    """Scores and loadings of the share of methylated segments per window of 50 kb and sample; the cohort is a short list."""
+def methylated_share(spark, d):
+    """(row, sample_id, v): the share of methylated segments per window of 50 kb and sample; many cells are missing."""
     s = seg(spark, d).withColumn("row", F.concat_ws(":", "chrom", F.expr("cast(start_pos div 50000 as string)")))
-    cols = sorted(r["sample_id"] for r in s.select("sample_id").distinct().collect())
-    rate = s.groupBy("row", "sample_id").agg(F.avg(F.when(F.col("label") == "M", 1.0).otherwise(0.0)).alias("v"))
-    return stats.pca(rate, "row", "sample_id", "v", cols, 2)
+    return s.groupBy("row", "sample_id").agg(F.avg(F.when(F.col("label") == "M", 1.0).otherwise(0.0)).alias("v"))
+
+
+def components_of(spark, d):
+    """Scores and loadings of the windows' shares; the cohort is a short list."""
+    rate = methylated_share(spark, d)
+    return stats.pca(rate, "row", "sample_id", "v", sorted(r["sample_id"] for r in rate.select("sample_id").distinct().collect()), 2)
+
+
+@query("a1_covariance", f"WITH {SEG}, r AS (SELECT chrom || ':' || (start_pos // 50000) AS row, sample_id, avg(CASE WHEN label = 'M' THEN 1.0::DOUBLE ELSE 0.0 END) AS v FROM seg GROUP BY ALL), c AS (SELECT row, sample_id, v - avg(v) OVER (PARTITION BY sample_id) AS d FROM r) SELECT x.sample_id AS a, y.sample_id AS b, round(sum(x.d * y.d) / (SELECT count(DISTINCT row) - 1 FROM r), 9) AS cov FROM c x JOIN c y USING (row) GROUP BY x.sample_id, y.sample_id")
+def a1_covariance(spark, d):
+    return stats.covariance(methylated_share(spark, d), "row", "sample_id", "v").withColumn("cov", R("cov", 9))
 
 
 @query("a1_pca")
 def a1(spark, d):
-    return components_of(spark, d)[0].select("row", R(F.abs("pc1"), 4).alias("pc1"), R(F.abs("pc2"), 4).alias("pc2"))
+    return components_of(spark, d)[0].select("row", R("pc1", 4).alias("pc1"), R("pc2", 4).alias("pc2"))
 
 
 @query("a1_pca_loadings")
 def a1_loadings(spark, d):
-    return components_of(spark, d)[1].select("component", "sample_id", R(F.abs("loading"), 4).alias("loading"), R("explained", 4).alias("explained"))
+    return components_of(spark, d)[1].select("component", "sample_id", R("loading", 4).alias("loading"), R("explained", 4).alias("explained"))

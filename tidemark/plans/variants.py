@@ -599,6 +599,15 @@ def j9(spark, d):
     return changes(spark, d).select("o_orderkey", "contig", "pos", "ref_window", j("destroyed"), j("created"))
 
 
+@query("j10_cpg_index", f"WITH {REF}, p AS (SELECT doc_id AS contig, unnest(list_filter(range(0, length(seq) - 1), lambda i: substr(seq, i + 1, 2) = 'CG')) AS pos FROM reference_seq WHERE length(seq) > 1) SELECT contig, CAST(pos // 4096 AS INT) AS block, pos FROM p")
+def j10_index(spark, d):
+    """Every CpG position of the reference, written in ranges of contig and position and read back."""
+    ref, _ = reference(spark, d)
+    path = scratch(spark)
+    E.write_cpg_index(files.reference_chunks(ref, chunk=8192, overlap=8), path, chunk=8192)
+    return spark.read.parquet(path)
+
+
 @query("x7_j10_u3_effects", f"WITH {SITES} SELECT sample_id, hap, contig, pos, effect FROM effects")
 def x7(spark, d):
     return effects(spark, d).select("sample_id", "hap", "contig", "pos", "effect")
