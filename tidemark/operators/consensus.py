@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch
-from .intervals import containment_join, overlap_join
+from .intervals import sample_sets
 
 
 def with_island(regions: DataFrame, max_gap: int, by: tuple[str, ...] = ("chrom", "hap"), order: tuple[str, ...] = ("start_pos", "end_pos", "sample_id"), block: int = 1 << 20) -> DataFrame:
@@ -163,13 +163,16 @@ def consensus_merge(regions: DataFrame, max_gap: int = 5000, min_samples: int =
     return clusters.select(*left.columns).unionByName(left).withColumn("n_regions", F.size("samples"))
 
 
-def sample_evidence(consensus: DataFrame, segments: DataFrame, by: tuple[str, ...] = ("chrom", "hap")) -> DataFrame:
-    """Per consensus region the samples seen unmethylated (an overlapping U segment) and methylated (a containing M segment)."""
+def sample_evidence(consensus: DataFrame, segments: DataFrame, by: tuple[str, ...] = ("chrom", "hap"), names: list[str] | None = None) -> DataFrame:
+    """Per consensus region the samples seen unmethylated (an overlapping U segment) and methylated (a containing M segment).
+
+    ``names`` are the cohort's samples, a short list; if absent they are looked up.
+    """
     keys = [*by, "start_pos", "end_pos"]
-    base = consensus.select(*keys)
     seg = segments.select(*by, "start_pos", "end_pos", "sample_id", "label")
-    u = overlap_join(base, seg.filter("label = 'U'"), by).groupBy(*keys).agg(F.array_sort(F.collect_set("b_sample_id")).alias("unmethylated_samples"))
-    m = containment_join(base, seg.filter("label = 'M'"), by).groupBy(*keys).agg(F.array_sort(F.collect_set("b_sample_id")).alias("methylated_samples"))
+    names = sorted(r["sample_id"] for r in seg.select("sample_id").distinct().collect() if r["sample_id"] is not None) if names is None else sorted(names)
+    u = sample_sets(consensus, seg.filter("label = 'U'"), names, by).withColumnRenamed("samples", "unmethylated_samples")
+    m = sample_sets(consensus, seg.filter("label = 'M'"), names, by, contain=True).withColumnRenamed("samples", "methylated_samples")
     none = F.array().cast("array<string>")
     out = consensus.join(u, keys, "left").join(m, keys, "left")
     return out.withColumn("unmethylated_samples", F.coalesce("unmethylated_samples", none)).withColumn("methylated_samples", F.coalesce("methylated_samples", none))
