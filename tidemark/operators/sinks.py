@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import chrom_order, ratio_text, status_colour
+from ..functions.columns import chrom_order, ratio_text, region_score, score_band, score_text, status_colour
 from .states import STATES
 
 
@@ -66,6 +66,18 @@ def write_tsv(df: DataFrame, path: str, header: bool = True, partition: list[str
     (w.partitionBy(*partition) if partition else w).csv(path)
 
 
+def score_table(candidates: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """The table that explains each candidate region's score: proportions, their difference, weight, band, text and samples."""
+    m, u = F.size("methylated_samples"), F.size("unmethylated_samples")
+    n = m + u
+    of = lambda x: F.when(n > 0, x / n).otherwise(0.0)
+    score = region_score(m, u)
+    return candidates.select(
+        "chrom", "start_pos", "end_pos", *extra, score.alias("meth_score"), score_text(m, u, score).alias("score_calculation"), m.alias("num_methylated"), u.alias("num_unmethylated"), n.alias("total_samples"),
+        of(m).alias("meth_proportion"), of(u).alias("unmeth_proportion"), of(m - u).alias("proportion_diff"), F.log2((n + 1).cast("double")).alias("sample_weight"), score_band(score).alias("score_interpretation"),
+        joined_list("methylated_samples").alias("methylated_samples"), joined_list("unmethylated_samples").alias("unmethylated_samples"))
+
+
 def write_sorted(df: DataFrame, path: str, order: list, header: bool = True, partition: list[str] | None = None) -> None:
     """TSV files in order: part-00000.tsv holds the first rows, and so on; ``order`` are columns or names.
 

@@ -619,12 +619,27 @@ def x19(spark, d):
     return region_scores(spark, d).select("chrom", "hap", "start_pos", "end_pos", C.score_text(F.col("m"), F.col("u"), F.col("score")).alias("explanation"))
 
 
+SHARE = lambda x: f"CASE WHEN m + u > 0 THEN ({x})::DOUBLE / (m + u) ELSE 0.0 END"
+DOT = lambda x: f"CASE WHEN len({x}) = 0 THEN '.' ELSE array_to_string({x}, ',') END"
+
+
+@query("x19_score_table", f"WITH {MS}, f AS (SELECT *, {OF('m')} AS pm, {OF('u')} AS pu, {OF('m - u')} AS gap, round(log2((m + u + 1)::DOUBLE), 3) AS weight FROM scored WHERE len(list_filter(samples, lambda x: NOT list_contains(us, x))) = 0 AND m > 0) SELECT chrom, start_pos, end_pos, hap, round(score, 6) AS meth_score, printf('{TEXT}', m + u, m, pm, u, pu, gap, weight, gap, weight, round(score, 3), {BANDS}) AS score_calculation, m AS num_methylated, u AS num_unmethylated, m + u AS total_samples, round({SHARE('m')}, 6) AS meth_proportion, round({SHARE('u')}, 6) AS unmeth_proportion, round({SHARE('m - u')}, 6) AS proportion_diff, round(log2((m + u + 1)::DOUBLE), 6) AS sample_weight, {BANDS} AS score_interpretation, {DOT('ms')} AS methylated_samples, {DOT('us')} AS unmethylated_samples FROM f")
+def x19_table(spark, d):
+    """The fifteen columns that explain each candidate's score, written in genomic order and read back."""
+    t = sinks.score_table(final_candidates(spark, d), ["hap"])
+    t = rounded(t, "meth_score", "meth_proportion", "unmeth_proportion", "proportion_diff", "sample_weight")
+    path = scratch(spark)
+    sinks.write_sorted(t.withColumn("score_calculation", F.replace("score_calculation", F.lit("\n"), F.lit("\\n"))), path, sinks.genomic_order("hap"))
+    back = spark.read.csv(path, sep="\t", header=True, schema=t.schema, escape="\0")
+    return back.withColumn("score_calculation", F.replace("score_calculation", F.lit("\\n"), F.lit("\n")))
+
+
 KEYS = ["chrom", "hap", "start_pos", "end_pos"]
 
 
 @query("t3_extreme_regions", f"WITH {MS}, r AS (SELECT *, round(score, 9) AS s FROM scored) SELECT * FROM (SELECT chrom, hap, start_pos, end_pos, 'high' AS side FROM r ORDER BY s DESC, chrom, hap, start_pos, end_pos LIMIT 50) UNION ALL SELECT * FROM (SELECT chrom, hap, start_pos, end_pos, 'low' AS side FROM r ORDER BY s, chrom, hap, start_pos, end_pos LIMIT 50)")
 def t3(spark, d):
-    return stats.top_regions(region_scores(spark, d).withColumn("score", R("score", 9)), "score", 100, KEYS).select(*KEYS, "side")
+    return stats.top_regions(region_scores(spark, d).withColumn("score", R("score", 9)), "score", 100, KEYS).select(*KEYS, "side").orderBy(*sinks.genomic_order("hap"))
 
 
 @query("t4_highest_coverage", f"WITH {MS} SELECT chrom, hap, start_pos, end_pos, m + u AS total_samples FROM scored ORDER BY m + u DESC, chrom, hap, start_pos, end_pos LIMIT 100")
