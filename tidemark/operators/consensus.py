@@ -9,8 +9,8 @@ from ..sources.scratch import scratch
 from .intervals import sample_sets
 
 
-def with_island(regions: DataFrame, max_gap: int, by: tuple[str, ...] = ("chrom", "hap"), order: tuple[str, ...] = ("start_pos", "end_pos", "sample_id"), block: int = 1 << 20) -> DataFrame:
-    """Add ``island``: a new one begins where the start exceeds the running maximum end by more than the gap.
+def with_island(regions: DataFrame, max_gap: int, by: tuple[str, ...] = ("chrom", "hap"), order: tuple[str, ...] = ("start_pos", "end_pos", "sample_id"), block: int = 1 << 20, first: bool = False) -> DataFrame:
+    """Add ``island``: a new one begins where the start exceeds the running maximum end by more than the gap; and ``_first``, its start, if asked for.
 
     A window over a whole chromosome would be one task for all samples' regions. Windows run over blocks of starts
     instead; what crosses blocks, the maximum end and the number of islands so far, comes from one row per block, a
@@ -24,9 +24,12 @@ def with_island(regions: DataFrame, max_gap: int, by: tuple[str, ...] = ("chrom"
     top = F.greatest(F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
     new = F.when(top.isNull() | (F.col("start_pos") > top + max_gap), 1).otherwise(0)
     marked = blocked.join(tops, keys).withColumn("_new", new).drop("_carry")
-    counts = marked.groupBy(*keys).agg(F.sum("_new").alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    run = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.join(counts, keys).withColumn("island", F.col("_offset") + run).drop("_new", "_offset", "_block")
+    start, so_far = F.when(F.col("_new") == 1, F.col("start_pos")), w.rowsBetween(Window.unboundedPreceding, 0)
+    counts = marked.groupBy(*keys).agg(F.sum("_new").alias("_n"), F.max(start).alias("_s")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), F.max("_s").over(before).alias("_last"))
+    out = marked.join(counts, keys).withColumn("island", F.col("_offset") + F.sum("_new").over(so_far))
+    if first:
+        out = out.withColumn("_first", F.coalesce(F.max(start).over(so_far), F.col("_last")))
+    return out.drop("_new", "_offset", "_last", "_block")
 
 
 def islands(regions: DataFrame, max_gap: int, min_samples: int = 1, by: tuple[str, ...] = ("chrom", "hap")) -> DataFrame:
@@ -38,10 +41,10 @@ def islands(regions: DataFrame, max_gap: int, min_samples: int = 1, by: tuple[st
 STATE = "now struct<s:bigint,e:bigint,p:array<string>>, old array<struct<s:bigint,e:bigint,p:array<string>>>"
 
 
-def _merge_blocks(rows: DataFrame, keys: list[str], gap: int, least: int, block: int) -> DataFrame:
+def _merge_blocks(rows: DataFrame, keys: list[str], gap: int, least: int) -> DataFrame:
     """Runs the greedy rule over each block of an island: a row per emitted cluster, and one per block with its end state.
 
-    ``rows``: keys, _block, _o, start_pos, end_pos, sample_id, state. A row with _o 0 hands a state over to its block; other
+    ``rows``: keys, _block (where the block ends), _o, start_pos, end_pos, sample_id, state. A row with _o 0 hands a state over to its block; other
     blocks begin with none. A state is the open cluster and the emitted ones that a later block can still reach, as
     text that is equal for equal states, or null.
     """
@@ -68,7 +71,7 @@ def _merge_blocks(rows: DataFrame, keys: list[str], gap: int, least: int, block:
 
         def finish():
             """The end of a block: what no later start can reach is closed or forgotten."""
-            edge = (key[-1] + 1) * block
+            edge = key[-1]
             if now is not None and now[1] + gap < edge:
                 close()
             as_json = lambda d: {"s": d[0], "e": d[1], "p": sorted(d[2])}
@@ -121,39 +124,40 @@ def consensus_merge(regions: DataFrame, max_gap: int = 5000, min_samples: int =
     A region that lies near an emitted consensus to which its sample contributed is skipped; a region opens a cluster,
     later ones join it unless their sample is in it already or they are near; a cluster is emitted when the chain breaks
     and it has enough samples. The rule depends on the order, but cannot act across islands and forgets what lies out of
-    reach. So an island is cut in blocks of ``block`` bases that all run at once, each as if nothing came before. Where the
-    block before has handed over another state than that, the block runs again, until no state changes; most
-    borders lie between clusters, so few blocks do. Rounds are at most as many as an island's blocks.
+    reach. So an island of more than ``block`` bases is cut in blocks that all run at once, each as if nothing came before.
+    Where the block before has handed over another state than that, the block runs again, until no state changes.
+    Rounds are at most as many as an island's blocks, and there is one where islands are short.
     """
     spark, keys = regions.sparkSession, [*by, "island"]
     folder = scratch(spark)
-    rows = with_island(regions, max_gap, by).filter("sample_id is not null").withColumn("_block", F.expr(f"start_pos div {block}"))
-    rows.select(*keys, "_block", F.lit(1).alias("_o"), "start_pos", "end_pos", "sample_id", F.lit(None).cast("string").alias("state")).write.parquet(f"{folder}/rows")
-    rows = spark.read.parquet(f"{folder}/rows")
+    rows = with_island(regions.filter("sample_id is not null"), max_gap, by, first=True).withColumn("_block", F.expr(f"_first + ((start_pos - _first) div {block} + 1) * {block}"))
+    rows = rows.select(*keys, "_block", F.lit(1).alias("_o"), "start_pos", "end_pos", "sample_id", F.lit(None).cast("string").alias("state"))
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    at = [*keys, "_block"]
-    out = kept(_merge_blocks(rows, keys, max_gap, min_samples, block).withColumn("round", F.lit(1)), "round-1")
+    at, order, turn = [*keys, "_block"], Window.partitionBy(*keys).orderBy("_block"), 1
+    out = kept(_merge_blocks(rows, keys, max_gap, min_samples).withColumn("round", F.lit(1)), "round-1")
+    if out.filter("state is not null").isEmpty():  # no island goes on in another block
+        return out.filter("start_pos is not null").select(*by, "start_pos", "end_pos", "samples", F.size("samples").alias("n_regions"))
+    rows = kept(rows, "rows")
     ends = out.filter("start_pos is null").select(*at, F.lit(None).cast("string").alias("start"), F.col("state").alias("end"), "round")
-    turn, order = 1, Window.partitionBy(*keys).orderBy("_block")
     while True:
         wanted = ends.withColumn("want", F.lag("end").over(order))
-        changed = wanted.filter(~F.col("want").eqNullSafe(F.col("start")))
-        if turn == 1 and ends.filter("end is not null").isEmpty():
-            break
-        changed = kept(changed.select(*at, "want"), f"changed-{turn}")
+        changed = wanted.filter(~F.col("want").eqNullSafe(F.col("start"))).select(*at, "want")
         if changed.isEmpty():
             break
         turn += 1
         heads = changed.select(*at, F.lit(0).alias("_o"), F.lit(-1).cast("bigint").alias("start_pos"), F.lit(-1).cast("bigint").alias("end_pos"), F.lit("").alias("sample_id"), F.col("want").alias("state"))
         again = rows.join(changed.select(*at), at, "left_semi").select(*heads.columns).unionByName(heads)
-        new = kept(_merge_blocks(again, keys, max_gap, min_samples, block).withColumn("round", F.lit(turn)), f"round-{turn}")
+        new = kept(_merge_blocks(again, keys, max_gap, min_samples).withColumn("round", F.lit(turn)), f"round-{turn}")
         out = out.unionByName(new)
-        now = new.filter("start_pos is null").select(*at, F.col("state").alias("_end"), F.col("round").alias("_round")).join(changed, at)
-        ends = kept(ends.join(now, at, "left").select(*at, F.when(F.col("_round").isNotNull(), F.col("want")).otherwise(F.col("start")).alias("start"), F.when(F.col("_round").isNotNull(), F.col("_end")).otherwise(F.col("end")).alias("end"), F.coalesce("_round", "round").alias("round")), f"ends-{turn}")
+        now = new.filter("start_pos is null").select(*at, F.col("state").alias("_end"), F.col("round").alias("_round"))
+        ran = F.col("_round").isNotNull()
+        ends = wanted.join(now, at, "left").select(*at, F.when(ran, F.col("want")).otherwise(F.col("start")).alias("start"), F.when(ran, F.col("_end")).otherwise(F.col("end")).alias("end"), F.coalesce("_round", "round").alias("round"))
+        if turn % 4 == 0:  # a short plan
+            ends = kept(ends, f"ends-{turn}")
     clusters = out.filter("start_pos is not null")
     if turn > 1:
         clusters = clusters.join(ends.select(*at, "round"), [*at, "round"], "left_semi")

@@ -71,37 +71,22 @@ def point_join(points: DataFrame, intervals: DataFrame, by: tuple[str, ...] = ("
 WORD = 62  # samples for each bigint of a set
 
 
-def sample_sets(regions: DataFrame, segments: DataFrame, names: list[str], by: tuple[str, ...] = ("chrom",), contain: bool = False, width: int = 2048, coarse: int = 64, most: int = 32) -> DataFrame:
+def sample_sets(regions: DataFrame, segments: DataFrame, names: list[str], by: tuple[str, ...] = ("chrom",), contain: bool = False, width: int = 2048) -> DataFrame:
     """(by, start_pos, end_pos, samples): for each region the sorted samples that have a segment over it, or one that contains it.
 
-    A semi-join: segments (by, start_pos, end_pos, sample_id) come together per bin and word of samples first, and a region
-    takes from each of its bins one integer with a bit per sample. So the join makes a row for each region, bin and
-    word at most, however many segments lie there, and rows of a region merge by ``bit_or`` before they are shuffled.
-    ``names`` are the cohort's; segments of others are left out, regions without any are absent.
+    A semi-join for each sample: a pair of a region and a segment leaves one bit, set in an integer per word of samples,
+    and the words of a region merge by ``bit_or`` in the task that joins them, before anything is shuffled; what
+    moves is a row for each region and task, whatever the number of segments. ``names`` are the cohort's; segments of
+    others are left out, regions without any are absent.
     """
     keys = [*by, "start_pos", "end_pos"]
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("sample_id")) - 1
-    own = segments.select(*by, F.col("start_pos").alias("b_start_pos"), F.col("end_pos").alias("b_end_pos"), place.alias("_i")).filter("_i >= 0")
-    own = own.withColumns({"_word": F.expr(f"int(_i div {WORD})"), "_bit": F.expr(f"shiftleft(1L, int(_i % {WORD}))")}).drop("_i")
-    each = F.struct(F.col("b_start_pos").alias("s"), F.col("b_end_pos").alias("e"), F.col("_bit").alias("b"))
-    base = regions.select(*keys).distinct()
-
-    def met(left: DataFrame, right: DataFrame, on: list[str], hit) -> DataFrame:
-        lists = right.groupBy(*by, *on, "_word").agg(F.collect_list(each).alias("_l"))
-        bits = F.aggregate("_l", F.lit(0).cast("bigint"), lambda acc, x: F.when(hit(x), acc.bitwiseOR(x["b"])).otherwise(acc))
-        return left.join(lists, [*by, *on]).select(*keys, "_word", bits.alias("_bits")).filter("_bits <> 0")
-
-    if contain:
-        left, right = levels(base, own.withColumnsRenamed({"b_start_pos": "start_pos", "b_end_pos": "end_pos"}), by, "start_pos", "b_", width)
-        right = right.withColumnsRenamed({"b__word": "_word", "b__bit": "_bit"})
-        found = met(left, right, ["_level", "_bin"], lambda x: (x["s"] <= F.col("start_pos")) & (x["e"] >= F.col("end_pos")))
-    else:
-        over = lambda x: (x["s"] < F.col("end_pos")) & (F.col("start_pos") < x["e"])
-        long, b_long = F.col("end_pos") - F.col("start_pos") > width * most, F.col("b_end_pos") - F.col("b_start_pos") > width * most
-        pair = lambda x, y, w: met(explode_bins(x, w, name="_bin"), explode_bins(y, w, "b_start_pos", "b_end_pos", "_bin"), ["_bin"], over)
-        found = pair(base.filter(~long), own.filter(~b_long), width).unionByName(pair(base.filter(long), own, width * coarse)).unionByName(pair(base.filter(~long), own.filter(b_long), width * coarse))
+    own = segments.select(*by, "start_pos", "end_pos", place.alias("_i")).filter("_i >= 0")
+    own = own.select(*by, "start_pos", "end_pos", F.expr(f"int(_i div {WORD})").alias("word"), F.expr(f"shiftleft(1L, int(_i % {WORD}))").alias("bit"))
+    base = regions.select(*keys)
+    met = containment_join(base, own, by, width) if contain else overlap_join(base, own, by, width)
     words = range(-(-len(names) // WORD))
-    sets = found.groupBy(*keys).agg(*[F.bit_or(F.when(F.col("_word") == w, F.col("_bits"))).alias(f"_w{w}") for w in words])
+    sets = met.groupBy(*keys).agg(*[F.bit_or(F.when(F.col("b_word") == w, F.col("b_bit"))).alias(f"_w{w}") for w in words])
     parts = [_members(f"_w{w}", names[w * WORD : (w + 1) * WORD]) for w in words]
     return sets.select(*keys, F.array_sort(F.concat(*parts) if parts else F.array().cast("array<string>")).alias("samples"))
 
