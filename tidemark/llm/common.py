@@ -44,11 +44,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def kept(df: DataFrame, per_part: int = 50_000) -> tuple[DataFrame, int]:
-    """``cut``, and the number of rows; small tables come back in as few partitions as they need, so that what follows has few tasks."""
+def _width(df: DataFrame):
+    """About how many bytes a row takes: eight for a fixed value, and the lengths of texts, byte strings and arrays of numbers."""
+    out = F.lit(0)
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        size = F.octet_length(f.name) if kind in ("string", "binary") else F.size(f.name) * 8 if kind == "array" else F.lit(8)
+        out = out + F.greatest(F.coalesce(size, F.lit(0)), F.lit(8))
+    return out.cast("bigint")
+
+
+def kept(df: DataFrame, per_part: int = 50_000, part_bytes: int = 64 << 20) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows; small tables come back in as few partitions as their rows and bytes need, so that what follows has few tasks."""
     out = cut(df)
-    n = out.count()
-    return out.coalesce(1 + n // per_part), n
+    n, size = out.agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(out)), F.lit(0))).first()
+    return out.coalesce(1 + max(n // per_part, size // part_bytes)), n
 
 
 def table(df: DataFrame) -> DataFrame:
