@@ -31,14 +31,14 @@ def plain(regions, gap, least):
     return sorted(done)
 
 
-@pytest.mark.parametrize("gap, least, long", [(5, 1, 30), (40, 2, 30), (200, 3, 300)])
+@pytest.mark.parametrize("gap, least, long", [(30, 1, 30), (200, 3, 300)])
 def test_blocks_hand_over_their_state(spark, gap, least, long):
     rng = random.Random(gap)
-    rows = [("c1", "H1", s := rng.randrange(4000), s + rng.randrange(1, long), f"S{rng.randrange(5)}") for _ in range(400)]
-    rows += [("c2", rng.choice(["H1", "H2"]), s := rng.randrange(9000), s + rng.randrange(1, 60), f"S{rng.randrange(9)}") for _ in range(150)] + [("c1", "H1", 900, 3500, None), ("c3", "H1", 100, 2000, "S1"), ("c3", "H1", 1500, 1600, "S2"), *[("c3", "H1", 1900, 1950, "S1")] * 3]
+    rows = [("c1", "H1", s := rng.randrange(4000), s + rng.randrange(1, long), f"S{rng.randrange(5)}") for _ in range(300)]
+    rows += [("c2", rng.choice(["H1", "H2"]), s := rng.randrange(9000), s + rng.randrange(1, 60), f"S{rng.randrange(9)}") for _ in range(80)] + [("c1", "H1", 900, 3500, None), ("c3", "H1", 100, 2000, "S1"), ("c3", "H1", 1500, 1600, "S2"), *[("c3", "H1", 1900, 1950, "S1")] * 3]
     df = spark.createDataFrame(rows, "chrom string, hap string, start_pos bigint, end_pos bigint, sample_id string")
     want = plain(rows, gap, least)
-    for block in (500, 1 << 20):
+    for block in (1200, 1 << 20):
         got = K.consensus_merge(df, gap, least, block=block).collect()
         assert sorted((r["chrom"], r["hap"], r["start_pos"], r["end_pos"], tuple(r["samples"])) for r in got) == want
         assert all(r["n_regions"] == len(r["samples"]) for r in got)
