@@ -77,20 +77,21 @@ def cpg_effects(changes: DataFrame) -> DataFrame:
     return changes.select("sample_id", "contig", F.explode(out).alias("e")).select("sample_id", "e.hap", "contig", "e.pos", "e.effect").distinct()
 
 
-def cpg_index(chunks: DataFrame, chunk: int = 65536, piece: int = 4096) -> DataFrame:
+def cpg_index(chunks: DataFrame, chunk: int = 65536, piece: int = 4096, step: int = 512) -> DataFrame:
     """(contig, block, pos): the reference's CpG positions, 0-based, a block for each ``piece`` bases.
 
-    Made in place from chunks that overlap by a base at least; a chunk's own positions begin in its first ``chunk`` bases.
-    What follows joins positions, and no sequence moves.
+    Made in place from chunks that overlap by a base at least, ``step`` bases at a time; a chunk's own positions begin in
+    its first ``chunk`` bases. What follows joins positions, and no sequence moves.
     """
     own = F.least(F.lit(chunk), F.length("seq"))
-    parts = chunks.filter(F.length("seq") > 0).select("contig", "chunk_start", "seq", F.explode(F.sequence(F.lit(0), F.expr(f"int((least({chunk}, length(seq)) - 1) div {piece})"))).alias("i"))
-    text = F.substring(F.col("seq"), F.col("i") * piece + 1, F.least(F.lit(piece), own - F.col("i") * piece) + 1)
+    steps = F.sequence(F.lit(0), F.expr(f"int((least({chunk}, length(seq)) - 1) div {step})"))
+    cut = F.transform(steps, lambda i: F.struct(i.alias("i"), F.substring(F.col("seq"), i * step + 1, F.least(F.lit(step), own - i * step) + 1).alias("text")))
+    parts = chunks.filter(F.length("seq") > 0).select("contig", "chunk_start", F.inline(cut))
     # the texts between CGs give the distance from one to the next
-    between = F.split(text, "CG")
+    between = F.split("text", "CG")
     first = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("at"))
     found = F.aggregate(F.slice(between, 1, F.size(between) - 1), first, lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["at"] + F.length(x))).alias("a"), (acc["at"] + F.length(x) + 2).alias("at")), lambda acc: acc["a"])
-    pos = F.col("chunk_start") + F.col("i") * piece + F.col("p")
+    pos = F.col("chunk_start") + F.col("i") * step + F.col("p")
     return parts.select("contig", "chunk_start", "i", F.explode(found).alias("p")).select("contig", F.floor(pos / piece).cast("int").alias("block"), pos.cast("bigint").alias("pos"))
 
 
