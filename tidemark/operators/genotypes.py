@@ -68,7 +68,8 @@ def merge_cohort(calls: DataFrame, cohort_: DataFrame, by: tuple[str, ...] = ("v
     sample are combined haplotype by haplotype. One shuffle, on the site; a group has at most the cohort's calls.
     """
     size = cohort_.count() if size is None else size
-    placed = calls.join(F.broadcast(cohort_.select("file", "sample_id", "place")), ["file", "sample_id"])  # a row per sample
+    who = cohort_.select("file", "sample_id", "place")
+    placed = calls.join(F.broadcast(who) if size <= 1_000_000 else who, ["file", "sample_id"])  # a row per sample
     alts = alternatives(F.col("alt"))
     call = F.struct("place", F.col("ref"), alts.alias("alts"), F.col("gt"))
     extra = [f(c).alias(c) for c, f in (("qual", F.max), ("depth", F.sum)) if c in calls.columns]

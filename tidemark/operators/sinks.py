@@ -61,8 +61,8 @@ def mapped_variants(scored: DataFrame, keys: list[str], version: str) -> DataFra
         (pick(c("m_plus"), c("u_plus")) / pick(m, u)).alias("state_frequency"), ((c("m_plus") + c("u_plus")) / (m + u)).alias("background_frequency"), (m + u).alias("complete_samples"), c("total").alias("total_samples"), *who("m_plus", "u_plus"))
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = True, partition: list[str] | None = None, mode: str = "error") -> None:
-    w = df.write.mode(mode).option("sep", "\t").option("header", header)
+def write_tsv(df: DataFrame, path: str, header: bool = True, partition: list[str] | None = None, mode: str = "error", sep: str = "\t") -> None:
+    w = df.write.mode(mode).option("sep", sep).option("header", header)
     (w.partitionBy(*partition) if partition else w).csv(path)
 
 
@@ -78,8 +78,8 @@ def score_table(candidates: DataFrame, extra: list[str] = ()) -> DataFrame:
         joined_list("methylated_samples").alias("methylated_samples"), joined_list("unmethylated_samples").alias("unmethylated_samples"))
 
 
-def write_sorted(df: DataFrame, path: str, order: list, header: bool = True, partition: list[str] | None = None) -> None:
-    """TSV files in order: part-00000.tsv holds the first rows, and so on; ``order`` are columns or names.
+def write_sorted(df: DataFrame, path: str, order: list, header: bool = True, partition: list[str] | None = None, sep: str = "\t") -> None:
+    """TSV files in order, or CSV ones with another ``sep``: part-00000.tsv holds the first rows, and so on; ``order`` are columns or names.
 
     Rows go to ranges of the order, one file each. Files are staged beside ``path`` and swapped in when all are written, under
     names that depend on nothing but their place: a reader sees the old folder or the new one, a failed run leaves the
@@ -90,9 +90,10 @@ def write_sorted(df: DataFrame, path: str, order: list, header: bool = True, par
     spark = df.sparkSession
     base = path.rstrip("/")
     staged, old = f"{base}-staged-{uuid.uuid4().hex}", f"{base}-old-{uuid.uuid4().hex}"
-    write_tsv(df.orderBy(*[F.col(c) for c in partition or []], *order), staged, header, partition)
+    write_tsv(df.orderBy(*[F.col(c) for c in partition or []], *order), staged, header, partition, sep=sep)
     at = spark._jvm.org.apache.hadoop.fs.Path
     fs = at(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    kind = "tsv" if sep == "\t" else "csv"
     found, names = fs.listFiles(at(staged), True), {}
     while found.hasNext():
         f = found.next().getPath()
@@ -100,7 +101,7 @@ def write_sorted(df: DataFrame, path: str, order: list, header: bool = True, par
             names.setdefault(f.getParent().toString(), []).append(f.getName())
     for folder, files in names.items():
         for i, name in enumerate(sorted(files)):
-            fs.rename(at(f"{folder}/{name}"), at(f"{folder}/part-{i:05d}.tsv"))
+            fs.rename(at(f"{folder}/{name}"), at(f"{folder}/part-{i:05d}.{kind}"))
     if fs.exists(at(base)):
         fs.rename(at(base), at(old))
     if not fs.rename(at(staged), at(base)):

@@ -366,7 +366,9 @@ def g8(spark, d):
 
 @query("g9_sample_profile", f"WITH {SEG} SELECT sample_id, count(*) AS n, round(avg(size), 2) AS mean_size, median(size) AS median_size, round(stddev_samp(size), 2) AS std_size, count(DISTINCT chrom) AS n_chrom FROM seg GROUP BY sample_id")
 def g9(spark, d):
-    return seg(spark, d).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), R(F.avg("size"), 2).alias("mean_size"), F.median("size").alias("median_size"), R(F.stddev_samp("size"), 2).alias("std_size"), F.count_distinct("chrom").alias("n_chrom"))
+    own = seg(spark, d).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), R(F.avg("size"), 2).alias("mean_size"), R(F.stddev_samp("size"), 2).alias("std_size"), F.count_distinct("chrom").alias("n_chrom"))
+    mid = stats.quantiles(seg(spark, d), "size", ["sample_id"], [0.5]).select("sample_id", F.col("q0").alias("median_size"))
+    return own.join(mid, "sample_id")
 
 
 @query("g10_regions_per_chrom", f"WITH {SEG}, k AS (SELECT chrom, sample_id, count(*) AS n FROM seg GROUP BY ALL) SELECT chrom, min(n) AS low, quantile_cont(n, 0.5) AS mid, max(n) AS high FROM k GROUP BY chrom")
@@ -377,9 +379,10 @@ def g10(spark, d):
 
 @query("g11_global_stats", f"WITH {SEG} SELECT hap || '_' || label AS condition, sample_id, count(*) AS total, round(avg(size), 6) AS mean_size, median(size) AS median_size, round(stddev_samp(size), 6) AS std_size, min(size) AS min_size, max(size) AS max_size, " + ", ".join(f"count(*) FILTER (chrom = '{c}') AS {c}" for c in C.STANDARD) + " FROM seg GROUP BY ALL")
 def g11(spark, d):
-    s = seg(spark, d).withColumn("condition", C.combined_label(F.col("hap"), F.col("label")))
+    s, by = seg(spark, d).withColumn("condition", C.combined_label(F.col("hap"), F.col("label"))), ["condition", "sample_id"]
     per = [F.count_if(F.col("chrom") == c).alias(c) for c in C.STANDARD]
-    return s.groupBy("condition", "sample_id").agg(F.count(F.lit(1)).alias("total"), R(F.avg("size")).alias("mean_size"), F.median("size").alias("median_size"), R(F.stddev_samp("size")).alias("std_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), *per)
+    own = s.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), R(F.avg("size")).alias("mean_size"), R(F.stddev_samp("size")).alias("std_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), *per)
+    return own.join(stats.quantiles(s, "size", by, [0.5]).select(*by, F.col("q0").alias("median_size")), by)
 
 
 @query("g11_cohort_rollup", f"WITH {SEG}, p AS (SELECT hap || '_' || label AS condition, sample_id, count(*) AS total, avg(size) AS m, min(size) AS lo, max(size) AS hi FROM seg GROUP BY ALL) SELECT condition, round(avg(total), 6) AS mean_total, round(avg(m), 6) AS mean_size, min(lo) AS min_size, max(hi) AS max_size FROM p GROUP BY condition")

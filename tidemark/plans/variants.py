@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..operators import consensus as K
 from ..operators import effects as E
 from ..operators import genotypes as G
-from ..operators import sinks, states
+from ..operators import sinks, states, stats
 from ..sources import files
 from ..sources.scratch import scratch
 from ..sources.views import duck, view
@@ -461,11 +461,6 @@ def all_scores(spark, d):
     return s.withColumn("seen", seen).withColumn("v3", F.round("v3", 9))
 
 
-def five_figures(c):
-    """Mean, median, population std, least and largest of a score."""
-    return [R(f(c), 5).alias(k) for k, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
-
-
 FIVE_SQL = ", ".join(f"round({f}(v), 5) AS {k}" for k, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")))
 
 
@@ -476,7 +471,8 @@ def g27_all(spark, d):
     c = F.col
     take = {"v2_methylated": F.when(c("v2_association") == "methylated", c("v2_meth")), "v2_unmethylated": F.when(c("v2_association") == "unmethylated", c("v2_unmeth")), "v3": c("v3"), "v4_methylated": c("v4_meth"), "v4_unmethylated": c("v4_unmeth"), "simple_samples": F.when(c("simple_class").isNotNull(), c("seen").cast("double"))}
     long = s.select(*[v.alias(k) for k, v in take.items()]).unpivot([], list(take), "score", "v").filter("v is not null")
-    return long.groupBy("score").agg(F.count(F.lit(1)).alias("n"), *five_figures(c("v")))
+    mid = stats.quantiles(long, "v", ["score"], [0.5]).select("score", R("q0", 5).alias("median"))
+    return long.groupBy("score").agg(F.count(F.lit(1)).alias("n"), *[R(f(c("v")), 5).alias(k) for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]).join(mid, "score")
 
 
 @query("g27_v3_bands", f"WITH {ALL5} SELECT count(*) FILTER (v3 > 0.7) AS above_7, count(*) FILTER (v3 >= 0.6 AND v3 <= 0.7) AS band_67, count(*) FILTER (v3 >= 0.4 AND v3 <= 0.6) AS band_46, count(*) FILTER (v3 >= 0.3 AND v3 <= 0.4) AS band_34, count(*) FILTER (v3 < 0.3) AS below_3 FROM f5")
@@ -672,10 +668,11 @@ def k3(spark, d):
 
 @query("k6_s13_qc_summary_file", f"WITH {QC} SELECT * FROM qc")
 def k6(spark, d):
+    """The summary of all samples in order, written whole each time, so that a repeated run changes nothing; read with a copy."""
     path = scratch(spark)
     q = qc(spark, d)
-    q.orderBy("sample_id", "hap").write.option("header", True).csv(f"{path}/a")
-    q.write.option("header", True).csv(f"{path}/b")
+    for name in ("a", "a", "b"):
+        sinks.write_sorted(q, f"{path}/{name}", ["sample_id", "hap"], sep=",")
     got = files.read_qc_summaries(spark, [f"{path}/a", f"{path}/b"])
     return got.select("sample_id", "hap", *[F.col(c).cast("bigint").alias(c) for c in ALL8])
 
