@@ -515,6 +515,24 @@ def test_ann_rerank_grows_until_recall(spark):
         assert hit / (50 * 20) >= 0.9
 
 
+def test_ann_lengths_of_any_spread(spark):
+    """Lengths over many orders of magnitude, or a few that are vast: the codes themselves find the neighbours, without raising the candidates."""
+    from tidemark.llm.aq_ann import search
+
+    rng = np.random.default_rng(6)
+    plain = rng.normal(size=(2000, 32))
+    spread, vast = plain * np.exp(2 * rng.normal(size=(2000, 1))), plain * np.where(rng.random((2000, 1)) < 0.002, 1e6, 1)
+    for x in (spread, vast, plain * 1e25, plain * 1e-25):
+        df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id bigint, embedding array<double>")
+        got = search(df, lambda i: i % 40 == 0, sample=500, books=4, rerank=250, probes=0).toPandas()
+        hit = 0
+        for q, g in got.groupby("query_id"):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hit += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
+        assert hit / (50 * 20) >= 0.9
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=x>Home</a></li></ul></nav><div class="cookie-notice">We use cookies.</div><div id="main-content"><h1>Title &amp; more</h1>
 <p>Hello <b>bold</b>ish world<br>line   two.<p>Second para &lt;x&gt; &eacute;&#x41; has enough words in it.<ul><li>item one</li><li>item two</li></ul>
