@@ -47,3 +47,18 @@ def test_blocks_hand_over_their_state(spark, gap, least, long):
 def test_merge_of_nothing(spark):
     df = spark.createDataFrame([], "chrom string, hap string, start_pos bigint, end_pos bigint, sample_id string")
     assert K.consensus_merge(df).count() == 0
+
+
+def test_states_that_do_not_settle(spark, monkeypatch):
+    """A gap longer than a block makes each block depend on all before it; rounds stay few all the same."""
+    rng = random.Random(11)
+    rows = [("c1", "H1", s := rng.randrange(60000), s + rng.randrange(1, 40), f"S{rng.randrange(7)}") for _ in range(900)]
+    rows += [("c2", h, s := rng.randrange(3000), s + rng.randrange(1, 40), f"S{rng.randrange(5)}") for h in ("H1", "H2") for _ in range(80)]
+    df = spark.createDataFrame(rows, "chrom string, hap string, start_pos bigint, end_pos bigint, sample_id string")
+    runs, own = [], K._merge_blocks
+    monkeypatch.setattr(K, "_merge_blocks", lambda *a: runs.append(1) or own(*a))
+    for gap, least in ((1500, 1), (600, 3)):
+        runs.clear()
+        got = K.consensus_merge(df, gap, least, block=1000).collect()
+        assert sorted((r["chrom"], r["hap"], r["start_pos"], r["end_pos"], tuple(r["samples"])) for r in got) == plain(rows, gap, least)
+        assert len(runs) <= 8

@@ -125,8 +125,10 @@ def consensus_merge(regions: DataFrame, max_gap: int = 5000, min_samples: int =
     later ones join it unless their sample is in it already or they are near; a cluster is emitted when the chain breaks
     and it has enough samples. The rule depends on the order, but cannot act across islands and forgets what lies out of
     reach. So an island of more than ``block`` bases is cut in blocks that all run at once, each as if nothing came before.
-    Where the block before has handed over another state than that, the block runs again, until no state changes.
-    Rounds are at most as many as an island's blocks, and there is one where islands are short.
+    Where the block before has handed over another state than that, the block runs again, until no state changes. Where
+    states don't settle, so that a round leaves more than half of the changed blocks, what is left of an island depends on
+    all that goes before: then its rows from the first changed block on run once in order, streamed through one task that
+    keeps only the clusters in reach. Rounds are at most some ten, and there is one where islands are short.
     """
     spark, keys = regions.sparkSession, [*by, "island"]
     folder = scratch(spark)
@@ -142,13 +144,26 @@ def consensus_merge(regions: DataFrame, max_gap: int = 5000, min_samples: int =
     if out.filter("state is not null").isEmpty():  # no island goes on in another block
         return out.filter("start_pos is not null").select(*by, "start_pos", "end_pos", "samples", F.size("samples").alias("n_regions"))
     rows = kept(rows, "rows")
+    before = None
     ends = out.filter("start_pos is null").select(*at, F.lit(None).cast("string").alias("start"), F.col("state").alias("end"), "round")
     while True:
         wanted = ends.withColumn("want", F.lag("end").over(order))
         changed = wanted.filter(~F.col("want").eqNullSafe(F.col("start"))).select(*at, "want")
-        if changed.isEmpty():
+        n = changed.count()
+        if not n:
             break
         turn += 1
+        if before is not None and 2 * n > before:  # the states don't settle
+            tail = wanted.join(changed.groupBy(*keys).agg(F.min("_block").alias("_from")), keys).filter("_block >= _from")
+            tails = kept(tail.groupBy(*keys).agg(F.max("_block").alias("_to"), F.min(F.struct("_block", "want")).alias("_f")).select(*keys, F.col("_f._block").alias("_from"), "_to", F.col("_f.want").alias("want")), "tails")
+            heads = tails.select(*keys, F.col("_to").alias("_block"), F.lit(0).alias("_o"), F.lit(-1).cast("bigint").alias("start_pos"), F.lit(-1).cast("bigint").alias("end_pos"), F.lit("").alias("sample_id"), F.col("want").alias("state"))
+            again = rows.join(F.broadcast(tails), keys).filter("_block >= _from").withColumn("_block", F.col("_to")).select(*heads.columns).unionByName(heads)
+            new = kept(_merge_blocks(again, keys, max_gap, min_samples).withColumn("round", F.lit(turn)), f"round-{turn}")
+            out = out.unionByName(new)
+            settled = ends.join(tails.select(*keys, "_from"), keys, "left").filter("_from is null or _block < _from").select(*at, "start", "end", "round")
+            ends = settled.unionByName(new.filter("start_pos is null").select(*at, F.lit(None).cast("string").alias("start"), F.col("state").alias("end"), "round"))
+            break
+        before = n
         heads = changed.select(*at, F.lit(0).alias("_o"), F.lit(-1).cast("bigint").alias("start_pos"), F.lit(-1).cast("bigint").alias("end_pos"), F.lit("").alias("sample_id"), F.col("want").alias("state"))
         again = rows.join(changed.select(*at), at, "left_semi").select(*heads.columns).unionByName(heads)
         new = kept(_merge_blocks(again, keys, max_gap, min_samples).withColumn("round", F.lit(turn)), f"round-{turn}")
