@@ -60,3 +60,27 @@ def test_cpg_index_and_phantoms(spark):
     assert {tuple(r) for r in out.collect()} == {x for x in sites if x[4] != "phantom_sites" or (x[2], x[3]) not in want}
     for line in out._jdf.queryExecution().executedPlan().toString().splitlines():
         assert "Exchange" not in line or "seq" not in line
+
+
+def test_segment_runs_across_blocks(spark):
+    """Runs that go through several blocks, and windows over a chromosome that hold no row per site."""
+    import random
+
+    from tidemark.operators import stats
+
+    rng = random.Random(3)
+    sites = sorted({(f"S{rng.randrange(2)}", "hap1", "chr1", rng.randrange(6000)) for _ in range(900)})
+    rows = [(*s, s[3] + 1, 0.9 if (s[3] // 700) % 2 or rng.random() < 0.1 else 0.1) for s in sites]
+    df = spark.createDataFrame(rows, "sample_id string, hap string, chrom string, start_pos bigint, end_pos bigint, mod_probability double")
+    want = []
+    for name in ("S0", "S1"):
+        last = None
+        for _, _, _, start, end, p in (r for r in rows if r[0] == name):
+            c = "M" if p >= 0.5 else "U"
+            if last is None or start - last > 25 or want[-1][3] != c:
+                want.append([name, start, end, c, 0])
+            want[-1][2], want[-1][4], last = end, want[-1][4] + 1, start
+    want = sorted((n, s, e, k, c if k >= 2 else "NoData") for n, s, e, c, k in want)
+    for block in (100, 1000, 1 << 20):
+        got = stats.segment_runs(df, 25, 2, 0.5, block=block).collect()
+        assert sorted((r["sample_id"], r["start_pos"], r["end_pos"], r["n_cpgs"], r["label"]) for r in got) == want

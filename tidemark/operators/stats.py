@@ -138,15 +138,28 @@ def bin_rollup(df: DataFrame, sizes: DataFrame, n_bins: int, by: str) -> tuple[D
     return bins, top
 
 
-def segment_runs(pileup: DataFrame, max_gap: int = 500, min_cpgs: int = 5, call: float = 0.5) -> DataFrame:
-    """Runs of equal methylation calls with no gap over ``max_gap``; short runs are NoData. The call threshold is ours."""
-    w = Window.partitionBy("sample_id", "hap", "chrom").orderBy("start_pos")
+def segment_runs(pileup: DataFrame, max_gap: int = 500, min_cpgs: int = 5, call: float = 0.5, block: int = 1 << 20) -> DataFrame:
+    """Runs of equal methylation calls with no gap over ``max_gap``; short runs are NoData. The call threshold is ours.
+
+    Runs are found in blocks of a chromosome; only the first and the last run of a block can go on in another, so the
+    windows over a chromosome hold at most two rows per block.
+    """
+    keys = ["sample_id", "hap", "chrom"]
+    here = Window.partitionBy(*keys, "_block")
+    w = here.orderBy("start_pos")
     m = F.when(F.col("mod_probability") >= call, "M").otherwise("U")
-    rows = pileup.withColumn("_m", m)
+    rows = pileup.withColumn("_m", m).withColumn("_block", F.expr(f"start_pos div {block}"))
     new = F.coalesce((F.col("start_pos") - F.lag("start_pos").over(w) > max_gap) | (F.col("_m") != F.lag("_m").over(w)), F.lit(True))
     rows = rows.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy("sample_id", "hap", "chrom", "_run").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n_cpgs"), F.first("_m").alias("call"))
-    return out.withColumn("label", F.when(F.col("n_cpgs") >= min_cpgs, F.col("call")).otherwise("NoData")).drop("_run", "call")
+    runs = rows.groupBy(*keys, "_block", "_run").agg(F.min("start_pos").alias("start_pos"), F.max("start_pos").alias("_last"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n_cpgs"), F.first("_m").alias("call"))
+    runs = runs.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(here)))
+    along = Window.partitionBy(*keys).orderBy("_block", "_run")
+    goes_on = ~F.lag("_block").over(along).eqNullSafe(F.col("_block")) & (F.col("start_pos") - F.lag("_last").over(along) <= max_gap) & (F.col("call") == F.lag("call").over(along))
+    edges = runs.filter("_edge").withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edges.groupBy(*keys, "_chain").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("n_cpgs").alias("n_cpgs"), F.first("call").alias("call"))
+    columns = [*keys, "start_pos", "end_pos", "n_cpgs", "call"]
+    out = runs.filter("not _edge").select(*columns).unionByName(joined.select(*columns))
+    return out.withColumn("label", F.when(F.col("n_cpgs") >= min_cpgs, F.col("call")).otherwise("NoData")).drop("call")
 
 
 def top_regions(df: DataFrame, score: str, n: int, keys: list[str]) -> DataFrame:
