@@ -14,7 +14,7 @@ def joined_list(col: str):
 
 
 def genomic_sort(df: DataFrame) -> DataFrame:
-    return df.orderBy(chrom_order(F.col("chrom")), "chrom", "start_pos", "end_pos")
+    return df.withColumn("_rank", chrom_order(F.col("chrom"))).orderBy("_rank", "chrom", "start_pos", "end_pos").drop("_rank")
 
 
 def consensus_table(df: DataFrame) -> DataFrame:
@@ -90,7 +90,11 @@ def write_sorted(df: DataFrame, path: str, order: list, header: bool = True, par
     spark = df.sparkSession
     base = path.rstrip("/")
     staged, old = f"{base}-staged-{uuid.uuid4().hex}", f"{base}-old-{uuid.uuid4().hex}"
-    write_tsv(df.orderBy(*[F.col(c) for c in partition or []], *order), staged, header, partition, sep=sep)
+    # orders that are expressions become columns first: a sort evaluates its orders at each comparison
+    given = [F.col(c) if isinstance(c, str) else c for c in order]
+    keyed = df.withColumns({f"_o{i}": c for i, c in enumerate(given)})
+    placed = keyed.orderBy(*[F.col(c) for c in partition or []], *[f"_o{i}" for i in range(len(given))]).select(*df.columns)
+    write_tsv(placed, staged, header, partition, sep=sep)
     at = spark._jvm.org.apache.hadoop.fs.Path
     fs = at(staged).getFileSystem(spark._jsc.hadoopConfiguration())
     kind = "tsv" if sep == "\t" else "csv"
