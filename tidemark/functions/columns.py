@@ -104,8 +104,11 @@ def high_confidence(min_prob: float = 0.9, min_cov: int = 10) -> Column:
 
 
 def cpg_positions(seq: Column) -> Column:
-    """0-based places of CG."""
-    return F.when(F.length(seq) >= 2, F.filter(F.sequence(F.lit(0), F.greatest(F.length(seq) - 2, F.lit(0))), lambda i: F.substring(seq, i + 1, F.lit(2)) == "CG")).otherwise(F.array().cast("array<int>"))
+    """0-based places of CG, by the lengths of what lies between them: no look-up by place, which takes as long as the place is far."""
+    none = F.array().cast("array<int>")
+    between = F.transform(F.split(seq, "CG"), F.length)
+    places = F.aggregate(F.slice(between, F.lit(1), F.size(between) - 1), none, lambda at, n: F.array_append(at, n + F.coalesce(F.try_element_at(at, F.lit(-1)) + 2, F.lit(0))))
+    return F.when(F.length(seq) >= 2, places).otherwise(none)
 
 
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
