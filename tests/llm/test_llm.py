@@ -8,6 +8,7 @@ import string
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -460,6 +461,26 @@ def test_second_fuzzy_passage_of_a_pair(spark):
     assert {(r["start"], r["end"]) for r in got} == {(0, 500), (560, 632)}
 
 
+def test_frequent_seeds_of_all_documents(spark):
+    """Which seeds are frequent is counted over all documents, however these are dealt out."""
+    from tidemark.llm import substring_dedup as S
+
+    rng = random.Random(21)
+    hot = [" ".join(f"h{j}x{i}" for i in range(20)) for j in range(3)]
+    body = lambda: " ".join(f"{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(d, body() + "".join(" " + hot[j] for j in range(3) if (d % 12 == 0, d < 25, d in range(400, 419))[j])) for d in range(600)]
+    seeds, count = S.minimisers, {}
+    for _, t in rows:
+        r, p, h = seeds(S.Words(pa.array([t])), 4, 12, 50)
+        for x in set(h.tolist()):
+            count[x] = count.get(x, 0) + 1
+    want = sorted(x for x, n in count.items() if n > 20)
+    assert len(want) > 4
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for parts in (1, 7):
+        assert S.frequent_seeds(df.repartitionByRange(parts, "doc_id"), 600, 4, 12, 50, share=0.005).tolist() == want
+
+
 def test_ann_recall_and_ties(spark):
     from tidemark.llm.aq_ann import search
 
