@@ -481,6 +481,60 @@ def test_frequent_seeds_of_all_documents(spark):
         assert S.frequent_seeds(df.repartitionByRange(parts, "doc_id"), 600, 4, 12, 50, share=0.005).tolist() == want
 
 
+def test_passages_behind_many_holders_of_parts(spark):
+    """Each part of a passage is in more documents, on both sides of the one that holds the whole, than a seed meets at once."""
+    from tidemark.llm.substring_dedup import shared_passages
+
+    rng = random.Random(31)
+    text = lambda k: [f"{rng.randrange(10**6)}" for _ in range(k)]
+    passage = text(60)
+    parts = [passage[i : i + 15] for i in range(0, 60, 15)]
+    docs = {i: text(40) + parts[i % 4] + text(40) for i in range(90) if i not in (40, 80)}
+    docs |= {40: text(30) + passage + text(30), 80: text(50) + passage + text(20)}
+    docs |= {100: text(60) + ["the"] * 20 + text(70) + ["the"] * 90 + text(9), 101: text(60) + ["the"] * 70 + text(60)}
+    got = shared_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["ref_id"]) for r in got} == {(80, 40), (101, 100)}
+    assert max(r["end"] - r["start"] for r in got if r["doc_id"] == 80) >= 60 and {x for r in got if r["doc_id"] == 101 for x in range(r["start"], r["end"])} >= set(range(60, 130))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_no_seed_of_a_passage_is_lost(spark, seed):
+    """Small corpora of shuffled, changed and repeated parts: what all pairs of documents give is held by what is found."""
+    from tidemark.llm import substring_dedup as S
+
+    rng = random.Random(40 + seed)
+    text = lambda k: [f"{rng.randrange(10**6)}" for _ in range(k)]
+    pool = [text(rng.choice([8, 12, 20, 30])) for _ in range(12)] + [["la"] * 30]
+    docs = []
+    for d in range(60):
+        words = text(20)
+        for _ in range(rng.randrange(2, 9)):
+            at = rng.randrange(len(pool) - 2)
+            words += [w if rng.random() > 0.04 else f"x{rng.randrange(10**6)}" for part in pool[at : at + rng.randrange(1, 4)] for w in part] + text(rng.choice([0, 3, 60]))
+        docs.append((d, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    held = {}
+    for r in S.shared_passages(df).collect():
+        held.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    words = [S.Words(pa.array([t])) for _, t in docs]
+    seeds = [S.minimisers(w, 4, 12, 50)[1:] for w in words]
+    known = [set(h.tolist()) for _, h in seeds]
+    wanted = lost = 0
+    for d in range(len(docs)):
+        for r in range(d):
+            anchors = S.all_anchors(*seeds[d], *seeds[r], 4, 10) if len(seeds[d][0]) and len(seeds[r][0]) else []
+            n = {a[:3]: a[3] for a in anchors}
+            for c in S.chains([a[:3] for a in anchors], 0.1, 40) if anchors else []:
+                if c[-1][0] + c[-1][2] - c[0][0] < 25 or sum(n[a] for a in c) < 3:
+                    continue
+                s, e, rs, re_, same = S.align(words[d].hashes, words[r].hashes, c)
+                if min(e - s, re_ - rs) >= 50 and same >= 0.8 * max(e - s, re_ - rs):
+                    inside = [p for p, h in zip(*map(np.ndarray.tolist, seeds[d])) if h in known[r] and c[0][0] <= p and p + 4 <= c[-1][0] + c[-1][2]]
+                    wanted += len(inside)
+                    lost += sum(not any(a <= p and p + 4 <= z for a, z in held.get(d, [])) for p in inside)
+    assert wanted > 500 and not lost
+
+
 def test_ann_recall_and_ties(spark):
     from tidemark.llm.aq_ann import search
 
