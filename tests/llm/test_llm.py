@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import string
@@ -513,6 +514,49 @@ def test_pairs_of_a_group_do_not_grow_with_its_square(spark, monkeypatch):
     assert sum(t.filter("ref_id is not null").count() for t in tried) < 10 * len(docs)
 
 
+def test_shared_passages_leave_no_files(spark, monkeypatch):
+    """The texts of a round's documents go when they are aligned, and few pairs of seeds are sent at a time: by shares the same is found."""
+    from urllib.parse import urlparse
+
+    from tidemark.llm import common
+    from tidemark.llm import substring_dedup as S
+
+    rng = random.Random(61)
+    text = lambda k: [f"{rng.randrange(10**6)}" for _ in range(k)]
+    passage = text(60)
+    docs = [(i, " ".join(text(40) + (passage if i % 9 == 5 else passage[i % 4 * 15 :][:15]) + text(40))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    folder = urlparse(common.shared_dir(spark)).path
+    left = lambda: {x for x in os.listdir(folder) if x.startswith("tidemark-")}
+    before, got = left(), []
+    for size in (S.SLICE, 300):
+        monkeypatch.setattr(S, "SLICE", size)
+        got.append(sorted(S.shared_passages(df).collect()))
+    assert left() == before
+    assert got[0] == got[1] and {r["doc_id"] for r in got[0] if r["end"] - r["start"] >= 60} == set(range(14, 60, 9))
+
+
+def test_alignment_of_many_chains():
+    """As one at a time, with repeated words, edges and gaps."""
+    from tidemark.llm import substring_dedup as S
+
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        x, y = (np.repeat(rng.integers(0, 4, 60), rng.integers(1, 9, 60))[: rng.integers(40, 200)].astype(np.uint64) for _ in range(2))
+        chains = []
+        for _ in range(30):
+            n = int(rng.integers(4, 40))
+            c = [int(rng.integers(0, len(x) - n)) if len(x) > n else 0, int(rng.integers(0, len(y) - n)) if len(y) > n else 0, n]
+            if rng.random() < 0.3 and max(c[0] + n + 9 - len(x), c[1] + n + 9 - len(y)) < 0:
+                c += [c[0] + n + int(rng.integers(0, 5)), c[1] + n + int(rng.integers(0, 5)), 4]
+            chains.append(c)
+        want = [(c, g) for c in chains for g in [S.align(x, y, list(zip(c[::3], c[1::3], c[2::3])))] if min(g[1] - g[0], g[3] - g[2]) >= 20 and g[4] >= 0.7 * max(g[1] - g[0], g[3] - g[2])]
+        assert S.align_all(x, y, chains, 20, 0.7) == want
+        p, r, n = np.array([c[:3] for c in chains]).T
+        free = [not any(0 <= b <= 10 and 0 <= e <= 10 for j in range(30) for b, e in ((p[i] - p[j] - n[j], r[i] - r[j] - n[j]), (p[j] - p[i] - n[i], r[j] - r[i] - n[i]))) for i in range(30)]
+        assert S.alone(p, r, n, 10).tolist() == free
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_no_seed_of_a_passage_is_lost(spark, seed):
     """Small corpora of shuffled, changed and repeated parts: what all pairs of documents give is held by what is found."""
