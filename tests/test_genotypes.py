@@ -93,3 +93,13 @@ def test_fisher_of_a_large_cohort(spark):
         ps = {x: comb(row, x) * comb(n - row, col - x) for x in range(max(0, row + col - n), min(row, col) + 1)}
         want = sum(v for v in ps.values() if v * 10**9 <= ps[r.a] * (10**9 + 100))
         assert abs(r.p - float(10**18 * want // sum(ps.values())) / 1e18) <= 1e-9
+
+
+def test_every_call_of_a_sample_is_listed(spark):
+    """As the SQL has it: alternatives in order of file and number, and each allele with every number that the sample's calls give it."""
+    rows = [("small", "chr1", 5, "A", "C,G", "1|2", 0, "S0"), ("small", "chr1", 5, "A", "T", "0|1", 0, "S0"), ("small", "chr1", 5, "A", "G", "1/1", 2, "S2"), ("small", "chr1", 9, "A", "G", "0/1", 1, "S1")]
+    calls = spark.createDataFrame(rows, "vcf_type string, chrom string, pos int, ref string, alt string, gt string, file int, sample_id string")
+    got = {r["pos"]: r for r in G.merge_cohort(calls, G.cohort(calls), every=True).collect()}
+    assert got[5]["alts"] == ["C", "T", "G"]
+    assert [tuple(x) for x in got[5]["listed"]] == [(0, "0|1"), (0, "0|2"), (0, "1|3"), (0, "2|3"), (1, "./."), (2, "3/3")]
+    assert [tuple(x) for x in got[9]["listed"]] == [(0, "./."), (1, "0/1"), (2, "./.")]
